@@ -112,7 +112,8 @@ def append_batch(
         .join(heads.select(*chain, "_head", "_bytes"), chain, "left")
         .withColumns({"_head": F.coalesce("_head", F.lit(0)), "_bytes": F.coalesce("_bytes", F.lit(0))})
     )
-    staged = running_sum(staged, chain, "sequence", F.col("source_byte_length"), "_total", ["packet_sha256"])
+    new_bytes = F.when(F.col("sequence") > F.col("_head"), F.col("source_byte_length"))
+    staged = running_sum(staged, chain, "sequence", new_bytes, "_total", ["packet_sha256"])
     own = first_failure(
         [
             (F.col("sequence") > F.col("_head"), "PACKET_APPEND_STALE"),
