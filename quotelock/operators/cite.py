@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotelock.functions.digests import deterministic_id
-from quotelock.functions.ladder import first_failure, holds
+from quotelock.functions.ladder import bind, first_failure, holds
 from quotelock.functions.text import (
     MAX_MATCHES,
     MAX_QUERY_BYTES,
@@ -164,20 +164,24 @@ def _inner_words(text: Column) -> Column:
     return F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2))
 
 
+def _runs(items: Column, size: int) -> Column:
+    """Hashes of the distinct runs of ``size`` neighbouring items, the list read once."""
+
+    def hashes(bound: Column) -> Column:
+        starts = F.when(
+            F.size(bound) >= size, F.sequence(F.lit(1), F.size(bound) - size + 1)
+        ).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(bound, i, size))))
+
+    return bind(items, hashes)
+
+
 def _grams(words: Column, size: int) -> Column:
-    """Hashes of the distinct runs of ``size`` words."""
-    starts = F.when(
-        F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1)
-    ).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, size))))
+    return _runs(words, size)
 
 
 def _pieces(text: Column, size: int) -> Column:
-    """Hashes of the distinct substrings of ``size`` characters."""
-    starts = F.when(
-        F.char_length(text) >= size, F.sequence(F.lit(1), F.char_length(text) - size + 1)
-    ).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(text, i, F.lit(size)))))
+    return _runs(F.split(text, ""), size)
 
 
 def quote_locate(

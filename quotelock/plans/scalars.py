@@ -139,11 +139,18 @@ def bounded_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     r"""WITH queries AS (
-      SELECT doc_id, text, array_to_string(list_transform(
-        string_split_regex(regexp_replace(substr(text, 10, 60), '^\s+|\s+$', '', 'g'), '\s+'),
-        lambda w: regexp_escape(w)), '\s+') AS pattern FROM documents WHERE length(text) >= 80),
-    hits AS (SELECT doc_id, regexp_extract_all(text, pattern)[1:21] AS found FROM queries)
-    SELECT doc_id, CAST(len(found) AS BIGINT) AS found, found[1] AS first_match FROM hits"""
+      SELECT doc_id, text, regexp_replace(text, '\s+', ' ', 'g') AS flat,
+        trim(regexp_replace(substr(text, 10, 60), '\s+', ' ', 'g')) AS flat_query,
+        array_to_string(list_transform(
+          string_split_regex(regexp_replace(substr(text, 10, 60), '^\s+|\s+$', '', 'g'), '\s+'),
+          lambda w: regexp_escape(w)), '\s+') AS pattern FROM documents WHERE length(text) >= 80),
+    starts AS (
+      SELECT doc_id, text, flat, flat_query, pattern, list_filter(range(1, len(chars)),
+        lambda i: chars[i] || chars[i + 1] = substr(flat_query, 1, 2)) AS likely
+      FROM (SELECT *, string_split(flat, '') AS chars FROM queries))
+    SELECT doc_id, CAST(least(21, len(list_filter(likely,
+        lambda i: substr(flat, i, length(flat_query)) = flat_query))) AS BIGINT) AS found,
+      nullif(regexp_extract(text, pattern), '') AS first_match FROM starts"""
 )
 def ws_occurrences(spark: SparkSession, folder: str) -> DataFrame:
     """Queries are quotes with every blank run widened to three blanks."""
