@@ -20,6 +20,7 @@ from quotelock.functions.text import (
     query_valid,
     ws_occurrences,
 )
+from quotelock.plans.checkpoints import cut_lineage
 
 MAX_MATCH_BYTES = 8 * 1024
 GRAM_WORDS = 5
@@ -190,7 +191,7 @@ def quote_locate(
     gram_words: int = GRAM_WORDS,
     short_quotes: bool = True,
 ) -> DataFrame:
-    """Which documents contain each quote, and is the quote unique in the corpus.
+    """Which documents contain each quote.
 
     ``quotes`` has ``(quote_id, exact)``, ``documents`` has ``(doc_id, text)``. No pair
     is compared unless the document holds the rarest fragment of the quote:
@@ -203,7 +204,9 @@ def quote_locate(
        never a join key while the quote has a rarer part;
     3. documents meet quotes by equi join on that fragment, and ``position`` decides.
 
-    Results are exact. ``short_quotes=False`` is for quote sets in which every quote has
+    The fragments shared with quotes are written to the checkpoint folder, so the corpus is
+    cut into fragments once and read a second time for ``position`` only. Results are
+    exact: ``(quote_id, doc_id, start, repeated)``. ``short_quotes=False`` is for quote sets in which every quote has
     ``gram_words`` inner words.
     """
     exact = F.col("exact")
@@ -241,7 +244,7 @@ def quote_locate(
         for size in (1, 2, 3):
             hashes = hashes.when(F.col("kind") == f"{size}", _pieces(F.col("text"), size))
         names += ["w", "1", "2", "3"]
-    document_parts = (
+    document_parts = cut_lineage(
         documents.select("doc_id", "text", F.explode(F.array(*map(F.lit, names))).alias("kind"))
         .join(kinds, "kind", "left_semi")
         .select("doc_id", "kind", F.explode(hashes).alias("hash"))
@@ -259,7 +262,7 @@ def quote_locate(
         .select("quote_id", "anchor.kind", "anchor.hash")
     )
     pairs = document_parts.join(anchors, ["kind", "hash"]).select("quote_id", "doc_id")
-    found = (
+    return (
         pairs.join(quotes.select("quote_id", "exact"), "quote_id")
         .join(documents.select("doc_id", "text"), "doc_id")
         .withColumn("start", F.position(F.col("exact"), F.col("text")))
@@ -271,13 +274,13 @@ def quote_locate(
             (F.position(F.col("exact"), F.col("text"), F.col("start") + 1) > 0).alias("repeated"),
         )
     )
-    spread_of_quotes = found.groupBy("quote_id").agg(
-        F.count("*").alias("document_count"), F.max("repeated").alias("_repeated")
-    )
-    return (
-        found.join(spread_of_quotes, "quote_id")
-        .withColumn("corpus_unique", (F.col("document_count") == 1) & ~F.col("_repeated"))
-        .drop("_repeated")
+
+
+def corpus_unique(matches: DataFrame) -> DataFrame:
+    """Per located quote: documents that hold it, and whether it occurs only once."""
+    return matches.groupBy("quote_id").agg(
+        F.count("*").alias("document_count"),
+        ((F.count("*") == 1) & ~F.max("repeated")).alias("corpus_unique"),
     )
 
 

@@ -1 +1,465 @@
-"""Queries."""
+"""Audit queries: supplied rows against indexes, receipts, heads and lineages."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quotelock.functions.digests import canonical_digest
+from quotelock.operators import audits, lineage, receipts
+from quotelock.operators.chains import chain_build, collection_totals, history_coverage
+from quotelock.plans.chains import COLLECTION, TRANSITIONS_SQL, transitions
+from quotelock.plans.registry import query, table
+from quotelock.plans.views import (
+    ENTRIES_SQL,
+    PACKETS_SQL,
+    RELEASES_SQL,
+    SUPPLIED_SQL,
+    UPGRADES_SQL,
+    entries,
+    packets,
+    releases,
+    supplied,
+    upgrades,
+    version_sql,
+)
+from quotelock.sources.records import closed_records
+
+c = F.col
+
+
+@query(
+    f"""WITH {PACKETS_SQL}, {SUPPLIED_SQL}, ranked AS (
+      SELECT *, min(position) OVER (PARTITION BY collection_id, packet_sha256) AS first_position,
+        sum(source_byte_length) OVER (PARTITION BY collection_id ORDER BY position) AS total FROM supplied)
+    SELECT r.collection_id, r.packet_sha256, r.position, CASE
+        WHEN r.position > first_position THEN 'PACKET_COLLECTION_DUPLICATE'
+        WHEN p.sequence IS NULL THEN 'PACKET_COLLECTION_UNEXPECTED'
+        WHEN p.sequence <> r.position THEN 'PACKET_COLLECTION_REORDERED'
+        WHEN p.candidate_id <> r.candidate_id THEN 'PACKET_COLLECTION_METADATA_MISMATCH'
+        WHEN total > 4000 THEN 'PACKET_COLLECTION_BYTES_EXCEEDED' ELSE 'VERIFIED' END AS verdict
+    FROM ranked r LEFT JOIN packets p ON p.collection_id = r.collection_id AND p.packet_sha256 = r.packet_sha256
+    UNION ALL
+    SELECT p.collection_id, p.packet_sha256, p.sequence, 'PACKET_COLLECTION_MISSING' FROM packets p
+    WHERE NOT EXISTS (SELECT 1 FROM supplied s WHERE s.collection_id = p.collection_id
+      AND s.packet_sha256 = p.packet_sha256)"""
+)
+def collection_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audits.collection_audit(
+        packets(spark, folder), supplied(spark, folder), COLLECTION, max_bytes=4000
+    )
+
+
+@query(
+    f"""WITH {PACKETS_SQL}, {SUPPLIED_SQL}
+    SELECT collection_id, sequence, packet_sha256 FROM packets p WHERE NOT EXISTS (SELECT 1 FROM supplied s
+      WHERE s.collection_id = p.collection_id AND s.packet_sha256 = p.packet_sha256)"""
+)
+def missing_items(spark: SparkSession, folder: str) -> DataFrame:
+    absent = audits.missing_items(
+        packets(spark, folder), supplied(spark, folder), ["collection_id", "packet_sha256"]
+    )
+    return absent.select("collection_id", "sequence", "packet_sha256")
+
+
+def _packs(spark: SparkSession, folder: str) -> DataFrame:
+    """Packs by ``release_key % 9``: 1 not supplied, 2 supplied twice, 3 foreign, 4 other version."""
+    form = F.pmod("release_key", F.lit(9))
+    copies = F.when(form == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return (
+        releases(spark, folder)
+        .where(form != 1)
+        .withColumn("_copy", F.explode(copies))
+        .withColumns(
+            {
+                "pack_sha256": F.when(form == 3, F.sha2("pack_sha256", 256)).otherwise(c("pack_sha256")),
+                "release_version": F.when(form == 4, F.concat("release_version", F.lit("x"))).otherwise(
+                    c("release_version")
+                ),
+                "supply_order": c("release_key") * 2 + c("_copy"),
+            }
+        )
+    )
+
+
+@query(
+    f"""WITH {RELEASES_SQL}, given AS (
+      SELECT product_id, release_key % 9 AS form, copy, release_key * 2 + copy AS position,
+        CASE WHEN release_key % 9 = 3 THEN sha256(pack_sha256) ELSE pack_sha256 END AS pack_sha256
+      FROM releases, unnest(range(CASE WHEN release_key % 9 = 2 THEN 2 ELSE 1 END)) AS t(copy)
+      WHERE release_key % 9 <> 1)
+    SELECT product_id, pack_sha256, position, CASE WHEN copy = 1 THEN 'ARCHIVE_PACK_DUPLICATE'
+      WHEN form = 3 THEN 'ARCHIVE_PACK_UNEXPECTED' WHEN form = 4 THEN 'ARCHIVE_PACK_METADATA_MISMATCH'
+      ELSE 'VERIFIED' END AS verdict FROM given
+    UNION ALL
+    SELECT product_id, pack_sha256, sequence, 'ARCHIVE_PACK_MISSING' FROM releases WHERE release_key % 9 IN (1, 3)"""
+)
+def archive_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audits.archive_audit(releases(spark, folder), _packs(spark, folder), ["product_id"])
+
+
+@query(
+    f"""WITH {UPGRADES_SQL}
+    SELECT product_id, binding_sha256, release_key AS position, CASE WHEN release_key % 8 = 3
+      THEN 'UPGRADE_AUDIT_BINDING_METADATA_MISMATCH' ELSE 'VERIFIED' END AS verdict
+    FROM upgrades WHERE release_key % 8 <> 1
+    UNION ALL SELECT product_id, binding_sha256, sequence, 'UPGRADE_AUDIT_BINDING_MISSING' FROM upgrades
+    WHERE release_key % 8 = 1"""
+)
+def upgrade_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """By ``release_key % 8``: 1 not supplied, 3 with another previous pack."""
+    index = upgrades(spark, folder)
+    form = F.pmod("release_key", F.lit(8))
+    given = index.where(form != 1).withColumns(
+        {
+            "previous_pack_sha256": F.when(form == 3, F.sha2("previous_pack_sha256", 256)).otherwise(
+                c("previous_pack_sha256")
+            ),
+            "supply_order": c("release_key"),
+        }
+    )
+    return audits.upgrade_audit(index, given, ["product_id"])
+
+
+def _given_receipts(spark: SparkSession, folder: str) -> DataFrame:
+    """By ``collection_id % 4``: 1 the first is missing, 2 swapped, 3 another count, at 1 and 2."""
+    form, at = F.pmod("collection_id", F.lit(4)), c("sequence")
+    return (
+        transitions(spark, folder)
+        .where(~((form == 1) & (at == 1)))
+        .withColumns(
+            {
+                "position": F.when((form == 2) & (at <= 2), 3 - at).when(form == 1, at - 1).otherwise(at),
+                "next_packet_count": F.when(
+                    (form == 3) & (at == 2), c("next_packet_count") + 1
+                ).otherwise(c("next_packet_count")),
+            }
+        )
+    )
+
+
+@query(
+    f"""WITH RECURSIVE {TRANSITIONS_SQL}
+    SELECT collection_id, transition_audit_sha256, CASE WHEN form = 2 AND sequence <= 2 THEN 3 - sequence
+        WHEN form = 1 AND sequence > 1 THEN sequence - 1 ELSE sequence END AS position,
+      CASE WHEN form = 1 AND sequence = 1 THEN 'PACKET_TRANSITION_HISTORY_AUDIT_MISSING'
+        WHEN form = 1 OR (form = 2 AND sequence <= 2) THEN 'PACKET_TRANSITION_HISTORY_AUDIT_REORDERED'
+        WHEN form = 3 AND sequence = 2 THEN 'PACKET_TRANSITION_HISTORY_AUDIT_PROJECTION_MISMATCH'
+        ELSE 'VERIFIED' END AS verdict
+    FROM (SELECT *, collection_id % 4 AS form FROM receipts)"""
+)
+def history_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audits.history_audit(transitions(spark, folder), _given_receipts(spark, folder), COLLECTION)
+
+
+@query(
+    """WITH totals AS (SELECT conv_id AS collection_id, count(*) AS packet_count FROM conversations GROUP BY 1)
+    SELECT collection_id, packet_count + CASE WHEN collection_id % 5 = 1 THEN 1 ELSE 0 END AS packet_count,
+      CASE WHEN collection_id % 5 IN (1, 2) THEN 'PACKET_COLLECTION_AUDIT_MISMATCH' END AS failure_code FROM totals"""
+)
+def receipt_crosscheck(spark: SparkSession, folder: str) -> DataFrame:
+    """By ``collection_id % 5`` a receipt has 1 another count or 2 another last head."""
+    totals = collection_totals(packets(spark, folder), COLLECTION)
+    form = F.pmod("collection_id", F.lit(5))
+    retained = totals.withColumns(
+        {
+            "packet_count": F.when(form == 1, c("packet_count") + 1).otherwise(c("packet_count")),
+            "last_packet_sha256": F.when(form == 2, F.sha2("last_packet_sha256", 256)).otherwise(
+                c("last_packet_sha256")
+            ),
+        }
+    )
+    names = ["packet_count", "total_source_bytes", "first_packet_sha256", "last_packet_sha256"]
+    return audits.receipt_crosscheck(retained, totals, COLLECTION, names).select(
+        "collection_id", "packet_count", "failure_code"
+    )
+
+
+@query(
+    f"""WITH {UPGRADES_SQL}, broken AS (
+      SELECT r.product_id, count(*) AS release_count, arg_min(release_version, sequence) AS first_release,
+        arg_max(release_version, sequence) AS latest_release FROM releases r GROUP BY 1), kept AS (
+      SELECT product_id, count(*) FILTER (NOT (product_id % 5 = 1 AND sequence = 1)) AS transition_count,
+        count(*) FILTER (product_id % 5 = 2 AND sequence = 2) AS rewritten FROM upgrades GROUP BY 1)
+    SELECT b.product_id, release_count, coalesce(transition_count, 0) AS transition_count, first_release, latest_release,
+      CASE WHEN release_count <> coalesce(transition_count, 0) + 1 THEN 'COVERAGE_COUNT_MISMATCH'
+        WHEN coalesce(rewritten, 0) > 0 THEN 'COVERAGE_RELEASE_MISMATCH' END AS failure_code
+    FROM broken b LEFT JOIN kept k ON k.product_id = b.product_id"""
+)
+def coverage_adjacency(spark: SparkSession, folder: str) -> DataFrame:
+    """By ``product_id % 5``: 1 the first transition is missing, 2 the second is rewritten."""
+    form, at = F.pmod("product_id", F.lit(5)), c("sequence")
+    moves = (
+        upgrades(spark, folder)
+        .where(~((form == 1) & (at == 1)))
+        .select(
+            "product_id",
+            "sequence",
+            c("previous_package_version").alias("previous_version"),
+            c("current_package_version").alias("current_version"),
+            F.when((form == 2) & (at == 2), F.sha2("previous_pack_sha256", 256))
+            .otherwise(c("previous_pack_sha256"))
+            .alias("previous_pack_sha256"),
+            "current_pack_sha256",
+        )
+    )
+    rows = releases(spark, folder).select(
+        "product_id", "sequence", c("release_version").alias("version"), "pack_sha256"
+    )
+    return audits.coverage_adjacency(rows, moves, ["product_id"])
+
+
+@query(
+    f"""WITH RECURSIVE {ENTRIES_SQL}, heads AS (
+      SELECT collection_id, max(sequence) AS packet_count, arg_max(entry_sha256, sequence) AS head_sha256
+      FROM entries GROUP BY 1)
+    SELECT collection_id, head_sha256, packet_count + CASE WHEN collection_id % 5 = 2 THEN 1 ELSE 0 END AS packet_count,
+      CASE WHEN packet_count = 1 OR collection_id % 5 = 1 THEN 'PACKET_LINEAGE_ENDPOINT_HEAD_MISMATCH'
+        WHEN collection_id % 5 = 2 THEN 'PACKET_LINEAGE_ENDPOINT_COUNT_MISMATCH' END AS failure_code FROM heads"""
+)
+def endpoint_match(spark: SparkSession, folder: str) -> DataFrame:
+    """By ``collection_id % 5``: 1 the last transition is cut off, 2 another count."""
+    form = F.pmod("collection_id", F.lit(5))
+    heads = (
+        entries(spark, folder)
+        .groupBy("collection_id")
+        .agg(F.max("sequence").alias("packet_count"), F.max_by("entry_sha256", "sequence").alias("head_sha256"))
+        .withColumn("packet_count", F.when(form == 2, c("packet_count") + 1).otherwise(c("packet_count")))
+    )
+    last = audits.latest_entry(
+        transitions(spark, folder).select("collection_id", "sequence", "next_index_sha256", "next_packet_count"),
+        COLLECTION,
+    ).withColumn(
+        "next_index_sha256",
+        F.when(form == 1, F.sha2("next_index_sha256", 256)).otherwise(c("next_index_sha256")),
+    )
+    return audits.endpoint_match(
+        heads, last, COLLECTION, ("head_sha256", "next_index_sha256"), [("packet_count", "next_packet_count")]
+    ).select("collection_id", "head_sha256", "packet_count", "failure_code")
+
+
+@query(
+    f"""WITH RECURSIVE {ENTRIES_SQL}, heads AS (
+      SELECT collection_id, arg_max(entry_sha256, sequence) AS head_sha256 FROM entries GROUP BY 1)
+    SELECT collection_id, head_sha256, CASE collection_id % 6 WHEN 2 THEN 'short' WHEN 3 THEN sha256(head_sha256)
+        WHEN 1 THEN NULL ELSE head_sha256 END AS expected_sha256,
+      CASE collection_id % 6 WHEN 1 THEN 'ANCHORS_INVALID' WHEN 2 THEN 'HEAD_INVALID' WHEN 3 THEN 'HEAD_MISMATCH' END
+        AS failure_code FROM heads
+    UNION ALL SELECT -1 - collection_id, NULL, head_sha256, 'ANCHORS_INVALID' FROM heads WHERE collection_id % 6 = 4"""
+)
+def expected_head_check(spark: SparkSession, folder: str) -> DataFrame:
+    """By ``collection_id % 6``: 1 no anchor, 2 no digest, 3 stale, 4 one surplus anchor."""
+    heads = entries(spark, folder).groupBy("collection_id").agg(
+        F.max_by("entry_sha256", "sequence").alias("head_sha256")
+    )
+    form = F.pmod("collection_id", F.lit(6))
+    kept = heads.where(form != 1).select(
+        "collection_id",
+        F.when(form == 2, F.lit("short"))
+        .when(form == 3, F.sha2("head_sha256", 256))
+        .otherwise(c("head_sha256"))
+        .alias("expected_sha256"),
+    )
+    surplus = heads.where(form == 4).select(
+        (-1 - c("collection_id")).alias("collection_id"), c("head_sha256").alias("expected_sha256")
+    )
+    return audits.expected_head_check(heads, kept.unionByName(surplus), COLLECTION)
+
+
+@query(
+    f"""WITH RECURSIVE {ENTRIES_SQL}, counts AS (
+      SELECT collection_id, max(sequence) AS n FROM entries GROUP BY 1)
+    SELECT e.collection_id, e.sequence,
+      CASE WHEN n <= 6 AND e.collection_id % 4 <> 1 THEN e.previous_entry_sha256 END AS previous_entry_sha256,
+      CASE WHEN n <= 6 AND e.collection_id % 4 <> 1 THEN e.entry_sha256 END AS entry_sha256,
+      CASE WHEN n > 6 THEN 'PACKET_INDEX_FULL' WHEN e.collection_id % 4 = 1 THEN 'PACKET_INDEX_DUPLICATE' END
+        AS failure_code
+    FROM entries e JOIN counts k ON k.collection_id = e.collection_id WHERE e.sequence > 2"""
+)
+def lineage_append(spark: SparkSession, folder: str) -> DataFrame:
+    """From two packets to all, at most six; in every fourth collection one is repeated."""
+    rows = packets(spark, folder)
+    current = chain_build(rows.where(c("sequence") <= 2), COLLECTION, lineage.packet_payload())
+    repeat = (F.pmod("collection_id", F.lit(4)) == 1) & (c("sequence") == 3)
+    added = (
+        rows.where(c("sequence") > 2)
+        .withColumn("append_order", c("sequence") - 2)
+        .withColumn(
+            "evidence_id",
+            F.when(repeat, F.concat(F.lit("ev-"), "collection_id", F.lit("-0"))).otherwise(c("evidence_id")),
+        )
+        .drop("sequence")
+    )
+    return lineage.append_packets(current, added, COLLECTION, max_entries=6).select(
+        "collection_id", "sequence", "previous_entry_sha256", "entry_sha256", "failure_code"
+    )
+
+
+@query(
+    f"""WITH RECURSIVE {ENTRIES_SQL}, heads AS (
+      SELECT collection_id, max(sequence) AS n, arg_max(entry_sha256, sequence) AS head FROM entries GROUP BY 1)
+    SELECT collection_id, n - CASE WHEN collection_id % 5 = 1 AND n > 2 THEN 1 ELSE 0 END AS packet_count,
+      n - 1 AS transition_count,
+      CASE WHEN n = 1 THEN 'PACKET_LINEAGE_INVALID'
+        WHEN collection_id % 5 = 2 AND n > 1 THEN 'HASH_MISMATCH'
+        WHEN collection_id % 5 = 3 AND n > 1 THEN 'PACKET_TRANSITION_HISTORY_AUDIT_MISSING'
+        WHEN collection_id % 5 = 1 AND n > 2 THEN 'PACKET_LINEAGE_ENDPOINT_HEAD_MISMATCH' END AS failure_code
+    FROM heads"""
+)
+def lineage_verify(spark: SparkSession, folder: str) -> DataFrame:
+    """By ``collection_id % 5``: 1 the packet tail is cut off, 2 a history entry is changed, 3 a
+    receipt is gone."""
+    form, at = F.pmod("collection_id", F.lit(5)), c("sequence")
+    chain = entries(spark, folder)
+    counts = packets(spark, folder).groupBy("collection_id").agg(F.max("sequence").alias("_n"))
+    moves = transitions(spark, folder)
+    history = chain_build(
+        moves.drop("first_sequence", "last_sequence", "first_packet_sha256", "last_packet_sha256"),
+        COLLECTION,
+        lineage.transition_payload(),
+    )
+    changed = history.withColumn(
+        "entry_sha256",
+        F.when((form == 2) & (at == 1) & c("entry_sha256").isNotNull(), F.sha2("entry_sha256", 256)).otherwise(
+            c("entry_sha256")
+        ),
+    )
+    cut = (
+        chain.join(counts, "collection_id")
+        .where(~((form == 1) & (c("_n") > 2) & (at == c("_n"))))
+        .drop("_n")
+    )
+    retained = moves.where(~((form == 3) & (at == 1))).withColumn("position", at)
+    return lineage.lineage_verify(cut, changed, retained, COLLECTION).select(
+        "collection_id",
+        c("packet_count").cast("bigint").alias("packet_count"),
+        c("transition_count").cast("bigint").alias("transition_count"),
+        "failure_code",
+    )
+
+
+@query(
+    f"""WITH RECURSIVE {TRANSITIONS_SQL}, coverage AS (
+      SELECT collection_id, count(*) AS n FROM receipts GROUP BY 1)
+    SELECT 'transition' AS kind, collection_id, sequence, CASE
+      WHEN collection_id % 7 = 1 THEN 'PACKET_COLLECTION_TRANSITION_SCHEMA_INVALID'
+      WHEN collection_id % 7 = 2 THEN 'PACKET_COLLECTION_TRANSITION_INTEGRITY_INVALID' END AS failure_code FROM receipts
+    UNION ALL
+    SELECT 'history', collection_id, n, CASE
+      WHEN collection_id % 7 = 3 THEN 'PACKET_TRANSITION_HISTORY_AUDIT_SCHEMA_INVALID'
+      WHEN collection_id % 7 = 4 THEN 'PACKET_TRANSITION_HISTORY_AUDIT_INTEGRITY_INVALID' END FROM coverage"""
+)
+def receipt_validate(spark: SparkSession, folder: str) -> DataFrame:
+    """Transition and history receipts; by ``collection_id % 7`` their counts or digests are wrong."""
+    form = F.pmod("collection_id", F.lit(7))
+    moves = transitions(spark, folder).withColumns(
+        {
+            "receipt_sha256": F.when(form == 2, F.sha2("transition_audit_sha256", 256)).otherwise(
+                c("transition_audit_sha256")
+            ),
+            "last_sequence": F.when(form == 1, c("last_sequence") + 1).otherwise(c("last_sequence")),
+        }
+    )
+    first = receipts.receipt_validate(moves, receipts.transition_rules())
+    covered = history_coverage(transitions(spark, folder), COLLECTION).withColumn(
+        "index_sha256", F.sha2("latest_bundle_sha256", 256)
+    )
+    sealed = covered.withColumn("receipt_sha256", receipts.history_audit_digest()).withColumns(
+        {
+            "latest_packet_count": F.when(form == 3, c("initial_packet_count")).otherwise(c("latest_packet_count")),
+            "receipt_sha256": F.when(form == 4, F.sha2("receipt_sha256", 256)).otherwise(c("receipt_sha256")),
+        }
+    )
+    second = receipts.receipt_validate(sealed, receipts.history_audit_rules())
+    return first.select(F.lit("transition").alias("kind"), "collection_id", "sequence", "failure_code").unionByName(
+        second.select(
+            F.lit("history").alias("kind"),
+            "collection_id",
+            c("transition_count").alias("sequence"),
+            "failure_code",
+        )
+    )
+
+
+def _reports(spark: SparkSession, folder: str) -> DataFrame:
+    """An acceptance report per order; by ``o_orderkey % 8`` one rule is broken."""
+    form = F.pmod("o_orderkey", F.lit(8))
+    key = c("o_orderkey").cast("string")
+
+    def commit(name: str) -> Column:
+        return F.substring(F.sha2(F.concat(F.lit(f"{name}:"), key), 256), 1, 40)
+
+    clean = table(spark, folder, "orders").select(
+        "o_orderkey",
+        F.when(form == 1, 2).otherwise(1).alias("version"),
+        F.lit("verified").alias("outcome"),
+        F.lit(4).alias("event_count"),
+        F.when(form == 2, F.lit("0")).otherwise(F.sha2(F.concat(F.lit("head:"), key), 256)).alias("trusted_head_sha256"),
+        F.when(form == 3, F.lit("2026-02-30T00:00:00Z"))
+        .when(form == 7, F.lit(None).cast("string"))
+        .otherwise(F.lit("2026-03-01T00:00:00Z"))
+        .alias("recorded_at"),
+        F.lit("EvidenceCandidate").alias("candidate_kind"),
+        F.lit("VerifiedEvidence").alias("evidence_kind"),
+        F.lit(True).alias("candidate_linked"),
+        F.when(form == 4, F.lit("zz")).otherwise(commit("gate")).alias("gate_commit"),
+        commit("recorder").alias("recorder_commit"),
+        commit("ledger").alias("ledger_commit"),
+        F.lit(True).alias("gate_clean"),
+        F.lit(True).alias("recorder_clean"),
+        F.lit(True).alias("ledger_clean"),
+    )
+    own = canonical_digest(receipts.report_members())
+    return clean.withColumn(
+        "report_sha256",
+        F.when(form == 5, F.sha2(own, 256)).when(form == 6, F.lit(None).cast("string")).otherwise(own),
+    )
+
+
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 1 THEN 'REPORT_SCHEMA_INVALID' WHEN 2 THEN 'REPORT_SCHEMA_INVALID'
+         WHEN 3 THEN 'REPORT_TIME_INVALID' WHEN 4 THEN 'REPORT_REVISION_INVALID' WHEN 5 THEN 'REPORT_INTEGRITY_INVALID'
+         END AS failure_code,
+         CASE WHEN o_orderkey % 8 IN (0, 7) THEN sha256('{"candidateKind":"EvidenceCandidate","candidateLinked":true,"eventCount":4,"evidenceKind":"VerifiedEvidence","outcome":"verified",'
+           || CASE WHEN o_orderkey % 8 = 7 THEN '' ELSE '"recordedAt":"2026-03-01T00:00:00Z",' END ||
+           '"revisions":{"gate":{"clean":true,"commit":"' || substr(sha256('gate:' || o_orderkey), 1, 40) ||
+           '"},"ledger":{"clean":true,"commit":"' || substr(sha256('ledger:' || o_orderkey), 1, 40) ||
+           '"},"recorder":{"clean":true,"commit":"' || substr(sha256('recorder:' || o_orderkey), 1, 40) ||
+           '"}},"trustedHeadSha256":"' || sha256('head:' || o_orderkey) || '","version":1}') END AS verified_sha256
+       FROM orders"""
+)
+def report_validate(spark: SparkSession, folder: str) -> DataFrame:
+    form = F.pmod("o_orderkey", F.lit(8))
+    return receipts.report_validate(_reports(spark, folder)).select(
+        "o_orderkey", "failure_code", F.when(form.isin(0, 7), c("report_sha256")).alias("verified_sha256")
+    )
+
+
+@query(
+    f"""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 1 THEN 'RECORD_UNKNOWN_KEY' WHEN 2 THEN 'RECORD_MISSING_KEY'
+         WHEN 3 THEN 'RECORD_TYPE_INVALID' WHEN 4 THEN 'RECORD_NOT_JSON' WHEN 5 THEN 'RECORD_TOO_LARGE' END
+         AS failure_code,
+         CASE WHEN o_orderkey % 7 IN (0, 6) THEN {version_sql('o_orderkey')} END AS version FROM orders"""
+)
+def closed_record_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Release records as JSON lines, broken by ``o_orderkey % 7``."""
+    from quotelock.plans.views import version_of
+
+    form = F.pmod("o_orderkey", F.lit(7))
+    version = version_of(c("o_orderkey"))
+    line = F.concat(
+        F.lit('{"sequence":'),
+        F.when(form == 3, F.lit('"one"')).otherwise(c("o_orderkey").cast("string")),
+        F.when(form == 2, F.lit("")).otherwise(F.concat(F.lit(',"version":"'), version, F.lit('"'))),
+        F.when(form == 1, F.lit(',"extra":true')).otherwise(F.lit("")),
+        F.when(form == 5, F.concat(F.lit(',"pad":"'), F.repeat(F.lit("x"), 300), F.lit('"'))).otherwise(F.lit("")),
+        F.when(form == 4, F.lit("")).otherwise(F.lit("}")),
+    )
+    schema = T.StructType(
+        [T.StructField("sequence", T.LongType(), False), T.StructField("version", T.StringType(), False)]
+    )
+    lines = table(spark, folder, "orders").select("o_orderkey", line.alias("line"))
+    return closed_records(lines, "line", schema, max_bytes=256).select(
+        "o_orderkey", "failure_code", "record.version"
+    )

@@ -9,6 +9,7 @@ from quotelock.functions.digests import canonical_digest
 from quotelock.functions.records import snapshot_members
 from quotelock.operators import chains as chain_ops
 from quotelock.operators import cite, export, gate, review
+from quotelock.plans.checkpoints import cut_lineage
 from quotelock.plans.registry import query, table
 from quotelock.plans.views import (
     CANDIDATES_SQL,
@@ -297,8 +298,9 @@ def quote_locate(spark: SparkSession, folder: str) -> DataFrame:
             )
         )
     )
-    located = cite.quote_locate(quotes, table(spark, folder, "documents").select("doc_id", "text"))
-    return located.withColumn("start", c("start").cast("bigint"))
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    located = cut_lineage(cite.quote_locate(quotes, documents))
+    return located.join(cite.corpus_unique(located), "quote_id").withColumn("start", c("start").cast("bigint"))
 
 
 # -- recording outcomes ------------------------------------------------------------------
