@@ -203,11 +203,20 @@ def _ipv6_blocked(address: Column) -> Column:
     return F.when(mapped, _ipv4_blocked(inner)).otherwise(blocked)
 
 
+# A lenient reading of scheme and authority: what a browser would connect to, also
+# where a strict parser gives up.
+_AUTHORITY = r"^\s*[A-Za-z][A-Za-z0-9+.-]*:[/\\]*([^/\\?#]*)"
+_NAMED_HOST = r"^[^\s%<>^|`{}\[\]:@\x00-\x20\x7f]+$"
+# Characters that a resolver may turn into digits or dots.
+_FOLDED_HOST = r"[\x{FF00}-\x{FFEF}\x{3002}]|(?![0-9])[\p{Nd}\p{No}]"
+
+
 def target_policy(url: Column) -> Column:
     """PUBLIC, or the code that keeps a URL from being captured.
 
-    Named hosts are PUBLIC here: their addresses are known only to a resolver.
-    The ranges are constants, so the check is row-local and needs no range join.
+    Named hosts are PUBLIC here: their addresses are known only to a resolver. Hosts
+    that cannot be read for certain are INVALID_URL. The ranges are constants, so the
+    check is row-local and needs no range join.
     """
     opaque = F.coalesce(F.regexp_extract(url, r"^\s*([A-Za-z][A-Za-z0-9+.-]*):", 1), F.lit(""))
 
@@ -222,6 +231,7 @@ def target_policy(url: Column) -> Column:
                     .otherwise("PUBLIC"),
                 ),
             )
+            .when(~host.rlike(_NAMED_HOST) | host.rlike(_FOLDED_HOST), "INVALID_URL")
             .when(
                 ends_numeric(host),
                 bind(
@@ -234,16 +244,19 @@ def target_policy(url: Column) -> Column:
             .otherwise("PUBLIC")
         )
 
-    def policy(host: Column) -> Column:
+    def policy(authority: Column) -> Column:
+        user = F.regexp_extract(authority, "^(.*)@", 1)
+        place = F.regexp_replace(authority, "^.*@", "")
+        port = F.regexp_extract(place, r":(\d{1,9})$", 1)
         return (
             F.when(url.isNull() | (opaque == ""), "INVALID_URL")
             .when(~F.lower(opaque).isin("http", "https"), "SCHEME_BLOCKED")
-            .when(F.coalesce(host, F.lit("")) == "", "INVALID_URL")
-            .when(url_part(url, "USERINFO").isNotNull(), "CREDENTIALS_BLOCKED")
-            .otherwise(address_policy(host))
+            .when((port != "") & (port.try_cast("int") > 65535), "INVALID_URL")
+            .when(~user.isin("", ":"), "CREDENTIALS_BLOCKED")
+            .otherwise(bind(F.regexp_replace(place, r":\d*$", ""), address_policy))
         )
 
-    return bind(url_part(url, "HOST"), policy)
+    return bind(F.regexp_extract(url, _AUTHORITY, 1), policy)
 
 
 def resolve_location(base: Column, location: Column) -> Column:

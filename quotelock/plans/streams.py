@@ -1 +1,91 @@
-"""Queries."""
+"""Streaming queries, run to the end of the given tables and compared with batch SQL."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quotelock.plans.checkpoints import ensure_checkpoint_dir
+from quotelock.plans.registry import query, table
+from quotelock.plans.views import (
+    DECIDED_SQL,
+    ENTRIES_SQL,
+    candidates,
+    packets,
+    snapshots,
+)
+from quotelock.streaming import appends
+
+c = F.col
+
+
+class _Streamed:
+    """A session whose ``read`` is ``readStream`` with the schema of the same file."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark = spark
+
+    @property
+    def read(self) -> "_Streamed":
+        return self
+
+    def parquet(self, path: str) -> DataFrame:
+        schema = self._spark.read.parquet(path).schema
+        # A glob, because a table may be one file or a folder of files.
+        pattern = path.removesuffix("t") + "[t]"
+        return self._spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(pattern)
+
+
+def _run_folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    f"""WITH {DECIDED_SQL}
+    SELECT candidate_id, CASE WHEN failure_code IS NULL THEN 'verified' ELSE 'rejected' END AS outcome, failure_code
+    FROM decided"""
+)
+def stream_promotion(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates arrive as a stream, snapshots are a table, outcomes are appended."""
+    target = _run_folder(spark, "promotion")
+    gated = appends.stream_promotion(
+        candidates(_Streamed(spark), folder), snapshots(spark, folder).select("snapshot_ref", "content")
+    ).select("candidate_id", "outcome", "failure_code")
+    writer = gated.writeStream.format("parquet").option("checkpointLocation", f"{target}/state")
+    writer.trigger(availableNow=True).start(f"{target}/rows").awaitTermination()
+    return spark.read.schema("candidate_id string, outcome string, failure_code string").parquet(f"{target}/rows")
+
+
+@query("SELECT sha256(text) AS sha256, min('doc:' || doc_id) AS snapshot_ref FROM documents GROUP BY 1")
+def stream_dedupe(spark: SparkSession, folder: str) -> DataFrame:
+    target = _run_folder(spark, "dedupe")
+    incoming = table(_Streamed(spark), folder, "documents").select(
+        F.concat(F.lit("doc:"), c("doc_id").cast("string")).alias("snapshot_ref"),
+        F.sha2("text", 256).alias("sha256"),
+    )
+    appends.stream_dedupe(incoming, f"{target}/rows", f"{target}/state").awaitTermination()
+    return spark.read.parquet(f"{target}/rows").select("sha256", "snapshot_ref")
+
+
+@query(
+    f"""WITH RECURSIVE {ENTRIES_SQL}
+    SELECT collection_id, sequence,
+      CASE WHEN sequence <= 6 AND NOT (collection_id % 4 = 1 AND sequence > 2) THEN previous_entry_sha256 END
+        AS previous_entry_sha256,
+      CASE WHEN sequence <= 6 AND NOT (collection_id % 4 = 1 AND sequence > 2) THEN entry_sha256 END AS entry_sha256,
+      CASE WHEN sequence > 6 THEN 'PACKET_INDEX_FULL' WHEN collection_id % 4 = 1 AND sequence > 2 THEN 'PACKET_APPEND_GAP'
+        END AS failure_code
+    FROM entries WHERE NOT (collection_id % 4 = 1 AND sequence = 2)"""
+)
+def stream_chain_append(spark: SparkSession, folder: str) -> DataFrame:
+    """Packets appended to chains of at most six; every fourth chain lost its second."""
+    target = _run_folder(spark, "chains")
+    rows = packets(_Streamed(spark), folder).where(
+        ~((F.pmod("collection_id", F.lit(4)) == 1) & (c("sequence") == 2))
+    )
+    appends.stream_chain_append(rows, f"{target}/rows", f"{target}/state", max_entries=6).awaitTermination()
+    return spark.read.parquet(f"{target}/rows").select(
+        "collection_id", "sequence", "previous_entry_sha256", "entry_sha256", "failure_code"
+    )

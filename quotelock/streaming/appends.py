@@ -28,25 +28,15 @@ def stream_promotion(candidates: DataFrame, snapshots: DataFrame, **options: obj
 
 def _stored(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
     """Rows of earlier batches. A batch that is run again does not see its own rows."""
-    from pyspark.errors import AnalysisException
-
-    empty = spark.createDataFrame([], schema)
-    try:
-        rows = spark.read.schema(f"{schema}, batch bigint").parquet(path)
-    except AnalysisException:
-        return empty
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, batch bigint").parquet(path)
     return rows.where(F.col("batch") < batch_id).drop("batch")
 
 
 def _write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Replace exactly the partition of this batch, so a retry leaves no doubles."""
-    (
-        rows.withColumn("batch", F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch")
-        .parquet(path)
-    )
+    """Write the folder of this batch anew, so a retry leaves no doubles."""
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
 def _start(
