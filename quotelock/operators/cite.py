@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotelock.functions.digests import deterministic_id
-from quotelock.functions.ladder import bind, first_failure, holds
+from quotelock.functions.ladder import first_failure, holds
 from quotelock.functions.text import (
     MAX_MATCHES,
     MAX_QUERY_BYTES,
@@ -155,34 +155,25 @@ def unique_citation(previews: DataFrame) -> DataFrame:
     )
 
 
-def _words(text: Column) -> Column:
-    return F.split(text, f"{WHITESPACE}+")
+_OTHER = WHITESPACE.replace("[", "[^", 1)
 
 
-def _inner_words(text: Column) -> Column:
-    """Words of a quote that must be whole words of any text that contains it."""
-    words = _words(text)
-    return F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2))
+def _inner_text(quote: Column) -> Column:
+    """The part of a quote whose words are whole words of any text that contains it."""
+    return F.regexp_extract(quote, f"(?s)^{_OTHER}*{WHITESPACE}+(.*?){WHITESPACE}+{_OTHER}*$", 1)
 
 
-def _runs(items: Column, size: int) -> Column:
-    """Hashes of the distinct runs of ``size`` neighbouring items, the list read once."""
-
-    def hashes(bound: Column) -> Column:
-        starts = F.when(
-            F.size(bound) >= size, F.sequence(F.lit(1), F.size(bound) - size + 1)
-        ).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(bound, i, size))))
-
-    return bind(items, hashes)
-
-
-def _grams(words: Column, size: int) -> Column:
-    return _runs(words, size)
+def _grams(text: Column, size: int) -> Column:
+    """All runs of ``size`` whole words, as they are written."""
+    more = f"(?:{WHITESPACE}++{_OTHER}++){{{size - 1}}}"
+    return F.regexp_extract_all(
+        text, F.lit(f"(?<!{_OTHER})(?=({_OTHER}++{more})(?!{_OTHER}))"), F.lit(1)
+    )
 
 
 def _pieces(text: Column, size: int) -> Column:
-    return _runs(F.split(text, ""), size)
+    """All substrings of ``size`` characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
 def quote_locate(
@@ -210,45 +201,42 @@ def quote_locate(
     ``gram_words`` inner words.
     """
     exact = F.col("exact")
-    inner = _inner_words(exact)
-    length = F.char_length(exact)
-    piece_size = F.least(F.lit(3), length)
-    fragments = F.when(
-        F.size(inner) >= gram_words,
-        F.transform(_grams(inner, gram_words), lambda h: F.struct(F.lit("g").alias("kind"), h.alias("hash"))),
+    sizes = (1, 2, 3)
+    cut = quotes.select("quote_id", "exact", _inner_text(exact).alias("_inner")).withColumns(
+        {"_runs": _grams(F.col("_inner"), gram_words), "_words": _grams(F.col("_inner"), 1)}
     )
+    runs, single = F.size("_runs") > 0, F.size("_words") > 0
+    kind = F.when(runs, "g")
+    parts = F.when(runs, F.col("_runs"))
     if short_quotes:
-        fragments = fragments.when(
-            F.size(inner) >= 1,
-            F.transform(_grams(inner, 1), lambda h: F.struct(F.lit("w").alias("kind"), h.alias("hash"))),
-        )
-        for size in (1, 2, 3):
-            fragments = fragments.when(
-                piece_size == size,
-                F.transform(
-                    _pieces(exact, size), lambda h: F.struct(F.lit(f"{size}").alias("kind"), h.alias("hash"))
-                ),
-            )
-    quote_parts = quotes.select("quote_id", F.explode(fragments).alias("part")).select(
-        "quote_id", "part.kind", "part.hash"
+        kind, parts = kind.when(single, "w"), parts.when(single, F.col("_words"))
+        for size in sizes:
+            fits = F.least(F.lit(3), F.char_length(exact)) == size
+            kind, parts = kind.when(fits, f"{size}"), parts.when(fits, _pieces(exact, size))
+    quote_parts = (
+        cut.select("quote_id", kind.alias("kind"), F.explode(parts).alias("part"))
+        .select("quote_id", "kind", F.xxhash64("part").alias("hash"))
+        .distinct()
     )
     wanted = quote_parts.select("kind", "hash").distinct()
-
     # At most five constant values: the kinds that the quotes use. Fragments of other
     # kinds are never computed.
     kinds = F.broadcast(quote_parts.select("kind").distinct())
-    hashes = F.when(F.col("kind") == "g", _grams(_words(F.col("text")), gram_words))
+    text = F.col("text")
+    pieces = F.when(F.col("kind") == "g", _grams(text, gram_words))
     names = ["g"]
     if short_quotes:
-        hashes = hashes.when(F.col("kind") == "w", _grams(_words(F.col("text")), 1))
-        for size in (1, 2, 3):
-            hashes = hashes.when(F.col("kind") == f"{size}", _pieces(F.col("text"), size))
-        names += ["w", "1", "2", "3"]
+        pieces = pieces.when(F.col("kind") == "w", _grams(text, 1))
+        for size in sizes:
+            pieces = pieces.when(F.col("kind") == f"{size}", _pieces(text, size))
+        names += ["w", *map(str, sizes)]
     document_parts = cut_lineage(
         documents.select("doc_id", "text", F.explode(F.array(*map(F.lit, names))).alias("kind"))
         .join(kinds, "kind", "left_semi")
-        .select("doc_id", "kind", F.explode(hashes).alias("hash"))
+        .select("doc_id", "kind", F.explode(pieces).alias("part"))
+        .select("doc_id", "kind", F.xxhash64("part").alias("hash"))
         .join(wanted, ["kind", "hash"], "left_semi")
+        .distinct()
     )
     spread = document_parts.groupBy("kind", "hash").agg(F.count("*").alias("documents"))
     anchors = (
