@@ -23,7 +23,6 @@ from quotelock.functions.text import (
 from quotelock.plans.checkpoints import cut_lineage
 
 MAX_MATCH_BYTES = 8 * 1024
-GRAM_WORDS = 5
 
 
 def cite_by_source(quotes: DataFrame, captures: DataFrame) -> DataFrame:
@@ -163,12 +162,8 @@ def _inner_text(quote: Column) -> Column:
     return F.regexp_extract(quote, f"(?s)^{_OTHER}*{WHITESPACE}+(.*?){WHITESPACE}+{_OTHER}*$", 1)
 
 
-def _grams(text: Column, size: int) -> Column:
-    """All runs of ``size`` whole words, as they are written."""
-    more = f"(?:{WHITESPACE}++{_OTHER}++){{{size - 1}}}"
-    return F.regexp_extract_all(
-        text, F.lit(f"(?<!{_OTHER})(?=({_OTHER}++{more})(?!{_OTHER}))"), F.lit(1)
-    )
+def _words(text: Column) -> Column:
+    return F.split(text, f"{WHITESPACE}+")
 
 
 def _pieces(text: Column, size: int) -> Column:
@@ -176,62 +171,45 @@ def _pieces(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
-def quote_locate(
-    quotes: DataFrame,
-    documents: DataFrame,
-    gram_words: int = GRAM_WORDS,
-    short_quotes: bool = True,
-) -> DataFrame:
+def quote_locate(quotes: DataFrame, documents: DataFrame) -> DataFrame:
     """Which documents contain each quote.
 
     ``quotes`` has ``(quote_id, exact)``, ``documents`` has ``(doc_id, text)``. No pair
     is compared unless the document holds the rarest fragment of the quote:
 
-    1. every quote is cut into fragments that any containing text must share: runs
-       of ``gram_words`` whole inner words, one inner word when it has fewer, or
-       substrings of one to three characters when it has none;
+    1. every quote is cut into fragments that any containing text must share: its inner
+       words, or substrings of one to three characters when it has no whole word;
     2. fragments are counted over the corpus (combined before the shuffle) and each
-       quote keeps its rarest one, so a line found in a third of all documents is
-       never a join key while the quote has a rarer part;
+       quote keeps its rarest one, so a word found in a third of all documents is
+       never a join key while the quote has a rarer one;
     3. documents meet quotes by equi join on that fragment, and ``position`` decides.
 
     The fragments shared with quotes are written to the checkpoint folder, so the corpus is
     cut into fragments once and read a second time for ``position`` only. Results are
-    exact: ``(quote_id, doc_id, start, repeated)``. ``short_quotes=False`` is for quote sets in which every quote has
-    ``gram_words`` inner words.
+    exact: ``(quote_id, doc_id, start, repeated)``.
     """
-    exact = F.col("exact")
+    exact, text = F.col("exact"), F.col("text")
     sizes = (1, 2, 3)
-    cut = quotes.select("quote_id", "exact", _inner_text(exact).alias("_inner")).withColumns(
-        {"_runs": _grams(F.col("_inner"), gram_words), "_words": _grams(F.col("_inner"), 1)}
-    )
-    runs, single = F.size("_runs") > 0, F.size("_words") > 0
-    kind = F.when(runs, "g")
-    parts = F.when(runs, F.col("_runs"))
-    if short_quotes:
-        kind, parts = kind.when(single, "w"), parts.when(single, F.col("_words"))
-        for size in sizes:
-            fits = F.least(F.lit(3), F.char_length(exact)) == size
-            kind, parts = kind.when(fits, f"{size}"), parts.when(fits, _pieces(exact, size))
+    cut = quotes.select("quote_id", "exact", _inner_text(exact).alias("_inner"))
+    worded = F.col("_inner") != ""
+    kind, parts = F.when(worded, "w"), F.when(worded, _words(F.col("_inner")))
+    pieces = F.when(F.col("kind") == "w", _words(text))
+    for size in sizes:
+        fits = F.least(F.lit(3), F.char_length(exact)) == size
+        kind, parts = kind.when(fits, f"{size}"), parts.when(fits, _pieces(exact, size))
+        pieces = pieces.when(F.col("kind") == f"{size}", _pieces(text, size))
     quote_parts = (
         cut.select("quote_id", kind.alias("kind"), F.explode(parts).alias("part"))
         .select("quote_id", "kind", F.xxhash64("part").alias("hash"))
         .distinct()
     )
     wanted = quote_parts.select("kind", "hash").distinct()
-    # At most five constant values: the kinds that the quotes use. Fragments of other
+    # At most four constant values: the kinds that the quotes use. Fragments of other
     # kinds are never computed.
     kinds = F.broadcast(quote_parts.select("kind").distinct())
-    text = F.col("text")
-    pieces = F.when(F.col("kind") == "g", _grams(text, gram_words))
-    names = ["g"]
-    if short_quotes:
-        pieces = pieces.when(F.col("kind") == "w", _grams(text, 1))
-        for size in sizes:
-            pieces = pieces.when(F.col("kind") == f"{size}", _pieces(text, size))
-        names += ["w", *map(str, sizes)]
+    names = F.array(*map(F.lit, ("w", *map(str, sizes))))
     document_parts = cut_lineage(
-        documents.select("doc_id", "text", F.explode(F.array(*map(F.lit, names))).alias("kind"))
+        documents.select("doc_id", "text", F.explode(names).alias("kind"))
         .join(kinds, "kind", "left_semi")
         .select("doc_id", "kind", F.explode(pieces).alias("part"))
         .select("doc_id", "kind", F.xxhash64("part").alias("hash"))

@@ -277,7 +277,7 @@ def unique_citation(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     """WITH quotes AS (
       SELECT 'b' || item_id AS quote_id, text AS exact FROM benchmark UNION ALL
-      SELECT 'w' || item_id, substr(text, 1, 12) FROM benchmark),
+      SELECT 'w' || item_id, substr(text, 1, 24) FROM benchmark),
     found AS (SELECT q.quote_id, q.exact, d.doc_id, d.text, strpos(d.text, q.exact) AS start
       FROM quotes q JOIN documents d ON contains(d.text, q.exact)),
     counted AS (SELECT *, strpos(substr(text, start + 1), exact) > 0 AS repeated,
@@ -293,7 +293,7 @@ def quote_locate(spark: SparkSession, folder: str) -> DataFrame:
             F.array(
                 F.struct(F.concat(F.lit("b"), "item_id").alias("quote_id"), c("text").alias("exact")),
                 F.struct(
-                    F.concat(F.lit("w"), "item_id").alias("quote_id"), F.substring("text", 1, 12).alias("exact")
+                    F.concat(F.lit("w"), "item_id").alias("quote_id"), F.substring("text", 1, 24).alias("exact")
                 ),
             )
         )
