@@ -35,8 +35,8 @@ def normalised(rows: list[tuple], columns: list[str]) -> list[tuple]:
     return sorted((tuple(_cell(row[i]) for i in order) for row in rows), key=repr)
 
 
-def compare(spark, connection, folder: str, query) -> tuple[bool, str]:
-    result = query.build(spark, folder)
+def compare(spark, connection, folder: str, query, result=None) -> tuple[bool, str]:
+    result = query.build(spark, folder) if result is None else result
     actual = normalised([tuple(row) for row in result.collect()], result.columns)
     if query.sql is None:
         return True, f"{len(actual)} rows, no SQL"
