@@ -109,6 +109,7 @@ class TokenAutomaton:
     """The compiled automaton of one vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
         self.labels = vocabulary.labels
         self.special = vocabulary.special
         self.splitter = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
