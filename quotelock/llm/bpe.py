@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import json
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +27,8 @@ from pyspark.sql import types as T
 from quotelock.llm.buffers import slices
 
 START = -1
-MOST_STATES = 300_000
-MOST_WORDS = 300_000
+MOST_STATES = 200_000
+MOST_WORDS = 250_000
 
 #: Fixed value: the pre-splitting pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -124,8 +123,8 @@ class TokenAutomaton:
                 self.arcs[label] = number
         for rank, (left, right, made) in enumerate(vocabulary.merges):
             self._gadget(rank, left, right, made)
-        self.follows: dict[tuple[int, int], bool] = {}
-        self.words = _Words(self)
+        self.follows: dict[int, bool] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
         self._reset()
 
     def _gadget(self, rank: int, left: int, right: int, made: int) -> None:
@@ -150,9 +149,9 @@ class TokenAutomaton:
         Equal neighbours are joined from the left, so what a merge uses up on the left
         side is gone at its rank, and on the right side it is not.
         """
-        known = self.follows.get((first, second))
+        known = self.follows.get(first << 32 | second)
         if known is None:
-            known = self.follows[first, second] = not any(
+            known = self.follows[first << 32 | second] = not any(
                 (rank := self.rank.get((left, right))) is not None and rank < gone and rank <= used
                 for left, gone in self._edge(first, 2)
                 for right, used in self._edge(second, 1)
@@ -164,7 +163,7 @@ class TokenAutomaton:
         self.known: dict[tuple[bytes, tuple[int, ...]], int] = {}
         self.pending: list[tuple[bytes, tuple[int, ...]]] = []
         self.label: list[int] = []
-        self.table: dict[int, int] = {}
+        self.table: list[dict[int, int]] = []
         self._state(b"", (START,))
 
     def _state(self, pending: bytes, last: tuple[int, ...]) -> int:
@@ -175,6 +174,7 @@ class TokenAutomaton:
             number = self.known[key] = len(self.pending)
             self.pending.append(key)
             self.label.append(last[-1])
+            self.table.append({})
         return number
 
     def _step(self, state: int, byte: int) -> int:
@@ -190,17 +190,16 @@ class TokenAutomaton:
         start = 0
         while pending[start:] not in self.open:
             start += 1
-        target = self.table[state << 8 | byte] = self._state(pending[start:], last[start:])
-        return target
+        return self._state(pending[start:], last[start:])
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """Token ids of one pre-split word."""
-        if len(self.pending) > MOST_STATES:
-            self._reset()
-        table, state, path = self.table, 0, array("q")
+        """Token ids of one pre-split word of any length."""
+        table, state, path = self.table, 0, []
         for byte in word:
-            target = table.get(state << 8 | byte)
-            state = self._step(state, byte) if target is None else target
+            target = table[state].get(byte)
+            if target is None:
+                target = table[state][byte] = self._step(state, byte)
+            state = target
             path.append(state)
         out, at = [], len(word)
         while at:
@@ -209,17 +208,38 @@ class TokenAutomaton:
             at -= len(self.labels[token])
         return tuple(reversed(out))
 
+    def learn(self, words: set[str]) -> None:
+        """Have the encodings of these words at hand; when there are too many, only these."""
+        missing = words - self.words.keys()
+        if len(self.words) + len(missing) > MOST_WORDS:
+            self.words = {word: self.words[word] for word in words - missing}
+        if len(self.pending) > MOST_STATES:
+            self._reset()
+        for word in missing:
+            self.words[word] = self.encode_word(word.encode())
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Token ids of whole texts; strings of special tokens are those tokens."""
+        pieces = []
+        for text in texts:
+            at = 0
+            for found in self.splitter.finditer(text):
+                pieces.append((presplit(text[at : found.start()]), self.special[found[0]]))
+                at = found.end()
+            pieces.append((presplit(text[at:] if at else text), None))
+        self.learn(set().union(*(words for words, _ in pieces)))
+        known, out, ids = self.words, [], []
+        for words, special in pieces:
+            ids += [token for word in words for token in known[word]]
+            if special is None:
+                out.append(ids)
+                ids = []
+            else:
+                ids.append(special)
+        return out
+
     def encode(self, text: str) -> list[int]:
-        """Token ids of a whole text; strings of special tokens are those tokens."""
-        ids: list[int] = []
-        at = 0
-        words = self.words
-        for found in self.splitter.finditer(text):
-            ids += [token for word in presplit(text[at : found.start()]) for token in words[word]]
-            ids.append(self.special[found[0]])
-            at = found.end()
-        ids += [token for word in presplit(text[at:] if at else text) for token in words[word]]
-        return ids
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, one after the other; broken UTF-8 becomes U+FFFD."""
@@ -227,20 +247,6 @@ class TokenAutomaton:
         return b"".join([labels[token] for token in ids]).decode("utf-8", "replace")
 
 
-class _Words(dict):
-    """Encodings of the words met last; emptied when full."""
-
-    def __init__(self, automaton: TokenAutomaton) -> None:
-        super().__init__()
-        self.automaton = automaton
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= MOST_WORDS:
-            self.clear()
-        ids = self[word] = self.automaton.encode_word(word.encode())
-        return ids
-
-
 _compiled: dict[int, TokenAutomaton] = {}
 
 
@@ -253,56 +259,54 @@ def _automaton(vocabulary: Vocabulary) -> TokenAutomaton:
     return _compiled[key]
 
 
-def _mapped(docs: DataFrame, column: str, kind: T.DataType, run) -> DataFrame:
-    """Replace or add ``column`` by ``run(batch, index of its source)`` beside all others."""
-    kept = [name for name in docs.columns if name != column]
-    fields = [docs.schema[name].dataType for name in kept]
-    schema = T.StructType([T.StructField(f"c{i}", field) for i, field in enumerate([*fields, kind])])
+def _mapped(rows: DataFrame, added: dict[str, T.DataType], kept: list[str], read: str, run) -> DataFrame:
+    """``kept`` columns with the ``added`` ones, which ``run`` makes from slices of ``read``."""
+    fields = [*(rows.schema[name].dataType for name in kept), *added.values()]
+    schema = T.StructType([T.StructField(f"c{i}", field) for i, field in enumerate(fields)])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            for start, stop, values in run(batch):
+            column = batch.column(batch.num_columns - 1)
+            for start, stop, values in run(column):
                 columns = [batch.column(i).slice(start, stop - start) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*columns, values], names=[f"c{i}" for i in range(len(kept) + 1)])
+                yield pa.RecordBatch.from_arrays([*columns, *values], names=[f"c{i}" for i in range(len(fields))])
 
-    source = docs.select(*kept) if column not in docs.columns else docs.select(*kept, column)
-    return source.mapInArrow(batches, schema).toDF(*kept, column)
+    return rows.select(*kept, rows[read]).mapInArrow(batches, schema).toDF(*kept, *added)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of their whole texts as ``array<int>``.
+def encode(
+    docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", decoded: str | None = None
+) -> DataFrame:
+    """``docs`` without their text, with the token ids of their whole texts as ``array<int>``.
 
-    NULL counts as empty and has no tokens. A column named ``ids`` is replaced.
+    With ``decoded`` the text that the ids stand for is added as well, from the same tasks.
+    NULL counts as empty and has no tokens. Columns named like the new ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    docs = docs.drop(ids)
-    at = docs.columns.index(text)
+    added = {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.StringType()} if decoded else {})
 
-    def run(batch: pa.RecordBatch):
+    def run(column: pa.Array):
         automaton = _automaton(shared.value)
-        column = batch.column(at)
         for start, stop in slices(column):
-            texts = column.slice(start, stop - start).to_pylist()
-            yield start, stop, pa.array([automaton.encode(value or "") for value in texts], pa.list_(pa.int32()))
+            found = automaton.encode_all([value or "" for value in column.slice(start, stop - start).to_pylist()])
+            values = [pa.array(found, pa.list_(pa.int32()))]
+            if decoded:
+                values.append(pa.array([automaton.decode(tokens) for tokens in found], pa.string()))
+            yield start, stop, values
 
-    return _mapped(docs, ids, T.ArrayType(T.IntegerType()), run)
+    kept = [name for name in docs.columns if name != text and name not in added]
+    return _mapped(docs, added, kept, text, run)
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "text") -> DataFrame:
     """``rows`` with the text that their token ids stand for; NULL ids give an empty text."""
     shared = rows.sparkSession.sparkContext.broadcast(vocabulary.labels)
-    rows = rows.drop(text)
-    at = rows.columns.index(ids)
 
-    def run(batch: pa.RecordBatch):
+    def run(column: pa.Array):
         labels = shared.value
-        column = batch.column(at)
-        for start in range(0, batch.num_rows, 256):
-            part = column.slice(start, 256)
-            texts = [
-                b"".join([labels[token] for token in tokens or ()]).decode("utf-8", "replace")
-                for tokens in part.to_pylist()
-            ]
-            yield start, start + len(part), pa.array(texts, pa.string())
-
-    return _mapped(rows, text, T.StringType(), run)
+        for start in range(0, len(column), 256):
+            part = column.slice(start, 256).to_pylist()
+            texts = [b"".join([labels[token] for token in tokens or ()]).decode("utf-8", "replace") for tokens in part]
+            yield start, start + len(part), [pa.array(texts, pa.string())]
+
+    return _mapped(rows, {text: T.StringType()}, [name for name in rows.columns if name != text], ids, run)
