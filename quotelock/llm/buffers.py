@@ -29,6 +29,7 @@ PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 0x20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_STEP_INVERSE = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -156,3 +157,19 @@ def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, bounds[full], dtype=out.dtype)
     return out
+
+
+class Roller:
+    """Karp-Rabin hashes of all windows of one token sequence, at any length."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        powers = np.full(len(values) + 1, _STEP, np.uint64)
+        powers[0] = 1
+        downs = np.full(len(values) + 1, _STEP_INVERSE, np.uint64)
+        downs[0] = 1
+        self.down = np.multiply.accumulate(downs)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * np.multiply.accumulate(powers)[:-1], out=self.sums[1:])
+
+    def windows(self, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+        return (self.sums[starts + length] - self.sums[starts]) * self.down[starts]

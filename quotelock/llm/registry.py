@@ -6,7 +6,7 @@ from importlib import import_module
 
 from quotelock.plans.registry import Build
 
-MODULES = ("op1", "op3", "op5", "op6", "op7", "op9", "op10")
+MODULES = ("op1", "op3", "op4", "op5", "op6", "op7", "op9", "op10")
 
 
 def _load() -> list:

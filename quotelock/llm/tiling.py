@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotelock.llm.buffers import PLAIN, Words, buffer, find_words, mixed, slices
+from quotelock.llm.buffers import PLAIN, Roller, Words, buffer, find_words, mixed, slices
 from quotelock.llm.staging import staged
 
 TILE = 4
@@ -27,32 +27,12 @@ COVERAGE = 0.5
 BITMAP_BITS = 1 << 23
 PROBES = 3
 
-_BASE = np.uint64(0xA0761D6478BD642F)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
 def tokens(column: pa.Array) -> Words:
     """Lower-case runs of letters and digits; other ASCII characters separate them."""
     data, offsets = buffer(pc.utf8_lower(column.cast(pa.large_string())))
     return find_words(data, offsets, PLAIN)
 
 
-class Roller:
-    """Karp-Rabin hashes of all windows of one token sequence, at any length."""
-
-    def __init__(self, values: np.ndarray) -> None:
-        powers = np.full(len(values) + 1, _BASE, np.uint64)
-        powers[0] = 1
-        downs = np.full(len(values) + 1, _INVERSE, np.uint64)
-        downs[0] = 1
-        self.down = np.multiply.accumulate(downs)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * np.multiply.accumulate(powers)[:-1], out=self.sums[1:])
-
-    def windows(self, starts: np.ndarray, length: int) -> np.ndarray:
-        return (self.sums[starts + length] - self.sums[starts]) * self.down[starts]
-
-
 def _free_windows(marked: np.ndarray, length: int) -> np.ndarray:
     """Starts of the windows of ``length`` tokens of which none is marked."""
     if length > len(marked):
