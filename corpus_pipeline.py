@@ -8,11 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quotelock.llm.bpe import Vocabulary, encode
 from quotelock.llm.hostrules import keep_good
+from quotelock.llm.ordermin import one_per_class
 from quotelock.llm.pii import redact_texts
 from quotelock.llm.staging import staged
+from quotelock.llm.tiling import without_leaks
 from quotelock.plans.registry import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,14 +28,39 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_good(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of equal and near texts, that with the least id."""
+    return one_per_class(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is covered."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with spans of personal data replaced by their kind."""
-    return redact_texts(docs)
+    clean = redact_texts(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    kind = docs.schema["n_chars"].dataType
+    return clean.withColumn("n_chars", F.char_length("text").cast(kind))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its token ids, and as text what these decode to."""
+    vocabulary = Vocabulary.load(public_tokenizers.path("byte_bpe_50k.json"))
+    encoded = encode(docs.withColumnRenamed("text", "_source_text"), vocabulary, "_source_text", "ids", "text")
+    others = [name for name in docs.columns if name not in ("text", "ids", "n_tokens")]
+    return encoded.select(*others, "text", "ids", F.size("ids").cast("bigint").alias("n_tokens"))
 
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("near_copies", near_copies),
+    ("benchmark_leaks", benchmark_leaks),
     ("personal_data", personal_data),
+    ("tokens", tokens),
 ]
 
 #: The verdicts of near copies and of tiling are not within reach of SQL; the tests compare
@@ -41,6 +71,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
