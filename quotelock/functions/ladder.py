@@ -32,9 +32,14 @@ def first_failure(rules: Sequence[Rule], passed: Column | None = None) -> Column
     return chain.otherwise(F.lit(None).cast("string") if passed is None else passed)
 
 
-def whole_number(value: Column, low: int, high: int) -> Column:
+def at_most(value: Column, limit: int | None) -> Column:
+    """``value <= limit``, or only that there is a value; false for NULL."""
+    return value.isNotNull() if limit is None else holds(value <= limit)
+
+
+def whole_number(value: Column, low: int, high: int | None) -> Column:
     """``low <= value <= high``, false for NULL."""
-    return holds(value.between(low, high))
+    return holds(value >= low) & at_most(value, high)
 
 
 def bounded_chars(value: Column, limit: int, empty: bool = False) -> Column:
@@ -43,10 +48,9 @@ def bounded_chars(value: Column, limit: int, empty: bool = False) -> Column:
     return holds((size <= limit) if empty else size.between(1, limit))
 
 
-def bounded_bytes(value: Column, limit: int, empty: bool = False) -> Column:
+def bounded_bytes(value: Column, limit: int | None, empty: bool = False) -> Column:
     """Length rule counted in UTF-8 bytes."""
-    size = F.octet_length(value)
-    return holds((size <= limit) if empty else size.between(1, limit))
+    return whole_number(F.octet_length(value), 0 if empty else 1, limit)
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

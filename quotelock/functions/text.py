@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quotelock.functions.ladder import holds
+from quotelock.functions.ladder import at_most, holds
 
 # Fixed value: the whitespace class used for query normalisation. It has the
 # ASCII blanks, every Unicode separator and U+FEFF.
@@ -15,7 +15,6 @@ SELECTOR_CONTEXT = 32
 PREVIEW_CONTEXT = 80
 REVIEW_CONTEXT = 280
 MAX_MATCHES = 20
-MAX_QUERY_BYTES = 4 * 1024
 ELLIPSIS = "…"
 
 
@@ -142,9 +141,9 @@ def utf8_truncate(value: Column, limit: int) -> Column:
     )
 
 
-def query_valid(query: Column, max_bytes: int = MAX_QUERY_BYTES) -> Column:
+def query_valid(query: Column, max_bytes: int | None = None) -> Column:
     """A search query is not blank and within its byte bound."""
-    return holds((F.char_length(trim_whitespace(query)) > 0) & (F.octet_length(query) <= max_bytes))
+    return holds(F.char_length(trim_whitespace(query)) > 0) & at_most(F.octet_length(query), max_bytes)
 
 
 def limit_valid(limit: Column, maximum: int = 1000) -> Column:

@@ -33,7 +33,8 @@ def audit(
     ``index`` has the group columns, ``sequence``, the head and the indexed values named
     by ``compare`` (index column -> supplied column). With ``position`` the order counts:
     a head found at another place is REORDERED. ``size`` and ``max_bytes`` bound the
-    running total per group.
+    running total per group. A row without a place is ORDER_INVALID, and of a head supplied
+    twice at one place neither copy is verified.
     """
     keys = [*group, head]
     indexed = index.groupBy(*keys).agg(
@@ -46,12 +47,20 @@ def audit(
     order = position or "supply_order"
     if order not in rows.columns:
         raise ValueError(f"supplied rows need {order}")
-    first = rows.groupBy(*keys).agg(F.min(order).alias("_first"))
+    first = (
+        rows.groupBy(*keys, order)
+        .agg(F.count("*").alias("_copies"))
+        .groupBy(*keys)
+        .agg(F.min(order).alias("_first"), F.min_by("_copies", order).alias("_copies"))
+    )
     joined = rows.join(first, keys, "left").join(indexed, keys, "left")
     equal = F.lit(True)
     for stored, given in compare.items():
         equal = equal & F.col("_indexed")[stored].eqNullSafe(F.col(given))
-    rules: list = [(F.col(order) == F.col("_first"), f"{prefix}_DUPLICATE")]
+    rules: list = [
+        (F.col(order).isNotNull(), f"{prefix}_ORDER_INVALID"),
+        (F.col("_first").isNull() | ((F.col(order) == F.col("_first")) & (F.col("_copies") == 1)), f"{prefix}_DUPLICATE"),
+    ]
     rules.append((F.col("_sequence").isNotNull(), f"{prefix}_UNEXPECTED"))
     if position is not None:
         rules.append((F.col("_sequence") == F.col(position), f"{prefix}_REORDERED"))
@@ -122,7 +131,7 @@ def collection_audit(
     index: DataFrame,
     supplied: DataFrame,
     group: Sequence[str],
-    max_bytes: int = 64 * 1024 * 1024,
+    max_bytes: int | None = None,
     head: str = "packet_sha256",
     size: str = "source_byte_length",
     compare: Mapping[str, str] = PACKET_COMPARE,
@@ -168,7 +177,9 @@ def audit_outcome(
         F.count_if(F.col("verdict").endswith("_DUPLICATE") | F.col("verdict").endswith("_UNEXPECTED")).alias(
             "surplus"
         ),
-        F.min_by("verdict", F.when(bad, F.col("position"))).alias("_first_bad"),
+        F.coalesce(
+            F.min_by("verdict", F.when(bad, F.col("position"))), F.min(F.when(bad, F.col("verdict")))
+        ).alias("_first_bad"),
         F.max(F.when(missing, F.col("verdict"))).alias("_missing"),
     )
     surplus_code = F.lit(f"{prefix}_UNEXPECTED")
@@ -343,6 +354,8 @@ def expected_head_check(
 
 
 def any_failure(rows: DataFrame, group: Sequence[str], order: Column) -> DataFrame:
-    """First failing code per group, in ``order``."""
+    """First failing code per group, in ``order``; a failure without a place still counts."""
     bad = F.when(F.col("failure_code").isNotNull(), order)
-    return rows.groupBy(*group).agg(F.min_by("failure_code", bad).alias("failure_code"))
+    return rows.groupBy(*group).agg(
+        F.coalesce(F.min_by("failure_code", bad), F.min("failure_code")).alias("failure_code")
+    )

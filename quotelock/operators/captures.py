@@ -12,7 +12,6 @@ from quotelock.functions.instants import is_canonical_instant
 from quotelock.functions.ladder import bounded_chars, first_failure, holds, whole_number
 from quotelock.functions.records import RETAINED_HEADERS
 from quotelock.functions.urls import is_http_url, resolve_location, target_policy
-from quotelock.sources.snapshots import MAX_SOURCE_BYTES
 
 MAX_REDIRECTS = 5
 REDIRECT_STATUSES = (301, 302, 303, 307, 308)
@@ -68,7 +67,7 @@ def redirect_chain_check(captures: DataFrame, max_hops: int = MAX_REDIRECTS) ->
     return captures.withColumn("failure_code", redirect_code(max_hops))
 
 
-def web_capture_validate(captures: DataFrame, max_bytes: int = MAX_SOURCE_BYTES) -> DataFrame:
+def web_capture_validate(captures: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Cross-field rules of a retained capture.
 
     Adds ``failed_rule``, the first rule that does not hold, and ``failure_code``, which is

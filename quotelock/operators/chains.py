@@ -143,14 +143,17 @@ def chain_findings(
 
 
 def chain_verify(entries: DataFrame, chain: Sequence[str], payload: Mapping, **names: str) -> DataFrame:
-    """Per chain: entry count, head, first broken sequence and its code."""
+    """Per chain: entry count, head, first broken sequence and its code.
+
+    An entry without a sequence has no place, but its code still counts.
+    """
     findings = chain_findings(entries, chain, payload, **names)
     broken = F.when(F.col("failure_code").isNotNull(), F.col("sequence"))
     return findings.groupBy(*chain).agg(
         F.sum("copies").alias("entries"),
         F.max_by("entry", "sequence").alias("head_sha256"),
         F.min(broken).alias("first_broken_sequence"),
-        F.min_by("failure_code", broken).alias("failure_code"),
+        F.coalesce(F.min_by("failure_code", broken), F.min("failure_code")).alias("failure_code"),
     )
 
 
@@ -177,13 +180,21 @@ def running_bytes(
     chain: Sequence[str],
     size: str = "source_byte_length",
     sequence: str = SEQUENCE,
-    max_bytes: int = MAX_COLLECTION_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """Cumulative source bytes; rows past the cap carry BYTES_EXCEEDED."""
+    """Cumulative source bytes; rows past ``max_bytes``, or without a sum, carry BYTES_EXCEEDED."""
     summed = running_sum(entries, chain, sequence, F.col(size), "total_bytes")
     return summed.withColumn(
         "failure_code",
-        first_failure([(F.col("total_bytes") <= max_bytes, "PACKET_COLLECTION_BYTES_EXCEEDED")]),
+        first_failure(
+            [
+                (F.col(sequence).isNotNull(), "SEQUENCE_GAP"),
+                (
+                    F.col("total_bytes").isNotNull() if max_bytes is None else F.col("total_bytes") <= max_bytes,
+                    "PACKET_COLLECTION_BYTES_EXCEEDED",
+                ),
+            ]
+        ),
     )
 
 
@@ -271,9 +282,9 @@ def exact_append(
     digest: Column,
     sequence: str = SEQUENCE,
     head: str = "packet_sha256",
-    max_appended: int = 99,
+    max_appended: int | None = None,
 ) -> DataFrame:
-    """``following`` must be ``previous`` unchanged plus 1 to ``max_appended`` rows.
+    """``following`` must be ``previous`` unchanged plus at least one row, at most ``max_appended``.
 
     Both sides meet in one grouping by ``(chain, sequence)``; per chain only counts and
     the appended range remain.
@@ -319,7 +330,8 @@ def exact_append(
             (F.col("previous_count") > 0, "PACKET_COLLECTION_TRANSITION_MISMATCH"),
             (F.col("_changed") == 0, "PACKET_COLLECTION_TRANSITION_MISMATCH"),
             (
-                F.col("appended_count").between(1, max_appended),
+                (F.col("appended_count") >= 1)
+                & (F.lit(True) if max_appended is None else F.col("appended_count") <= max_appended),
                 "PACKET_COLLECTION_TRANSITION_MISMATCH",
             ),
             (

@@ -9,7 +9,6 @@ from quotelock.functions.digests import deterministic_id
 from quotelock.functions.ladder import first_failure, holds
 from quotelock.functions.text import (
     MAX_MATCHES,
-    MAX_QUERY_BYTES,
     PREVIEW_CONTEXT,
     SELECTOR_CONTEXT,
     WHITESPACE,
@@ -22,7 +21,6 @@ from quotelock.functions.text import (
 )
 from quotelock.plans.checkpoints import cut_lineage
 
-MAX_MATCH_BYTES = 8 * 1024
 
 
 def cite_by_source(quotes: DataFrame, captures: DataFrame) -> DataFrame:
@@ -61,8 +59,8 @@ def citation_preview(
     queries: DataFrame,
     captures: DataFrame,
     limit: int = MAX_MATCHES,
-    max_query_bytes: int = MAX_QUERY_BYTES,
-    max_match_bytes: int = MAX_MATCH_BYTES,
+    max_query_bytes: int | None = None,
+    max_match_bytes: int | None = None,
 ) -> DataFrame:
     """Find ``(capture_id, query)`` in the capture's text, exactly or up to whitespace.
 
@@ -99,9 +97,11 @@ def citation_preview(
             ),
         ),
     )
-    oversized = F.exists(
-        F.slice("_hits", 1, limit), lambda hit: F.octet_length(hit["exact"]) > max_match_bytes
-    )
+    oversized = F.lit(False)
+    if max_match_bytes is not None:
+        oversized = F.exists(
+            F.slice("_hits", 1, limit), lambda hit: F.octet_length(hit["exact"]) > max_match_bytes
+        )
     code = first_failure(
         [
             (query_valid(query, max_query_bytes), "CITATION_QUERY_INVALID"),

@@ -13,7 +13,7 @@ from quotelock.functions.digests import (
     short_id,
     to_base64,
 )
-from quotelock.functions.ladder import first_failure
+from quotelock.functions.ladder import at_most, first_failure
 from quotelock.functions.records import (
     DEFAULT_NAMESPACE,
     PACKET_OBJECT_PATH,
@@ -122,14 +122,14 @@ def index_digest(entries: Column, namespace: str) -> Column:
 def bundle_export(
     entries: DataFrame,
     collection: Sequence[str],
-    max_packets: int = 100,
+    max_packets: int | None = None,
     namespace: str = "Quotelock",
 ) -> DataFrame:
     """Nest the ordered entries of each collection and give it its head.
 
-    A bundle is one record, so its size is a rule of the data: collections with more
-    than ``max_packets`` entries, or with a repeated packet, come back with a code and no
-    entries. They are counted out first; nothing larger is ever gathered.
+    A bundle is one record by definition. Collections with a repeated packet, or with
+    more than ``max_packets`` entries where that is given, come back with a code and no
+    entries; they are counted out before anything is gathered.
     """
     keys = list(collection)
     counts = (
@@ -141,7 +141,7 @@ def bundle_export(
             "failure_code",
             first_failure(
                 [
-                    (F.col("packet_count") <= max_packets, "PACKET_COLLECTION_COUNT_INVALID"),
+                    (at_most(F.col("packet_count"), max_packets), "PACKET_COLLECTION_COUNT_INVALID"),
                     (F.col("_copies") == 1, "PACKET_COLLECTION_BUNDLE_INVALID"),
                 ]
             ),

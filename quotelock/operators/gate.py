@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quotelock.functions.digests import is_digest
 from quotelock.functions.instants import instant_key
 from quotelock.functions.ladder import (
+    at_most,
     Rule,
     bounded_bytes,
     bounded_chars,
@@ -25,14 +26,13 @@ from quotelock.functions.text import (
     context_before,
     is_html,
 )
-from quotelock.operators.html_view import MAX_VIEW_BYTES, TRANSFORMATION
-from quotelock.sources.snapshots import MAX_SOURCE_BYTES, TEXT_MEDIA_TYPE, snapshot_facts
+from quotelock.operators.html_view import TRANSFORMATION
+from quotelock.sources.snapshots import TEXT_MEDIA_TYPE, snapshot_facts
 
 CANDIDATE_KIND = "EvidenceCandidate"
 EVIDENCE_KIND = "VerifiedEvidence"
 VIEW_KIND = "DerivedCitationView"
 SELECTOR_TYPE = "TextQuoteSelector"
-MAX_QUOTE_BYTES = 1024 * 1024
 
 CANDIDATE_FIELDS = (
     "candidate_id",
@@ -81,11 +81,11 @@ def view_shape(view: Column, media_type: Column, sha256: Column) -> Column:
         & (view["media_type"] == TEXT_MEDIA_TYPE)
         & (view["source_sha256"] == sha256)
         & is_digest(view["sha256"])
-        & whole_number(view["byte_length"], 0, MAX_VIEW_BYTES)
+        & whole_number(view["byte_length"], 0, None)
     )
 
 
-def _envelope_rules(kind: str, max_bytes: int) -> list[Rule]:
+def _envelope_rules(kind: str, max_bytes: int | None, max_quote_bytes: int | None = None) -> list[Rule]:
     c = F.col
     invalid, instant = "INVALID_EVIDENCE_ENVELOPE", "INVALID_TIMESTAMP"
     evidence = kind == EVIDENCE_KIND
@@ -106,7 +106,7 @@ def _envelope_rules(kind: str, max_bytes: int) -> list[Rule]:
         (_key("captured_at").isNotNull(), instant),
         (_key("available_at").isNotNull(), instant),
         (c("selector_type") == SELECTOR_TYPE, invalid),
-        (bounded_bytes(c("exact"), MAX_QUOTE_BYTES), invalid),
+        (bounded_bytes(c("exact"), max_quote_bytes), invalid),
         (bounded_chars(c("prefix"), SELECTOR_CONTEXT, empty=True), invalid),
         (bounded_chars(c("suffix"), SELECTOR_CONTEXT, empty=True), invalid),
         (_key("observed_at").isNotNull(), instant),
@@ -124,7 +124,7 @@ def _drop_working(rows: DataFrame) -> DataFrame:
 
 
 def envelope_validate(
-    records: DataFrame, kind: str = CANDIDATE_KIND, max_bytes: int = MAX_SOURCE_BYTES
+    records: DataFrame, kind: str = CANDIDATE_KIND, max_bytes: int | None = None
 ) -> DataFrame:
     """Check candidate or evidence records field by field; adds ``failure_code``."""
     instants = ["available_at", "captured_at", "observed_at"]
@@ -153,18 +153,18 @@ def timestamp_order(records: DataFrame) -> DataFrame:
     return _drop_working(staged.withColumn("failure_code", first_failure(rules)))
 
 
-def _integrity_rules(max_bytes: int) -> list[Rule]:
+def _integrity_rules(max_bytes: int | None) -> list[Rule]:
     # Size is tested before the digest.
     return [
         (F.col("actual_length").isNotNull(), "SNAPSHOT_MISSING"),
-        (F.col("actual_length") <= max_bytes, "SNAPSHOT_TOO_LARGE"),
+        (at_most(F.col("actual_length"), max_bytes), "SNAPSHOT_TOO_LARGE"),
         (F.col("actual_length") == F.col("byte_length"), "SNAPSHOT_SIZE_MISMATCH"),
         (F.col("actual_sha256") == F.col("sha256"), "SNAPSHOT_HASH_MISMATCH"),
     ]
 
 
 def snapshot_integrity(
-    records: DataFrame, snapshots: DataFrame, max_bytes: int = MAX_SOURCE_BYTES
+    records: DataFrame, snapshots: DataFrame, max_bytes: int | None = None
 ) -> DataFrame:
     """Compare the claimed size and digest with the stored bytes."""
     facts = snapshot_facts(snapshots, max_bytes).drop("text")
@@ -207,7 +207,7 @@ def promotion_gate(
     snapshots: DataFrame,
     views: DataFrame | None = None,
     verified_at: Column | None = None,
-    max_bytes: int = MAX_SOURCE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Decide every candidate: ``outcome`` verified or rejected, with the first code.
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from quotelock.functions.ladder import first_failure, holds
 from quotelock.functions.text import is_html
 
-MAX_VIEW_BYTES = 16 * 1024 * 1024
 TRANSFORMATION = "html-text@1"
 
 # Elements that start and end a line, and subtrees that are no text.
@@ -166,7 +165,7 @@ def _render_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
-def html_text_views(sources: DataFrame, max_bytes: int = MAX_VIEW_BYTES) -> DataFrame:
+def html_text_views(sources: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Render each distinct HTML content once.
 
     ``sources`` has ``(snapshot_ref, sha256, content)``. The result has
@@ -182,9 +181,9 @@ def html_text_views(sources: DataFrame, max_bytes: int = MAX_VIEW_BYTES) -> Data
         _render_batches, "source_sha256 string, view_text string, view_failure string"
     )
     size = F.octet_length("view_text").cast("bigint")
-    code = F.when(F.col("view_failure").isNotNull(), F.col("view_failure")).when(
-        size > max_bytes, "CITATION_VIEW_TOO_LARGE"
-    )
+    code = F.col("view_failure")
+    if max_bytes is not None:
+        code = F.when(code.isNull() & (size > max_bytes), "CITATION_VIEW_TOO_LARGE").otherwise(code)
     return rendered.select(
         "source_sha256",
         F.when(code.isNull(), F.col("view_text")).alias("view_text"),

@@ -79,14 +79,15 @@ def append_packets(
     current: DataFrame,
     packets: DataFrame,
     chain: Sequence[str],
-    max_entries: int = 100,
-    max_bytes: int = 64 * 1024 * 1024,
+    max_entries: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Continue each chain of ``current`` with the new ``packets``.
 
     ``packets`` has the chain columns, ``append_order`` from 1 and the payload columns
-    but the sequence. Chains that would pass ``max_entries`` or ``max_bytes``, or repeat an
-    identity, keep none of their new rows: those come back with a ``failure_code``.
+    but the sequence. Chains that would pass ``max_entries`` or ``max_bytes``, repeat an
+    identity, have no key, or whose orders are not 1 to n, each once, keep none of their new
+    rows: those come back with a ``failure_code``.
     """
     chain = list(chain)
     heads = current.groupBy(*chain).agg(
@@ -112,9 +113,23 @@ def append_packets(
         .distinct()
         .withColumn("_repeated", F.lit(True))
     )
-    added = packets.groupBy(*chain).agg(
-        F.count("*").alias("_added"), F.sum("source_byte_length").alias("_added_bytes")
+    added = (
+        packets.groupBy(*chain, "append_order")
+        .agg(F.count("*").alias("_rows"), F.sum("source_byte_length").alias("_size"))
+        .groupBy(*chain)
+        .agg(
+            F.sum("_rows").alias("_added"),
+            F.sum("_size").alias("_added_bytes"),
+            F.min("append_order").alias("_first"),
+            F.max("append_order").alias("_last"),
+            F.count("append_order").alias("_orders"),
+        )
     )
+    full, heavy = F.lit(True), F.lit(True)
+    if max_entries is not None:
+        full = F.coalesce("head_sequence", F.lit(0)) + F.col("_added") <= max_entries
+    if max_bytes is not None:
+        heavy = F.coalesce("_bytes", F.lit(0)) + F.col("_added_bytes") <= max_bytes
     limits = (
         added.join(heads, chain, "left")
         .join(repeated, chain, "left")
@@ -123,21 +138,24 @@ def append_packets(
             first_failure(
                 [
                     (
-                        F.coalesce("head_sequence", F.lit(0)) + F.col("_added") <= max_entries,
-                        "PACKET_INDEX_FULL",
-                    ),
-                    (
-                        F.coalesce("_bytes", F.lit(0)) + F.col("_added_bytes") <= max_bytes,
-                        "PACKET_COLLECTION_BYTES_EXCEEDED",
+                        (F.col("_first") == 1)
+                        & (F.col("_last") == F.col("_added"))
+                        & (F.col("_orders") == F.col("_added")),
+                        "PACKET_APPEND_GAP",
                     ),
+                    (full, "PACKET_INDEX_FULL"),
+                    (heavy, "PACKET_COLLECTION_BYTES_EXCEEDED"),
                     (F.col("_repeated").isNull(), "PACKET_INDEX_DUPLICATE"),
                 ]
             ),
         )
         .select(*chain, F.coalesce("head_sequence", F.lit(0)).alias("_base"), "failure_code")
     )
-    staged = packets.join(limits, chain, "left").withColumn(
-        "sequence", F.col("_base") + F.col("append_order")
+    staged = packets.join(limits, chain, "left").withColumns(
+        {
+            "sequence": F.col("_base") + F.col("append_order"),
+            "failure_code": F.when(F.col("_base").isNull(), "PACKET_INDEX_INVALID").otherwise(F.col("failure_code")),
+        }
     )
     accepted = staged.where(F.col("failure_code").isNull()).drop("_base", "append_order")
     linked = chain_build(

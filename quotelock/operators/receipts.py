@@ -303,7 +303,7 @@ def collection_audit_digest(namespace: str = "Quotelock") -> Column:
 
 
 def collection_audit_rules(
-    max_packets: int = 100, max_bytes: int = 64 * 1024 * 1024, namespace: str = "Quotelock"
+    max_packets: int | None = None, max_bytes: int | None = None, namespace: str = "Quotelock"
 ) -> list[Rule]:
     c = F.col
     invalid = "PACKET_COLLECTION_AUDIT_INVALID"

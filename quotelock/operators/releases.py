@@ -17,7 +17,8 @@ CHECKPOINTS = (10, 25, 50, 100)
 def manifest_diff(previous: DataFrame, current: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Items of two manifests as added, removed, changed or unchanged.
 
-    Both sides have the key columns and ``digest``; they meet in one grouping.
+    Both sides have the key columns and ``digest``; they meet in one grouping. An item
+    without a key or a digest, or listed twice on one side, is ``invalid``.
     """
     sides = previous.select(*keys, "digest", F.lit(True).alias("_old")).unionByName(
         current.select(*keys, "digest", F.lit(False).alias("_old"))
@@ -25,15 +26,22 @@ def manifest_diff(previous: DataFrame, current: DataFrame, keys: Sequence[str])
     paired = sides.groupBy(*keys).agg(
         F.max(F.when(F.col("_old"), F.col("digest"))).alias("previous_digest"),
         F.max(F.when(~F.col("_old"), F.col("digest"))).alias("current_digest"),
+        F.count_if("_old").alias("_before"),
+        F.count_if(~F.col("_old")).alias("_after"),
+        F.count("digest").alias("_digests"),
     )
+    readable = (F.col("_before") <= 1) & (F.col("_after") <= 1) & (F.col("_digests") == F.col("_before") + F.col("_after"))
+    for key in keys:
+        readable = readable & F.col(key).isNotNull()
     before, after = F.col("previous_digest"), F.col("current_digest")
     return paired.withColumn(
         "change",
-        F.when(before.isNull(), "added")
+        F.when(~readable, "invalid")
+        .when(before.isNull(), "added")
         .when(after.isNull(), "removed")
         .when(before != after, "changed")
         .otherwise("unchanged"),
-    )
+    ).drop("_before", "_after", "_digests")
 
 
 def manifest_compatibility(diff: DataFrame, versions: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -47,12 +55,14 @@ def manifest_compatibility(diff: DataFrame, versions: DataFrame, keys: Sequence[
         F.count_if(change == "added").alias("added"),
         F.count_if(change == "removed").alias("removed"),
         F.count_if(change == "changed").alias("changed"),
+        F.count_if(change == "invalid").alias("_invalid"),
     )
     breaking = (F.col("removed") > 0) | (F.col("changed") > 0)
     required = F.when(breaking, "major").when(F.col("added") > 0, "minor").otherwise("patch")
     before, after = F.col("previous_version"), F.col("current_version")
     return (
-        versions.join(totals, list(keys))
+        versions.join(totals, list(keys), "left")
+        .withColumns({name: F.coalesce(name, F.lit(0)) for name in ("added", "removed", "changed", "_invalid")})
         .withColumns(
             {
                 "outcome": F.when(breaking, "breaking").otherwise("compatible"),
@@ -67,11 +77,13 @@ def manifest_compatibility(diff: DataFrame, versions: DataFrame, keys: Sequence[
             "failure_code",
             first_failure(
                 [
+                    (F.col("_invalid") == 0, "CAPABILITY_SCHEMA_INVALID"),
                     (is_semver(before) & is_semver(after), "CAPABILITY_SCHEMA_INVALID"),
                     (semver_key(before) < semver_key(after), "CAPABILITY_VERSION_NOT_INCREASING"),
                 ]
             ),
         )
+        .drop("_invalid")
     )
 
 
@@ -242,13 +254,13 @@ def regression_checkpoints(
     Both sides have the key columns, ``packet_count``, ``lineage_bytes``, ``append_ms`` and
     ``verify_ms``. A checkpoint missing on one side, or of another size, has a code.
     """
-    if not 1 <= max_ratio <= 3:
-        raise ValueError("max_ratio must be from 1 to 3")
     on = [*keys, "packet_count"]
     measures = ("lineage_bytes", "append_ms", "verify_ms")
     left = baseline.select(*on, *[F.col(name).alias(f"old_{name}") for name in measures])
     right = candidate.select(*on, *[F.col(name).alias(f"new_{name}") for name in measures])
-    joined = left.join(right, on, "left")
+    sides = left.join(right, on, "left")
+    alone = right.join(left.select(*on), on, "left_anti")
+    joined = sides.unionByName(alone, allowMissingColumns=True)
     append = _ratio(F.col("new_append_ms"), F.col("old_append_ms"))
     verify = _ratio(F.col("new_verify_ms"), F.col("old_verify_ms"))
     return joined.select(
@@ -258,7 +270,10 @@ def regression_checkpoints(
         holds((append <= max_ratio) & (verify <= max_ratio)).alias("within_limit"),
         first_failure(
             [
-                (F.col("new_lineage_bytes").isNotNull(), "BENCHMARK_CHECKPOINT_MISSING"),
+                (
+                    F.col("new_lineage_bytes").isNotNull() & F.col("old_lineage_bytes").isNotNull(),
+                    "BENCHMARK_CHECKPOINT_MISSING",
+                ),
                 (
                     F.col("new_lineage_bytes") == F.col("old_lineage_bytes"),
                     "BENCHMARK_SIZE_CHANGED",
@@ -275,8 +290,9 @@ def regression_verdict(checkpoints: DataFrame, keys: Sequence[str]) -> DataFrame
         F.count("*").alias("checkpoints"),
         F.count_if(exceeded).alias("exceeded"),
         F.max_by("within_limit", "packet_count").alias("_last"),
-        F.min_by(
-            "failure_code", F.when(F.col("failure_code").isNotNull(), F.col("packet_count"))
+        F.coalesce(
+            F.min_by("failure_code", F.when(F.col("failure_code").isNotNull(), F.col("packet_count"))),
+            F.min("failure_code"),
         ).alias("failure_code"),
     )
     regressed = (F.col("exceeded") >= 2) | ~F.col("_last")

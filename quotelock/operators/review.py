@@ -11,21 +11,20 @@ from quotelock.functions.digests import is_digest
 from quotelock.functions.ladder import first_failure, holds
 from quotelock.functions.text import bounded_display, nul_safe
 
-MAX_LIST_ROWS = 500
-MAX_QUERY_ROWS = 1000
 SUMMARY_CHARS = 240
 
 
 def first_per_key(
-    rows: DataFrame, key: str, order: Column, limit: int, rank: str = "rank"
+    rows: DataFrame, key: str, order: Column, limit: int | None, rank: str = "rank"
 ) -> DataFrame:
-    """The first ``limit`` rows of every key.
+    """The first ``limit`` rows of every key, or all of them, ranked.
 
     The filter on the row number lets Spark keep only ``limit`` rows per key before
     the shuffle, so a key with very many rows does not fill one task.
     """
     window = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= limit)
+    ranked = rows.withColumn(rank, F.row_number().over(window))
+    return ranked if limit is None else ranked.where(F.col(rank) <= limit)
 
 
 def latest_attempt(attempts: DataFrame) -> DataFrame:
@@ -38,8 +37,8 @@ def latest_attempt(attempts: DataFrame) -> DataFrame:
     )
 
 
-def attempt_list(attempts: DataFrame, limit: int = 100) -> DataFrame:
-    """The newest ``limit`` attempts of each candidate."""
+def attempt_list(attempts: DataFrame, limit: int | None = None) -> DataFrame:
+    """The newest ``limit`` attempts of each candidate, or all."""
     newest = F.col("sequence").desc()
     return first_per_key(attempts, "candidate_id", newest, limit)
 
@@ -109,32 +108,31 @@ def review_list(
     evidence: DataFrame,
     promotions: DataFrame,
     attempts: DataFrame,
-    limit: int = MAX_LIST_ROWS,
+    limit: int,
 ) -> DataFrame:
     """The newest ``limit`` summaries with their status.
 
     A listed candidate is verified when a promotion names its evidence. The limit is
-    taken before the joins: at most ``MAX_QUERY_ROWS`` ids are broadcast to prune the
-    three other tables.
+    taken before the joins, and its ids prune the three other tables.
     """
-    if not 1 <= limit <= MAX_QUERY_ROWS:
-        raise ValueError(f"limit must be from 1 to {MAX_QUERY_ROWS}")
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     newest = [F.col("persisted_at").desc(), F.col("candidate_id")]
     top = summaries.orderBy(*newest).limit(limit)
-    ids = F.broadcast(top.select("candidate_id"))
+    ids = top.select("candidate_id")
     pruned = [table.join(ids, "candidate_id", "left_semi") for table in (evidence, promotions, attempts)]
     return _with_review(top, *pruned, listed=True).orderBy(*newest)
 
 
-def status_totals(items: DataFrame, limit: int = MAX_LIST_ROWS) -> DataFrame:
-    """Counts per status and whether the list was cut."""
+def status_totals(items: DataFrame, limit: int | None = None) -> DataFrame:
+    """Counts per status and whether a list of ``limit`` rows was cut."""
     status = F.col("status")
     return items.agg(
         F.count("*").alias("all_items"),
         F.count_if(status == "candidate").alias("candidate"),
         F.count_if(status == "rejected").alias("rejected"),
         F.count_if(status == "verified").alias("verified"),
-        (F.count("*") == limit).alias("limited"),
+        (F.lit(False) if limit is None else F.count("*") == limit).alias("limited"),
     )
 
 
@@ -186,14 +184,30 @@ def capture_linkage(
 
 
 def immutable_merge(store: DataFrame, incoming: DataFrame, key: str, digest: str) -> DataFrame:
-    """Insert or verify: each incoming record is new, identical or in conflict."""
-    kept = store.select(key, F.col(digest).alias("_stored"))
+    """Insert or verify: each incoming record is new, identical or in conflict.
+
+    Without a key or a digest nothing can be verified, so such records are in conflict, and
+    so are different records that come in under one new key.
+    """
+    kept = store.groupBy(key).agg(
+        F.min(digest).alias("_stored"), F.max(digest).alias("_stored_other"), F.count("*").alias("_rows"),
+        F.count(digest).alias("_digests"),
+    )
+    among = incoming.groupBy(key).agg(F.min(digest).alias("_low"), F.max(digest).alias("_high"))
+    known = F.col("_rows").isNotNull()
+    stored_whole = (F.col("_digests") == F.col("_rows")) & (F.col("_stored") == F.col("_stored_other"))
     merge = (
-        F.when(F.col("_stored").isNull(), "new")
-        .when(F.col("_stored").eqNullSafe(F.col(digest)), "identical")
+        F.when(F.col(key).isNull() | F.col(digest).isNull(), "conflict")
+        .when(known & stored_whole & (F.col("_stored") == F.col(digest)), "identical")
+        .when(~known & (F.col("_low") == F.col("_high")), "new")
         .otherwise("conflict")
     )
-    return incoming.join(kept, key, "left").withColumn("merge", merge).drop("_stored")
+    return (
+        incoming.join(kept, key, "left")
+        .join(among, key, "left")
+        .withColumn("merge", merge)
+        .drop("_stored", "_stored_other", "_rows", "_digests", "_low", "_high")
+    )
 
 
 def review_context(items: DataFrame, snapshots: DataFrame, size: int = 280) -> DataFrame:
@@ -228,10 +242,10 @@ def run_diff(
 
     ``revisions`` maps an output name to the revision column it compares.
     """
-    from quotelock.plans.blocks import carry_forward
+    from quotelock.plans.blocks import carry_forward, join_with_nulls
 
     seen = reports.groupBy(*group, "head_sha256").agg(F.count("*").alias("_copies"))
-    staged = reports.join(seen, [*group, "head_sha256"])
+    staged = join_with_nulls(reports, seen, [*group, "head_sha256"])
     paired = carry_forward(
         staged,
         group,
@@ -250,7 +264,13 @@ def run_diff(
     return (
         paired.withColumns(changes)
         .withColumn(
-            "failure_code", first_failure([(F.col("_copies") == 1, "REPORT_HEAD_DUPLICATE")])
+            "failure_code",
+            first_failure(
+                [
+                    (F.col("head_sha256").isNotNull() & F.col(order).isNotNull(), "REPORT_INVALID"),
+                    (F.col("_copies") == 1, "REPORT_HEAD_DUPLICATE"),
+                ]
+            ),
         )
         .drop("_previous", "_copies")
     )

@@ -9,18 +9,17 @@ from pyspark.sql import functions as F
 
 from quotelock.functions.digests import Optional, canonical_digest, is_digest
 from quotelock.functions.instants import instant_key, is_canonical_instant
-from quotelock.functions.ladder import first_failure, holds
+from quotelock.functions.ladder import first_failure, holds, whole_number
 from quotelock.functions.records import is_canonical_order, set_delta
-from quotelock.plans.blocks import BLOCK_SECONDS, carry_forward, with_previous
+from quotelock.plans.blocks import BLOCK_SECONDS, carry_forward, join_with_nulls, with_previous
 
-MAX_KEYS = 64
 
 
-def _key_list(keys: Column, max_keys: int) -> Column:
-    return holds(F.size(keys).between(1, max_keys) & F.forall(keys, is_digest))
+def _key_list(keys: Column, max_keys: int | None) -> Column:
+    return whole_number(F.size(keys), 1, max_keys) & holds(F.forall(keys, is_digest))
 
 
-def trust_policy_validate(policies: DataFrame, max_keys: int = MAX_KEYS) -> DataFrame:
+def trust_policy_validate(policies: DataFrame, max_keys: int | None = None) -> DataFrame:
     """Manual policies: key lists, threshold and validity window."""
     c = F.col
     trusted, revoked = c("trusted_key_ids"), c("revoked_key_ids")
@@ -72,7 +71,8 @@ def active_policy_asof(
     """For each probe the latest policy in force, else POLICY_NOT_YET_ACTIVE.
 
     Times are integer columns (epoch seconds). ``value`` names the policy columns to
-    return; the first of them must be the policy's ``sequence``. Policies and probes are
+    return; the first of them must be the policy's ``sequence``, from 1 without gaps or
+    repeats, else the key's probes are POLICY_SEQUENCE_INVALID. Policies and probes are
     laid on one time line per key and carried forward block by block, so a key with
     many policies or probes is spread over tasks.
     """
@@ -102,17 +102,29 @@ def active_policy_asof(
         F.col("_policy"),
         "_active",
     )
-    totals = policies.groupBy(*keys).agg(F.count("*").alias("_policies"))
-    answered = line.where(F.col("_probe") == 1).join(totals, list(keys), "left")
+    sequence = F.col(value[0])
+    totals = (
+        policies.groupBy(*keys, sequence.alias("_sequence"))
+        .agg(F.count("*").alias("_copies"))
+        .groupBy(*keys)
+        .agg(
+            F.sum("_copies").alias("_policies"),
+            ((F.min("_sequence") == 1) & (F.max("_sequence") == F.sum("_copies")) & (F.count("_sequence") == F.sum("_copies"))).alias("_numbered"),
+        )
+    )
+    answered = join_with_nulls(line.where(F.col("_probe") == 1), totals, list(keys))
     active = F.col("_active")
+    numbered = F.col("_policies").isNull() | holds(F.col("_numbered"))
     return answered.select(
         *keys,
         "_row.*",
         *[active[name].alias(name) for name in value],
-        (F.coalesce("_policies", F.lit(0)) - F.coalesce(active[value[0]], F.lit(0)))
+        F.when(numbered, F.coalesce("_policies", F.lit(0)) - F.coalesce(active[value[0]], F.lit(0)))
         .cast("bigint")
         .alias("scheduled_count"),
-        F.when(active.isNull(), "POLICY_NOT_YET_ACTIVE").alias("failure_code"),
+        F.when(~numbered, "POLICY_SEQUENCE_INVALID")
+        .when(F.col("_time").isNull() | active.isNull(), "POLICY_NOT_YET_ACTIVE")
+        .alias("failure_code"),
     )
 
 
@@ -170,7 +182,7 @@ def signer_quorum(
     bad = F.when(F.col("failure_code").isNotNull(), F.col(order))
     signers = filtered.groupBy("report_id").agg(
         F.count_distinct(F.when(F.col("counted"), F.col("key_id"))).alias("verified_signers"),
-        F.min_by("failure_code", bad).alias("_signature_code"),
+        F.coalesce(F.min_by("failure_code", bad), F.min("failure_code")).alias("_signature_code"),
     )
     at = instant_key(verified_at)
     since, until = F.col("valid_from"), F.col("valid_until")

@@ -38,7 +38,7 @@ c = F.col
         WHEN p.sequence IS NULL THEN 'PACKET_COLLECTION_UNEXPECTED'
         WHEN p.sequence <> r.position THEN 'PACKET_COLLECTION_REORDERED'
         WHEN p.candidate_id <> r.candidate_id THEN 'PACKET_COLLECTION_METADATA_MISMATCH'
-        WHEN total > 4000 THEN 'PACKET_COLLECTION_BYTES_EXCEEDED' ELSE 'VERIFIED' END AS verdict
+        ELSE 'VERIFIED' END AS verdict
     FROM ranked r LEFT JOIN packets p ON p.collection_id = r.collection_id AND p.packet_sha256 = r.packet_sha256
     UNION ALL
     SELECT p.collection_id, p.packet_sha256, p.sequence, 'PACKET_COLLECTION_MISSING' FROM packets p
@@ -47,7 +47,7 @@ c = F.col
 )
 def collection_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audits.collection_audit(
-        packets(spark, folder), supplied(spark, folder), COLLECTION, max_bytes=4000
+        packets(spark, folder), supplied(spark, folder), COLLECTION
     )
 
 
@@ -271,14 +271,14 @@ def expected_head_check(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH RECURSIVE {ENTRIES_SQL}, counts AS (
       SELECT collection_id, max(sequence) AS n FROM entries GROUP BY 1)
     SELECT e.collection_id, e.sequence,
-      CASE WHEN n <= 6 AND e.collection_id % 4 <> 1 THEN e.previous_entry_sha256 END AS previous_entry_sha256,
-      CASE WHEN n <= 6 AND e.collection_id % 4 <> 1 THEN e.entry_sha256 END AS entry_sha256,
-      CASE WHEN n > 6 THEN 'PACKET_INDEX_FULL' WHEN e.collection_id % 4 = 1 THEN 'PACKET_INDEX_DUPLICATE' END
+      CASE WHEN e.collection_id % 4 <> 1 THEN e.previous_entry_sha256 END AS previous_entry_sha256,
+      CASE WHEN e.collection_id % 4 <> 1 THEN e.entry_sha256 END AS entry_sha256,
+      CASE WHEN e.collection_id % 4 = 1 THEN 'PACKET_INDEX_DUPLICATE' END
         AS failure_code
     FROM entries e JOIN counts k ON k.collection_id = e.collection_id WHERE e.sequence > 2"""
 )
 def lineage_append(spark: SparkSession, folder: str) -> DataFrame:
-    """From two packets to all, at most six; in every fourth collection one is repeated."""
+    """From two packets to all; in every fourth collection one is repeated."""
     rows = packets(spark, folder)
     current = chain_build(rows.where(c("sequence") <= 2), COLLECTION, lineage.packet_payload())
     repeat = (F.pmod("collection_id", F.lit(4)) == 1) & (c("sequence") == 3)
@@ -291,7 +291,7 @@ def lineage_append(spark: SparkSession, folder: str) -> DataFrame:
         )
         .drop("sequence")
     )
-    return lineage.append_packets(current, added, COLLECTION, max_entries=6).select(
+    return lineage.append_packets(current, added, COLLECTION).select(
         "collection_id", "sequence", "previous_entry_sha256", "entry_sha256", "failure_code"
     )
 
@@ -438,7 +438,7 @@ def report_validate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 1 THEN 'RECORD_UNKNOWN_KEY' WHEN 2 THEN 'RECORD_MISSING_KEY'
-         WHEN 3 THEN 'RECORD_TYPE_INVALID' WHEN 4 THEN 'RECORD_NOT_JSON' WHEN 5 THEN 'RECORD_TOO_LARGE' END
+         WHEN 3 THEN 'RECORD_TYPE_INVALID' WHEN 4 THEN 'RECORD_NOT_JSON' WHEN 5 THEN 'RECORD_UNKNOWN_KEY' END
          AS failure_code,
          CASE WHEN o_orderkey % 7 IN (0, 6) THEN {version_sql('o_orderkey')} END AS version FROM orders"""
 )
@@ -460,6 +460,6 @@ def closed_record_read(spark: SparkSession, folder: str) -> DataFrame:
         [T.StructField("sequence", T.LongType(), False), T.StructField("version", T.StringType(), False)]
     )
     lines = table(spark, folder, "orders").select("o_orderkey", line.alias("line"))
-    return closed_records(lines, "line", schema, max_bytes=256).select(
+    return closed_records(lines, "line", schema).select(
         "o_orderkey", "failure_code", "record.version"
     )

@@ -17,6 +17,15 @@ BLOCK_ROWS = 1 << 16
 BLOCK_SECONDS = 30 * 86400
 
 
+def join_with_nulls(rows: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi join on ``keys`` in which NULL meets NULL, so no row is lost or left without a partner."""
+    renamed = other.withColumnsRenamed({name: f"_other_{name}" for name in keys})
+    condition = F.lit(True)
+    for name in keys:
+        condition = condition & rows[name].eqNullSafe(renamed[f"_other_{name}"])
+    return rows.join(renamed, condition, how).drop(*[f"_other_{name}" for name in keys])
+
+
 def running_sum(
     rows: DataFrame,
     keys: Sequence[str],
@@ -26,7 +35,10 @@ def running_sum(
     tiebreak: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Add the cumulative sum of ``value`` per group, ordered by an integer column."""
+    """Add the cumulative sum of ``value`` per group, ordered by an integer column.
+
+    Rows with NULL order come first and count towards all that follow.
+    """
     staged = rows.withColumns({"_block": F.floor(F.col(order) / block_rows), "_value": value})
     totals = staged.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -39,8 +51,7 @@ def running_sum(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        staged.withColumn("_inside", F.sum("_value").over(inside))
-        .join(carried, [*keys, "_block"])
+        join_with_nulls(staged.withColumn("_inside", F.sum("_value").over(inside)), carried, [*keys, "_block"])
         .withColumn(out, F.col("_before") + F.coalesce(F.col("_inside"), F.lit(0)))
         .drop("_block", "_value", "_inside", "_before")
     )
@@ -66,7 +77,7 @@ def carry_forward(
         .groupBy(*keys, "_block")
         .agg(F.max_by("_value", ordering).alias("_last"))
     )
-    blocks = staged.select(*keys, "_block").distinct().join(totals, [*keys, "_block"], "left")
+    blocks = join_with_nulls(staged.select(*keys, "_block").distinct(), totals, [*keys, "_block"])
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select(
         *keys, "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_before")
@@ -77,8 +88,9 @@ def carry_forward(
         .rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     )
     return (
-        staged.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside))
-        .join(carried, [*keys, "_block"])
+        join_with_nulls(
+            staged.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside)), carried, [*keys, "_block"]
+        )
         .withColumn(out, F.coalesce("_inside", "_before"))
         .drop("_block", "_value", "_inside", "_before")
     )

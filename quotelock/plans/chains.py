@@ -72,10 +72,10 @@ def duplicate_identities(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {PACKETS_SQL}, summed AS (
       SELECT collection_id, sequence, CAST(sum(source_byte_length) OVER (PARTITION BY collection_id ORDER BY sequence)
         AS BIGINT) AS total_bytes FROM packets)
-    SELECT *, CASE WHEN total_bytes > 2000 THEN 'PACKET_COLLECTION_BYTES_EXCEEDED' END AS failure_code FROM summed"""
+    SELECT *, CAST(NULL AS VARCHAR) AS failure_code FROM summed"""
 )
 def running_bytes(spark: SparkSession, folder: str) -> DataFrame:
-    return chains.running_bytes(packets(spark, folder), COLLECTION, max_bytes=2000).select(
+    return chains.running_bytes(packets(spark, folder), COLLECTION).select(
         "collection_id", "sequence", c("total_bytes").cast("bigint").alias("total_bytes"), "failure_code"
     )
 
@@ -232,14 +232,12 @@ def exact_append(spark: SparkSession, folder: str) -> DataFrame:
       FROM entries GROUP BY 1), headed AS (
       SELECT *, sha256('{{"assurance":{{"timestamp":"not-attested"}},"entries":[' || body ||
         '],"kind":"QuotelockEvidencePacketIndex","version":1}}') AS head FROM nested)
-    SELECT collection_id, packet_count, CASE WHEN packet_count > 6 THEN 'PACKET_COLLECTION_COUNT_INVALID' END
-        AS failure_code, CASE WHEN packet_count <= 6 THEN head END AS index_sha256,
-      CASE WHEN packet_count <= 6 THEN sha256('{{"assurance":{{"timestamp":"not-attested"}},"indexSha256":"' || head ||
-        '","kind":"QuotelockEvidencePacketCollectionBundle","packets":[' || names || '],"version":1}}') END
-        AS bundle_sha256 FROM headed"""
+    SELECT collection_id, packet_count, CAST(NULL AS VARCHAR) AS failure_code, head AS index_sha256,
+      sha256('{{"assurance":{{"timestamp":"not-attested"}},"indexSha256":"' || head ||
+        '","kind":"QuotelockEvidencePacketCollectionBundle","packets":[' || names || '],"version":1}}') AS bundle_sha256 FROM headed"""
 )
 def bundle_export(spark: SparkSession, folder: str) -> DataFrame:
-    return export.bundle_export(entries(spark, folder), COLLECTION, max_packets=6).select(
+    return export.bundle_export(entries(spark, folder), COLLECTION).select(
         "collection_id",
         c("packet_count").cast("bigint").alias("packet_count"),
         "failure_code",

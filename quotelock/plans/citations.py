@@ -44,7 +44,7 @@ _CAPTURE_SQL = f"""captured AS (
            ELSE {iso_sql('doc_id')} END AS available_at,
          {iso_sql('doc_id + 86400')} AS captured_at FROM documents), coded AS (
   SELECT *, CASE WHEN doc_id % 8 = 2 THEN 'INVALID_TIMESTAMP' WHEN doc_id % 8 = 3 THEN 'TIMESTAMP_ORDER_INVALID'
-      WHEN doc_id % 8 = 4 THEN 'SOURCE_NOT_UTF8' WHEN strlen(text) > 20000 THEN 'SNAPSHOT_TOO_LARGE' END AS code
+      WHEN doc_id % 8 = 4 THEN 'SOURCE_NOT_UTF8' END AS code
   FROM captured), kept AS (
   SELECT *, sha256(text) AS sha, CASE WHEN length(available_at) = 10 THEN available_at || 'T00:00:00.000Z'
       ELSE available_at END AS available FROM coded)"""
@@ -67,7 +67,7 @@ def _captured(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(iso(c("doc_id")))
     )
     return snapshot_ops.capture_snapshots(
-        sources, available, iso(c("doc_id") + 86400), max_bytes=20000
+        sources, available, iso(c("doc_id") + 86400)
     )
 
 
@@ -203,36 +203,32 @@ def cite_by_source(spark: SparkSession, folder: str) -> DataFrame:
 def _previews(spark: SparkSession, folder: str) -> DataFrame:
     """By ``doc_id % 5``: 0 exact quote, 1 two characters, 2 blanks widened, 3 absent, 4 blank."""
     form = F.pmod("doc_id", F.lit(5))
-    exact = F.substring("text", 10, 60)
+    short = F.char_length("text") < 80
+    exact = F.when(short, c("text")).otherwise(F.substring("text", 10, 60))
     asked = (
-        F.when(form == 1, F.substring("text", 10, 2))
+        F.when(form == 1, F.substring(exact, 1, 2))
         .when(form == 2, F.regexp_replace(exact, r"\s+", "  "))
         .when(form == 3, F.concat(exact, F.lit("¤")))
         .when(form == 4, F.lit(" \n "))
         .otherwise(exact)
     )
-    queries = (
-        table(spark, folder, "documents")
-        .where(F.char_length("text") >= 80)
-        .select(c("doc_id").alias("capture_id"), asked.alias("query"))
-    )
+    queries = table(spark, folder, "documents").select(c("doc_id").alias("capture_id"), asked.alias("query"))
     return cite.citation_preview(queries, _captures(spark, folder))
 
 
 _PREVIEW_SQL = r"""asked AS (
-  SELECT doc_id AS capture_id, text, CASE doc_id % 5 WHEN 1 THEN substr(text, 10, 2)
-      WHEN 2 THEN regexp_replace(substr(text, 10, 60), '\s+', '  ', 'g')
-      WHEN 3 THEN substr(text, 10, 60) || '¤' WHEN 4 THEN ' ' || chr(10) || ' '
-      ELSE substr(text, 10, 60) END AS query
-  FROM documents WHERE length(text) >= 80), usable AS (
+  SELECT doc_id AS capture_id, text, CASE doc_id % 5 WHEN 1 THEN substr(quote, 1, 2)
+      WHEN 2 THEN regexp_replace(quote, '\s+', '  ', 'g')
+      WHEN 3 THEN quote || '¤' WHEN 4 THEN ' ' || chr(10) || ' ' ELSE quote END AS query
+  FROM (SELECT *, CASE WHEN length(text) < 80 THEN text ELSE substr(text, 10, 60) END AS quote FROM documents)), usable AS (
   SELECT *, trim(regexp_replace(query, '\s+', ' ', 'g')) = '' AS bad, string_split(text, '') AS chars,
     regexp_replace(text, '\s+', ' ', 'g') AS flat, trim(regexp_replace(query, '\s+', ' ', 'g')) AS flat_query
   FROM asked), exact_hits AS (
-  SELECT *, CASE WHEN bad THEN [] ELSE list_filter(list_filter(range(1, len(chars)),
-      lambda i: chars[i] || chars[i + 1] = substr(query, 1, 2)), lambda i: substr(text, i, length(query)) = query)
+  SELECT *, CASE WHEN bad THEN [] ELSE list_filter(list_filter(range(1, len(chars) + 1),
+      lambda i: starts_with(chars[i] || coalesce(chars[i + 1], ''), substr(query, 1, 2))), lambda i: substr(text, i, length(query)) = query)
       END AS hits, string_split(flat, '') AS flat_chars FROM usable), blank_hits AS (
-  SELECT *, CASE WHEN bad OR len(hits) > 0 THEN [] ELSE list_filter(list_filter(range(1, len(flat_chars)),
-      lambda i: flat_chars[i] || flat_chars[i + 1] = substr(flat_query, 1, 2)),
+  SELECT *, CASE WHEN bad OR len(hits) > 0 THEN [] ELSE list_filter(list_filter(range(1, len(flat_chars) + 1),
+      lambda i: starts_with(flat_chars[i] || coalesce(flat_chars[i + 1], ''), substr(flat_query, 1, 2))),
       lambda i: substr(flat, i, length(flat_query)) = flat_query) END AS loose FROM exact_hits), previews AS (
   SELECT capture_id, text, query, hits, CASE WHEN bad THEN 'CITATION_QUERY_INVALID' END AS failure_code,
     CASE WHEN bad THEN NULL WHEN len(hits) > 0 THEN 'exact' WHEN len(loose) > 0 THEN 'normalized-whitespace'
@@ -277,7 +273,7 @@ def unique_citation(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     """WITH quotes AS (
       SELECT 'b' || item_id AS quote_id, text AS exact FROM benchmark UNION ALL
-      SELECT 'w' || item_id, substr(text, 1, 24) FROM benchmark),
+      SELECT 'w' || item_id, string_split(text, chr(10))[1] FROM benchmark),
     found AS (SELECT q.quote_id, q.exact, d.doc_id, d.text, strpos(d.text, q.exact) AS start
       FROM quotes q JOIN documents d ON contains(d.text, q.exact)),
     counted AS (SELECT *, strpos(substr(text, start + 1), exact) > 0 AS repeated,
@@ -286,14 +282,14 @@ def unique_citation(spark: SparkSession, folder: str) -> DataFrame:
       document_count = 1 AND NOT repeated AS corpus_unique FROM counted"""
 )
 def quote_locate(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole benchmark items, and their short openings, located in all documents."""
+    """Whole benchmark items, and their first lines, located in all documents."""
     items = table(spark, folder, "benchmark")
     quotes = items.select(
         F.inline(
             F.array(
                 F.struct(F.concat(F.lit("b"), "item_id").alias("quote_id"), c("text").alias("exact")),
                 F.struct(
-                    F.concat(F.lit("w"), "item_id").alias("quote_id"), F.substring("text", 1, 24).alias("exact")
+                    F.concat(F.lit("w"), "item_id").alias("quote_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("exact")
                 ),
             )
         )

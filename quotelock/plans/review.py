@@ -22,7 +22,7 @@ c = F.col
 
 def _review_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Candidates with a persist time, evidence for a third, promotions for most of it."""
-    base = candidates(spark, folder).where(c("exact") != "").withColumn(
+    base = candidates(spark, folder).withColumn(
         "persisted_at", iso(F.pmod(c("doc_id") * 7919, F.lit(100000)))
     )
     evidence = base.where(F.pmod("doc_id", F.lit(3)) == 0).select(
@@ -37,7 +37,7 @@ def _review_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
 
 
 _REVIEW_SQL = f"""{CANDIDATES_SQL}, base AS (
-  SELECT *, {iso_sql('(doc_id * 7919) % 100000')} AS persisted_at FROM candidates WHERE exact <> ''), {ATTEMPTS_SQL},
+  SELECT *, {iso_sql('(doc_id * 7919) % 100000')} AS persisted_at FROM candidates), {ATTEMPTS_SQL},
   last_attempt AS (SELECT candidate_id, max(sequence) AS attempt_sequence, arg_max(outcome, sequence) AS outcome,
       arg_max(coalesce(failure_code, ''), sequence) AS code FROM attempts GROUP BY 1),
   evidence AS (SELECT candidate_id, 'ev-' || doc_id AS evidence_id, doc_id FROM base WHERE doc_id % 3 = 0),
@@ -62,10 +62,10 @@ def latest_attempt(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH {ATTEMPTS_SQL}
     SELECT candidate_id, sequence, outcome, failure_code, row_number() OVER (PARTITION BY candidate_id
-      ORDER BY sequence DESC) AS rank FROM attempts QUALIFY rank <= 5"""
+      ORDER BY sequence DESC) AS rank FROM attempts"""
 )
 def attempt_list(spark: SparkSession, folder: str) -> DataFrame:
-    listed = review.attempt_list(attempts(spark, folder), limit=5)
+    listed = review.attempt_list(attempts(spark, folder))
     return listed.withColumn("rank", c("rank").cast("bigint"))
 
 
@@ -92,7 +92,7 @@ def review_items(spark: SparkSession, folder: str) -> DataFrame:
 def review_list(spark: SparkSession, folder: str) -> DataFrame:
     base, evidence, promotions = _review_tables(spark, folder)
     summaries = review.review_summaries(base)
-    listed = review.review_list(summaries, evidence, promotions, attempts(spark, folder))
+    listed = review.review_list(summaries, evidence, promotions, attempts(spark, folder), limit=500)
     return listed.select("candidate_id", "persisted_at", "quote", "quote_truncated", "failure_code", "status")
 
 
@@ -100,7 +100,7 @@ def review_list(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {_REVIEW_SQL}, statuses AS (SELECT {_DETAIL_STATUS} AS status FROM items)
     SELECT count(*) AS all_items, count(*) FILTER (status = 'candidate') AS candidate,
       count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'verified') AS verified,
-      count(*) = 500 AS limited FROM statuses"""
+      false AS limited FROM statuses"""
 )
 def status_totals(spark: SparkSession, folder: str) -> DataFrame:
     base, evidence, promotions = _review_tables(spark, folder)

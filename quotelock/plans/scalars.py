@@ -101,15 +101,20 @@ def is_canonical_instant(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _OCCURRENCES_SQL = """found AS (
-  SELECT doc_id, list_filter(range(1, len(chars)), lambda i: chars[i] || chars[i + 1] = substr(text, 10, 2)) AS hits
-  FROM (SELECT doc_id, text, string_split(text, '') AS chars FROM documents) WHERE length(text) >= 80)"""
+  SELECT doc_id, list_filter(range(1, len(chars) + 1),
+      lambda i: starts_with(chars[i] || coalesce(chars[i + 1], ''), query)) AS hits
+  FROM (SELECT doc_id, string_split(text, '') AS chars,
+      CASE WHEN length(text) < 80 THEN substr(text, 1, 2) ELSE substr(text, 10, 2) END AS query FROM documents))"""
+
+
+def _quote() -> Column:
+    """Sixty characters of a text, or all of a short one."""
+    return F.when(F.char_length("text") < 80, c("text")).otherwise(F.substring("text", 10, 60))
 
 
 def _with_hits(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        _documents(spark, folder)
-        .where(F.char_length("text") >= 80)
-        .select("doc_id", text.exact_occurrences(c("text"), F.substring("text", 10, 2)).alias("hits"))
+    return _documents(spark, folder).select(
+        "doc_id", text.exact_occurrences(c("text"), F.substring(_quote(), 1, 2)).alias("hits")
     )
 
 
@@ -140,13 +145,14 @@ def bounded_matches(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     r"""WITH queries AS (
       SELECT doc_id, text, regexp_replace(text, '\s+', ' ', 'g') AS flat,
-        trim(regexp_replace(substr(text, 10, 60), '\s+', ' ', 'g')) AS flat_query,
+        trim(regexp_replace(quote, '\s+', ' ', 'g')) AS flat_query,
         array_to_string(list_transform(
-          string_split_regex(regexp_replace(substr(text, 10, 60), '^\s+|\s+$', '', 'g'), '\s+'),
-          lambda w: regexp_escape(w)), '\s+') AS pattern FROM documents WHERE length(text) >= 80),
+          string_split_regex(regexp_replace(quote, '^\s+|\s+$', '', 'g'), '\s+'),
+          lambda w: regexp_escape(w)), '\s+') AS pattern
+      FROM (SELECT *, CASE WHEN length(text) < 80 THEN text ELSE substr(text, 10, 60) END AS quote FROM documents)),
     starts AS (
-      SELECT doc_id, text, flat, flat_query, pattern, list_filter(range(1, len(chars)),
-        lambda i: chars[i] || chars[i + 1] = substr(flat_query, 1, 2)) AS likely
+      SELECT doc_id, text, flat, flat_query, pattern, list_filter(range(1, len(chars) + 1),
+        lambda i: starts_with(chars[i] || coalesce(chars[i + 1], ''), substr(flat_query, 1, 2))) AS likely
       FROM (SELECT *, string_split(flat, '') AS chars FROM queries))
     SELECT doc_id, CAST(least(21, len(list_filter(likely,
         lambda i: substr(flat, i, length(flat_query)) = flat_query))) AS BIGINT) AS found,
@@ -154,11 +160,10 @@ def bounded_matches(spark: SparkSession, folder: str) -> DataFrame:
 )
 def ws_occurrences(spark: SparkSession, folder: str) -> DataFrame:
     """Queries are quotes with every blank run widened to three blanks."""
-    widened = F.regexp_replace(F.substring("text", 10, 60), r"\s+", "   ")
+    widened = F.regexp_replace(_quote(), r"\s+", "   ")
     found = text.ws_occurrences(c("text"), widened)
     return (
         _documents(spark, folder)
-        .where(F.char_length("text") >= 80)
         .select("doc_id", found.alias("found"))
         .select(
             "doc_id",
@@ -349,12 +354,12 @@ def display_source(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, sha256(substr(text, 1, 20) || '�' || substr(text, 21, 20) || '�') AS safe_sha256,
-         CAST(length(substr(text, 1, 40)) + 2 AS BIGINT) AS chars FROM documents"""
+    """SELECT doc_id, sha256(substr(text, 1, 20) || '�' || substr(text, 21) || '�') AS safe_sha256,
+         CAST(length(text) + 2 AS BIGINT) AS chars FROM documents"""
 )
 def nul_safe(spark: SparkSession, folder: str) -> DataFrame:
     nul = F.lit("\u0000")
-    raw = F.concat(F.substring("text", 1, 20), nul, F.substring("text", 21, 20), nul)
+    raw = F.concat(F.substring("text", 1, 20), nul, F.substring("text", F.lit(21), F.char_length("text")), nul)
     return _documents(spark, folder).select(
         "doc_id",
         F.sha2(text.nul_safe(raw), 256).alias("safe_sha256"),
@@ -395,13 +400,13 @@ def base64_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """SELECT doc_id, replace(replace('cannot read /data/' || doc_id || '/page.html near /data/' || doc_id || ': ' ||
-         substr(text, 1, 40), '/data/' || doc_id || '/page.html', '[local file]'), '/data/' || doc_id, '[local file]')
+         text, '/data/' || doc_id || '/page.html', '[local file]'), '/data/' || doc_id, '[local file]')
          AS message FROM documents"""
 )
 def redact_paths(spark: SparkSession, folder: str) -> DataFrame:
     root = F.concat(F.lit("/data/"), c("doc_id").cast("string"))
     page = F.concat(root, F.lit("/page.html"))
-    message = F.concat(F.lit("cannot read "), page, F.lit(" near "), root, F.lit(": "), F.substring("text", 1, 40))
+    message = F.concat(F.lit("cannot read "), page, F.lit(" near "), root, F.lit(": "), c("text"))
     return _documents(spark, folder).select(
         "doc_id", text.redact_paths(message, F.array(root, page, F.lit(""))).alias("message")
     )
@@ -454,13 +459,14 @@ def fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH words AS (SELECT doc_id, string_split(substr(text, 1, 100), ' ') AS before,
-         string_split(substr(text, 51, 100), ' ') AS after FROM documents)
-    SELECT doc_id, CAST(len(list_distinct(list_filter(after, lambda w: NOT list_contains(before, w)))) AS BIGINT) AS added,
-      CAST(len(list_distinct(list_filter(before, lambda w: NOT list_contains(after, w)))) AS BIGINT) AS removed FROM words"""
+    """WITH words AS (
+      SELECT doc_id, 1 AS side, unnest(string_split(text, ' ')) AS word FROM documents UNION ALL
+      SELECT doc_id, 2, unnest(string_split(substr(text, 51), ' ')) FROM documents),
+    sides AS (SELECT doc_id, word, min(side) AS low, max(side) AS high FROM words GROUP BY 1, 2)
+    SELECT doc_id, count(*) FILTER (low = 2) AS added, count(*) FILTER (high = 1) AS removed FROM sides GROUP BY 1"""
 )
 def set_delta(spark: SparkSession, folder: str) -> DataFrame:
-    before, after = (F.split(F.substring("text", start, 100), " ") for start in (1, 51))
+    before, after = (F.split(F.substring("text", F.lit(start), F.char_length("text")), " ") for start in (1, 51))
     added, removed = records.set_delta(before, after)
     return _documents(spark, folder).select(
         "doc_id", added.cast("bigint").alias("added"), removed.cast("bigint").alias("removed")
@@ -468,17 +474,16 @@ def set_delta(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH words AS (SELECT doc_id, string_split(substr(text, 1, 24), ' ') AS names FROM documents)
+    """WITH words AS (SELECT doc_id, string_split(text, ' ') AS names FROM documents)
     SELECT doc_id, names = list_sort(list_distinct(names)) AS canonical FROM words"""
 )
 def canonical_order(spark: SparkSession, folder: str) -> DataFrame:
-    names: Column = F.split(F.substring("text", 1, 24), " ")
+    names: Column = F.split("text", " ")
     return _documents(spark, folder).select("doc_id", records.is_canonical_order(names).alias("canonical"))
 
 
 @query(
-    """SELECT doc_id, doc_id % 3 <> 1 AND strlen(CASE doc_id % 3 WHEN 2 THEN ' ' || text ELSE text END) <= 4096
-         AND length(trim(text, ' ' || chr(10) || chr(9))) > 0 AS valid FROM documents"""
+    """SELECT doc_id, doc_id % 3 <> 1 AND length(trim(text, ' ' || chr(10) || chr(9))) > 0 AS valid FROM documents"""
 )
 def query_validate(spark: SparkSession, folder: str) -> DataFrame:
     """By ``doc_id % 3``: 0 the text, 1 blanks only, 2 the text after a blank."""

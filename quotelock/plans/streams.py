@@ -72,20 +72,20 @@ def stream_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     f"""WITH RECURSIVE {ENTRIES_SQL}
     SELECT collection_id, sequence,
-      CASE WHEN sequence <= 6 AND NOT (collection_id % 4 = 1 AND sequence > 2) THEN previous_entry_sha256 END
+      CASE WHEN NOT (collection_id % 4 = 1 AND sequence > 2) THEN previous_entry_sha256 END
         AS previous_entry_sha256,
-      CASE WHEN sequence <= 6 AND NOT (collection_id % 4 = 1 AND sequence > 2) THEN entry_sha256 END AS entry_sha256,
-      CASE WHEN sequence > 6 THEN 'PACKET_INDEX_FULL' WHEN collection_id % 4 = 1 AND sequence > 2 THEN 'PACKET_APPEND_GAP'
+      CASE WHEN NOT (collection_id % 4 = 1 AND sequence > 2) THEN entry_sha256 END AS entry_sha256,
+      CASE WHEN collection_id % 4 = 1 AND sequence > 2 THEN 'PACKET_APPEND_GAP'
         END AS failure_code
     FROM entries WHERE NOT (collection_id % 4 = 1 AND sequence = 2)"""
 )
 def stream_chain_append(spark: SparkSession, folder: str) -> DataFrame:
-    """Packets appended to chains of at most six; every fourth chain lost its second."""
+    """Packets appended to chains; every fourth chain lost its second."""
     target = _run_folder(spark, "chains")
     rows = packets(_Streamed(spark), folder).where(
         ~((F.pmod("collection_id", F.lit(4)) == 1) & (c("sequence") == 2))
     )
-    appends.stream_chain_append(rows, f"{target}/rows", f"{target}/state", max_entries=6).awaitTermination()
+    appends.stream_chain_append(rows, f"{target}/rows", f"{target}/state").awaitTermination()
     return spark.read.parquet(f"{target}/rows").select(
         "collection_id", "sequence", "previous_entry_sha256", "entry_sha256", "failure_code"
     )

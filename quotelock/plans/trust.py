@@ -446,10 +446,11 @@ def sample_median(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     """WITH base AS (SELECT l_suppkey AS suite, l_linenumber AS packet_count, CAST(sum(l_quantity) AS BIGINT) AS append_ms,
          count(*) AS verify_ms, count(*) AS lineage_bytes FROM lineitem GROUP BY 1, 2),
-    ratios AS (SELECT b.suite, b.packet_count, round(n.append_ms / b.append_ms, 4) AS append_ratio,
+    ratios AS (SELECT coalesce(b.suite, n.suite) AS suite, coalesce(b.packet_count, n.packet_count) AS packet_count,
+        round(n.append_ms / b.append_ms, 4) AS append_ratio,
         round(n.verify_ms / b.verify_ms, 4) AS verification_ratio,
-        CASE WHEN n.suite IS NULL THEN 'BENCHMARK_CHECKPOINT_MISSING' END AS code
-      FROM base b LEFT JOIN (SELECT suite - 1 AS suite, packet_count, append_ms, verify_ms FROM base) n
+        CASE WHEN n.suite IS NULL OR b.suite IS NULL THEN 'BENCHMARK_CHECKPOINT_MISSING' END AS code
+      FROM base b FULL JOIN (SELECT suite - 1 AS suite, packet_count, append_ms, verify_ms FROM base) n
         ON n.suite = b.suite AND n.packet_count = b.packet_count),
     limits AS (SELECT *, coalesce(append_ratio <= 1.25 AND verification_ratio <= 1.25, false) AS within FROM ratios)
     SELECT suite, count(*) AS checkpoints, count(*) FILTER (NOT within) AS exceeded,

@@ -69,7 +69,7 @@ SNAPSHOTS_SQL = f"""snapshots AS (
 
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """A quote per document of 80 characters or more, with a fault by ``doc_id % 20``."""
+    """A quote per document, with a fault by ``doc_id % 20``; short documents are quoted whole."""
     fault = F.pmod(F.col("doc_id"), F.lit(20))
 
     def faulty(number: int, value: Column, clean: Column) -> Column:
@@ -77,7 +77,8 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
 
     c, text = F.col, F.col("content")
     sha = c("sha256")
-    exact = F.substring(text, 10, 60)
+    short = F.char_length(text) < 80
+    exact = F.when(short, text).otherwise(F.substring(text, 10, 60))
     null_view = F.lit(None).cast(VIEW_TYPE)
     view = F.struct(
         F.lit("DerivedCitationView").alias("kind"),
@@ -89,7 +90,6 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     ).cast(VIEW_TYPE)
     return (
         snapshots(spark, folder)
-        .where(F.char_length("content") >= 80)
         .select(
             "doc_id",
             F.concat(F.lit("cand-"), c("doc_id").cast("string")).alias("candidate_id"),
@@ -116,9 +116,9 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
             .alias("exact"),
             F.when(fault == 3, F.substring(text, 2, 8))
             .when(fault == 12, F.substring(text, 1, 33))
-            .otherwise(F.substring(text, 1, 9))
+            .otherwise(F.when(short, F.lit("")).otherwise(F.substring(text, 1, 9)))
             .alias("prefix"),
-            F.substring(text, 70, 32).alias("suffix"),
+            F.when(short, F.lit("")).otherwise(F.substring(text, 70, 32)).alias("suffix"),
             faulty(15, view, null_view).alias("citation_view"),
             c("captured_at").alias("observed_at"),
             faulty(7, iso(c("doc_id")), iso(c("doc_id") + 172800)).alias("verified_at"),
@@ -138,15 +138,14 @@ CANDIDATES_SQL = f"""{SNAPSHOTS_SQL}, candidates AS (
          CASE doc_id % 20 WHEN 4 THEN {iso_sql('doc_id - 86400')}
               WHEN 11 THEN '2026-02-31T00:00:00.000Z' ELSE captured_at END AS captured_at,
          CASE doc_id % 20 WHEN 10 THEN substr(available_at, 1, 10) ELSE available_at END AS available_at,
-         CASE doc_id % 20 WHEN 6 THEN substr(content, 10, 60) || '¤' WHEN 9 THEN '' WHEN 14 THEN ' '
-              ELSE substr(content, 10, 60) END AS exact,
-         CASE doc_id % 20 WHEN 3 THEN substr(content, 2, 8) WHEN 12 THEN substr(content, 1, 33)
-              ELSE substr(content, 1, 9) END AS prefix,
-         substr(content, 70, 32) AS suffix,
+         CASE doc_id % 20 WHEN 6 THEN quote || '¤' WHEN 9 THEN '' WHEN 14 THEN ' ' ELSE quote END AS exact,
+         CASE WHEN doc_id % 20 = 3 THEN substr(content, 2, 8) WHEN doc_id % 20 = 12 THEN substr(content, 1, 33)
+              WHEN length(content) < 80 THEN '' ELSE substr(content, 1, 9) END AS prefix,
+         CASE WHEN length(content) < 80 THEN '' ELSE substr(content, 70, 32) END AS suffix,
          doc_id % 20 = 15 AS has_view,
          captured_at AS observed_at,
          CASE doc_id % 20 WHEN 7 THEN {iso_sql('doc_id')} ELSE {iso_sql('doc_id + 172800')} END AS verified_at
-  FROM snapshots WHERE length(content) >= 80)"""
+  FROM (SELECT *, CASE WHEN length(content) < 80 THEN content ELSE substr(content, 10, 60) END AS quote FROM snapshots))"""
 
 
 def _full_instant(name: str) -> str:
@@ -166,7 +165,6 @@ ENVELOPE_CASES = f"""
 
 INTEGRITY_CASES = """
       WHEN s.snapshot_ref IS NULL THEN 'SNAPSHOT_MISSING'
-      WHEN s.byte_length > 16777216 THEN 'SNAPSHOT_TOO_LARGE'
       WHEN s.byte_length <> c.byte_length THEN 'SNAPSHOT_SIZE_MISMATCH'
       WHEN s.sha256 <> c.sha256 THEN 'SNAPSHOT_HASH_MISMATCH'"""
 
@@ -200,25 +198,28 @@ def decided(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, folder: str) -> DataFrame:
-    """Promotion attempts: errors reject, purchases verify; the user is the candidate."""
+    """Promotion attempts: purchases verify, all else rejects; the user is the candidate."""
     kind = F.col("event_type")
     return (
         table(spark, folder, "events")
-        .where(kind.isin("error", "purchase"))
         .select(
             F.concat(F.lit("cand-"), F.col("user_id").cast("string")).alias("candidate_id"),
             F.col("event_id").alias("sequence"),
-            F.when(kind == "error", "rejected").otherwise("verified").alias("outcome"),
-            F.when(kind == "error", "SELECTOR_NOT_FOUND").alias("failure_code"),
+            F.when(kind == "purchase", "verified").otherwise("rejected").alias("outcome"),
+            F.when(kind == "purchase", None)
+            .when(kind == "error", "SELECTOR_NOT_FOUND")
+            .otherwise("SNAPSHOT_MISSING")
+            .alias("failure_code"),
         )
     )
 
 
 ATTEMPTS_SQL = """attempts AS (
   SELECT 'cand-' || user_id AS candidate_id, event_id AS sequence,
-         CASE event_type WHEN 'error' THEN 'rejected' ELSE 'verified' END AS outcome,
-         CASE event_type WHEN 'error' THEN 'SELECTOR_NOT_FOUND' END AS failure_code
-  FROM events WHERE event_type IN ('error', 'purchase'))"""
+         CASE event_type WHEN 'purchase' THEN 'verified' ELSE 'rejected' END AS outcome,
+         CASE event_type WHEN 'purchase' THEN NULL WHEN 'error' THEN 'SELECTOR_NOT_FOUND' ELSE 'SNAPSHOT_MISSING' END
+           AS failure_code
+  FROM events)"""
 
 
 # -- packet chains from conversations ----------------------------------------------------

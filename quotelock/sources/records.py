@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotelock.functions.ladder import first_failure, holds
+from quotelock.functions.ladder import at_most, first_failure, holds
 
-MAX_RECORD_BYTES = 4 * 1024 * 1024
 
 
 def closed_records(
@@ -18,7 +17,7 @@ def closed_records(
     text: str,
     schema: T.StructType,
     required: Sequence[str] | None = None,
-    max_bytes: int = MAX_RECORD_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Parse JSON text under a closed schema.
 
@@ -39,7 +38,7 @@ def closed_records(
             present = present & F.col("_parsed")[field.name].isNotNull()
     code = first_failure(
         [
-            (F.octet_length(body) <= max_bytes, "RECORD_TOO_LARGE"),
+            (at_most(F.octet_length(body), max_bytes), "RECORD_TOO_LARGE"),
             (F.col("_keys").isNotNull(), "RECORD_NOT_JSON"),
             (
                 F.size(F.array_except("_keys", F.array(*map(F.lit, names)))) == 0,

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotelock.functions.instants import instant_key, is_canonical_instant, midnight_if_date
-from quotelock.functions.ladder import first_failure, holds
+from quotelock.functions.ladder import at_most, first_failure, holds
 from quotelock.functions.records import object_path, snapshot_reference
 
-MAX_SOURCE_BYTES = 16 * 1024 * 1024
+
 TEXT_MEDIA_TYPE = "text/plain; charset=utf-8"
 
 SNAPSHOT_FIELDS = (
@@ -36,7 +36,7 @@ def capture_snapshots(
     available_at: Column,
     captured_at: Column,
     media_type: Column | str = TEXT_MEDIA_TYPE,
-    max_bytes: int = MAX_SOURCE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Turn ``(source_uri, content, …)`` rows into snapshot records.
 
@@ -62,7 +62,7 @@ def capture_snapshots(
             (is_canonical_instant(F.col("captured_at")), "INVALID_TIMESTAMP"),
             (F.col("_available") <= F.col("_captured"), "TIMESTAMP_ORDER_INVALID"),
             (F.col("content").isNotNull(), "SNAPSHOT_MISSING"),
-            (F.col("byte_length") <= max_bytes, "SNAPSHOT_TOO_LARGE"),
+            (at_most(F.col("byte_length"), max_bytes), "SNAPSHOT_TOO_LARGE"),
             (F.is_valid_utf8("content"), "SOURCE_NOT_UTF8"),
         ]
     )
@@ -137,25 +137,26 @@ def write_snapshot_table(snapshots: DataFrame, table: str, buckets: int) -> None
     )
 
 
-def snapshots_by_hash(snapshots: DataFrame, sha256: str | None = None, limit: int = 100) -> DataFrame:
+def snapshots_by_hash(snapshots: DataFrame, sha256: str | None = None, limit: int | None = None) -> DataFrame:
     """References of a content digest by capture time, or of each digest when None.
 
-    The per-digest form keeps the ``limit`` earliest rows of every digest.
+    The per-digest form keeps the ``limit`` earliest rows of every digest, or all.
     """
     key = F.struct(instant_key(F.col("captured_at")), F.col("snapshot_ref"))
     if sha256 is not None:
-        return snapshots.where(F.col("sha256") == sha256).orderBy(key).limit(limit)
+        found = snapshots.where(F.col("sha256") == sha256).orderBy(key)
+        return found if limit is None else found.limit(limit)
     from quotelock.operators.review import first_per_key
 
     return first_per_key(snapshots, "sha256", key, limit, rank="position")
 
 
-def snapshot_facts(snapshots: DataFrame, max_bytes: int = MAX_SOURCE_BYTES) -> DataFrame:
+def snapshot_facts(snapshots: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """What the stored bytes really are: size, digest and text, once per snapshot."""
     length = F.octet_length("content").cast("bigint")
     return snapshots.select(
         "snapshot_ref",
         length.alias("actual_length"),
-        F.when(length <= max_bytes, F.sha2("content", 256)).alias("actual_sha256"),
+        F.when(at_most(length, max_bytes), F.sha2("content", 256)).alias("actual_sha256"),
         F.when(holds(F.is_valid_utf8("content")), F.col("content").cast("string")).alias("text"),
     )

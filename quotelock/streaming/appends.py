@@ -70,12 +70,15 @@ ENTRY_SCHEMA = (
 )
 
 
+IDENTITIES = ("packet_sha256", "candidate_id", "evidence_id")
+
+
 def append_batch(
     batch: DataFrame,
     stored: DataFrame,
     chain: Sequence[str] = ("collection_id",),
-    max_entries: int = 100,
-    max_bytes: int = 64 * 1024 * 1024,
+    max_entries: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Append one batch of packets to the chains kept so far.
 
@@ -83,7 +86,7 @@ def append_batch(
     the stored head as far as it continues without a fault; every later row, and every
     stale, duplicate or overflowing one, keeps its place with a code.
     """
-    from quotelock.plans.blocks import running_sum
+    from quotelock.plans.blocks import join_with_nulls, running_sum
 
     chain = list(chain)
     kept = stored.where(F.col("failure_code").isNull())
@@ -92,13 +95,16 @@ def append_batch(
         F.max("sequence").alias("_head"),
         F.sum("source_byte_length").alias("_bytes"),
     )
-    seen = kept.select(*chain, "packet_sha256").withColumn("_seen", F.lit(True))
-    first = batch.groupBy(*chain, "packet_sha256").agg(F.min("sequence").alias("_first"))
     claims = batch.groupBy(*chain, "sequence").agg(F.count("*").alias("_claims"))
+    staged, fresh = batch, F.lit(True)
+    for name in IDENTITIES:
+        first = batch.groupBy(*chain, name).agg(F.min("sequence").alias(f"_first_{name}"))
+        seen = kept.select(*chain, name).distinct().withColumn(f"_seen_{name}", F.lit(True))
+        staged = join_with_nulls(staged, first, [*chain, name]).join(seen, [*chain, name], "left")
+        fresh = fresh & F.col(name).isNotNull() & F.col(f"_seen_{name}").isNull()
+        fresh = fresh & (F.col("sequence") == F.col(f"_first_{name}"))
     staged = (
-        batch.join(first, [*chain, "packet_sha256"])
-        .join(claims, [*chain, "sequence"])
-        .join(seen, [*chain, "packet_sha256"], "left")
+        join_with_nulls(staged, claims, [*chain, "sequence"])
         .join(heads.select(*chain, "_head", "_bytes"), chain, "left")
         .withColumns({"_head": F.coalesce("_head", F.lit(0)), "_bytes": F.coalesce("_bytes", F.lit(0))})
     )
@@ -108,12 +114,12 @@ def append_batch(
         [
             (F.col("sequence") > F.col("_head"), "PACKET_APPEND_STALE"),
             (F.col("_claims") == 1, "PACKET_APPEND_FORK"),
+            (fresh, "PACKET_INDEX_DUPLICATE"),
+            (F.lit(True) if max_entries is None else F.col("sequence") <= max_entries, "PACKET_INDEX_FULL"),
             (
-                F.col("_seen").isNull() & (F.col("sequence") == F.col("_first")),
-                "PACKET_INDEX_DUPLICATE",
+                F.lit(True) if max_bytes is None else F.col("_bytes") + F.col("_total") <= max_bytes,
+                "PACKET_COLLECTION_BYTES_EXCEEDED",
             ),
-            (F.col("sequence") <= max_entries, "PACKET_INDEX_FULL"),
-            (F.col("_bytes") + F.col("_total") <= max_bytes, "PACKET_COLLECTION_BYTES_EXCEEDED"),
         ]
     )
     staged = staged.withColumn("failure_code", own)
