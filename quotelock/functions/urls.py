@@ -130,52 +130,40 @@ def ends_numeric(host: Column) -> Column:
     return holds(F.regexp_replace(host, r"\.$", "").rlike(r"(^|\.)(\d+|0[xX][0-9A-Fa-f]*)$"))
 
 
-def ipv6_hex(host: Column) -> Column:
-    """32 hex digits of an IPv6 address; NULL when it is not one."""
-    dotted_tail = r"\d{1,3}(?:\.\d{1,3}){3}$"
-
-    def undotted(text: Column) -> Column:
-        def tail(octets: Column) -> Column:
-            valid = F.forall(octets, lambda part: F.coalesce(part.between(0, 255), F.lit(False)))
-            pair = [F.hex(F.get(octets, F.lit(i)) * 256 + F.get(octets, F.lit(i + 1))) for i in (0, 2)]
-            return F.when(
-                holds(valid),
-                F.concat(F.regexp_replace(text, dotted_tail, ""), F.lower(F.concat_ws(":", *pair))),
-            )
+#: An address is groups of one to four hex digits between colons, at most one gap ``::``,
+#: and in place of the last two groups possibly four decimal numbers.
+_GROUP = "[0-9a-f]{1,4}"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_QUAD = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+_SHAPE = rf"^(?=.*:)(?:{_GROUP}(?::{_GROUP})*)?(?:::)?(?:{_GROUP}(?::{_GROUP})*)?(?:(?<=[0-9a-f]):{_QUAD}|(?<=::){_QUAD})?$"
 
-        dotted = F.regexp_extract(text, f":({dotted_tail})", 1)
-        octets = F.transform(F.split(dotted, r"\."), lambda part: part.try_cast("int"))
-        return F.when(F.contains(text, F.lit(".")), bind(octets, tail)).otherwise(text)
 
-    def expand(halves: Column) -> Column:
-        def words(half: Column) -> Column:
-            return F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+def ipv6_hex(host: Column) -> Column:
+    """32 hex digits of an IPv6 address; NULL when it is not one.
 
-        sides = F.transform(halves, words)
-        return bind(sides, fill)
+    The form is checked against the grammar as a whole; then the decimal tail becomes two
+    groups, the gap is filled with the groups that are missing, and all are padded.
+    """
+    bare = F.lower(F.split_part(F.regexp_replace(host, r"^\[|\]$", ""), F.lit("%"), F.lit(1)))
 
-    def fill(sides: Column) -> Column:
-        given = F.flatten(sides)
-        missing = F.lit(8) - F.size(given)
-        whole = F.concat(
-            F.get(sides, F.lit(0)),
-            F.array_repeat(F.lit("0"), F.greatest(F.lit(0), missing)),
-            F.coalesce(F.get(sides, F.lit(1)), F.array().cast("array<string>")),
+    def plain(text: Column) -> Column:
+        quad = F.regexp_extract(text, rf"({_QUAD})$", 1)
+        numbers = F.transform(F.split(quad, r"\."), lambda octet: F.lpad(F.hex(octet.cast("int")), 2, "0"))
+        pairs = F.concat_ws(
+            ":", F.array_join(F.slice(numbers, 1, 2), ""), F.array_join(F.slice(numbers, 3, 2), "")
         )
-        sized = ((F.size(sides) == 2) & (missing >= 1)) | ((F.size(sides) == 1) & (missing == 0))
-        shaped = F.forall(given, lambda word: word.rlike("^[0-9a-f]{1,4}$"))
-        return F.when(
-            holds(sized & shaped),
-            F.array_join(F.transform(whole, lambda word: F.lpad(word, 4, "0")), ""),
-        )
-
-    bare = F.lower(F.split_part(F.regexp_replace(host, r"^\[|\]$", ""), F.lit("%"), F.lit(1)))
-    return bind(
-        bare,
-        lambda text: F.when(
-            holds(F.contains(text, F.lit(":"))), bind(F.split(undotted(text), "::"), expand)
-        ),
-    )
+        return F.when(quad == "", text).otherwise(F.concat(F.regexp_replace(text, rf"{_QUAD}$", ""), F.lower(pairs)))
+
+    def filled(text: Column) -> Column:
+        groups = F.size(F.regexp_extract_all(text, F.lit(_GROUP), F.lit(0)))
+        gap = F.contains(text, F.lit("::"))
+        zeros = F.array_join(F.array_repeat(F.lit("0"), 8 - groups), ":")
+        spread = F.regexp_replace(F.replace(text, F.lit("::"), F.concat(F.lit(":"), zeros, F.lit(":"))), "^:|:$", "")
+        padded = F.transform(F.split(spread, ":"), lambda group: F.lpad(group, 4, "0"))
+        fits = F.when(gap, groups <= 7).otherwise(groups == 8)
+        return F.when(fits, F.array_join(padded, ""))
+
+    return F.when(holds(bare.rlike(_SHAPE)), bind(bind(bare, plain), filled))
 
 
 def _ipv4_blocked(number: Column) -> Column:

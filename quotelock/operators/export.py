@@ -94,18 +94,33 @@ def packet_export(
 ) -> DataFrame:
     """Join verified evidence to its bytes and make portable packets.
 
-    ``contents`` has ``(snapshot_ref, content)``. Base64 is taken once per content, before
-    the join. ``packet_sha256`` is the head over all fields.
+    ``contents`` has ``(snapshot_ref, content)``. Base64, size and digest are taken once per
+    content, before the join. ``packet_sha256`` is the head over all fields; evidence whose
+    bytes are missing or are not the claimed ones has a ``failure_code`` and no head.
     """
-    encoded = contents.select("snapshot_ref", to_base64(F.col("content").cast("binary")).alias("base64"))
-    joined = evidence.join(encoded, "snapshot_ref")
+    content = F.col("content").cast("binary")
+    encoded = contents.select(
+        "snapshot_ref",
+        to_base64(content).alias("base64"),
+        F.octet_length(content).cast("bigint").alias("_length"),
+        F.sha2(content, 256).alias("_sha256"),
+    )
+    code = first_failure(
+        [
+            (F.col("_sha256").isNotNull(), "SNAPSHOT_MISSING"),
+            (F.col("_length") == F.col("byte_length"), "SNAPSHOT_SIZE_MISMATCH"),
+            (F.col("_sha256") == F.col("sha256"), "SNAPSHOT_HASH_MISMATCH"),
+        ]
+    )
+    joined = evidence.join(encoded, "snapshot_ref", "left").withColumn("failure_code", code)
+    intact = F.col("failure_code").isNull()
     return joined.withColumns(
         {
-            "packet_sha256": canonical_digest(packet_members(namespace)),
+            "packet_sha256": F.when(intact, canonical_digest(packet_members(namespace))),
             "object_path": F.lit(PACKET_OBJECT_PATH),
             "source_uri": content_urn(F.col("sha256"), namespace),
         }
-    )
+    ).drop("_length", "_sha256")
 
 
 def index_digest(entries: Column, namespace: str) -> Column:

@@ -28,6 +28,11 @@ HEAD_ONLY = frozenset("base link meta title style script noscript template".spli
 # Elements whose end tag may be left out: inside a hidden subtree that would make
 # its extent a guess.
 IMPLIED_END = frozenset("p li dd dt td th tr thead tbody tfoot option optgroup".split())
+# Elements whose content is text although it looks like markup: rejected.
+RAW_TEXT = frozenset("iframe noembed noframes plaintext textarea xmp".split())
+# A line break right after the start tag is not content.
+LEADING_BREAK = frozenset("listing pre".split())
+ROW_PARTS = frozenset("tr thead tbody tfoot".split())
 
 _CONTROL = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f-\x9f]")
 _BLANKS = re.compile("[\t\f\v \u00a0]+")
@@ -51,6 +56,8 @@ class _TextEvents(HTMLParser):
         self.skipping: list[str] = []
         self.body_seen = False
         self.pending = ""
+        self.after_pre = False
+        self.cells = [False]
 
     def flush(self) -> None:
         if self.pending:
@@ -62,8 +69,16 @@ class _TextEvents(HTMLParser):
         if not self.chunks or self.chunks[-1] != value:
             self.chunks.append(value)
 
+    def close_cell(self) -> None:
+        if self.cells[-1]:
+            self.cells[-1] = False
+            self.boundary("\t")
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.flush()
+        self.after_pre = False
+        if tag in RAW_TEXT:
+            raise _Unsupported
         if self.skipping:
             if tag in IMPLIED_END and tag in self.skipping:
                 raise _Unsupported
@@ -81,9 +96,16 @@ class _TextEvents(HTMLParser):
             if tag in ("br", "hr") and not hidden:
                 self.boundary("\n")
             return
+        if tag in ("td", "th") or tag in ROW_PARTS:
+            self.close_cell()
         if hidden or in_head or tag in SKIPPED_ELEMENTS:
             self.skipping.append(tag)
             return
+        if tag in ("td", "th"):
+            self.cells[-1] = True
+        elif tag == "table":
+            self.cells.append(False)
+        self.after_pre = tag in LEADING_BREAK
         if tag in BLOCK_ELEMENTS:
             self.boundary("\n")
             self.open_blocks.append(tag)
@@ -93,6 +115,7 @@ class _TextEvents(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.flush()
+        self.after_pre = False
         if self.skipping:
             if tag in VOID_ELEMENTS:
                 return
@@ -103,8 +126,12 @@ class _TextEvents(HTMLParser):
         if tag == "br":
             self.boundary("\n")
         elif tag in ("td", "th"):
-            self.boundary("\t")
+            self.close_cell()
         elif tag == "p" or tag in self.open_blocks:
+            if tag == "table" or tag in ROW_PARTS:
+                self.close_cell()
+            if tag == "table" and len(self.cells) > 1:
+                self.cells.pop()
             while tag in self.open_blocks and self.open_blocks.pop() != tag:
                 pass
             self.boundary("\n")
@@ -115,6 +142,9 @@ class _TextEvents(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.skipping:
             return
+        if self.after_pre:
+            data = data.removeprefix("\r").removeprefix("\n")
+            self.after_pre = False
         if data.strip():
             self.body_seen = True
         self.pending += data
@@ -152,7 +182,7 @@ def render_html(html: str) -> tuple[str | None, str | None]:
 def _render_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = [
-            (None, "HTML_PARSE_FAILED") if html is None else render_html(html)
+            (None, "CITATION_VIEW_INVALID") if html is None else render_html(html)
             for html in batch.column("html").to_pylist()
         ]
         yield pa.RecordBatch.from_arrays(

@@ -450,14 +450,14 @@ _SELECTOR_JSON = """'{"exact":' || to_json(exact) || ',"prefix":' || to_json(pre
         selector_json || ',"snapshot":' || snapshot_json || ',"verifiedAt":"' || verified_at ||
         '"}},"kind":"PortableEvidencePacket","source":{{"base64":"' || base64 || '","byteLength":' || byte_length ||
         ',"mediaType":"' || media_type || '","name":"source.bin","sha256":"' || sha256 || '"}},"version":1}}')
-        AS packet_sha256
+        AS packet_sha256, CAST(NULL AS VARCHAR) AS failure_code
     FROM parts"""
 )
 def packet_export(spark: SparkSession, folder: str) -> DataFrame:
     evidence = gate.promotion_record(decided(spark, folder))["evidence"]
     contents = snapshots(spark, folder).select("snapshot_ref", "content")
     return export.packet_export(evidence, contents).select(
-        "candidate_id", "evidence_id", "source_uri", "packet_sha256"
+        "candidate_id", "evidence_id", "source_uri", "packet_sha256", "failure_code"
     )
 
 

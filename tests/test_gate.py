@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quotelock.operators import gate
 from quotelock.operators.html_view import html_text_views, render_html
 
-TEXT = "Alpha. The verified fact is 42. Omega."
-QUOTE = "The verified fact is 42."
+TEXT = "Before. Nine barges crossed at dawn! After."
+QUOTE = "Nine barges crossed at dawn!"
 SHA = hashlib.sha256(TEXT.encode()).hexdigest()
 SCHEMA = (
     "candidate_id string, kind string, snapshot_ref string, media_type string, sha256 string, byte_length bigint, "
@@ -20,7 +20,7 @@ VALID = {
     "candidate_id": "c1", "kind": "EvidenceCandidate", "snapshot_ref": "s1", "media_type": "text/plain; charset=utf-8",
     "sha256": SHA, "byte_length": len(TEXT.encode()), "object_path": "objects/x", "source_uri": "file:///x",
     "captured_at": "2026-01-02T00:00:00.123456789Z", "available_at": "2026-01-01T00:00:00Z",
-    "selector_type": "TextQuoteSelector", "exact": QUOTE, "prefix": "Alpha. ", "suffix": " Omega.",
+    "selector_type": "TextQuoteSelector", "exact": QUOTE, "prefix": "Before. ", "suffix": " After.",
     "citation_view": None, "observed_at": "2026-01-02T00:00:00.123456789Z", "verified_at": "2026-01-03T00:00:00.000Z",
 }
 ENVELOPE, STAMP = "INVALID_EVIDENCE_ENVELOPE", "INVALID_TIMESTAMP"
@@ -48,8 +48,8 @@ FAULTS = [
     ({"byte_length": len(TEXT) + 1}, "SNAPSHOT_SIZE_MISMATCH"),
     ({"sha256": "0" * 64}, "SNAPSHOT_HASH_MISMATCH"),
     ({"exact": "absent"}, "SELECTOR_NOT_FOUND"),
-    ({"exact": "a"}, "SELECTOR_AMBIGUOUS"),
-    ({"prefix": "lpha. "}, "SELECTOR_CONTEXT_MISMATCH"),
+    ({"exact": "r"}, "SELECTOR_AMBIGUOUS"),
+    ({"prefix": "efore. "}, "SELECTOR_CONTEXT_MISMATCH"),
     ({"suffix": ""}, "SELECTOR_CONTEXT_MISMATCH"),
 ]
 
@@ -94,7 +94,7 @@ def test_oversized_snapshot(spark, stored):
 
 
 def test_html_candidates(spark):
-    html = "<!doctype html><body><p>Alpha. The verified fact is <b>42</b>.</p><p>Omega.</p></body>"
+    html = "<!doctype html><body><p>Before. Nine barges <b>crossed</b> at dawn!</p><p>After.</p></body>"
     sha = hashlib.sha256(html.encode()).hexdigest()
     text, _ = render_html(html)
     view_sha = hashlib.sha256(text.encode()).hexdigest()
@@ -103,7 +103,7 @@ def test_html_candidates(spark):
         return ("DerivedCitationView", "html-text@1", source, "text/plain; charset=utf-8", digest, len(text))
 
     record = {**VALID, "media_type": "text/html; charset=utf-8", "sha256": sha, "byte_length": len(html),
-              "exact": "The verified fact is 42.", "suffix": "\nOmega.", "citation_view": view()}
+              "exact": QUOTE, "suffix": "\nAfter.", "citation_view": view()}
     snapshots = spark.createDataFrame([("s1", html)], "snapshot_ref string, content string")
     views = html_text_views(snapshots.withColumn("sha256", F.sha2("content", 256)))
     records = [record, {**record, "citation_view": None}, {**record, "citation_view": view(source=SHA)},

@@ -85,3 +85,31 @@ def test_versions(spark, pairs):
         semver.semver_key(F.col("a")).alias("a"), semver.semver_key(F.col("b")).alias("b")
     ).select(F.col("a") < F.col("b"))
     assert [r[0] for r in compared.collect()] == [version_model(a) < version_model(b) for a, b in pairs]
+
+
+def test_ipv6_equals_the_standard_library(spark):
+    import ipaddress
+    import random
+
+    from quotelock.functions import urls
+
+    random.seed(7)
+    parts = ["::", ":", "0", "1", "ab", "ffff", "12345", "g", "1.2.3.4", "256.1.1.1", "2001:db8"]
+    texts = {"".join(random.choices(parts, k=random.randrange(1, 12))) for _ in range(3000)}
+    for _ in range(1500):
+        groups = [f"{random.randrange(1 << random.choice([1, 8, 16])):x}" for _ in range(8)]
+        start, stop = sorted(random.sample(range(9), 2))
+        texts |= {":".join(groups), ":".join(groups[:start]) + "::" + ":".join(groups[stop:])}
+        texts |= {":".join(groups[:6]) + ":9.8.7.65", ":".join(groups[:start]) + "::" + ":".join(groups[stop:7]) + ":1.2.3.4"}
+
+    def expected(text):
+        try:
+            return ipaddress.IPv6Address(text).packed.hex()
+        except ValueError:
+            return None
+
+    frame = spark.createDataFrame([(text,) for text in sorted(texts)], "v string")
+    rows = frame.select("v", urls.ipv6_hex(F.col("v")).alias("got")).collect()
+    wrong = [(row.v, row.got, expected(row.v)) for row in rows if row.got != expected(row.v)]
+    assert not wrong, wrong[:10]
+    assert sum(row.got is not None for row in rows) > 1000
