@@ -2,19 +2,21 @@
 
 A text is its sequence of five-word shingles, each with the number of its occurrence. A
 sketch under one hash order is the two least shingles in the order in which the text has
-them; a band joins the sketches of three orders. Texts that agree in a band are candidates.
+them; a band joins the sketches of four orders. Texts that agree in a band are candidates.
 A candidate's similarity is that of an alignment: shingles matched in one order of both
 texts and within the band that the threshold leaves, over all shingles of the two.
 
 Texts of equal words are one node, however many documents have them. In a bucket, nodes
-meet its least one first; later only nodes that are in different components still meet,
-and never more than the outsiders of a bucket's largest component against its members.
+first meet its hub, the one that shares most buckets with others: of many copies of one
+text that is the text itself. Later only nodes in different components still meet, and
+never more than the outsiders of a bucket's largest component against its members.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ from quotelock.llm.staging import staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 28
-ROWS = 3
+BANDS = 48
+ROWS = 4
 #: Outsiders of a bucket that meet its members in one round; the rest follow in later ones.
 BLOCK = 256
 
@@ -113,6 +115,8 @@ def _sketch_batches(bands: int, rows: int):
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> int:
     """Most shingles that both sequences have in one order, within the band.
 
+    When too few match for the similarity in any order, their number is returned.
+
     Labelled shingles are distinct, so the alignment is the longest rising run of the
     places in ``b`` taken in the order of ``a``. An alignment that reaches ``similarity``
     leaves out at most ``band`` shingles of either side, and no match in it shifts further.
@@ -204,8 +208,14 @@ def near_copies(
     in_bands = nodes.select("node", "n_shingles", F.posexplode("bands").alias("at", "value")).select(
         "node", "n_shingles", F.xxhash64("at", "value").alias("band")
     )
-    hubs = in_bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    buckets = staged(in_bands.join(hubs, "band").drop("size"), "buckets")
+    shared = in_bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    sized = staged(in_bands.join(shared, "band"), "bands")
+    degrees = sized.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree"))
+    ranked = sized.join(degrees, "node")
+    hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("most"))
+    buckets = staged(
+        sized.drop("size").join(hubs.select("band", F.col("most.node").alias("hub")), "band"), "buckets"
+    )
     sizes = nodes.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_shingles"))
     meets = staged(
         buckets.where("node <> hub").select("node", "hub", "n_shingles").distinct().join(sizes, "hub")
@@ -220,7 +230,7 @@ def near_copies(
     edges = staged(_verified(meets, texts, similarity), "edges")
     members = buckets.select("band", "node", "n_shingles")
     tested = meets
-    while True:
+    for turn in count():
         found = staged(components(edges), "components")
         placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         groups = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
@@ -232,7 +242,7 @@ def near_copies(
         open_members = staged(placed.join(mixed_bands, "band"), "open-buckets")
         blocks = F.ceil(F.col("outside") / BLOCK)
         outsiders = open_members.where(
-            (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("node", "outside"), blocks) == 0)
+            (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("node", F.lit(turn)), blocks) == 0)
         ).select("band", F.col("node").alias("other"), F.col("component").alias("other_component"), F.col("n_shingles").alias("other_shingles"))
         if not open_members.limit(1).count():
             break
