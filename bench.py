@@ -12,7 +12,7 @@ import sys
 import tempfile
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotelock.operators.chains import chain_build, chain_verify
@@ -50,27 +50,29 @@ def timed(action) -> float:
     return time.perf_counter() - started
 
 
-def synthetic_chain(spark: SparkSession, entries: int, chains: int) -> DataFrame:
-    """As many packets as there are orders, spread over equal chains."""
-    head = F.sha2(F.col("id").cast("string"), 256)
-    return spark.range(entries).select(
-        (F.col("id") % chains).alias("collection_id"),
-        (F.floor(F.col("id") / chains) + 1).alias("sequence"),
+def order_chains(spark: SparkSession) -> DataFrame:
+    """Every order is a packet; customers are dealt to chains of about a hundred orders."""
+    orders = spark.read.parquet(f"{FOLDER}/orders.parquet")
+    chains = max(1, orders.count() // 100)
+    head = F.sha2(F.concat_ws(":", "o_orderkey", "o_orderdate", "o_orderpriority"), 256)
+    chain = F.pmod(F.xxhash64("o_custkey"), F.lit(chains))
+    return orders.select(
+        chain.alias("collection_id"),
+        F.row_number().over(Window.partitionBy(chain).orderBy("o_orderkey")).cast("bigint").alias("sequence"),
         head.alias("packet_sha256"),
         head.alias("source_sha256"),
-        F.lit(1000).cast("bigint").alias("source_byte_length"),
-        F.concat(F.lit("c"), "id").alias("candidate_id"),
-        F.concat(F.lit("e"), "id").alias("evidence_id"),
+        F.octet_length("o_orderpriority").cast("bigint").alias("source_byte_length"),
+        F.concat(F.lit("c"), "o_orderkey").alias("candidate_id"),
+        F.concat(F.lit("e"), "o_orderkey").alias("evidence_id"),
     )
 
 
 def chain_rates(spark: SparkSession, scratch: str) -> dict[str, float]:
     """Verification rate, and the time of one batch append of n and of 2n packets."""
-    lines = spark.read.parquet(f"{FOLDER}/orders.parquet").count()
-    chains = max(1, lines // 100)
-    built = chain_build(synthetic_chain(spark, lines, chains), ["collection_id"], packet_payload())
+    built = chain_build(order_chains(spark), ["collection_id"], packet_payload())
     built.write.mode("overwrite").parquet(f"{scratch}/entries")
     stored = spark.read.parquet(f"{scratch}/entries")
+    lines = stored.count()
 
     def verify() -> None:
         drain(chain_verify(stored, ["collection_id"], packet_payload()))
@@ -103,6 +105,7 @@ def main() -> None:
         spark__driver__memory="8g",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=f"file://{scratch}/shared",
     )
     spark.sparkContext.setLogLevel("ERROR")
     registered = catalog.load()

@@ -6,28 +6,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotelock.functions.digests import deterministic_id
-from quotelock.functions.ladder import first_failure, holds
+from quotelock.functions.ladder import at_most, first_failure, holds
 from quotelock.functions.text import (
     MAX_MATCHES,
     PREVIEW_CONTEXT,
     SELECTOR_CONTEXT,
     WHITESPACE,
+    charset_supported,
     context_after,
     context_before,
     exact_occurrences,
+    is_html,
     located,
     query_valid,
     ws_occurrences,
 )
 from quotelock.plans.checkpoints import cut_lineage
+from quotelock.sources.snapshots import snapshot_facts
 
 
 
+def intact_captures(
+    captures: DataFrame, snapshots: DataFrame, views: DataFrame | None = None, max_bytes: int | None = None
+) -> DataFrame:
+    """Captures with the text they are cited from, read only from intact bytes.
+
+    ``captures`` has ``(capture_id, snapshot_ref, sha256, byte_length, media_type)``,
+    ``snapshots`` ``(snapshot_ref, content)`` and ``views`` what ``html_text_views`` gives.
+    Adds ``text``, NULL where ``capture_failure`` has a code: bytes missing, too large, of
+    another size or digest, a charset other than UTF-8, or HTML without a text.
+    """
+    html = is_html(F.col("media_type"))
+    joined = captures.join(snapshot_facts(snapshots, max_bytes), "snapshot_ref", "left")
+    if views is None:
+        joined = joined.withColumns({name: F.lit(None).cast("string") for name in ("view_text", "view_failure")})
+    else:
+        wanted = F.when(html, F.col("sha256"))
+        rendered = views.select(F.col("source_sha256").alias("_view"), "view_text", "view_failure")
+        joined = joined.join(rendered, wanted == F.col("_view"), "left").drop("_view")
+    code = first_failure(
+        [
+            (F.col("actual_length").isNotNull(), "SNAPSHOT_MISSING"),
+            (at_most(F.col("actual_length"), max_bytes), "SNAPSHOT_TOO_LARGE"),
+            (F.col("actual_length") == F.col("byte_length"), "SNAPSHOT_SIZE_MISMATCH"),
+            (F.col("actual_sha256") == F.col("sha256"), "SNAPSHOT_HASH_MISMATCH"),
+            (charset_supported(F.col("media_type")) & F.col("text").isNotNull(), "CITATION_VIEW_INVALID"),
+            (~html | F.col("view_text").isNotNull(), F.coalesce(F.col("view_failure"), F.lit("HTML_PARSE_FAILED"))),
+        ]
+    )
+    read = F.when(html, F.col("view_text")).otherwise(F.col("text"))
+    return (
+        joined.withColumn("capture_failure", code)
+        .withColumn("text", F.when(F.col("capture_failure").isNull(), read))
+        .drop("actual_length", "actual_sha256", "view_text", "view_failure")
+    )
+
+
+def _unread(captures: DataFrame) -> Column:
+    """Code of a capture without text."""
+    absent = F.lit("WEB_CAPTURE_NOT_PERSISTED")
+    return F.coalesce(F.col("capture_failure"), absent) if "capture_failure" in captures.columns else absent
+
+
 def cite_by_source(quotes: DataFrame, captures: DataFrame) -> DataFrame:
     """Turn ``(capture_id, exact)`` into candidates on the capture's text.
 
-    ``captures`` has ``(capture_id, text, …)``. A quote that occurs once gets its
-    context and a deterministic id; the others keep their row with a code.
+    ``captures`` has ``(capture_id, text, …)``, as from :func:`intact_captures`. A quote
+    that occurs once gets its context and a deterministic id; the others keep their row
+    with a code.
     """
     text, exact = F.col("text"), F.col("exact")
     joined = quotes.join(captures, "capture_id", "left").withColumn("_start", F.position(exact, text))
@@ -35,7 +81,7 @@ def cite_by_source(quotes: DataFrame, captures: DataFrame) -> DataFrame:
     code = first_failure(
         [
             (F.char_length(exact) > 0, "SELECTOR_NOT_FOUND"),
-            (text.isNotNull(), "WEB_CAPTURE_NOT_PERSISTED"),
+            (text.isNotNull(), _unread(captures)),
             (start > 0, "SELECTOR_NOT_FOUND"),
             (F.position(exact, text, start + 1) == 0, "SELECTOR_AMBIGUOUS"),
         ]
@@ -69,7 +115,8 @@ def citation_preview(
     one finds nothing.
     """
     text, query = F.col("text"), F.col("query")
-    joined = queries.join(captures.select("capture_id", "text"), "capture_id", "left")
+    read = [name for name in ("capture_id", "text", "capture_failure") if name in captures.columns]
+    joined = queries.join(captures.select(*read), "capture_id", "left")
     usable = query_valid(query, max_query_bytes) & text.isNotNull()
     no_texts = F.array().cast("array<string>")
     offsets = F.when(usable, exact_occurrences(text, query, limit)).otherwise(
@@ -105,7 +152,7 @@ def citation_preview(
     code = first_failure(
         [
             (query_valid(query, max_query_bytes), "CITATION_QUERY_INVALID"),
-            (text.isNotNull(), "WEB_CAPTURE_NOT_PERSISTED"),
+            (text.isNotNull(), _unread(captures)),
             (~oversized, "CITATION_PREVIEW_MATCH_TOO_LARGE"),
         ]
     )

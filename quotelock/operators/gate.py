@@ -72,12 +72,12 @@ def _key(name: str) -> Column:
     return F.col(f"_{name}_key")
 
 
-def view_shape(view: Column, media_type: Column, sha256: Column) -> Column:
+def view_shape(view: Column, media_type: Column, sha256: Column, transformation: str = TRANSFORMATION) -> Column:
     """A citation view is well formed and bound to this HTML source."""
     return holds(
         is_html(media_type)
         & (view["kind"] == VIEW_KIND)
-        & (view["transformation"] == TRANSFORMATION)
+        & (view["transformation"] == transformation)
         & (view["media_type"] == TEXT_MEDIA_TYPE)
         & (view["source_sha256"] == sha256)
         & is_digest(view["sha256"])
@@ -85,7 +85,12 @@ def view_shape(view: Column, media_type: Column, sha256: Column) -> Column:
     )
 
 
-def _envelope_rules(kind: str, max_bytes: int | None, max_quote_bytes: int | None = None) -> list[Rule]:
+def _envelope_rules(
+    kind: str,
+    max_bytes: int | None,
+    transformation: str = TRANSFORMATION,
+    max_quote_bytes: int | None = None,
+) -> list[Rule]:
     c = F.col
     invalid, instant = "INVALID_EVIDENCE_ENVELOPE", "INVALID_TIMESTAMP"
     evidence = kind == EVIDENCE_KIND
@@ -113,7 +118,7 @@ def _envelope_rules(kind: str, max_bytes: int | None, max_quote_bytes: int | Non
         *([(_key("verified_at").isNotNull(), instant)] if evidence else []),
         (ordered, "TIMESTAMP_ORDER_INVALID"),
         (
-            ~view_needed | view_shape(c("citation_view"), c("media_type"), c("sha256")),
+            ~view_needed | view_shape(c("citation_view"), c("media_type"), c("sha256"), transformation),
             "CITATION_VIEW_INVALID",
         ),
     ]
@@ -124,15 +129,22 @@ def _drop_working(rows: DataFrame) -> DataFrame:
 
 
 def envelope_validate(
-    records: DataFrame, kind: str = CANDIDATE_KIND, max_bytes: int | None = None
+    records: DataFrame,
+    kind: str = CANDIDATE_KIND,
+    max_bytes: int | None = None,
+    transformation: str = TRANSFORMATION,
+    max_quote_bytes: int | None = None,
 ) -> DataFrame:
-    """Check candidate or evidence records field by field; adds ``failure_code``."""
+    """Check candidate or evidence records field by field; adds ``failure_code``.
+
+    ``transformation`` is the name that stored citation views were made under.
+    """
     instants = ["available_at", "captured_at", "observed_at"]
     if kind == EVIDENCE_KIND:
         instants.append("verified_at")
     staged = with_instant_keys(records, *instants)
     return _drop_working(
-        staged.withColumn("failure_code", first_failure(_envelope_rules(kind, max_bytes)))
+        staged.withColumn("failure_code", first_failure(_envelope_rules(kind, max_bytes, transformation, max_quote_bytes)))
     )
 
 
@@ -208,6 +220,8 @@ def promotion_gate(
     views: DataFrame | None = None,
     verified_at: Column | None = None,
     max_bytes: int | None = None,
+    transformation: str = TRANSFORMATION,
+    max_quote_bytes: int | None = None,
 ) -> DataFrame:
     """Decide every candidate: ``outcome`` verified or rejected, with the first code.
 
@@ -246,7 +260,7 @@ def promotion_gate(
     rules: list[Rule] = [
         (F.col("kind") == CANDIDATE_KIND, "INVALID_CANDIDATE_KIND"),
         (F.coalesce(F.col("exact"), F.lit("?")) != "", "SELECTOR_NOT_FOUND"),
-        *_envelope_rules(CANDIDATE_KIND, max_bytes)[1:],
+        *_envelope_rules(CANDIDATE_KIND, max_bytes, transformation, max_quote_bytes)[1:],
         (_key("observed_at") <= _key("verified_at"), "VERIFICATION_TIME_INVALID"),
         *_integrity_rules(max_bytes),
         (html | F.col("text").isNotNull(), "CITATION_VIEW_INVALID"),

@@ -200,6 +200,45 @@ def cite_by_source(spark: SparkSession, folder: str) -> DataFrame:
     return cited.select("doc_id", "failure_code", "candidate_id", "prefix", "suffix")
 
 
+@query(
+    """WITH stored AS (
+      SELECT doc_id, text, doc_id % 6 AS form, CASE WHEN length(text) < 80 THEN text ELSE substr(text, 10, 60) END AS exact
+      FROM documents), coded AS (
+      SELECT *, CASE WHEN form = 4 THEN 'SNAPSHOT_MISSING' WHEN form = 2 THEN 'SNAPSHOT_SIZE_MISMATCH'
+          WHEN form = 1 AND NOT starts_with(text, '#') THEN CASE WHEN strlen(substr(text, 1, 1)) > 1
+            THEN 'SNAPSHOT_SIZE_MISMATCH' ELSE 'SNAPSHOT_HASH_MISMATCH' END
+          WHEN form = 3 THEN 'CITATION_VIEW_INVALID' WHEN form = 5 THEN 'HTML_PARSE_FAILED' END AS capture_failure
+      FROM stored)
+    SELECT doc_id, capture_failure, CASE WHEN exact = '' THEN 'SELECTOR_NOT_FOUND' WHEN capture_failure IS NOT NULL
+        THEN capture_failure WHEN strpos(substr(text, strpos(text, exact) + 1), exact) > 0 THEN 'SELECTOR_AMBIGUOUS'
+        END AS failure_code
+    FROM coded"""
+)
+def intact_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """By ``doc_id % 6``: 1 first character changed, 2 bytes added, 3 other charset, 4 no bytes, 5 HTML not rendered."""
+    form = F.pmod("doc_id", F.lit(6))
+    rest = F.substring("content", F.lit(2), F.char_length("content"))
+    kept = snapshots(spark, folder)
+    captures = kept.select(
+        c("doc_id").alias("capture_id"),
+        "snapshot_ref",
+        "sha256",
+        "byte_length",
+        F.when(form == 3, "text/plain; charset=latin-1").when(form == 5, "text/html").otherwise(c("media_type")).alias("media_type"),
+    )
+    stored = kept.where(form != 4).select(
+        "snapshot_ref",
+        F.when(form == 1, F.concat(F.lit("#"), rest))
+        .when(form == 2, F.concat("content", F.lit("#")))
+        .otherwise(c("content"))
+        .alias("content"),
+    )
+    exact = F.when(F.char_length("text") < 80, c("text")).otherwise(F.substring("text", 10, 60))
+    quotes = table(spark, folder, "documents").select(c("doc_id").alias("capture_id"), "doc_id", exact.alias("exact"))
+    cited = cite.cite_by_source(quotes, cite.intact_captures(captures, stored))
+    return cited.select("doc_id", "capture_failure", "failure_code")
+
+
 def _previews(spark: SparkSession, folder: str) -> DataFrame:
     """By ``doc_id % 5``: 0 exact quote, 1 two characters, 2 blanks widened, 3 absent, 4 blank."""
     form = F.pmod("doc_id", F.lit(5))
