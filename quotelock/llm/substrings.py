@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,8 @@ from quotelock.llm.staging import staged
 
 WINDOW = 13
 GRAM = 4
-#: Bits of the table of shared anchors. It only saves work: an anchor that it lets
-#: through by chance brings segments whose windows are then not found elsewhere.
+#: Bits of the tables of shared anchors and of documents that lose words. They only save
+#: work: what they let through by chance meets nothing in the joins that follow.
 TABLE_BITS = 1 << 25
 #: Words that one shard indexes, about.
 SHARD_WORDS = 1 << 20
@@ -88,16 +89,20 @@ def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def anchor_table(anchors: DataFrame) -> np.ndarray:
-    """Bits of the anchors that are in at least two rows of ``anchors``."""
-    shared = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
-    cells = shared.mapInArrow(_cell_rows, "cell bigint, bits bigint").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
+def bit_table(values: DataFrame) -> np.ndarray:
+    """A bit for every value of a ``bigint`` column, combined before it reaches the driver."""
+    cells = values.mapInArrow(_cell_rows, "cell bigint, bits bigint").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
     found = cells.toArrow()
     table = np.zeros(TABLE_BITS // 32, np.uint32)
     table[found.column("cell").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
     return table
 
 
+def set_bits(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = mixed(values, 2) % np.uint64(TABLE_BITS)
+    return (table[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32) & 1).astype(bool)
+
+
 def _segment_rows(shared, window: int):
     names = ["key", "text_hash", "start", "windows", "anchor", "content", "words"]
 
@@ -107,8 +112,7 @@ def _segment_rows(shared, window: int):
             for start, stop in slices(batch.column(2)):
                 part = batch.slice(start, stop - start)
                 found = Segments(part.column(2), window)
-                slot = mixed(found.anchors, 2) % np.uint64(TABLE_BITS)
-                kept = np.flatnonzero(table[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32) & 1)
+                kept = np.flatnonzero(set_bits(table, found.anchors))
                 if not len(kept):
                     continue
                 first, counts, owner = found.first[kept], found.counts[kept], found.owner[kept]
@@ -166,6 +170,19 @@ def _search_shards(window: int):
     return run
 
 
+def _touched_rows(shared, wanted: bool):
+    """Rows with, or without, a set bit: only documents that may lose words move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = pc.cast(batch.column(3), pa.int64()).to_numpy(zero_copy_only=False)
+            rows = np.flatnonzero(set_bits(shared.value, value.view(np.uint64)) == wanted)
+            for start in range(0, len(rows), 256):
+                yield batch.take(pa.array(rows[start : start + 256])).select(["key", "text_hash", "text"])
+
+    return run
+
+
 def _removal_rows(window: int):
     names = ["key", "n_words", "n_removed", "kept"]
 
@@ -197,7 +214,8 @@ def repeated_windows(source: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     spark = source.sparkSession
     anchors = source.select("text").mapInArrow(_anchor_rows(window), "anchor bigint")
-    shared = spark.sparkContext.broadcast(anchor_table(anchors))
+    met_again = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
+    shared = spark.sparkContext.broadcast(bit_table(met_again))
     segments = staged(
         source.mapInArrow(
             _segment_rows(shared, window),
@@ -212,7 +230,10 @@ def repeated_windows(source: DataFrame, window: int = WINDOW) -> DataFrame:
         "segment-contents",
     )
     size = contents.agg(F.coalesce(F.sum(F.col("windows") + window - 1), F.lit(0)).alias("words")).first()["words"]
-    hot = contents.groupBy("anchor").count().where(F.col("count") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("hot"))
+    hot = staged(
+        contents.groupBy("anchor").count().where(F.col("count") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("hot")),
+        "hot-anchors",
+    )
     marked = contents.join(hot, "anchor", "left")
     whole = marked.where("hot is null").select(
         "anchor", "content", F.lit(0).cast("bigint").alias("at"), "words", "least", "most",
@@ -255,8 +276,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_hash"),
         F.col(text).cast("string").alias("text"),
     )
-    places = repeated_windows(source, window)
-    joined = source.join(places, ["key", "text_hash"], "left").select("key", "text", "places")
-    return joined.mapInArrow(
+    places = staged(repeated_windows(source, window), "repeated-places")
+    table = bit_table(places.select(F.xxhash64("key", "text_hash").alias("value")))
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    marked = source.select("key", "text_hash", "text", F.xxhash64("key", "text_hash").alias("value"))
+    kinds = "key bigint, text_hash bigint, text string"
+    touched = marked.mapInArrow(_touched_rows(shared, True), kinds).join(places, ["key", "text_hash"], "left")
+    whole = marked.mapInArrow(_touched_rows(shared, False), kinds).withColumn("places", F.array().cast("array<bigint>"))
+    columns = ["key", "text", "places"]
+    return touched.select(*columns).union(whole.select(*columns)).mapInArrow(
         _removal_rows(window), "key bigint, n_words bigint, n_removed bigint, kept string"
     ).select(F.when(F.col("key") != greatest, F.col("key")).alias(key), "n_words", "n_removed", "kept")
