@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +61,6 @@ class Segments:
         at = np.flatnonzero(new)
         self.first, self.anchors, self.owner = windows[at], least[at], owner[at]
         self.counts = np.diff(np.append(at, len(windows)))
-        self.contents = mixed(roller.windows(self.first, self.counts + window - 1) ^ self.counts.astype(np.uint64), 1)
 
 
 def _anchor_rows(window: int):
@@ -104,7 +102,7 @@ def set_bits(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _segment_rows(shared, window: int):
-    names = ["key", "text_hash", "start", "windows", "anchor", "content", "words"]
+    names = ["key", "text_hash", "start", "anchor", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -122,9 +120,8 @@ def _segment_rows(shared, window: int):
                 rows = pa.array(owner)
                 columns = [
                     part.column(0).take(rows), part.column(1).take(rows),
-                    pa.array((first - found.words.first[owner]).astype(np.int64)), pa.array(counts.astype(np.int64)),
-                    pa.array(found.anchors[kept].view(np.int64)), pa.array(found.contents[kept].view(np.int64)),
-                    pa.array(texts, pa.binary()),
+                    pa.array((first - found.words.first[owner]).astype(np.int64)),
+                    pa.array(found.anchors[kept].view(np.int64)), pa.array(texts, pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -170,39 +167,60 @@ def _search_shards(window: int):
     return run
 
 
-def _touched_rows(shared, wanted: bool):
-    """Rows with, or without, a set bit: only documents that may lose words move."""
+def _without_places(texts: list, places: list, window: int) -> list[pa.Array]:
+    """Word counts, removed words and kept text of each text without its covered words."""
+    rows = []
+    for text, starts in zip(texts, places, strict=True):
+        words = (text or "").encode().split()
+        if not starts:
+            rows.append((len(words), 0, b" ".join(words).decode()))
+            continue
+        gone = np.zeros(len(words) + 1, np.int64)
+        starts = np.unique(np.asarray(starts, np.int64))
+        gone[starts] += 1
+        np.subtract.at(gone, starts + window, 1)
+        left = [words[i] for i in np.flatnonzero(np.cumsum(gone[:-1]) == 0).tolist()]
+        rows.append((len(words), len(words) - len(left), b" ".join(left).decode()))
+    return [pa.array([row[i] for row in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
+
+
+_REMOVED = ["key", "n_words", "n_removed", "kept"]
+
+
+def _touched_rows(shared):
+    """Rows with a set bit: only documents that may lose words move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            value = pc.cast(batch.column(3), pa.int64()).to_numpy(zero_copy_only=False)
-            rows = np.flatnonzero(set_bits(shared.value, value.view(np.uint64)) == wanted)
+            rows = np.flatnonzero(set_bits(shared.value, batch.column(3).to_numpy().view(np.uint64)))
             for start in range(0, len(rows), 256):
-                yield batch.take(pa.array(rows[start : start + 256])).select(["key", "text_hash", "text"])
+                yield batch.take(pa.array(rows[start : start + 256])).select([0, 1, 2])
 
     return run
 
 
-def _removal_rows(window: int):
-    names = ["key", "n_words", "n_removed", "kept"]
+def _whole_rows(shared, window: int):
+    """Results of the rows without a set bit, which lose nothing."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clear = ~set_bits(shared.value, batch.column(3).to_numpy().view(np.uint64))
+            for start, stop in slices(batch.column(2)):
+                part = batch.slice(start, stop - start).filter(pa.array(clear[start:stop]))
+                texts = part.column(2).to_pylist()
+                columns = _without_places(texts, [None] * len(texts), window)
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=_REMOVED)
+
+    return run
+
+
+def _removal_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in slices(batch.column(1)):
                 part = batch.slice(start, stop - start)
-                rows = []
-                for text, places in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    words = (text or "").encode().split()
-                    gone = np.zeros(len(words) + 1, np.int64)
-                    starts = np.unique(np.asarray(places or [], np.int64))
-                    gone[starts] += 1
-                    np.subtract.at(gone, starts + window, 1)
-                    keep = np.cumsum(gone[:-1]) == 0
-                    left = words if keep.all() else [words[i] for i in np.flatnonzero(keep).tolist()]
-                    rows.append((len(words), len(words) - len(left), b" ".join(left)))
-                columns = [part.column(0), *(pa.array([row[i] for row in rows], pa.int64()) for i in (0, 1))]
-                columns.append(pa.array([row[2].decode() for row in rows], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                columns = _without_places(part.column(1).to_pylist(), part.column(2).to_pylist(), window)
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=_REMOVED)
 
     return run
 
@@ -219,14 +237,14 @@ def repeated_windows(source: DataFrame, window: int = WINDOW) -> DataFrame:
     segments = staged(
         source.mapInArrow(
             _segment_rows(shared, window),
-            "key bigint, text_hash bigint, start bigint, windows bigint, anchor bigint, content bigint, words binary",
-        ),
+            "key bigint, text_hash bigint, start bigint, anchor bigint, words binary",
+        ).withColumn("content", F.xxhash64("words")),
         "segments",
     )
     contents = staged(
-        segments.groupBy("anchor", "content", "windows", "words").agg(
-            F.min("key").alias("least"), F.max("key").alias("most")
-        ),
+        segments.groupBy("anchor", "words")
+        .agg(F.min("key").alias("least"), F.max("key").alias("most"))
+        .withColumns({"content": F.xxhash64("words"), "windows": F.size(F.split(F.col("words").cast("string"), " ")) - (window - 1)}),
         "segment-contents",
     )
     size = contents.agg(F.coalesce(F.sum(F.col("windows") + window - 1), F.lit(0)).alias("words")).first()["words"]
@@ -237,7 +255,7 @@ def repeated_windows(source: DataFrame, window: int = WINDOW) -> DataFrame:
     marked = contents.join(hot, "anchor", "left")
     whole = marked.where("hot is null").select(
         "anchor", "content", F.lit(0).cast("bigint").alias("at"), "words", "least", "most",
-        F.xxhash64("anchor").alias("shard"),
+        F.lit(False).alias("cut"),
     )
     split = F.split(F.col("words").cast("string"), " ")
     cut = marked.where("hot").select(
@@ -246,9 +264,10 @@ def repeated_windows(source: DataFrame, window: int = WINDOW) -> DataFrame:
     cut = cut.select(
         "anchor", "content", F.col("at").cast("bigint").alias("at"),
         F.array_join(F.slice("list", F.col("at") + 1, window), " ").cast("binary").alias("words"), "least", "most",
-    ).withColumn("shard", F.xxhash64("words"))
+    ).withColumn("cut", F.lit(True))
     shards = max(1, -(-size // SHARD_WORDS))
-    indexed = whole.union(cut).repartition(shards, "shard").drop("shard")
+    shard = F.when(F.col("cut"), F.xxhash64("words")).otherwise(F.col("anchor"))
+    indexed = whole.union(cut).repartition(shards, shard).drop("cut")
     matches = staged(
         indexed.mapInArrow(_search_shards(window), "anchor bigint, content bigint, at bigint, least array<bigint>"),
         "window-matches",
@@ -281,9 +300,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     shared = docs.sparkSession.sparkContext.broadcast(table)
     marked = source.select("key", "text_hash", "text", F.xxhash64("key", "text_hash").alias("value"))
     kinds = "key bigint, text_hash bigint, text string"
-    touched = marked.mapInArrow(_touched_rows(shared, True), kinds).join(places, ["key", "text_hash"], "left")
-    whole = marked.mapInArrow(_touched_rows(shared, False), kinds).withColumn("places", F.array().cast("array<bigint>"))
-    columns = ["key", "text", "places"]
-    return touched.select(*columns).union(whole.select(*columns)).mapInArrow(
-        _removal_rows(window), "key bigint, n_words bigint, n_removed bigint, kept string"
-    ).select(F.when(F.col("key") != greatest, F.col("key")).alias(key), "n_words", "n_removed", "kept")
+    removed = "key bigint, n_words bigint, n_removed bigint, kept string"
+    touched = (
+        marked.mapInArrow(_touched_rows(shared), kinds)
+        .join(places, ["key", "text_hash"], "left")
+        .select("key", "text", "places")
+        .mapInArrow(_removal_rows(window), removed)
+    )
+    whole = marked.mapInArrow(_whole_rows(shared, window), removed)
+    return touched.union(whole).select(F.when(F.col("key") != greatest, F.col("key")).alias(key), "n_words", "n_removed", "kept")
