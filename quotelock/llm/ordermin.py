@@ -17,11 +17,12 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import count
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotelock.llm.buffers import PLAIN, Words, buffer, find_words, mixed, per_text, slices
@@ -32,6 +33,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 48
 ROWS = 4
+#: A pair of outsiders whose signatures differ by so many standard deviations more than
+#: those of a pair at the threshold is not compared: about 3 in 100,000 such pairs.
+DEVIATIONS = 4.0
 #: Outsiders of a bucket that meet its members in one round; the rest follow in later ones.
 BLOCK = 256
 
@@ -63,12 +67,13 @@ def shingles(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed(windows + label * _LABEL), bounds
 
 
-def sketch(values: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Band values of every text that has a shingle, as an array of texts by bands."""
+def sketch(values: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band values, and four bits of both least shingles of every order, by text with shingles."""
     full = np.flatnonzero(np.diff(bounds))
     starts, counts = bounds[full], np.diff(bounds)[full]
     factors = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
     out = np.zeros((len(full), bands), np.uint64)
+    signature = np.zeros((len(full), -(-bands * rows // 8)), np.uint64)
     several = counts > 1
     for number, factor in enumerate(factors):
         ordered = values * factor
@@ -78,13 +83,47 @@ def sketch(values: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.
         second = first.copy()
         found = np.flatnonzero(ordered == np.repeat(np.minimum.reduceat(ordered, starts), counts))
         second[several] = found[np.repeat(several, counts)[found]]
+        for place, least in enumerate((first, second)):
+            nibble = np.uint64(8 * (number % 8) + 4 * place)
+            signature[:, number // 8] |= (mixed(values[least], 3) & np.uint64(15)) << nibble
         one, two = values[np.minimum(first, second)], values[np.maximum(first, second)]
         out[:, number // rows] = mixed(out[:, number // rows] + mixed(one) * _FIRST + two)
-    return out
+    return out, signature
+
+
+def signature_limit(similarity: float, orders: int) -> int:
+    """Most differing signature parts that a pair of this similarity has, but for chance.
+
+    Of the shingles of both, ``s`` are shared and each side has half of the rest to itself.
+    The first least ones agree when a shared shingle is first. The second ones agree when
+    one more shared one follows, or when one of either side's own comes before the first.
+    Parts of different shingles are equal by chance once in sixteen.
+    """
+    s = similarity
+    both, second_only = s * s, s * (1 - s) ** 2 / 2
+    neither = 1 - s - second_only
+    one = s - both + second_only
+    mean, seen = one + 2 * neither, 15 / 16
+    variance = one + 4 * neither - mean**2
+    mean, variance = seen * mean, seen**2 * variance + mean * seen * (1 - seen)
+    return ceil(orders * mean + DEVIATIONS * (orders * variance) ** 0.5)
+
+
+def signature_distance(left: Column, right: Column) -> Column:
+    """Differing four-bit parts of two signatures."""
+    mask = F.lit(0x1111111111111111)
+
+    def parts(a: Column, b: Column) -> Column:
+        bits = a.bitwiseXOR(b)
+        for shift in (1, 2):
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift))
+        return F.bit_count(bits.bitwiseAND(mask))
+
+    return F.aggregate(F.zip_with(left, right, parts), F.lit(0), lambda total, part: total + part)
 
 
 def _sketch_batches(bands: int, rows: int):
-    names = ["key", "text_hash", "d1", "d2", "n_words", "n_shingles", "bands"]
+    names = ["key", "text_hash", "d1", "d2", "n_words", "n_shingles", "bands", "signature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,14 +137,15 @@ def _sketch_batches(bands: int, rows: int):
                 ]
                 values, bounds = shingles(words, hashes)
                 lists: list = [[]] * part.num_rows
+                signatures: list = [[]] * part.num_rows
                 if len(values):
-                    full = np.flatnonzero(np.diff(bounds))
-                    for row, band in zip(full.tolist(), sketch(values, bounds, bands, rows).view(np.int64), strict=True):
-                        lists[row] = band
+                    found = (array.view(np.int64) for array in sketch(values, bounds, bands, rows))
+                    for row, *both in zip(np.flatnonzero(np.diff(bounds)).tolist(), *found, strict=True):
+                        lists[row], signatures[row] = both
                 columns = [
                     part.column(0), part.column(1), *map(pa.array, digests),
                     pa.array(words.counts.astype(np.int64)), pa.array(np.diff(bounds).astype(np.int64)),
-                    pa.array(lists, pa.list_(pa.int64())),
+                    pa.array(lists, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -194,13 +234,14 @@ def near_copies(
         F.col(text).cast("string").alias("text"),
     )
     schema = (
-        "key bigint, text_hash bigint, d1 bigint, d2 bigint, n_words bigint, n_shingles bigint, bands array<bigint>"
+        "key bigint, text_hash bigint, d1 bigint, d2 bigint, n_words bigint, n_shingles bigint, "
+        "bands array<bigint>, signature array<bigint>"
     )
     sketched = staged(source.mapInArrow(_sketch_batches(bands, rows), schema), "sketches")
     content = ["d1", "d2", "n_words"]
     nodes = staged(
         sketched.where("n_words > 0")
-        .groupBy(*content, "n_shingles", "bands")
+        .groupBy(*content, "n_shingles", "bands", "signature")
         .agg(F.min("key").alias("least_key"), F.min_by("text_hash", "key").alias("text_hash"))
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
@@ -230,6 +271,7 @@ def near_copies(
     edges = staged(_verified(meets, texts, similarity), "edges")
     members = buckets.select("band", "node", "n_shingles")
     tested = meets
+    limit = signature_limit(similarity, bands * rows)
     for turn in count():
         found = staged(components(edges), "components")
         placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -239,17 +281,19 @@ def near_copies(
             .agg(F.count("*").alias("parts"), F.max_by("component", "size").alias("main"), (F.sum("size") - F.max("size")).alias("outside"))
             .where("parts > 1")
         )
-        open_members = staged(placed.join(mixed_bands, "band"), "open-buckets")
+        signed = nodes.select("node", "signature")
+        open_members = staged(placed.join(mixed_bands, "band").join(signed, "node"), "open-buckets")
         blocks = F.ceil(F.col("outside") / BLOCK)
         outsiders = open_members.where(
             (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("node", F.lit(turn)), blocks) == 0)
-        ).select("band", F.col("node").alias("other"), F.col("component").alias("other_component"), F.col("n_shingles").alias("other_shingles"))
+        ).select("band", F.col("node").alias("other"), F.col("component").alias("other_component"), F.col("n_shingles").alias("other_shingles"), F.col("signature").alias("other_signature"))
         if not open_members.limit(1).count():
             break
         pairs = (
             open_members.join(outsiders, "band")
             .where("component <> other_component")
             .where(F.least("n_shingles", "other_shingles") >= similarity * F.greatest("n_shingles", "other_shingles"))
+            .where(signature_distance(F.col("signature"), F.col("other_signature")) <= limit)
             .select(*_ordered(F.col("node"), F.col("other")))
             .distinct()
         )
