@@ -5,19 +5,22 @@ context; when the context has not seen it, an escape leads to the next shorter o
 the symbols of the longer context are excluded. Escapes are estimated by the number of
 distinct symbols. The last context excludes them too and gives every byte left an equal share.
 
-Counts come from all training texts. A node stays in the trie when its share of all
-counted bytes is at least :data:`SHARE`, so at every depth there are at most ``1 / SHARE``
-nodes, however large the corpus is; rarer ones are reached by escapes.
+Counts come from all training texts, and the trie has every node that was counted: it is
+a table, and so are its contexts. A gram's code length depends on the gram alone, so it is
+worked out once per distinct gram by equi joins with the two. Those of the most frequent
+grams are sent to every task as a cache; the others meet the texts' grams by an equi join.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +28,13 @@ from quotelock.llm.buffers import buffer, mixed, per_text, slices
 from quotelock.llm.staging import staged
 
 DEPTH = 4
-SHARE = 2.0**-20
+#: Nodes with a smaller share of all counted bytes are left out; by default none is.
+SHARE = 0.0
+#: A gram is in the cache when its share of all counted bytes is at least this, so at most
+#: ``1 / CACHED`` are.
+CACHED = 2.0**-22
+#: Nodes of at most this order are sent to every task: there are at most ``SYMBOLS**2``.
+SHORT = 1
 #: A word is common when its share of training tokens is at least this, so at most
 #: ``1 / COMMON`` words are.
 COMMON = 2.0**-16
@@ -33,7 +42,7 @@ EDGE = 0xFF
 #: Bytes of lower-cased UTF-8 (13 bytes never occur, 26 are capitals) and the end.
 SYMBOLS = 256 - 13 - 26 + 1
 MOST_WORDS = 1 << 18
-CACHE_BITS = 20
+CACHE_BITS = 22
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -88,8 +97,48 @@ class ByteModel:
         return cls(depth, tuple(nodes), tuple(sums))
 
 
+class Level(NamedTuple):
+    """What the trie has of some grams at one order, one entry per gram."""
+
+    known: np.ndarray
+    total: np.ndarray
+    distinct: np.ndarray
+    covered: np.ndarray
+    count: np.ndarray
+
+
+def code_lengths(levels: Iterable[Level], grams: int) -> np.ndarray:
+    """log10 of the probability of each gram's last byte, from its levels, the longest first.
+
+    Every symbol of a context is a symbol of the next shorter one, because its count
+    there is no smaller; so what is excluded is what the longer context has.
+    """
+    out, taken, seen = np.zeros(grams), np.zeros(grams), np.zeros(grams)
+    done = np.zeros(grams, bool)
+    for level in levels:
+        total = np.where(level.known, level.total - taken, 0.0)
+        distinct = np.where(level.known, level.distinct - seen, 0.0)
+        open_here = ~done & level.known & (distinct > 0)
+        hit = open_here & (level.count > 0)
+        whole = np.where(open_here, total + distinct, 1.0)
+        out += np.log10(np.where(hit, level.count, np.where(open_here, distinct, 1.0)) / whole)
+        taken = np.where(level.known, level.covered, 0.0)
+        seen = np.where(level.known, level.distinct, 0.0)
+        done |= hit
+    out[~done] -= np.log10(np.maximum(SYMBOLS - seen[~done], 1.0))
+    return out
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Index of each wanted key, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
 class ByteScorer:
-    """Code lengths of grams under a model, vectorised, with a table of the latest ones."""
+    """Code lengths of grams under a model in memory, vectorised."""
 
     def __init__(self, model: ByteModel) -> None:
         self.model = model
@@ -105,65 +154,49 @@ class ByteScorer:
             self.distinct.append(np.bincount(inverse, minlength=len(contexts)).astype(float))
             shorter = self._count(order - 1, keys & ((1 << (8 * order)) - 1)) if order else np.zeros(len(keys))
             self.covered.append(np.bincount(inverse, weights=shorter, minlength=len(contexts)))
-        self.known = np.full(1 << CACHE_BITS, -1, np.int64)
-        self.value = np.zeros(1 << CACHE_BITS)
-
-    @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Index of each wanted key, or -1."""
-        if not len(keys):
-            return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, at, -1)
 
     def _count(self, order: int, keys: np.ndarray) -> np.ndarray:
-        at = self._find(self.model.nodes[order], keys)
+        at = _find(self.model.nodes[order], keys)
         if not len(self.model.counts[order]):
             return np.zeros(len(keys))
         return np.where(at >= 0, self.model.counts[order][at], 0.0)
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each gram's last byte after the bytes before it.
-
-        Every symbol of a context is a symbol of the next shorter one, because its count
-        there is no smaller; so what is excluded is what the longer context has.
-        """
-        out = np.zeros(len(keys))
-        left = np.arange(len(keys))
-        taken, seen = np.zeros(len(keys)), np.zeros(len(keys))
-        for order in range(self.model.depth, -1, -1):
-            part = keys[left] & ((1 << (8 * (order + 1))) - 1)
-            at = self._find(self.contexts[order], part >> 8)
-            has = at >= 0
-            if not has.any():
-                taken, seen = np.zeros(len(left)), np.zeros(len(left))
-                continue
-            total = np.where(has, self.total[order][at] - taken, 0.0)
-            distinct = np.where(has, self.distinct[order][at] - seen, 0.0)
-            open_here = has & (distinct > 0)
-            count = np.where(has, self._count(order, part), 0.0)
-            hit = open_here & (count > 0)
-            whole = np.where(open_here, total + distinct, 1.0)
-            out[left] += np.log10(np.where(hit, count, np.where(open_here, distinct, 1.0)) / whole)
-            taken = np.where(has, self.covered[order][at], 0.0)
-            seen = np.where(has, self.distinct[order][at], 0.0)
-            rest = ~hit
-            left, taken, seen = left[rest], taken[rest], seen[rest]
-        out[left] -= np.log10(np.maximum(SYMBOLS - seen, 1.0))
-        return out
+    def level(self, order: int, keys: np.ndarray) -> Level:
+        part = keys & ((1 << (8 * (order + 1))) - 1)
+        at = _find(self.contexts[order], part >> 8)
+        if not len(self.contexts[order]):
+            return Level(at >= 0, *[np.zeros(len(keys))] * 4)
+        stats = (values[order][at] for values in (self.total, self.distinct, self.covered))
+        return Level(at >= 0, *stats, self._count(order, part))
+
+    def levels(self, keys: np.ndarray) -> list[Level]:
+        return [self.level(order, keys) for order in range(self.model.depth, -1, -1)]
 
     def score(self, keys: np.ndarray) -> np.ndarray:
-        """As :meth:`log10`; grams met before come from a table."""
-        slot = (mixed(keys.view(np.uint64)) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-        values = self.value[slot]
-        miss = np.flatnonzero(self.known[slot] != keys)
-        if len(miss):
-            fresh, inverse = np.unique(keys[miss], return_inverse=True)
-            found = self.log10(fresh)
-            values[miss] = found[inverse]
-            self.known[slot[miss]] = keys[miss]
-            self.value[slot[miss]] = values[miss]
-        return values
+        return code_lengths(self.levels(keys), len(keys))
+
+
+class Cache:
+    """Code lengths of some grams, found by a slot of their own or else by search."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.slots = np.full(1 << CACHE_BITS, -1, np.int32)
+        self.slots[self._slot(self.keys)] = np.arange(len(self.keys), dtype=np.int32)
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (mixed(keys.view(np.uint64)) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code lengths, 0 where there is none, and the places of those."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.arange(len(keys))
+        at = self.slots[self._slot(keys)].astype(np.int64)
+        other = np.flatnonzero((at < 0) | (self.keys[at] != keys))
+        at[other] = _find(self.keys, keys[other])
+        return np.where(at >= 0, self.values[at], 0.0), other[at[other] < 0]
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,50 +257,126 @@ def training_counts(training: DataFrame, text: str = "text") -> DataFrame:
     return counted.groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
-def byte_model(counts: DataFrame, depth: int = DEPTH, share: float = SHARE) -> ByteModel:
-    """The trie of all nodes whose share is at least ``share``; shares are taken in Spark.
+class Trie(NamedTuple):
+    """All nodes ``(order, node, n)``, and contexts ``(order, context, total, distinct, covered)``."""
+
+    nodes: DataFrame
+    contexts: DataFrame
+    short: ByteModel
+
+
+def byte_trie(counts: DataFrame, least: float = 0.0) -> Trie:
+    """The trie of all nodes counted at least ``least`` times, as staged tables.
 
-    Full grams under the share still count for their shorter nodes: each depth is summed
-    over the whole table before anything is left out.
+    Full grams under ``least`` still count for their shorter nodes. A context has at most
+    :data:`SYMBOLS` nodes, and so has a node that others are longer than by one byte.
     """
-    full = counts.where("gram is not null").select("gram", "n")
-    total = full.agg(F.sum("n")).first()[0] or 0
-    least = share * total
-    nodes, sums = [], []
-    for length in range(1, depth + 2):
-        level = (
-            full.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * length)) - 1)).alias("gram"))
-            .agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= least)
-            .toArrow()
-            .sort_by("gram")
-        )
-        nodes.append(level.column("gram").to_numpy())
-        sums.append(level.column("n").to_numpy().astype(float))
-    return ByteModel(depth, tuple(nodes), tuple(sums))
+    suffixes = [
+        F.struct(F.lit(order).alias("order"), F.col("gram").bitwiseAND(F.lit((1 << (8 * (order + 1))) - 1)).alias("node"))
+        for order in range(DEPTH + 1)
+    ]
+    nodes = staged(
+        counts.where("gram is not null")
+        .select(F.explode(F.array(*suffixes)).alias("at"), "n")
+        .groupBy("at.order", "at.node")
+        .agg(F.sum("n").alias("n"))
+        .where(F.col("n") >= least),
+        "nodes",
+    )
+    shorter = nodes.select((F.col("order") + 1).alias("order"), F.col("node").alias("tail"), F.col("n").alias("shorter"))
+    contexts = staged(
+        nodes.withColumn("tail", F.expr("node & (shiftleft(1L, 8 * order) - 1)"))
+        .join(shorter, ["order", "tail"], "left")
+        .groupBy("order", F.shiftright("node", 8).alias("context"))
+        .agg(
+            F.sum("n").alias("total"),
+            F.count("*").alias("distinct"),
+            F.sum(F.coalesce("shorter", F.lit(0))).alias("covered"),
+        ),
+        "contexts",
+    )
+    few = nodes.where(F.col("order") <= SHORT).toArrow().sort_by([("order", "ascending"), ("node", "ascending")])
+    orders, keys, sums = (few.column(name).to_numpy() for name in ("order", "node", "n"))
+    of_order = [orders == order for order in range(SHORT + 1)]
+    short = ByteModel(
+        SHORT, tuple(keys[part] for part in of_order), tuple(sums[part].astype(float) for part in of_order)
+    )
+    return Trie(nodes, contexts, short)
+
+
+def gram_lengths(wanted: DataFrame, trie: Trie) -> DataFrame:
+    """``(gram, value)`` with the code length of each of the distinct grams ``(gram)``."""
+    long = range(DEPTH, SHORT, -1)
+    suffixes = [
+        F.struct(F.lit(order).alias("order"), F.col("gram").bitwiseAND(F.lit((1 << (8 * (order + 1))) - 1)).alias("node"))
+        for order in long
+    ]
+    met = (
+        wanted.select("gram", F.explode(F.array(*suffixes)).alias("at"))
+        .select("gram", "at.order", "at.node", F.shiftright("at.node", 8).alias("context"))
+        .join(trie.nodes, ["order", "node"], "left")
+        .join(trie.contexts, ["order", "context"], "left")
+    )
+    fields = ("total", "distinct", "covered", "n")
+    flat = met.groupBy("gram").agg(
+        *[F.max(F.when(F.col("order") == order, F.col(name))).alias(f"{name}{order}") for order in long for name in fields]
+    )
+    short = wanted.sparkSession.sparkContext.broadcast(trie.short)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = ByteScorer(short.value)
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            levels = []
+            for start in range(1, batch.num_columns, len(fields)):
+                known = batch.column(start).is_valid().to_numpy(zero_copy_only=False)
+                stats = [
+                    pc.fill_null(batch.column(start + i), 0).to_numpy(zero_copy_only=False).astype(float)
+                    for i in range(len(fields))
+                ]
+                levels.append(Level(known, *stats))
+            values = code_lengths([*levels, *scorer.levels(keys)], len(keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["gram", "value"])
+
+    return flat.mapInArrow(run, "gram bigint, value double")
+
+
+_caches: dict[int, Cache] = {}
 
 
-_scorers: dict[int, ByteScorer] = {}
+def _cache(lengths: tuple[np.ndarray, np.ndarray]) -> Cache:
+    if id(lengths) not in _caches:
+        _caches.clear()
+        _caches[id(lengths)] = Cache(*lengths)
+    return _caches[id(lengths)]
 
 
-def _scorer(model: ByteModel) -> ByteScorer:
-    if id(model) not in _scorers:
-        _scorers.clear()
-        _scorers[id(model)] = ByteScorer(model)
-    return _scorers[id(model)]
+def _rare_lists(keys: np.ndarray, owner: np.ndarray, rows: int) -> pa.Array:
+    """Per row the distinct grams of it with their numbers."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(keys)))
+    values = pa.StructArray.from_arrays([pa.array(keys[at]), pa.array(times.astype(np.int64))], ["gram", "times"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[at], np.arange(rows + 1)).astype(np.int32)), values)
 
 
 def _score_batches(shared, common_words):
-    names = ["row", "key", "score", "n_tokens", "n_common", "common_score", "rare"]
+    names = ["row", "key", "cached_score", "rare_grams", "n_tokens", "n_common", "common_score", "rare"]
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, common = _scorer(shared.value), common_words.value
+        cache, common = _cache(shared.value), common_words.value
         for batch in batches:
             for start, stop in slices(batch.column(2)):
                 part = batch.slice(start, stop - start)
-                keys, bounds = grams(*buffer(part.column(2)), scorer.model.depth)
-                scores = per_text(scorer.score(keys), bounds)
+                keys, bounds = grams(*buffer(part.column(2)))
+                values, missed = cache.find(keys)
+                scores = per_text(values, bounds)
+                owner = np.searchsorted(bounds, missed, side="right") - 1
+                rare_grams = _rare_lists(keys[missed], owner, part.num_rows)
                 rows = []
                 for text in part.column(2).to_pylist():
                     found = Counter(lower_words(text or ""))
@@ -282,7 +391,7 @@ def _score_batches(shared, common_words):
                             known += times
                             value += times * gain
                     rows.append((number, known, value, rare))
-                columns = [part.column(0), part.column(1), pa.array(scores)]
+                columns = [part.column(0), part.column(1), pa.array(scores), rare_grams]
                 columns += [pa.array([row[i] for row in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), rare_type))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -298,6 +407,7 @@ def score_texts(
     words are sent to every task (there are at most ``1 / COMMON``); the others meet the
     documents' words by an equi join. NULL text counts as empty. Without training texts
     nothing is known and both scores use the least count. Repeated rows stay repeated.
+    Nodes under ``share`` of all counted bytes are left out, by default none.
     """
     spark = docs.sparkSession
     counts = staged(training_counts(training, text), "training-counts")
@@ -309,7 +419,11 @@ def score_texts(
         bytes(row["word"]): float(np.log10(row["n"] + 1) - whole)
         for row in words.where(F.col("n") >= max(1.0, COMMON * tokens)).collect()
     }
-    model = spark.sparkContext.broadcast(byte_model(counts, share=share))
+    full = counts.where("gram is not null").select("gram", "n")
+    total = full.agg(F.sum("n")).first()[0] or 0
+    trie = byte_trie(counts, share * total)
+    frequent = gram_lengths(full.where(F.col("n") >= max(1.0, CACHED * total)).select("gram"), trie).toArrow()
+    cached = spark.sparkContext.broadcast((frequent.column("gram").to_numpy(), frequent.column("value").to_numpy()))
     shared = spark.sparkContext.broadcast(common)
     source = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text")
@@ -317,8 +431,9 @@ def score_texts(
     kind = source.schema["key"].dataType.simpleString()
     scored = staged(
         source.mapInArrow(
-            _score_batches(model, shared),
-            f"row bigint, key {kind}, score double, n_tokens bigint, n_common bigint, common_score double, "
+            _score_batches(cached, shared),
+            f"row bigint, key {kind}, cached_score double, rare_grams array<struct<gram: bigint, times: bigint>>, "
+            "n_tokens bigint, n_common bigint, common_score double, "
             "rare array<struct<word: binary, times: bigint>>",
         ),
         "scored",
@@ -330,8 +445,16 @@ def score_texts(
         .groupBy("row")
         .agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_gain"))
     )
+    rare_grams = scored.select("row", F.explode("rare_grams").alias("rare")).select("row", "rare.gram", "rare.times")
+    lengths = staged(gram_lengths(rare_grams.select("gram").distinct(), trie), "gram-lengths")
+    long = (
+        rare_grams.join(lengths, "gram")
+        .groupBy("row")
+        .agg(F.sum(F.col("times") * F.col("value")).alias("rare_score"))
+    )
     rare_known = F.coalesce("rare_known", F.lit(0))
-    return scored.drop("rare").join(known, "row", "left").select(
+    whole_rows = scored.drop("rare", "rare_grams").join(known, "row", "left").join(long, "row", "left")
+    return whole_rows.select(
         F.col("key").alias(key),
         "n_tokens",
         (F.col("n_common") + rare_known).alias("n_known"),
@@ -339,5 +462,5 @@ def score_texts(
         (
             F.col("common_score") + F.coalesce("rare_gain", F.lit(0.0)) - (F.col("n_tokens") - F.col("n_common")) * float(whole)
         ).alias("base_score"),
-        "score",
+        (F.col("cached_score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )

@@ -125,3 +125,21 @@ def test_query_equals_brute_force(spark, folder):
     assert collected(rows) == plain_rows(docs, training, ppm.SHARE)
     for row in rows.select("doc_id", "held_out").collect():
         assert row["held_out"] == (zlib.crc32(str(row["doc_id"]).encode()) % 7 == 2)
+
+
+def test_rare_contexts_count_however_large_the_corpus_is(spark, monkeypatch):
+    """The rare word is under the share that the cache asks for; its contexts are known all the same."""
+    monkeypatch.setattr(ppm, "CACHED", 2.0**-8)
+    texts = ["the same line of common words again"] * 400 + ["zyxwvut"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    docs = spark.createDataFrame([(1, "zyxwvut"), (2, "words again"), (3, "yxwq zz")], "doc_id bigint, text string")
+    got = score_texts(docs, frame)
+    assert collected(got) == plain_rows([tuple(row) for row in docs.collect()], texts, 0)
+
+
+def test_no_counted_node_is_left_out(spark):
+    """Two million bytes of one line: a word seen once has a share under 2^-20."""
+    texts = ["a line that is the same everywhere " * 600] * 100 + ["zyxwvut"]
+    training = spark.createDataFrame([(0, text) for text in texts], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(1, "zyxwvut")], "doc_id bigint, text string")
+    assert collected(score_texts(docs, training)) == plain_rows([(1, "zyxwvut")], texts, 0)
