@@ -1,10 +1,10 @@
 """Near copies by order MinHash and banded alignment.
 
-A text is its sequence of five-word shingles, each with the number of its occurrence. A
-sketch under one hash order is the two least shingles in the order in which the text has
-them; a band joins the sketches of four orders. Texts that agree in a band are candidates.
-A candidate's similarity is that of an alignment: shingles matched in one order of both
-texts and within the band that the threshold leaves, over all shingles of the two.
+A text is its sequence of five-word shingles. For sketches only, each has the number of its
+occurrence. A sketch under one hash order is the two least shingles in the order in which
+the text has them; a band joins the sketches of four orders. Texts that agree in a band are
+candidates. A candidate's similarity is that of an alignment: shingles matched in one order
+of both texts, whichever occurrences they are, over all shingles of the two.
 
 Texts of equal words are one node, however many documents have them. In a bucket, nodes
 first meet its hub, the one that shares most buckets with others: of many copies of one
@@ -39,6 +39,9 @@ DEVIATIONS = 4.0
 #: Outsiders of a bucket that meet its members in one round; the rest follow in later ones.
 BLOCK = 256
 
+#: Matches per shingle up to which an alignment is a rising run; with more, bits are faster.
+MATCHES = 8
+
 _LABEL = np.uint64(0xE7037ED1A0B428DB)
 _FIRST = np.uint64(0x8EBC6AF09C88C6E3)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -51,12 +54,17 @@ def words_of(column: pa.Array) -> Words:
 
 
 def shingles(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrence-labelled shingles of all texts, and each text's range of them."""
+    """Shingles of all texts, and each text's range of them."""
     starts, windows = words.windows(hashes, SHINGLE)
     owner = words.owner()[starts]
-    bounds = np.searchsorted(owner, np.arange(len(words.first)))
+    return windows, np.searchsorted(owner, np.arange(len(words.first)))
+
+
+def labelled(windows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The shingles with the number of their occurrence in their text."""
     if not len(windows):
-        return windows, bounds
+        return windows
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     keys = mixed(windows ^ mixed(owner.astype(np.uint64), 1))
     order = np.argsort(keys, kind="stable")
     new = np.ones(len(order), bool)
@@ -64,7 +72,7 @@ def shingles(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     places = np.arange(len(order))
     label = np.empty(len(order), np.uint64)
     label[order] = (places - np.maximum.accumulate(np.where(new, places, 0))).astype(np.uint64)
-    return mixed(windows + label * _LABEL), bounds
+    return mixed(windows + label * _LABEL)
 
 
 def sketch(values: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +147,7 @@ def _sketch_batches(bands: int, rows: int):
                 lists: list = [[]] * part.num_rows
                 signatures: list = [[]] * part.num_rows
                 if len(values):
-                    found = (array.view(np.int64) for array in sketch(values, bounds, bands, rows))
+                    found = (array.view(np.int64) for array in sketch(labelled(values, bounds), bounds, bands, rows))
                     for row, *both in zip(np.flatnonzero(np.diff(bounds)).tolist(), *found, strict=True):
                         lists[row], signatures[row] = both
                 columns = [
@@ -153,27 +161,59 @@ def _sketch_batches(bands: int, rows: int):
 
 
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> int:
-    """Most shingles that both sequences have in one order, within the band.
+    """Most shingles that both sequences have in one order.
 
     When too few match for the similarity in any order, their number is returned.
 
-    Labelled shingles are distinct, so the alignment is the longest rising run of the
-    places in ``b`` taken in the order of ``a``. An alignment that reaches ``similarity``
-    leaves out at most ``band`` shingles of either side, and no match in it shifts further.
+    An alignment that reaches ``similarity`` leaves out at most ``band`` shingles of either
+    side, so no match in it shifts further. Few matches within the band are taken in the
+    order of ``a``, and of one shingle of ``a`` the last first: the alignment is the longest
+    rising run of their places in ``b``. Many are counted by bits (:func:`common_order`).
     """
-    _, left, right = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    kinds, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = inverse[: len(a)], inverse[len(a) :]
+    of_left, of_right = (np.bincount(side, minlength=len(kinds)) for side in (left, right))
     least = similarity * (len(a) + len(b)) / (1 + similarity)
-    near = np.abs(left - right) <= max(len(a), len(b)) - least + 1e-9
-    if np.count_nonzero(near) < least - 1e-9:
-        return int(np.count_nonzero(near))
-    places = right[near][np.argsort(left[near])]
-    if np.all(places[1:] > places[:-1]):
-        return len(places)
+    both = int(np.minimum(of_left, of_right).sum())
+    if both < least - 1e-9:
+        return both
+    size = min(len(left), len(right))
+    other = np.flatnonzero(left[:size] != right[:size])
+    head = int(other[0]) if len(other) else size
+    size -= head
+    other = np.flatnonzero(left[len(left) - size :][::-1] != right[len(right) - size :][::-1])
+    tail = int(other[0]) if len(other) else size
+    left, right = left[head : len(left) - tail], right[head : len(right) - tail]
+    if not len(left) or not len(right):
+        return head + tail
+    order = np.argsort(right, kind="stable")
+    start = np.searchsorted(right[order], left)
+    counts = np.searchsorted(right[order], left, side="right") - start
+    if counts.sum() > MATCHES * (len(left) + len(right)):
+        return head + tail + common_order(left[counts > 0].tolist(), right[np.isin(right, left)].tolist())
+    places = np.repeat(np.arange(len(left)), counts)
+    last = np.repeat(start + counts - 1, counts)
+    back = np.arange(len(places)) - np.repeat(np.cumsum(counts) - counts, counts)
+    found = order[last - back]
+    near = np.abs(places - found) <= max(len(a), len(b)) - least + 1e-9
     tails: list[int] = []
-    for place in places.tolist():
+    for place in found[near].tolist():
         at = bisect_left(tails, place)
         tails[at : at + 1] = [place]
-    return len(tails)
+    return head + tail + len(tails)
+
+
+def common_order(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence; a row of its table is one number of bits."""
+    masks: dict[int, int] = {}
+    for place, value in enumerate(a):
+        masks[value] = masks.get(value, 0) | 1 << place
+    whole = (1 << len(a)) - 1
+    row = whole
+    for value in b:
+        met = row & masks.get(value, 0)
+        row = ((row + met) | (row - met)) & whole
+    return len(a) - row.bit_count()
 
 
 def _verify_batches(similarity: float):

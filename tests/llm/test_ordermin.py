@@ -109,3 +109,37 @@ def test_odd_rows(odd_docs, no_docs):
 def test_query_equals_all_pairs(spark, folder):
     docs = [(row["doc_id"], row["text"]) for row in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     assert sorted(tuple(row) for row in op10.build(spark, folder).collect()) == plain_classes(docs)
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return row[-1]
+
+
+def test_aligned_with_repeated_shingles(monkeypatch):
+    random.seed(7)
+    similar = lambda both, a, b: both / (len(a) + len(b) - both) >= 0.6
+    for matches in (0, 2, 1000):
+        monkeypatch.setattr(ordermin, "MATCHES", matches)
+        for _ in range(200):
+            a = [random.randrange(6) for _ in range(random.randrange(1, 40))]
+            b = edited(a, random.randrange(min(5, len(a))))
+            b = [x if isinstance(x, int) else 7 for x in b] or [1]
+            got = aligned(np.array(a, np.uint64), np.array(b, np.uint64), 0.6)
+            assert similar(got, a, b) == similar(longest_common(a, b), a, b)
+
+
+def test_an_edit_near_the_top_of_repeated_lines(spark):
+    line = [f"line{i}" for i in range(12)]
+    header = [f"head{i}" for i in range(20)]
+    paragraphs = [header + [f"p{i}x{j}" for j in range(30)] for i in range(10)]
+    body = [word for part in paragraphs for word in part]
+    docs = [line * 20, [*line[:5], "other", *line[6:], *line * 19], body, header + body]
+    rows = [(i, " ".join(words)) for i, words in enumerate(docs)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((row["doc_id"], row["class_id"]) for row in near_copies(frame).collect())
+    assert got == [(0, 0), (1, 0), (2, 2), (3, 2)]
