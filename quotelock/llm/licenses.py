@@ -80,7 +80,10 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 
 _KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
-_HINTS = ("licens", "licenc", "spdx", "permission", "redistribut", "warrant", "merchantab", "public domain", "all rights")
+#: Every pattern of SENTENCES and _LIKELY needs one of these, or ``cc`` as the
+#: start of a word. Parts of single words, since line ends and marks stand between words.
+_HINTS = ("licens", "licenc", "spdx", "permission", "redistribut", "warrant", "endorse", "creative", "domain", "reserved")
+_CC = re.compile(r"(?<![a-z0-9])cc(?![a-z])")
 _LIKELY = re.compile(r"\blicen[sc]ed? under\b|\bunder the .{0,60}licen[sc]e\b|\bpermission is (?:hereby )?granted\b|\bspdx\b")
 _ENDS = re.compile(r"(?<=[.!?;])\s+|\n+")
 _DROP = re.compile(r"[\"'`“”‘’()<>*#_=|\[\]{}]|//+|--+")
@@ -90,7 +93,7 @@ _VARIANT = {"": "", "lesser": "L", "library": "L", "affero": "A"}
 
 def hinted(text: str) -> bool:
     plain = text.lower()
-    return any(hint in plain for hint in _HINTS)
+    return any(hint in plain for hint in _HINTS) or _CC.search(plain) is not None
 
 
 def normalise(sentence: str) -> str:

@@ -1,5 +1,6 @@
 import re
 
+from quotelock.llm import licenses
 from quotelock.llm.licenses import find_licenses, scan
 from quotelock.llm.queries import op8
 
@@ -54,3 +55,57 @@ def test_query_finds_the_lines_in_the_table(spark, folder):
         text = texts[row["doc_id"]]
         want = {name for name, line in lines.items() if re.search(rf"(?m)^{re.escape(line)}$", text)}
         assert set(filter(None, row["licenses"].split(","))) == want
+
+
+#: One text for each pattern of SENTENCES, in their order, with nothing else in it.
+STATEMENTS = (
+    "SPDX-License-Identifier: MIT",
+    "Provided under the Apache License, Version 2.0",
+    "You may not use this file except in compliance with the License",
+    "You may obtain a copy of the License at",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
+    "on an AS IS basis",
+    "Released under the MIT License",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+    "the Software",
+    "The software is provided as is, without warranty of any kind",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted",
+    "The software is provided as is and the author disclaims all warranties",
+    "Licensed under the 3 clause BSD license",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met",
+    "Redistributions of source code must retain the above copyright notice",
+    "Redistributions in binary form must reproduce the above copyright notice",
+    "The name of Example Labs may not be used to endorse or promote products",
+    "This software is provided by the authors as is and any express or implied warranties",
+    "Covered under the GNU General Public License, version 3",
+    "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
+    "Software Foundation, either version 2",
+    "Distributed in the hope that it will be useful, but without any warranty",
+    "You should have received a copy of the GNU General Public License",
+    "Subject to the terms of the Mozilla Public License, v 2.0",
+    "Available under the Mozilla Public License, version 2.0",
+    "This article is available under CC BY-SA 4.0.",
+    "Released under CC0 1.0.",
+    "Placed in the public domain",
+    "This is free and unencumbered software released into the public domain",
+    "All rights reserved",
+)
+
+
+def test_every_sentence_is_found_alone():
+    assert len(STATEMENTS) == len(licenses.SENTENCES)
+    for text, (name, pattern) in zip(STATEMENTS, licenses.SENTENCES, strict=True):
+        assert re.search(pattern, licenses.normalise(text)), name
+        for shape in (text, text.upper(), text.replace(" ", "\n"), text.replace(" ", " * ")):
+            assert licenses.hinted(shape), shape
+        assert len(find_licenses(text)[1]) == 1, name
+
+
+def test_references_without_the_word_licence():
+    assert find_licenses("This article is available under CC BY-SA 4.0.")[0] == ["CC-BY-SA-4.0"]
+    assert find_licenses("Provided under Creative Commons BY 4.0")[0] == ["CC-BY-4.0"]
+    assert find_licenses("Dedicated to Creative Commons Zero.")[0] == ["CC0-1.0"]
+    assert find_licenses("Placed in the public\ndomain by its authors.")[0] == ["Public-Domain"]
