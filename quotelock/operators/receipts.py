@@ -52,7 +52,12 @@ def all_true(checks: Column, names: Sequence[str]) -> Column:
     )
 
 
-def transition_rules(max_packets: int = 100, namespace: str = "Quotelock") -> list[Rule]:
+def _times(bound: int | None, factor: int = 1, less: int = 0) -> int | None:
+    """A bound that follows from another, None when that is not set."""
+    return None if bound is None else bound * factor - less
+
+
+def transition_rules(max_packets: int | None = None, namespace: str = "Quotelock") -> list[Rule]:
     c = F.col
     invalid = "PACKET_COLLECTION_TRANSITION_SCHEMA_INVALID"
     return [
@@ -70,7 +75,7 @@ def transition_rules(max_packets: int = 100, namespace: str = "Quotelock") -> li
         (
             whole_number(c("previous_packet_count"), 1, max_packets)
             & whole_number(c("next_packet_count"), 1, max_packets)
-            & whole_number(c("appended_packet_count"), 1, max_packets - 1)
+            & whole_number(c("appended_packet_count"), 1, _times(max_packets, less=1))
             & whole_number(c("first_sequence"), 2, max_packets)
             & whole_number(c("last_sequence"), 2, max_packets),
             invalid,
@@ -117,7 +122,7 @@ def history_audit_digest(namespace: str = "Quotelock") -> Column:
     )
 
 
-def history_audit_rules(max_packets: int = 100, namespace: str = "Quotelock") -> list[Rule]:
+def history_audit_rules(max_packets: int | None = None, namespace: str = "Quotelock") -> list[Rule]:
     c = F.col
     invalid = "PACKET_TRANSITION_HISTORY_AUDIT_SCHEMA_INVALID"
     same_transition = c("first_transition_audit_sha256") == c("last_transition_audit_sha256")
@@ -133,8 +138,8 @@ def history_audit_rules(max_packets: int = 100, namespace: str = "Quotelock") ->
             invalid,
         ),
         (
-            whole_number(c("transition_count"), 1, max_packets - 1)
-            & whole_number(c("initial_packet_count"), 1, max_packets - 1)
+            whole_number(c("transition_count"), 1, _times(max_packets, less=1))
+            & whole_number(c("initial_packet_count"), 1, _times(max_packets, less=1))
             & whole_number(c("latest_packet_count"), 2, max_packets),
             invalid,
         ),
@@ -181,7 +186,7 @@ def continuity_digest(checks: Sequence[str], namespace: str = "Quotelock") -> Co
 
 
 def continuity_rules(
-    checks: Sequence[str], max_packets: int = 100, namespace: str = "Quotelock"
+    checks: Sequence[str], max_packets: int | None = None, namespace: str = "Quotelock"
 ) -> list[Rule]:
     c = F.col
     invalid = "LINEAGE_CONTINUITY_RECEIPT_SCHEMA_INVALID"
@@ -199,7 +204,7 @@ def continuity_rules(
         (holds(older < newer) & (c("older_pack_sha256") != c("newer_pack_sha256")), invalid),
         (c("previous_lineage_sha256") != c("next_lineage_sha256"), invalid),
         (
-            whole_number(c("previous_packet_count"), 2, max_packets - 1)
+            whole_number(c("previous_packet_count"), 2, _times(max_packets, less=1))
             & whole_number(c("next_packet_count"), 3, max_packets),
             invalid,
         ),
@@ -249,7 +254,7 @@ def acceptance_digest(checks: Sequence[str] = ACCEPTANCE_CHECKS, namespace: str
 
 
 def acceptance_rules(
-    checks: Sequence[str] = ACCEPTANCE_CHECKS, max_releases: int = 256, namespace: str = "Quotelock"
+    checks: Sequence[str] = ACCEPTANCE_CHECKS, max_releases: int | None = None, namespace: str = "Quotelock"
 ) -> list[Rule]:
     c = F.col
     invalid = "WORKSPACE_RECEIPT_SCHEMA_INVALID"
@@ -270,7 +275,7 @@ def acceptance_rules(
         ),
         (
             whole_number(c("release_count"), 2, max_releases)
-            & whole_number(c("transition_count"), 1, max_releases - 1),
+            & whole_number(c("transition_count"), 1, _times(max_releases, less=1)),
             invalid,
         ),
         (c("transition_count") == c("release_count") - 1, invalid),
@@ -342,7 +347,7 @@ def archive_audit_digest(namespace: str = "Quotelock") -> Column:
     )
 
 
-def archive_audit_rules(max_packs: int = 256, namespace: str = "Quotelock") -> list[Rule]:
+def archive_audit_rules(max_packs: int | None = None, namespace: str = "Quotelock") -> list[Rule]:
     c = F.col
     invalid = "ARCHIVE_RECEIPT_SCHEMA_INVALID"
     return [
@@ -351,7 +356,7 @@ def archive_audit_rules(max_packs: int = 256, namespace: str = "Quotelock") -> l
         (c("verified_pack_count") == c("entry_count"), invalid),
         (is_semver(c("first_release")) & is_semver(c("latest_release")), invalid),
         (c("provenance_verified_count") == c("verified_pack_count"), invalid),
-        (whole_number(c("review_verified_count"), 1, max_packs * 32), invalid),
+        (whole_number(c("review_verified_count"), 1, _times(max_packs, 32)), invalid),
         (
             whole_number(c("manual_count"), 0, max_packs)
             & whole_number(c("rotation_history_count"), 0, max_packs),
