@@ -6,8 +6,7 @@ Forward-backward gives each word's language probabilities, so switches inside a
 seen, and a text's language is the one with the largest share.
 
 The field is fitted to a bounded sample of labelled texts. Runs of their lines are spliced
-into sequences that switch between two texts, for the transitions. Each of a few tasks
-fits its part of the sample and the weights are averaged.
+into sequences that switch between two texts, for the transitions. One task fits it.
 """
 
 from __future__ import annotations
@@ -19,19 +18,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotelock.llm.buffers import Words, buffer, find_words, mixed, per_text, slices
+from quotelock.llm.crf import CHUNK, batch_gradient, posteriors
 
 UNKNOWN = "und"
 #: Bound of the labelled sample, in documents.
 SAMPLE_DOCS = 2000
-PARTS = 4
 BUCKETS = 1 << 16
 LEXICON_COUNT = 3
 LEXICON_WORDS = 1 << 15
-CHUNK = 32
 BATCH = 256
 EPOCHS = 4
 RATE = 0.3
@@ -117,98 +115,6 @@ class Field:
     lexicon: np.ndarray
 
 
-def _scaled(values: np.ndarray) -> np.ndarray:
-    return values / values.sum(axis=-1, keepdims=True)
-
-
-def posteriors(emission: np.ndarray, bounds: np.ndarray, field: Field) -> np.ndarray:
-    """Label probabilities of every word of several sequences, by forward-backward.
-
-    Sequences are cut to chunks. The chunks' transfer matrices are multiplied out for all
-    chunks at once, then the messages into each chunk follow from chunk to chunk, and then
-    the words' own messages again for all at once. Exact for sequences of any length.
-    """
-    size = len(field.labels)
-    lengths = np.diff(bounds)
-    chunks = -(-lengths // CHUNK)
-    owner = np.repeat(np.arange(len(lengths)), chunks)
-    rank = np.arange(len(owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-    start = bounds[:-1][owner] + rank * CHUNK
-    used = np.minimum(CHUNK, bounds[1:][owner] - start)
-    grid = start[:, None] + np.arange(CHUNK)
-    inside = np.arange(CHUNK) < used[:, None]
-    local = np.exp(emission - emission.max(axis=1, keepdims=True))[np.where(inside, grid, 0)]
-    step = np.exp(field.steps - field.steps.max())
-    through = np.broadcast_to(np.eye(size), (len(owner), size, size)).copy()
-    first_row = (rank == 0)[:, None, None]
-    for t in range(CHUNK):
-        moved = through @ step
-        if t == 0:
-            moved = np.where(first_row, through, moved)
-        moved = moved * local[:, t, None, :]
-        moved /= moved.max(axis=(1, 2), keepdims=True)
-        through = np.where(inside[:, t, None, None], moved, through)
-    entering = np.broadcast_to(_scaled(np.exp(field.first - field.first.max())), (len(owner), size)).copy()
-    leaving = np.ones((len(owner), size))
-    last = np.cumsum(chunks) - 1
-    for r in range(1, int(chunks.max(initial=1))):
-        at = np.flatnonzero(rank == r) if r < 4 else np.flatnonzero(chunks > r)
-        at = at if r < 4 else (last - chunks + 1)[at] + r
-        entering[at] = _scaled(np.einsum("ni,nij->nj", entering[at - 1], through[at - 1]))
-    for r in range(int(chunks.max(initial=1)) - 1, 0, -1):
-        at = (last - chunks + 1)[np.flatnonzero(chunks > r)] + r
-        leaving[at - 1] = _scaled(np.einsum("nij,nj->ni", through[at], leaving[at]))
-    forward = np.empty(local.shape)
-    message = entering
-    for t in range(CHUNK):
-        moved = message if t == 0 else message @ step
-        if t == 0:
-            moved = np.where(first_row[:, 0], message, message @ step)
-        message = np.where(inside[:, t, None], _scaled(moved * local[:, t]), message)
-        forward[:, t] = message
-    out = np.empty((len(emission), size))
-    message = leaving
-    for t in range(CHUNK - 1, -1, -1):
-        here = inside[:, t]
-        out[grid[here, t]] = _scaled(forward[here, t] * message[here])
-        moved = _scaled((message * local[:, t]) @ step.T)
-        message = np.where(here[:, None], moved, message)
-    return out
-
-
-def _batch_gradient(emission: np.ndarray, labels: np.ndarray, bounds: np.ndarray, field: Field):
-    """Gradients by word emission, first label and transition of the log-likelihood."""
-    size = len(field.labels)
-    node = posteriors(emission, bounds, field)
-    target = np.zeros_like(node)
-    target[np.arange(len(labels)), labels] = 1.0
-    inner = np.ones(len(labels), bool)
-    inner[bounds[:-1]] = False
-    right = np.flatnonzero(inner)
-    local = np.exp(emission - emission.max(axis=1, keepdims=True))
-    step = np.exp(field.steps - field.steps.max())
-    # With p(y_t, y_t+1) = p(y_t) p(y_t+1 | y_t): the conditional needs the message from the right.
-    message = node / np.maximum(_forward_only(emission, bounds, field), 1e-30)
-    pair = step[None] * (local[right] * message[right])[:, None, :]
-    pair *= (node[right - 1] / np.maximum(pair.sum(axis=2), 1e-30))[:, :, None]
-    seen = np.zeros((size, size))
-    np.add.at(seen, (labels[right - 1], labels[right]), 1.0)
-    return target - node, (target - node)[bounds[:-1]].sum(axis=0), seen - pair.sum(axis=0)
-
-
-def _forward_only(emission: np.ndarray, bounds: np.ndarray, field: Field) -> np.ndarray:
-    """Scaled forward messages of short sequences, one place at a time."""
-    local = np.exp(emission - emission.max(axis=1, keepdims=True))
-    step = np.exp(field.steps - field.steps.max())
-    lengths, out = np.diff(bounds), np.empty(emission.shape)
-    at = bounds[:-1]
-    out[at] = _scaled(np.exp(field.first - field.first.max()) * local[at])
-    for t in range(1, int(lengths.max(initial=1))):
-        at = bounds[:-1][lengths > t] + t
-        out[at] = _scaled((out[at - 1] @ step) * local[at])
-    return out
-
-
 def _training_sequences(words: Words, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word places and bounds of sequences: texts in runs, two texts taking turns in half of them."""
     random = np.random.default_rng(7)
@@ -256,7 +162,7 @@ def fit_field(texts: pa.Array, langs: list[str], labels: tuple[str, ...]) -> Fie
             found = features(words.data, words.starts[first[known]], words.ends[first[known]], unique[known], lexicon)
             field = Field(labels, weights, first_weights, steps, lexicon)
             emission = found.scores(weights)[back]
-            by_word, by_first, by_step = _batch_gradient(emission, of_word[at], cuts, field)
+            by_word, by_first, by_step = batch_gradient(emission, of_word[at], cuts, field)
             summed = np.stack([np.bincount(back, weights=by_word[:, k], minlength=len(known)) for k in range(size)], axis=1)
             for array, square, gradient in zip(
                 (weights, first_weights, steps), squares, (found.gradient(summed), by_first, by_step), strict=True
@@ -267,44 +173,58 @@ def fit_field(texts: pa.Array, langs: list[str], labels: tuple[str, ...]) -> Fie
     return Field(labels, weights.astype(np.float32), first_weights, steps, lexicon)
 
 
-def _fit_batches(labels: tuple[str, ...]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), pa.schema([("text", pa.string()), ("lang", pa.string())]))
-        if table.num_rows:
-            table = table.sort_by([("lang", "ascending"), ("text", "ascending")]).combine_chunks()
-            field = fit_field(table.column("text").combine_chunks(), table.column("lang").to_pylist(), labels)
-            arrays = (field.weights, field.first, field.steps, field.lexicon)
-            kinds = (np.float32, np.float64, np.float64, np.uint64)
-            values = [pa.array([np.ascontiguousarray(a, k).tobytes()], pa.binary()) for a, k in zip(arrays, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(values, names=["weights", "first", "steps", "lexicon"])
+def _fit_sample(labels: tuple[str, ...]):
+    def run(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by([("lang", "ascending"), ("text", "ascending")]).combine_chunks()
+        field = fit_field(sample.column("text").combine_chunks(), sample.column("lang").to_pylist(), labels)
+        arrays = (field.weights, field.first, field.steps, field.lexicon)
+        kinds = (np.float32, np.float64, np.float64, np.uint64)
+        values = [pa.array([np.ascontiguousarray(a, k).tobytes()], pa.binary()) for a, k in zip(arrays, kinds, strict=True)]
+        return pa.table(values, names=["weights", "first", "steps", "lexicon"])
 
     return run
 
 
 def learn(labelled: DataFrame, key: str, text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS) -> Field | None:
-    """Fit to about ``sample`` labelled texts, those with the least hashes of their keys.
+    """Fit to at most ``sample`` labelled texts: of every language those with the least hashes of their keys.
 
-    The weights that reach the driver have a size of their own, whatever the sample.
+    Languages are counted over all labelled texts, so a rare one is learned like any other;
+    each gives at most an equal share of the sample, and at least one text. One task fits
+    the sample, whatever the number of partitions, and one field reaches the driver: its
+    size follows the number of languages alone. Repeated rows may count more than once.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.xxhash64(F.col(key), F.lit(17)).alias("order"), F.col(text).cast("string").alias("text"), F.col(lang).alias("lang")
     )
-    cut = rows.select("order").orderBy("order").limit(sample).agg(F.max("order")).first()[0]
-    if cut is None:
+    labels = tuple(sorted(row["lang"] for row in rows.groupBy("lang").count().collect()))
+    if not labels:
         return None
-    chosen = rows.where(F.col("order") <= cut)
-    labels = tuple(sorted(row["lang"] for row in chosen.select("lang").distinct().collect()))
-    parts = (
-        chosen.repartition(PARTS, "order")
+    share = max(1, sample // len(labels))
+    ranked = Window.partitionBy("lang").orderBy("order")
+    cuts = (
+        rows.select("lang", "order")
+        .withColumn("rank", F.row_number().over(ranked))
+        .where(F.col("rank") <= share)
+        .groupBy("lang")
+        .agg(F.max("order").alias("cut"))
+    )
+    fitted = (
+        rows.join(cuts, "lang")
+        .where("order <= cut")
         .select("text", "lang")
-        .mapInArrow(_fit_batches(labels), "weights binary, first binary, steps binary, lexicon binary")
-        .collect()
+        .groupBy()
+        .applyInArrow(_fit_sample(labels), "weights binary, first binary, steps binary, lexicon binary")
+        .first()
     )
     size = len(labels)
-    mean = lambda name, kind: np.mean([np.frombuffer(row[name], kind) for row in parts], axis=0)
-    lexicon = np.unique(np.concatenate([np.frombuffer(row["lexicon"], np.uint64) for row in parts]))
-    weights = mean("weights", np.float32).reshape(-1, size).astype(np.float32)
-    return Field(labels, weights, mean("first", np.float64), mean("steps", np.float64).reshape(size, size), lexicon)
+    read = lambda name, kind: np.frombuffer(fitted[name], kind)
+    return Field(
+        labels,
+        read("weights", np.float32).reshape(-1, size),
+        read("first", np.float64),
+        read("steps", np.float64).reshape(size, size),
+        read("lexicon", np.uint64),
+    )
 
 
 def _label_texts(column: pa.Array, field: Field) -> tuple[np.ndarray, np.ndarray]:
@@ -328,7 +248,8 @@ def identify(docs: DataFrame, field: Field | None, key: str = "doc_id", text: st
 
     NULL texts and texts without a letter are ``und`` with score 0, and so is every text
     without a fitted field. Letters of scripts that no feature knows still get the labels
-    that transitions and first labels favour. Other columns are ignored.
+    that transitions and first labels favour. Each row stands for itself, and whole texts
+    are read, however long. Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))

@@ -4,8 +4,9 @@ import zlib
 import numpy as np
 import pytest
 
-from quotelock.llm import langid
-from quotelock.llm.langid import Field, identify, learn, posteriors
+from quotelock.llm import crf
+from quotelock.llm.crf import posteriors
+from quotelock.llm.langid import Field, identify, learn
 from quotelock.llm.queries import op2
 
 BOUNDS = np.array([0, 1, 1, 6, 8, 15])
@@ -23,7 +24,7 @@ def path_score(field, emission, path):
 
 
 def test_posteriors_equal_all_paths(field, monkeypatch):
-    monkeypatch.setattr(langid, "CHUNK", 3)
+    monkeypatch.setattr(crf, "CHUNK", 3)
     emission = np.random.default_rng(2).normal(size=(15, 3))
     got = posteriors(emission, BOUNDS, field)
     for start, end in itertools.pairwise(BOUNDS):
@@ -49,7 +50,7 @@ def test_gradients_equal_differences(field):
             total += path_score(field, part, labels[start:end]) - np.log(np.exp(paths).sum())
         return total
 
-    by_word, by_first, by_step = langid._batch_gradient(emission, labels, bounds, field)
+    by_word, by_first, by_step = crf.batch_gradient(emission, labels, bounds, field)
     base, step = likelihood(emission, field), 1e-5
     for at in ((0, 0), (4, 1), (12, 2)):
         moved = emission.copy()
@@ -96,3 +97,21 @@ def test_odd_rows(odd_docs, no_docs):
     assert identify(no_docs, field).count() == 0
     assert learn(no_docs, "doc_id") is None
     assert {row["lang_pred"] for row in identify(odd_docs, None).collect()} == {"und"}
+
+
+def test_partitions_change_nothing_and_rare_languages_are_learned(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(9001, "qaqa zizi qaqa zuzu qizi quza " * 4, "xx")], docs.schema)
+    both = docs.union(rare)
+    fields = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("4", "23"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        fields.append(learn(both.repartition(int(parts)), "doc_id", sample=120))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    one, two = fields
+    assert one.labels == two.labels == ("de", "en", "es", "fr", "xx")
+    for name in ("weights", "first", "steps", "lexicon"):
+        assert np.array_equal(getattr(one, name), getattr(two, name))
+    asked = spark.createDataFrame([(1, "zizi quza qaqa zuzu")], "doc_id bigint, text string")
+    assert identify(asked, one).first()["lang_pred"] == "xx"
