@@ -24,7 +24,9 @@ from quotelock.llm.crf import batch_gradient, posteriors
 
 #: Bound of the labelled sample, in documents.
 SAMPLE_DOCS = 4000
+#: Passes over the sample; a small sample takes more, to the same least number of steps.
 EPOCHS = 12
+STEPS = 150
 BATCH = 64
 RATE = 0.2
 DECAY = 1e-5
@@ -169,7 +171,8 @@ def fit_lines(texts: pa.Array, good: np.ndarray) -> QualityField:
     starts = np.concatenate(edges) if edges else np.empty(0, np.int64)
     stops = np.append(starts[1:], len(labels))
     random = np.random.default_rng(11)
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-STEPS * BATCH // max(1, len(starts))))
+    for _ in range(epochs if len(starts) else 0):
         order = random.permutation(len(starts))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
