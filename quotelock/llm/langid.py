@@ -208,8 +208,9 @@ def learn(labelled: DataFrame, key: str, text: str = "text", lang: str = "lang",
         .groupBy("lang")
         .agg(F.max("order").alias("cut"))
     )
+    # One row for each of ``labels``.
     fitted = (
-        rows.join(cuts, "lang")
+        rows.join(F.broadcast(cuts), "lang")
         .where("order <= cut")
         .select("text", "lang")
         .groupBy()

@@ -8,21 +8,29 @@ of both texts, whichever occurrences they are, over all shingles of the two.
 
 Texts of equal words are one node, however many documents have them. In a bucket, nodes
 first meet its hub, the one that shares most buckets with others: of many copies of one
-text that is the text itself. Later only nodes in different components still meet, and
-never more than the outsiders of a bucket's largest component against its members.
+text that is the text itself. What is left are outsiders: nodes of a bucket that are not
+in its hub's component. They meet others of the bucket by their differences from the hub.
+
+Let D(a) be the labelled shingles that only one of ``a`` and the hub has. Then a and b differ
+by the members that only one of D(a) and D(b) has, and a similarity of s allows at most
+``(|a| + |b|) (1 - s) / (1 + s)`` of these. So D(a) and D(b) share at least half of
+``slack(a) + slack(b)``, with ``slack(a) = |D(a)| - |a| (1 - s) / (1 + s)``. Two sets that share
+so many members share one of the first few of both in any one order; rare members come
+first, so copies that each have edits of their own meet nobody. Where the bound asks for
+no shared member, both are copies of the hub but for the order of their parts; then the
+distances by alignment from the hub, which differ by no more than the allowed distance,
+decide who meets. Both bounds hold for every pair, so no link is lost.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import count
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotelock.llm.buffers import PLAIN, Words, buffer, find_words, mixed, per_text, slices
@@ -33,12 +41,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 48
 ROWS = 4
-#: A pair of outsiders whose signatures differ by so many standard deviations more than
-#: those of a pair at the threshold is not compared: about 3 in 100,000 such pairs.
-DEVIATIONS = 4.0
-#: Outsiders of a bucket that meet its members in one round; the rest follow in later ones.
-BLOCK = 256
-
 #: Matches per shingle up to which an alignment is a rising run; with more, bits are faster.
 MATCHES = 8
 
@@ -75,13 +77,12 @@ def labelled(windows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mixed(windows + label * _LABEL)
 
 
-def sketch(values: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band values, and four bits of both least shingles of every order, by text with shingles."""
+def sketch(values: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band values by text with shingles."""
     full = np.flatnonzero(np.diff(bounds))
     starts, counts = bounds[full], np.diff(bounds)[full]
     factors = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
     out = np.zeros((len(full), bands), np.uint64)
-    signature = np.zeros((len(full), -(-bands * rows // 8)), np.uint64)
     several = counts > 1
     for number, factor in enumerate(factors):
         ordered = values * factor
@@ -91,53 +92,19 @@ def sketch(values: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> tup
         second = first.copy()
         found = np.flatnonzero(ordered == np.repeat(np.minimum.reduceat(ordered, starts), counts))
         second[several] = found[np.repeat(several, counts)[found]]
-        for place, least in enumerate((first, second)):
-            nibble = np.uint64(8 * (number % 8) + 4 * place)
-            signature[:, number // 8] |= (mixed(values[least], 3) & np.uint64(15)) << nibble
         one, two = values[np.minimum(first, second)], values[np.maximum(first, second)]
         out[:, number // rows] = mixed(out[:, number // rows] + mixed(one) * _FIRST + two)
-    return out, signature
-
-
-def signature_limit(similarity: float, orders: int) -> int:
-    """Most differing signature parts that a pair of this similarity has, but for chance.
-
-    Of the shingles of both, ``s`` are shared and each side has half of the rest to itself.
-    The first least ones agree when a shared shingle is first. The second ones agree when
-    one more shared one follows, or when one of either side's own comes before the first.
-    Parts of different shingles are equal by chance once in sixteen.
-    """
-    s = similarity
-    both, second_only = s * s, s * (1 - s) ** 2 / 2
-    neither = 1 - s - second_only
-    one = s - both + second_only
-    mean, seen = one + 2 * neither, 15 / 16
-    variance = one + 4 * neither - mean**2
-    mean, variance = seen * mean, seen**2 * variance + mean * seen * (1 - seen)
-    return ceil(orders * mean + DEVIATIONS * (orders * variance) ** 0.5)
-
-
-def signature_distance(left: Column, right: Column) -> Column:
-    """Differing four-bit parts of two signatures."""
-    mask = F.lit(0x1111111111111111)
-
-    def parts(a: Column, b: Column) -> Column:
-        bits = a.bitwiseXOR(b)
-        for shift in (1, 2):
-            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift))
-        return F.bit_count(bits.bitwiseAND(mask))
-
-    return F.aggregate(F.zip_with(left, right, parts), F.lit(0), lambda total, part: total + part)
+    return out
 
 
 def _sketch_batches(bands: int, rows: int):
-    names = ["key", "text_hash", "d1", "d2", "n_words", "n_shingles", "bands", "signature"]
+    names = ["nokey", "key", "text_hash", "d1", "d2", "n_words", "n_shingles", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in slices(batch.column(2)):
+            for start, stop in slices(batch.column(3)):
                 part = batch.slice(start, stop - start)
-                words = words_of(part.column(2))
+                words = words_of(part.column(3))
                 hashes = words.hashes()
                 place = (np.arange(len(hashes)) - np.repeat(words.first[:-1], words.counts)).astype(np.uint64)
                 digests = [
@@ -145,15 +112,14 @@ def _sketch_batches(bands: int, rows: int):
                 ]
                 values, bounds = shingles(words, hashes)
                 lists: list = [[]] * part.num_rows
-                signatures: list = [[]] * part.num_rows
                 if len(values):
-                    found = (array.view(np.int64) for array in sketch(labelled(values, bounds), bounds, bands, rows))
-                    for row, *both in zip(np.flatnonzero(np.diff(bounds)).tolist(), *found, strict=True):
-                        lists[row], signatures[row] = both
+                    found = sketch(labelled(values, bounds), bounds, bands, rows).view(np.int64)
+                    for row, own in zip(np.flatnonzero(np.diff(bounds)).tolist(), found, strict=True):
+                        lists[row] = own
                 columns = [
-                    part.column(0), part.column(1), *map(pa.array, digests),
+                    *part.columns[:3], *map(pa.array, digests),
                     pa.array(words.counts.astype(np.int64)), pa.array(np.diff(bounds).astype(np.int64)),
-                    pa.array(lists, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64())),
+                    pa.array(lists, pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -253,36 +219,147 @@ def _ordered(left, right) -> list:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def near_copies(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    similarity: float = SIMILARITY,
-    bands: int = BANDS,
-    rows: int = ROWS,
-) -> DataFrame:
-    """``(key, text_hash, n_words, class_id)`` for every row; ``class_id`` is its class's least key.
+def _difference_batches(similarity: float):
+    """Of (node, hub, texts): the members only one side has, and the distance by alignment of like sets."""
+    names = ["node", "hub", "n", "delta", "distance"]
 
-    Rows of equal words are in one class; so are texts linked, over any number of steps,
-    by a similarity of at least ``similarity``. Texts of fewer than five words only match
-    equal ones, and texts without a word match nothing: their class is their own key. A
-    NULL key counts as the greatest. Other columns are ignored.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in slices(batch.column(2)):
+                part = batch.slice(start, stop - start)
+                sides = []
+                for column in (part.column(2), part.column(3)):
+                    words = words_of(column)
+                    values, bounds = shingles(words, words.hashes())
+                    sides.append((values, labelled(values, bounds), bounds))
+                (left, left_labels, left_at), (right, right_labels, right_at) = sides
+                sizes, deltas, distances = [], [], []
+                for row in range(part.num_rows):
+                    one, two = slice(left_at[row], left_at[row + 1]), slice(right_at[row], right_at[row + 1])
+                    a, b = left[one], right[two]
+                    delta = np.setxor1d(left_labels[one], right_labels[two]).view(np.int64)
+                    allowed = (len(a) + len(b)) * (1 - similarity) / (1 + similarity)
+                    alike = len(delta) <= allowed + 1e-9
+                    sizes.append(len(a))
+                    deltas.append(delta)
+                    distances.append(len(a) + len(b) - 2 * common_order(a.tolist(), b.tolist()) if alike else None)
+                columns = [
+                    part.column(0), part.column(1), pa.array(sizes, pa.int64()),
+                    pa.array(deltas, pa.list_(pa.int64())), pa.array(distances, pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def _outsider_pairs(buckets: DataFrame, found: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of nodes of one hub's buckets, in different components, that could be similar.
+
+    ``buckets`` has (band, node, hub) and ``found`` (node, component) of every linked node.
     """
-    source = docs.select(
-        F.coalesce(F.col(key).cast("bigint"), F.lit((1 << 63) - 1)).alias("key"),
-        F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_hash"),
-        F.col(text).cast("string").alias("text"),
+    ratio = (1 - similarity) / (1 + similarity)
+    placed = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_hub = found.select(F.col("node").alias("hub"), F.col("component").alias("main"))
+    open_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    members = staged(
+        placed.join(open_bands.select("band"), "band")
+        .select("node", "hub", "component")
+        .distinct()
+        .join(of_hub, "hub", "left")
+        .withColumn("main", F.coalesce("main", "hub")),
+        "open-members",
+    )
+    sides = (
+        members.select("node", "hub")
+        .join(texts.select("node", F.col("text").alias("text_a")), "node")
+        .join(texts.select(F.col("node").alias("hub"), F.col("text").alias("text_b")), "hub")
+        .select("node", "hub", "text_a", "text_b")
+    )
+    measured = sides.mapInArrow(
+        _difference_batches(similarity), "node bigint, hub bigint, n bigint, delta array<bigint>, distance bigint"
+    )
+    differing = staged(
+        measured.join(members, ["node", "hub"]).select(
+            "node", "hub", "n", "delta", "distance", "component",
+            (F.col("component") != F.col("main")).alias("outside"),
+            (F.size("delta") - F.col("n") * ratio).alias("slack"),
+        ),
+        "differences",
+    )
+    slacks = differing.groupBy("hub").agg(
+        F.min("slack").alias("of_any"), F.min(F.when(F.col("outside"), F.col("slack"))).alias("of_outside")
+    )
+    wide = (
+        differing.join(slacks, "hub")
+        .withColumn("partner", F.when(F.col("outside"), F.col("of_any")).otherwise(F.col("of_outside")))
+        .where("partner is not null")
+        .withColumn("size", F.size("delta"))
+        .withColumn("reach", F.least("size", F.floor(F.col("size") - (F.col("slack") + F.col("partner")) / 2 + 1e-6) + 1))
     )
+    rows = wide.select("hub", "node", "n", "component", "outside", "slack", "size", "reach", F.explode("delta").alias("member"))
+    often = rows.groupBy("hub", "member").agg(
+        F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"), F.max("outside").alias("any_outside")
+    )
+    # The place of a member counts all members of its set, also those that no other component has.
+    rarest = Window.partitionBy("hub", "node").orderBy("often", "member")
+    first = staged(
+        rows.join(often, ["hub", "member"])
+        .withColumn("place", F.row_number().over(rarest) - 1)
+        .where("place < reach and low <> high and any_outside")
+        .drop("often", "low", "high", "any_outside", "reach"),
+        "first-members",
+    )
+    other = first.select(
+        "hub", "member", *(F.col(name).alias(f"other_{name}") for name in ("node", "n", "component", "slack", "size", "place"))
+    )
+    needed = (F.col("slack") + F.col("other_slack")) / 2 - 1e-6
+    alike = F.least("n", "other_n") >= similarity * F.greatest("n", "other_n")
+    by_members = (
+        first.where("outside")
+        .join(other, ["hub", "member"])
+        .where(alike & (F.col("component") != F.col("other_component")))
+        .where(F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place")) >= needed)
+        .select(*_ordered(F.col("node"), F.col("other_node")))
+    )
+    moved = differing.where("distance is not null").drop("delta")
+    movers = moved.where("outside").withColumnsRenamed(
+        {name: f"other_{name}" for name in ("node", "n", "component", "slack", "distance")}
+    )
+    by_order = (
+        moved.join(movers.drop("outside"), "hub")
+        .where(alike & (F.col("component") != F.col("other_component")))
+        .where(F.col("slack") + F.col("other_slack") <= 1e-6)
+        .where(F.abs(F.col("distance") - F.col("other_distance")) <= (F.col("n") + F.col("other_n")) * ratio + 1e-6)
+        .select(*_ordered(F.col("node"), F.col("other_node")))
+    )
+    return by_members.union(by_order).distinct()
+
+
+#: A row's key in ``near_copies``: NULL keys come last.
+_KEY = ["nokey", "key", "text_hash"]
+
+
+def _keyed(key: str, text: str) -> list:
+    return [
+        F.col(key).isNull().alias("nokey"),
+        F.coalesce(F.col(key).cast("bigint"), F.lit(0)).alias("key"),
+        F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_hash"),
+    ]
+
+
+def _classified(docs: DataFrame, key: str, text: str, similarity: float, bands: int, rows: int) -> DataFrame:
+    """Per row ``nokey``, ``key``, ``text_hash``, ``n_words`` and ``least``, the least key of its class."""
+    source = docs.select(*_keyed(key, text), F.col(text).cast("string").alias("text"))
     schema = (
-        "key bigint, text_hash bigint, d1 bigint, d2 bigint, n_words bigint, n_shingles bigint, "
-        "bands array<bigint>, signature array<bigint>"
+        "nokey boolean, key bigint, text_hash bigint, d1 bigint, d2 bigint, n_words bigint, n_shingles bigint, "
+        "bands array<bigint>"
     )
     sketched = staged(source.mapInArrow(_sketch_batches(bands, rows), schema), "sketches")
     content = ["d1", "d2", "n_words"]
     nodes = staged(
         sketched.where("n_words > 0")
-        .groupBy(*content, "n_shingles", "bands", "signature")
-        .agg(F.min("key").alias("least_key"), F.min_by("text_hash", "key").alias("text_hash"))
+        .groupBy(*content, "n_shingles", "bands")
+        .agg(F.min(F.struct(*_KEY)).alias("least"))
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
@@ -301,83 +378,63 @@ def near_copies(
     meets = staged(
         buckets.where("node <> hub").select("node", "hub", "n_shingles").distinct().join(sizes, "hub")
         .where(F.least("n_shingles", "hub_shingles") >= similarity * F.greatest("n_shingles", "hub_shingles"))
-        .select(*_ordered(F.col("node"), F.col("hub"))),
+        .select(*_ordered(F.col("node"), F.col("hub")))
+        .distinct(),
         "pairs",
     )
-    wanted = buckets.select("node").distinct().join(nodes.select("node", F.col("least_key").alias("key"), "text_hash"), "node")
-    texts = staged(
-        source.join(wanted, ["key", "text_hash"]).select("node", "text").dropDuplicates(["node"]), "texts"
-    )
+    wanted = buckets.select("node").distinct().join(nodes.select("node", "least.*"), "node")
+    texts = staged(source.join(wanted, _KEY).select("node", "text").dropDuplicates(["node"]), "texts")
     edges = staged(_verified(meets, texts, similarity), "edges")
-    members = buckets.select("band", "node", "n_shingles")
-    tested = meets
-    limit = signature_limit(similarity, bands * rows)
-    for turn in count():
-        found = staged(components(edges), "components")
-        placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        groups = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
-        mixed_bands = (
-            groups.groupBy("band")
-            .agg(F.count("*").alias("parts"), F.max_by("component", "size").alias("main"), (F.sum("size") - F.max("size")).alias("outside"))
-            .where("parts > 1")
-        )
-        signed = nodes.select("node", "signature")
-        open_members = staged(placed.join(mixed_bands, "band").join(signed, "node"), "open-buckets")
-        blocks = F.ceil(F.col("outside") / BLOCK)
-        outsiders = open_members.where(
-            (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("node", F.lit(turn)), blocks) == 0)
-        ).select("band", F.col("node").alias("other"), F.col("component").alias("other_component"), F.col("n_shingles").alias("other_shingles"), F.col("signature").alias("other_signature"))
-        if not open_members.limit(1).count():
-            break
-        pairs = (
-            open_members.join(outsiders, "band")
-            .where("component <> other_component")
-            .where(F.least("n_shingles", "other_shingles") >= similarity * F.greatest("n_shingles", "other_shingles"))
-            .where(signature_distance(F.col("signature"), F.col("other_signature")) <= limit)
-            .select(*_ordered(F.col("node"), F.col("other")))
-            .distinct()
-        )
-        fresh = staged(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        members = staged(
-            open_members.select("band", "node", "n_shingles").join(
-                outsiders.select("band", F.col("other").alias("node")), ["band", "node"], "left_anti"
-            ),
-            "members",
-        )
-        tested = tested.union(fresh)
-        edges = staged(edges.union(_verified(fresh, texts, similarity)), "edges")
-    least = (
-        nodes.join(found, "node", "left")
-        .select(*content, "least_key", F.coalesce("component", "node").alias("component"))
+    found = staged(components(edges), "components")
+    pairs = staged(_outsider_pairs(buckets.select("band", "node", "hub"), found, texts, similarity), "pairs")
+    fresh = staged(_verified(pairs.join(meets, ["a", "b"], "left_anti"), texts, similarity), "edges")
+    if fresh.limit(1).count():
+        found = staged(components(edges.union(fresh)), "components")
+    classes = nodes.join(found, "node", "left").select(
+        *content, "least", F.coalesce("component", "node").alias("component")
     )
-    classes = least.groupBy("component").agg(F.min("least_key").alias("class_id"))
-    of_content = least.join(classes, "component").select(*content, "class_id")
-    return (
-        sketched.join(of_content, content, "left")
-        .select(F.col("key").alias(key), "text_hash", "n_words", F.coalesce("class_id", "key").alias("class_id"))
+    least = classes.groupBy("component").agg(F.min("least").alias("least"))
+    of_content = classes.drop("least").join(least, "component").select(*content, "least")
+    return sketched.join(of_content, content, "left").select(
+        *_KEY, "n_words", F.coalesce("least", F.struct(*_KEY)).alias("least")
     )
 
 
-def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def near_copies(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    similarity: float = SIMILARITY,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """``(key, text_hash, n_words, class_id)`` for every row; ``class_id`` is its class's least key.
+
+    Rows of equal words are in one class; so are texts linked, over any number of steps,
+    by a similarity of at least ``similarity``. Texts of fewer than five words only match
+    equal ones, and texts without a word match nothing: their class is their own key. A
+    NULL key comes after all others. Whole texts count, however long. Other columns are
+    ignored.
+    """
+    own = lambda name: F.when(~F.col(f"{name}nokey"), F.col(f"{name}key"))
+    return _classified(docs, key, text, similarity, bands, rows).select(
+        own("").alias(key), "text_hash", "n_words", own("least.").alias("class_id")
+    )
+
+
+def one_per_class(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    similarity: float = SIMILARITY,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
     """The rows of ``docs`` whose key is the least of their class, with their columns.
 
     Of several rows with that key the one with the least text hash stays, and one of equal
     rows; texts without a word are in no class and stay, one for each key.
     """
-    named = docs.select(
-        F.struct(*docs.columns).alias("row"),
-        F.coalesce(F.col(key).cast("bigint"), F.lit((1 << 63) - 1)).alias("key"),
-        F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_hash"),
-    )
-    found = near_copies(docs, key, text, **options).withColumnRenamed(key, "key")
-    least = (
-        found.where("n_words > 0").groupBy("class_id").agg(F.min(F.struct("key", "text_hash")).alias("least"))
-    )
-    kept = least.select("least.key", "least.text_hash").union(
-        found.where("n_words = 0").select("key", "text_hash")
-    )
-    return (
-        named.join(staged(kept, "kept-rows"), ["key", "text_hash"], "left_semi")
-        .dropDuplicates(["key", "text_hash"])
-        .select("row.*")
-    )
+    named = docs.select(F.struct(*docs.columns).alias("row"), *_keyed(key, text))
+    kept = _classified(docs, key, text, similarity, bands, rows).select("least.*").distinct()
+    return named.join(staged(kept, "kept-rows"), _KEY, "left_semi").dropDuplicates(_KEY).select("row.*")

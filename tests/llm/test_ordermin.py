@@ -1,21 +1,36 @@
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quotelock.llm import ordermin
 from quotelock.llm.components import components
-from quotelock.llm.ordermin import aligned, near_copies, one_per_class, shingles, words_of
+from quotelock.llm.ordermin import aligned, near_copies, one_per_class
 from quotelock.llm.queries import op10
 
 
+def plain_words(text):
+    return re.findall("[0-9A-Za-z\u0080-\U0010ffff]+", text or "")
+
+
+def longest_common(a, b):
+    """Length of the longest common subsequence, row by row."""
+    numbers = {value: k for k, value in enumerate(dict.fromkeys([*a, *b]))}
+    b = np.array([numbers[value] for value in b])
+    row = np.zeros(len(b) + 1, np.int64)
+    for value in a:
+        best = np.maximum(row[1:], row[:-1] + (b == numbers[value]))
+        row[1:] = np.maximum.accumulate(best)
+    return int(row[-1])
+
+
 def plain_classes(docs):
-    """Class of each row of (key, text) by comparing all pairs."""
-    words = words_of(pa.array([text for _, text in docs], pa.string()))
-    hashes = words.hashes()
-    values, bounds = shingles(words, hashes)
+    """Class of each row of (key, text) by comparing all pairs, with lists of words alone."""
+    words = [[word.lower() for word in plain_words(text)] for _, text in docs]
+    grams = [[tuple(own[i : i + 5]) for i in range(len(own) - 4)] for own in words]
+    counts = [Counter(own) for own in grams]
     parent = list(range(len(docs)))
 
     def find(x):
@@ -25,10 +40,14 @@ def plain_classes(docs):
 
     for i in range(len(docs)):
         for j in range(i):
-            a, b = (values[bounds[k] : bounds[k + 1]] for k in (i, j))
-            x, y = (hashes[words.first[k] : words.first[k + 1]] for k in (i, j))
-            both = aligned(a, b, 0.8) if len(a) and len(b) else 0
-            if (len(x) and np.array_equal(x, y)) or (both and both / (len(a) + len(b) - both) >= 0.8):
+            a, b = grams[i], grams[j]
+            same = bool(words[i]) and words[i] == words[j]
+            if not same and a and b and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)):
+                shared = (counts[i] & counts[j]).total()
+                if 5 * shared >= 4 * (len(a) + len(b) - shared):
+                    both = longest_common(a, b)
+                    same = 5 * both >= 4 * (len(a) + len(b) - both)
+            if same:
                 parent[find(i)] = find(j)
     least = defaultdict(list)
     for i, (key, _) in enumerate(docs):
@@ -77,12 +96,17 @@ def test_equals_all_pairs(spark):
     assert got == plain_classes(docs)
 
 
-def test_outsiders_meet_in_blocks(spark, monkeypatch):
+def test_outsiders_meet_by_their_differences(spark):
     """Buckets by one sketch of few shingles hold many texts that are not similar."""
-    monkeypatch.setattr(ordermin, "BLOCK", 4)
     docs = random_docs()
     common = [f"c{i}" for i in range(30)]
     docs += [(1000 + i, " ".join(common + [f"own{i}x{j}" for j in range(20)])) for i in range(10)]
+    docs += [(1100 + i, " ".join(common + [f"own{i % 3}y{j}" for j in range(20)] + [f"end{i}"])) for i in range(9)]
+    random.seed(8)
+    blocks = [[f"b{i}x{j}" for j in range(25)] for i in range(6)]
+    for i in range(14):
+        order = random.sample(blocks, 6) if i % 2 else blocks[:3] + random.sample(blocks[3:], 3)
+        docs.append((1200 + i, " ".join(edited([word for block in order for word in block], i % 3))))
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
     got = sorted((row["doc_id"], row["class_id"]) for row in near_copies(frame, bands=8, rows=1).collect())
     assert got == plain_classes(docs)
@@ -99,6 +123,7 @@ def test_odd_rows(odd_docs, no_docs):
     rows = near_copies(odd_docs).collect()
     assert len(rows) == 10
     assert {row["class_id"] for row in rows if row["n_words"] == 19} == {2}
+    assert [row["class_id"] for row in rows if row["doc_id"] is None and row["n_words"] == 0] == [None]
     kept = one_per_class(odd_docs)
     assert kept.columns == odd_docs.columns
     ids = sorted(str(row["doc_id"]) for row in kept.collect())
@@ -111,15 +136,6 @@ def test_query_equals_all_pairs(spark, folder):
     assert sorted(tuple(row) for row in op10.build(spark, folder).collect()) == plain_classes(docs)
 
 
-def longest_common(a, b):
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = row[:]
-        for j, y in enumerate(b):
-            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
-    return row[-1]
-
-
 def test_aligned_with_repeated_shingles(monkeypatch):
     random.seed(7)
     similar = lambda both, a, b: both / (len(a) + len(b) - both) >= 0.6
