@@ -1,21 +1,25 @@
 """Continuous capture: promotion, content dedupe and chain appends as streams.
 
 Late data is rejected with a code, never reordered. Deduplication and chains keep
-exact state in tables, because an identity never expires.
+exact state by key (:mod:`quotelock.streaming.keyed`), because an identity never expires.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from quotelock.functions.digests import canonical_split
 from quotelock.functions.ladder import first_failure
-from quotelock.operators.chains import chain_build
+from quotelock.operators.chains import LINK_MEMBER, chain_build
 from quotelock.operators.gate import promotion_gate
 from quotelock.operators.lineage import packet_payload
+from quotelock.streaming.keyed import ChainAppender, FirstSeen, use_state_store
 
 
 def stream_promotion(candidates: DataFrame, snapshots: DataFrame, **options: object) -> DataFrame:
@@ -26,24 +30,15 @@ def stream_promotion(candidates: DataFrame, snapshots: DataFrame, **options: obj
     return promotion_gate(candidates, snapshots, **options)
 
 
-def _stored(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """Rows of earlier batches. A batch that is run again does not see its own rows."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(f"{schema}, batch bigint").parquet(path)
-    return rows.where(F.col("batch") < batch_id).drop("batch")
+def _start(rows: DataFrame, store_path: str, checkpoint: str, once: bool) -> StreamingQuery:
+    writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start(store_path)
 
 
-def _write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Write the folder of this batch anew, so a retry leaves no doubles."""
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-
-def _start(
-    rows: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, once: bool
-) -> StreamingQuery:
-    writer = rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+def _least_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        least = pa.Table.from_batches([batch]).group_by("sha256").aggregate([("snapshot_ref", "min")])
+        yield from least.select(["sha256", "snapshot_ref_min"]).rename_columns(["sha256", "snapshot_ref"]).to_batches()
 
 
 def stream_dedupe(
@@ -51,16 +46,17 @@ def stream_dedupe(
 ) -> StreamingQuery:
     """Store each content digest of a stream of ``(snapshot_ref, sha256)`` once.
 
-    Each batch keeps the digests that no earlier batch stored. There is no watermark:
-    content seen at any time before is not stored again.
+    A digest is stored with the least reference of the batch that brought it first. There
+    is no watermark: content seen at any time before is not stored again. Copies inside a
+    slice of the input are combined before the shuffle, so content that very many rows
+    share is few rows there. A NULL digest is content that cannot be told apart, and counts
+    as one.
     """
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        known = _stored(batch.sparkSession, store_path, "sha256 string, snapshot_ref string", batch_id)
-        distinct = batch.groupBy("sha256").agg(F.min("snapshot_ref").alias("snapshot_ref"))
-        _write_batch(distinct.join(known.select("sha256"), "sha256", "left_anti"), store_path, batch_id)
-
-    return _start(incoming, step, checkpoint, once)
+    use_state_store(incoming.sparkSession)
+    schema = "sha256 string, snapshot_ref string"
+    combined = incoming.select("sha256", "snapshot_ref").mapInArrow(_least_of_batches, schema)
+    stored = combined.groupBy("sha256").transformWithState(FirstSeen("sha256", "snapshot_ref"), schema, "Append", "None")
+    return _start(stored, store_path, checkpoint, once)
 
 
 ENTRY_SCHEMA = (
@@ -71,6 +67,7 @@ ENTRY_SCHEMA = (
 
 
 IDENTITIES = ("packet_sha256", "candidate_id", "evidence_id")
+COLUMNS = ("sequence", "packet_sha256", "source_sha256", "source_byte_length", "candidate_id", "evidence_id")
 
 
 def append_batch(
@@ -84,7 +81,8 @@ def append_batch(
 
     ``batch`` names the sequence each packet claims. Per chain the batch is accepted from
     the stored head as far as it continues without a fault; every later row, and every
-    stale, duplicate or overflowing one, keeps its place with a code.
+    stale, duplicate or overflowing one, keeps its place with a code. Rows without a chain
+    are rejected: there is no head that they could continue.
     """
     from quotelock.plans.blocks import join_with_nulls, running_sum
 
@@ -110,8 +108,12 @@ def append_batch(
     )
     new_bytes = F.when(F.col("sequence") > F.col("_head"), F.col("source_byte_length"))
     staged = running_sum(staged, chain, "sequence", new_bytes, "_total", ["packet_sha256"])
+    named = F.lit(True)
+    for name in chain:
+        named = named & F.col(name).isNotNull()
     own = first_failure(
         [
+            (named, "PACKET_INDEX_INVALID"),
             (F.col("sequence") > F.col("_head"), "PACKET_APPEND_STALE"),
             (F.col("_claims") == 1, "PACKET_APPEND_FORK"),
             (fresh, "PACKET_INDEX_DUPLICATE"),
@@ -140,10 +142,7 @@ def append_batch(
             F.when(F.col("sequence") >= F.col("_break"), "PACKET_APPEND_GAP"),
         ),
     )
-    columns = [
-        *chain, "sequence", "packet_sha256", "source_sha256", "source_byte_length",
-        "candidate_id", "evidence_id",
-    ]
+    columns = [*chain, *COLUMNS]
     accepted = decided.where(F.col("failure_code").isNull()).select(*columns)
     linked = chain_build(accepted, chain, packet_payload(), heads=heads.select(*chain, "head_sha256"))
     missing = F.lit(None).cast("string")
@@ -158,16 +157,37 @@ def append_batch(
 
 
 def stream_chain_append(
-    packets: DataFrame, store_path: str, checkpoint: str, once: bool = True, **limits: int
+    packets: DataFrame,
+    store_path: str,
+    checkpoint: str,
+    once: bool = True,
+    chain: Sequence[str] = ("collection_id",),
+    **limits: int | None,
 ) -> StreamingQuery:
-    """Append a stream of packets to hash chains kept at ``store_path``.
+    """Append a stream of packets to hash chains; entries and rejected rows go to ``store_path``.
 
-    Each batch reads the heads and identities of the batches before it; rejected rows
-    are kept beside the entries with their code.
+    The rules are those of :func:`append_batch`, with each chain's head and identities as
+    keyed state instead of a store that is read again: a batch costs what its own rows cost.
     """
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        stored = _stored(batch.sparkSession, store_path, ENTRY_SCHEMA, batch_id)
-        _write_batch(append_batch(batch, stored, **limits), store_path, batch_id)
-
-    return _start(packets, step, checkpoint, once)
+    use_state_store(packets.sparkSession)
+    chain = list(chain)
+    before, after = canonical_split(packet_payload(), LINK_MEMBER)
+    named = F.lit(True)
+    for name in chain:
+        named = named & F.col(name).isNotNull()
+    fields = [packets.schema[name] for name in (*chain, *COLUMNS)]
+    schema = T.StructType(
+        [*fields, *(T.StructField(name, T.StringType()) for name in ("previous_entry_sha256", "entry_sha256", "failure_code"))]
+    )
+    linked = (
+        packets.where(named)
+        .select(*chain, *COLUMNS, before.alias("_before"), after.alias("_after"))
+        .groupBy(*chain)
+        .transformWithState(ChainAppender(chain, COLUMNS, IDENTITIES, **limits), schema, "Append", "None")
+    )
+    missing = F.lit(None).cast("string")
+    unnamed = packets.where(~named).select(
+        *chain, *COLUMNS, missing.alias("previous_entry_sha256"), missing.alias("entry_sha256"),
+        F.lit("PACKET_INDEX_INVALID").alias("failure_code"),
+    )
+    return _start(linked.unionByName(unnamed), store_path, checkpoint, once)

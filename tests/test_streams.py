@@ -87,3 +87,50 @@ def test_content_is_stored_once(spark, tmp_path):
         query.awaitTermination()
     rows = spark.read.parquet(f"{tmp_path}/rows").collect()
     assert sorted(r.sha256 for r in rows) == ["1", "2", "3"]
+
+
+def test_a_batch_costs_what_its_own_rows_cost(spark, tmp_path):
+    """Ten batches: state is touched for the batch's keys alone, and no batch reads the store."""
+    batches = [[packet(chain, number + 1) for chain in range(20)] for number in range(10)]
+    write_batches(spark, f"{tmp_path}/in", batches, PACKET)
+    query = appends.stream_chain_append(stream(spark, f"{tmp_path}/in", PACKET), f"{tmp_path}/rows", f"{tmp_path}/state")
+    query.awaitTermination()
+    progress = [p for p in query.recentProgress if p["numInputRows"]]
+    assert len(progress) == 10
+    touched = [p["stateOperators"][0]["numRowsUpdated"] for p in progress]
+    assert len(set(touched[1:])) == 1
+    assert all("rows" not in str(source["description"]).rsplit("/", 1)[-1] for p in progress for source in p["sources"])
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    assert rows.where("failure_code is null").count() == 200
+    plain = chain_build(
+        spark.createDataFrame([row for batch in batches for row in batch], PACKET), ["collection_id"], packet_payload()
+    )
+    columns = ["collection_id", "sequence", "previous_entry_sha256", "entry_sha256"]
+    assert sorted(map(tuple, rows.select(*columns).collect()), key=str) == sorted(map(tuple, plain.select(*columns).collect()), key=str)
+
+
+def test_stream_equals_batches(spark, tmp_path):
+    """Random packets with NULLs, repeats and forks: the stream's rows are those of the batch operator."""
+    import random
+
+    random.seed(4)
+    pool = [packet(chain, number, tag) for chain in (1, 2, 3, None) for number in range(1, 6) for tag in ("", "x")]
+    batches = []
+    for _ in range(4):
+        rows = random.sample(pool, 14)
+        rows += [(rows[0][0], rows[0][1] + 1, *rows[0][2:]), (2, None, *rows[1][2:]), (1, 2, None, *rows[2][3:])]
+        batches.append(rows)
+    batches[0] += [packet(1, 1), packet(1, 2), packet(2, 1)]
+    write_batches(spark, f"{tmp_path}/in", batches, PACKET)
+    limits = {"max_entries": 4, "max_bytes": 35}
+    appends.stream_chain_append(
+        stream(spark, f"{tmp_path}/in", PACKET), f"{tmp_path}/rows", f"{tmp_path}/state", **limits
+    ).awaitTermination()
+    stored = []
+    for batch in batches:
+        known = spark.createDataFrame(stored, appends.ENTRY_SCHEMA)
+        stored += appends.append_batch(spark.createDataFrame(batch, PACKET), known, **limits).collect()
+    columns = [name.split()[0] for name in appends.ENTRY_SCHEMA.split(", ")]
+    got = spark.read.parquet(f"{tmp_path}/rows").select(*columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str(tuple(row[name] for name in columns)) for row in stored)
+    assert {"PACKET_INDEX_INVALID", "PACKET_APPEND_STALE"} <= {row["failure_code"] for row in got}
