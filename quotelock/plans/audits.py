@@ -436,30 +436,93 @@ def report_validate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+RECORD_FAULTS = (
+    (None, None),
+    ("RECORD_UNKNOWN_KEY", "$.extra"),
+    ("RECORD_MISSING_KEY", "$.version"),
+    ("RECORD_TYPE_INVALID", "$.sequence"),
+    ("RECORD_NOT_JSON", "$"),
+    ("RECORD_UNKNOWN_KEY", "$.source.extra"),
+    ("RECORD_MISSING_KEY", "$.source.byteLength"),
+    ("RECORD_VALUE_INVALID", "$.source.sha256"),
+    ("RECORD_REPEATED_KEY", "$"),
+    ("RECORD_UNKNOWN_KEY", "$.selectors[1].extra"),
+    ("RECORD_MISSING_KEY", "$.selectors[0].start"),
+    ("RECORD_TYPE_INVALID", "$.selectors[1].start"),
+    ("RECORD_VALUE_INVALID", "$.selectors[1].start"),
+    ("RECORD_VALUE_INVALID", "$.selectors"),
+    ("RECORD_TYPE_INVALID", "$.source"),
+    ("RECORD_NOT_JSON", "$"),
+    ("RECORD_REPEATED_KEY", "$"),
+    (None, None),
+    ("RECORD_UNKNOWN_KEY", "$.source.extra"),
+)
+
+
+def _record_cases(which: int) -> str:
+    cases = [f"WHEN {form} THEN '{fault[which]}'" for form, fault in enumerate(RECORD_FAULTS) if fault[which]]
+    return f"CASE o_orderkey % {len(RECORD_FAULTS)} {' '.join(cases)} END"
+
+
+RECORD_SCHEMA = T.StructType(
+    [
+        T.StructField("sequence", T.LongType(), False, {"low": 0}),
+        T.StructField("version", T.StringType(), False),
+        T.StructField(
+            "source",
+            T.StructType(
+                [
+                    T.StructField("sha256", T.StringType(), False, {"pattern": "[0-9a-f]{64}"}),
+                    T.StructField("byteLength", T.LongType(), False, {"low": 1}),
+                    T.StructField("note", T.StringType(), True, {"optional": True}),
+                ]
+            ),
+            False,
+        ),
+        T.StructField(
+            "selectors",
+            T.ArrayType(T.StructType([T.StructField("start", T.LongType(), False, {"low": 0})]), False),
+            False,
+            {"low": 1, "high": 2},
+        ),
+    ]
+)
+
+
 @query(
-    f"""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 1 THEN 'RECORD_UNKNOWN_KEY' WHEN 2 THEN 'RECORD_MISSING_KEY'
-         WHEN 3 THEN 'RECORD_TYPE_INVALID' WHEN 4 THEN 'RECORD_NOT_JSON' WHEN 5 THEN 'RECORD_UNKNOWN_KEY' END
-         AS failure_code,
-         CASE WHEN o_orderkey % 7 IN (0, 6) THEN {version_sql('o_orderkey')} END AS version FROM orders"""
+    f"""SELECT o_orderkey, {_record_cases(0)} AS failure_code, {_record_cases(1)} AS failure_path,
+         CASE WHEN o_orderkey % {len(RECORD_FAULTS)} IN (0, 17) THEN {version_sql('o_orderkey')} END AS version,
+         CASE WHEN o_orderkey % {len(RECORD_FAULTS)} IN (0, 17) THEN sha256('source:' || o_orderkey) END AS source_sha256,
+         CASE WHEN o_orderkey % {len(RECORD_FAULTS)} IN (0, 17) THEN o_custkey END AS last_start
+       FROM orders"""
 )
 def closed_record_read(spark: SparkSession, folder: str) -> DataFrame:
-    """Release records as JSON lines, broken by ``o_orderkey % 7``."""
+    """Release records as JSON lines, broken by ``o_orderkey`` in one place or (18) in two."""
     from quotelock.plans.views import version_of
 
-    form = F.pmod("o_orderkey", F.lit(7))
-    version = version_of(c("o_orderkey"))
+    form = F.pmod("o_orderkey", F.lit(len(RECORD_FAULTS)))
+    text = lambda value: F.concat(F.lit('"'), value, F.lit('"'))
+    when = lambda number, broken, whole: F.when(form == number, F.lit(broken)).otherwise(whole)
+    added = lambda number, broken: when(number, broken, F.lit(""))
+    digest = F.sha2(F.concat(F.lit("source:"), c("o_orderkey").cast("string")), 256)
+    source = F.concat(
+        F.lit('{"sha256":'), F.when(form.isin(7, 18), text(F.upper(digest))).otherwise(text(digest)),
+        when(6, "", F.lit(',"byteLength":12')), F.when(form.isin(5, 18), F.lit(',"extra":{}')).otherwise(F.lit("")),
+        added(16, ',"sha256":"0"'), added(17, ',"note":null'), F.lit("}"),
+    )
+    second = F.concat(
+        F.lit('{"start":'), F.when(form == 11, F.lit('"4"')).when(form == 12, F.lit("-1")).otherwise(c("o_custkey").cast("string")),
+        added(9, ',"extra":1'), F.lit("}"),
+    )
     line = F.concat(
-        F.lit('{"sequence":'),
-        F.when(form == 3, F.lit('"one"')).otherwise(c("o_orderkey").cast("string")),
-        F.when(form == 2, F.lit("")).otherwise(F.concat(F.lit(',"version":"'), version, F.lit('"'))),
-        F.when(form == 1, F.lit(',"extra":true')).otherwise(F.lit("")),
-        F.when(form == 5, F.concat(F.lit(',"pad":"'), F.repeat(F.lit("x"), 300), F.lit('"'))).otherwise(F.lit("")),
-        F.when(form == 4, F.lit("")).otherwise(F.lit("}")),
-    )
-    schema = T.StructType(
-        [T.StructField("sequence", T.LongType(), False), T.StructField("version", T.StringType(), False)]
-    )
+        F.lit('{"sequence":'), when(3, '"one"', c("o_orderkey").cast("string")),
+        when(2, "", F.concat(F.lit(',"version":'), text(version_of(c("o_orderkey"))))), added(1, ',"extra":true'),
+        added(8, ',"sequence":1'), F.lit(',"source":'), when(14, "[]", source),
+        F.lit(',"selectors":['), when(10, "{}", F.lit('{"start":0}')), F.lit(","), second, added(13, ',{"start":1}'),
+        F.lit("]"), when(4, "", F.lit("}")), added(15, " {}"),
+    )
     lines = table(spark, folder, "orders").select("o_orderkey", line.alias("line"))
-    return closed_records(lines, "line", schema).select(
-        "o_orderkey", "failure_code", "record.version"
-    )
+    return closed_records(lines, "line", RECORD_SCHEMA).select(
+        "o_orderkey", "failure_code", "failure_path", "record.version",
+        c("record.source.sha256").alias("source_sha256"), F.try_element_at("record.selectors", F.lit(-1))["start"].alias("last_start"),
+    )
