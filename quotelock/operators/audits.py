@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quotelock.functions.digests import is_digest
 from quotelock.functions.ladder import first_failure, holds
-from quotelock.plans.blocks import running_sum, with_previous
+from quotelock.plans.blocks import running_sum
 
 
 def audit(
@@ -231,57 +231,65 @@ def coverage_adjacency(
 
     ``releases``: ``(group, sequence, version, pack_sha256)``. ``transitions``: ``(group,
     sequence, previous_version, current_version, previous_pack_sha256,
-    current_pack_sha256)``. Transition n joins releases n and n + 1 by position.
+    current_pack_sha256)``. Transition n belongs to the place of release n + 1. Every place
+    gets its release, the release before it and its transition in one grouping, and each of
+    them must be there exactly once; rows without a place belong to none and fail.
     """
     position = F.col(sequence).cast("bigint")
-    side = transitions.select(
-        *group,
-        (position + 1).alias("sequence"),
-        F.struct(
-            F.col("previous_version"),
-            F.col("current_version"),
-            F.col("previous_pack_sha256"),
-            F.col("current_pack_sha256"),
-        ).alias("transition"),
-    )
-    paired = with_previous(
-        releases.withColumn("sequence", position),
-        group,
-        "sequence",
-        {"version": F.col("version"), "pack_sha256": F.col("pack_sha256")},
-    )
-    joined = paired.join(side, [*group, "sequence"], "left")
-    transition, previous = F.col("transition"), F.col("previous")
-    agrees = (
-        transition["previous_version"].eqNullSafe(previous["version"])
-        & transition["current_version"].eqNullSafe(F.col("version"))
-        & transition["previous_pack_sha256"].eqNullSafe(previous["pack_sha256"])
-        & transition["current_pack_sha256"].eqNullSafe(F.col("pack_sha256"))
+    missing = F.lit(None)
+    pack = F.struct(F.col("version"), F.col("pack_sha256"))
+    nothing = missing.cast("struct<version:string,pack_sha256:string>")
+    own = F.struct(
+        position.alias("place"), F.lit(1).alias("own"), F.lit(0).alias("before"), F.lit(0).alias("moved"),
+        pack.alias("release"), nothing.alias("earlier"), nothing.alias("old"), nothing.alias("new"),
+    )
+    ahead = F.struct(
+        (position + 1).alias("place"), F.lit(0).alias("own"), F.lit(1).alias("before"), F.lit(0).alias("moved"),
+        nothing.alias("release"), pack.alias("earlier"), nothing.alias("old"), nothing.alias("new"),
+    )
+    pair = lambda side: F.struct(F.col(f"{side}_version").alias("version"), F.col(f"{side}_pack_sha256").alias("pack_sha256"))
+    moves = transitions.select(
+        *group, (position + 1).alias("place"), F.lit(0).alias("own"), F.lit(0).alias("before"), F.lit(1).alias("moved"),
+        nothing.alias("release"), nothing.alias("earlier"), pair("previous").alias("old"), pair("current").alias("new"),
+    )
+    last = lambda name: F.last(name, ignorenulls=True).alias(name)
+    places = (
+        releases.select(*group, F.inline(F.array(own, ahead)))
+        .unionByName(moves)
+        .groupBy(*group, "place")
+        .agg(
+            *[F.sum(name).alias(name) for name in ("own", "before", "moved")],
+            *[last(name) for name in ("release", "earlier", "old", "new")],
+        )
     )
-    matched = F.when(F.col("sequence") == 1, transition.isNull()).otherwise(
-        transition.isNotNull() & previous.isNotNull() & agrees
+    start = (F.col("place") == 1) & (F.col("own") == 1) & (F.col("before") == 0) & (F.col("moved") == 0)
+    later = (
+        (F.col("own") == 1) & (F.col("before") == 1) & (F.col("moved") == 1)
+        & F.col("old").eqNullSafe(F.col("earlier")) & F.col("new").eqNullSafe(F.col("release"))
+    )
+    after_last = (F.col("own") == 0) & (F.col("before") == 1) & (F.col("moved") == 0)
+    first = F.when(F.col("own") > 0, F.col("place"))
+    result = places.groupBy(*group).agg(
+        F.sum("own").alias("release_count"),
+        F.min_by(F.col("release.version"), first).alias("first_release"),
+        F.max_by(F.col("release.version"), first).alias("latest_release"),
+        F.bool_and(F.col("place").isNotNull() & (start | later | after_last)).alias("_matched"),
+        F.count_if(after_last).alias("_ends"),
+        F.sum("moved").alias("transition_count"),
     )
-    counts = transitions.groupBy(*group).agg(F.count("*").alias("transition_count"))
-    result = (
-        joined.groupBy(*group)
-        .agg(
-            F.count("*").alias("release_count"),
-            F.min_by("version", "sequence").alias("first_release"),
-            F.max_by("version", "sequence").alias("latest_release"),
-            F.bool_and(matched).alias("_matched"),
+    return (
+        result.where("release_count > 0")
+        .withColumn(
+            "failure_code",
+            first_failure(
+                [
+                    (F.col("release_count") == F.col("transition_count") + 1, "COVERAGE_COUNT_MISMATCH"),
+                    (F.col("_matched") & (F.col("_ends") == 1), "COVERAGE_RELEASE_MISMATCH"),
+                ]
+            ),
         )
-        .join(counts, list(group), "left")
-        .withColumn("transition_count", F.coalesce("transition_count", F.lit(0)))
+        .drop("_matched", "_ends")
     )
-    return result.withColumn(
-        "failure_code",
-        first_failure(
-            [
-                (F.col("release_count") == F.col("transition_count") + 1, "COVERAGE_COUNT_MISMATCH"),
-                (F.col("_matched"), "COVERAGE_RELEASE_MISMATCH"),
-            ]
-        ),
-    ).drop("_matched")
 
 
 def endpoint_match(

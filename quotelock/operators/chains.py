@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from quotelock.functions.digests import canonical_digest, canonical_split
 from quotelock.functions.ladder import first_failure, holds
-from quotelock.plans.blocks import running_sum, with_previous
+from quotelock.plans.blocks import copies_of_place, running_sum, with_previous
 
 LINK_MEMBER = "previousEntrySha256"
 LINK, ENTRY, SEQUENCE = "previous_entry_sha256", "entry_sha256", "sequence"
@@ -201,17 +201,24 @@ def running_bytes(
 def strictly_increasing(
     entries: DataFrame, chain: Sequence[str], key: Column, sequence: str = SEQUENCE
 ) -> DataFrame:
-    """Rows whose ``key`` is not above that of their predecessor, or is unreadable."""
-    keyed = entries.withColumn("_key", key)
+    """Rows whose ``key`` is not above that of their predecessor, or is unreadable.
+
+    Only the row at sequence 1 may lack a predecessor. A place taken twice, and the place
+    after it, are rejected, and so is a row without a sequence.
+    """
+    keyed = copies_of_place(entries.withColumn("_key", key), chain, sequence, "_place_copies")
     paired = with_previous(keyed, chain, sequence, {"key": F.col("_key")})
-    previous = F.col("previous")
+    previous, first = F.col("previous"), F.col(sequence) == 1
     code = first_failure(
         [
             (F.col("_key").isNotNull(), "VERSION_INVALID"),
-            (previous.isNull() | holds(previous["key"] < F.col("_key")), "VERSION_NOT_INCREASING"),
+            (F.col(sequence).isNotNull(), "SEQUENCE_GAP"),
+            (F.col("_place_copies") == 1, "SEQUENCE_DUPLICATE"),
+            (first | previous.isNotNull(), "SEQUENCE_GAP"),
+            (first | (previous["key"] < F.col("_key")), "VERSION_NOT_INCREASING"),
         ]
     )
-    return paired.withColumn("failure_code", code).drop("_key", "previous")
+    return paired.withColumn("failure_code", code).drop("_key", "_place_copies", "previous")
 
 
 def history_continuity(
@@ -224,12 +231,13 @@ def history_continuity(
     """Each entry starts where its predecessor ended.
 
     ``pairs`` maps a ``previous_*`` column to the ``next_*`` column it must equal in the
-    predecessor. Codes: DUPLICATE (the ``next_identity`` was reached before), GAP (no
-    predecessor), CONTINUITY_MISMATCH (fork or rollback).
+    predecessor. Codes: DUPLICATE (the ``next_identity`` was reached before), FORK (several
+    entries at one place), GAP (no predecessor, or several), CONTINUITY_MISMATCH (it starts
+    elsewhere).
     """
     identity = next_identity or next(iter(pairs.values()))
     reached = entries.groupBy(*chain, identity).agg(F.min(sequence).alias("_first"))
-    staged = entries.join(reached, [*chain, identity], "left")
+    staged = copies_of_place(entries.join(reached, [*chain, identity], "left"), chain, sequence, "_place_copies")
     paired = with_previous(staged, chain, sequence, {name: F.col(name) for name in pairs.values()})
     previous = F.col("previous")
     equal = F.lit(True)
@@ -239,11 +247,12 @@ def history_continuity(
     code = first_failure(
         [
             (F.col(sequence) == F.col("_first"), "HISTORY_DUPLICATE"),
+            (F.col("_place_copies") == 1, "HISTORY_FORK"),
             (first | previous.isNotNull(), "HISTORY_GAP"),
             (first | equal, "HISTORY_CONTINUITY_MISMATCH"),
         ]
     )
-    return paired.withColumn("failure_code", code).drop("_first", "previous")
+    return paired.withColumn("failure_code", code).drop("_first", "_place_copies", "previous")
 
 
 def collection_totals(

@@ -139,10 +139,16 @@ def signature_filter(
 
     ``signatures``: ``(report_id, key_id, report_sha256, signature_valid, order)``;
     ``reports``: ``(report_id, expected_sha256)``; ``trusted`` and ``revoked``: ``(key_id)``.
-    A valid signature of an untrusted key is no error, it only does not count.
+    A valid signature of an untrusted key is no error, it only does not count. Of a trusted
+    signer only the first signature passes; when two share that place, none does.
     """
     pair = ["report_id", "key_id"]
-    first = signatures.groupBy(*pair).agg(F.min(order).alias("_first"))
+    first = (
+        signatures.groupBy(*pair, order)
+        .agg(F.count("*").alias("_copies"))
+        .groupBy(*pair)
+        .agg(F.min(F.struct(F.col(order).alias("place"), "_copies")).alias("_first"))
+    )
     marked_trusted = trusted.select("key_id").distinct().withColumn("_trusted", F.lit(True))
     marked_revoked = revoked.select("key_id").distinct().withColumn("_revoked", F.lit(True))
     joined = (
@@ -156,7 +162,10 @@ def signature_filter(
         [
             (F.col("report_sha256") == F.col("expected_sha256"), "SIGNATURE_REPORT_MISMATCH"),
             (F.col("_revoked").isNull(), "SIGNATURE_KEY_REVOKED"),
-            (~is_trusted | (F.col(order) == F.col("_first")), "SIGNATURE_SIGNER_DUPLICATE"),
+            (
+                ~is_trusted | ((F.col(order) == F.col("_first.place")) & (F.col("_first._copies") == 1)),
+                "SIGNATURE_SIGNER_DUPLICATE",
+            ),
             (F.col("signature_valid"), "SIGNATURE_INVALID"),
         ]
     )

@@ -180,15 +180,18 @@ def receipt_crosscheck(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {UPGRADES_SQL}, broken AS (
       SELECT r.product_id, count(*) AS release_count, arg_min(release_version, sequence) AS first_release,
         arg_max(release_version, sequence) AS latest_release FROM releases r GROUP BY 1), kept AS (
-      SELECT product_id, count(*) FILTER (NOT (product_id % 5 = 1 AND sequence = 1)) AS transition_count,
+      SELECT product_id, count(*) FILTER (NOT (product_id % 5 = 1 AND sequence = 1))
+          + count(*) FILTER (product_id % 5 = 3 AND sequence = 2) AS transition_count, count(*) FILTER (product_id % 5 = 4 AND sequence = 3) AS moved,
         count(*) FILTER (product_id % 5 = 2 AND sequence = 2) AS rewritten FROM upgrades GROUP BY 1)
     SELECT b.product_id, release_count, coalesce(transition_count, 0) AS transition_count, first_release, latest_release,
       CASE WHEN release_count <> coalesce(transition_count, 0) + 1 THEN 'COVERAGE_COUNT_MISMATCH'
-        WHEN coalesce(rewritten, 0) > 0 THEN 'COVERAGE_RELEASE_MISMATCH' END AS failure_code
+        WHEN coalesce(rewritten, 0) > 0 OR coalesce(moved, 0) > 0 THEN 'COVERAGE_RELEASE_MISMATCH' END AS failure_code
     FROM broken b LEFT JOIN kept k ON k.product_id = b.product_id"""
 )
 def coverage_adjacency(spark: SparkSession, folder: str) -> DataFrame:
-    """By ``product_id % 5``: 1 the first transition is missing, 2 the second is rewritten."""
+    """By ``product_id % 5``: 1 the first transition is missing, 2 the second is rewritten, 3 it
+    comes twice, 4 the third has the place of the second.
+    """
     form, at = F.pmod("product_id", F.lit(5)), c("sequence")
     moves = (
         upgrades(spark, folder)
@@ -204,6 +207,10 @@ def coverage_adjacency(spark: SparkSession, folder: str) -> DataFrame:
             "current_pack_sha256",
         )
     )
+    moves = moves.withColumn("_copies", F.when((form == 3) & (at == 2), 2).otherwise(1)).select(
+        "*", F.explode(F.sequence(F.lit(1), "_copies"))
+    )
+    moves = moves.withColumn("sequence", F.when((form == 4) & (at == 3), at - 1).otherwise(at))
     rows = releases(spark, folder).select(
         "product_id", "sequence", c("release_version").alias("version"), "pack_sha256"
     )

@@ -102,11 +102,22 @@ def with_previous(
     """Add, as struct ``previous``, the given columns of the row with sequence - 1.
 
     Sequences are explicit, so the neighbour is found by an equi join on
-    ``(keys, sequence)``; no window over the whole group is needed.
+    ``(keys, sequence)``; no window over the whole group is needed. Where several rows
+    have that place there is no neighbour: ``previous`` is NULL, and no row is doubled.
     """
-    ahead = rows.select(
-        *keys,
-        (F.col(sequence) + 1).alias(sequence),
-        F.struct(*[column.alias(name) for name, column in columns.items()]).alias("previous"),
+    ahead = (
+        rows.groupBy(*keys, (F.col(sequence) + 1).alias(sequence))
+        .agg(
+            F.count("*").alias("_places"),
+            F.first(F.struct(*[column.alias(name) for name, column in columns.items()])).alias("previous"),
+        )
+        .where("_places = 1")
+        .drop("_places")
     )
     return rows.join(ahead, [*keys, sequence], "left")
+
+
+def copies_of_place(rows: DataFrame, keys: Sequence[str], sequence: str, out: str) -> DataFrame:
+    """Add the number of rows at each row's ``(keys, sequence)``."""
+    counted = rows.groupBy(*keys, sequence).agg(F.count("*").alias(out))
+    return join_with_nulls(rows, counted, [*keys, sequence])

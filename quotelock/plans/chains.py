@@ -95,16 +95,32 @@ def collection_totals(spark: SparkSession, folder: str) -> DataFrame:
       SELECT product_id, sequence, release_version, [CAST(k // 1000 AS BIGINT), (k // 10) % 100, k % 10,
           CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END, CASE WHEN k % 3 = 0 THEN k % 12 ELSE 0 END] AS key
       FROM (SELECT *, CASE WHEN release_key % 11 = 4 THEN release_key % 100 ELSE release_key END AS k FROM releases))
-    SELECT product_id, sequence, CASE WHEN lag(key) OVER w >= key THEN 'VERSION_NOT_INCREASING' END AS failure_code
-    FROM keyed WINDOW w AS (PARTITION BY product_id ORDER BY sequence)"""
+    SELECT product_id, CASE WHEN product_id % 9 <> 4 OR sequence <> 2 THEN sequence END AS sequence,
+      CASE WHEN product_id % 9 = 4 AND sequence = 2 THEN 'SEQUENCE_GAP'
+        WHEN product_id % 9 = 5 AND sequence = 2 THEN 'SEQUENCE_DUPLICATE'
+        WHEN product_id % 9 IN (3, 4, 5) AND sequence = 3 THEN 'SEQUENCE_GAP'
+        WHEN lag(key) OVER w >= key THEN 'VERSION_NOT_INCREASING' END AS failure_code
+    FROM keyed, unnest(range(CASE WHEN product_id % 9 = 5 AND sequence = 2 THEN 2 ELSE 1 END))
+    WHERE NOT (product_id % 9 = 3 AND sequence = 2)
+    WINDOW w AS (PARTITION BY product_id ORDER BY sequence)"""
 )
 def strictly_increasing(spark: SparkSession, folder: str) -> DataFrame:
-    """Every eleventh release repeats a low version number."""
+    """Every eleventh release repeats a low version number.
+
+    By ``product_id % 9`` the second release is 3 missing, 4 without its place, 5 there twice.
+    """
     from quotelock.plans.views import version_of
 
     low = F.when(F.pmod("release_key", F.lit(11)) == 4, F.pmod("release_key", F.lit(100))).otherwise(c("release_key"))
     rows = releases(spark, folder).select("product_id", "sequence", version_of(low).alias("version"))
-    return chains.strictly_increasing(rows, ["product_id"], semver_key(c("version"))).select(
+    form, second = F.pmod("product_id", F.lit(9)), c("sequence") == 2
+    faulty = (
+        rows.where(~((form == 3) & second))
+        .withColumn("_copies", F.when((form == 5) & second, 2).otherwise(1))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+        .withColumn("sequence", F.when(~((form == 4) & second), c("sequence")))
+    )
+    return chains.strictly_increasing(faulty, ["product_id"], semver_key(c("version"))).select(
         "product_id", "sequence", "failure_code"
     )
 
@@ -154,17 +170,23 @@ def history_coverage(spark: SparkSession, folder: str) -> DataFrame:
           END AS next_bundle_sha256,
         CASE WHEN collection_id % 5 = 3 AND sequence = 2 THEN previous_packet_count + 1 ELSE previous_packet_count
           END AS previous_packet_count, next_packet_count
-      FROM receipts WHERE NOT (collection_id % 5 = 4 AND sequence = 2))
+      FROM receipts WHERE NOT (collection_id % 5 = 4 AND sequence = 2)),
+    faulted AS (SELECT * FROM faulty UNION ALL
+      SELECT collection_id, sequence, previous_bundle_sha256, sha256('fork:' || next_bundle_sha256),
+        previous_packet_count, next_packet_count FROM faulty WHERE collection_id % 10 = 5 AND sequence = 2)
     SELECT collection_id, sequence, CASE
       WHEN sequence > min(sequence) OVER (PARTITION BY collection_id, next_bundle_sha256) THEN 'HISTORY_DUPLICATE'
+      WHEN count(*) OVER (PARTITION BY collection_id, sequence) > 1 THEN 'HISTORY_FORK'
       WHEN sequence = 1 THEN NULL
-      WHEN lag(sequence) OVER w IS DISTINCT FROM sequence - 1 THEN 'HISTORY_GAP'
+      WHEN lag(sequence) OVER w IS DISTINCT FROM sequence - 1 OR (collection_id % 10 = 5 AND sequence = 3)
+        THEN 'HISTORY_GAP'
       WHEN previous_bundle_sha256 <> lag(next_bundle_sha256) OVER w
         OR previous_packet_count <> lag(next_packet_count) OVER w THEN 'HISTORY_CONTINUITY_MISMATCH' END AS failure_code
-    FROM faulty WINDOW w AS (PARTITION BY collection_id ORDER BY sequence)"""
+    FROM faulted WINDOW w AS (PARTITION BY collection_id ORDER BY sequence)"""
 )
 def history_continuity(spark: SparkSession, folder: str) -> DataFrame:
-    """By ``collection_id % 5``: 1 fork, 2 repeated head, 3 other count, 4 gap, at entry 2."""
+    """By ``collection_id % 5``: 1 other start, 2 repeated head, 3 other count, 4 gap, at entry 2;
+    of every second 0, a fork there."""
     form, second = F.pmod("collection_id", F.lit(5)), c("sequence") == 2
     faulty = (
         transitions(spark, folder)
@@ -180,6 +202,9 @@ def history_continuity(spark: SparkSession, folder: str) -> DataFrame:
             }
         )
     )
+    fork = (F.pmod("collection_id", F.lit(10)) == 5) & second
+    forked = faulty.where(fork).withColumn("next_bundle_sha256", F.sha2(F.concat(F.lit("fork:"), "next_bundle_sha256"), 256))
+    faulty = faulty.unionByName(forked)
     return chains.history_continuity(
         faulty,
         COLLECTION,

@@ -96,21 +96,24 @@ def snapshot_capture(spark: SparkSession, folder: str) -> DataFrame:
     """WITH incoming AS (SELECT sha256(text) AS sha256, min(doc_id) AS first_doc, count(*) AS copies
          FROM documents GROUP BY 1),
     store AS (SELECT DISTINCT sha256(text) AS sha256,
-        CASE WHEN substr(sha256(text), 1, 1) = '0' THEN sha256('x' || text) ELSE sha256(text) END AS stored_sha256
+        CASE WHEN substr(sha256(text), 1, 1) = '0' THEN sha256('x' || text)
+          WHEN substr(sha256(text), 1, 1) <> '1' THEN sha256(text) END AS stored_sha256
       FROM documents WHERE doc_id % 3 = 0)
-    SELECT i.sha256, i.first_doc, i.copies, CASE WHEN s.stored_sha256 IS NULL THEN 'store'
+    SELECT i.sha256, i.first_doc, i.copies, CASE WHEN s.sha256 IS NULL THEN 'store'
       WHEN s.stored_sha256 = i.sha256 THEN 'present' ELSE 'SNAPSHOT_HASH_MISMATCH' END AS outcome
     FROM incoming i LEFT JOIN store s ON s.sha256 = i.sha256"""
 )
 def content_dedupe(spark: SparkSession, folder: str) -> DataFrame:
-    """A third of the contents is stored already; some stored objects are corrupt."""
+    """A third of the contents is stored already; some stored objects are corrupt or unreadable."""
     rows = table(spark, folder, "documents").select("doc_id", "text", F.sha2("text", 256).alias("sha256"))
     corrupt = F.sha2(F.concat(F.lit("x"), c("text")), 256)
     store = (
         rows.where(F.pmod("doc_id", F.lit(3)) == 0)
         .select(
             "sha256",
-            F.when(F.substring("sha256", 1, 1) == "0", corrupt).otherwise(c("sha256")).alias("stored_sha256"),
+            F.when(F.substring("sha256", 1, 1) == "0", corrupt)
+            .when(F.substring("sha256", 1, 1) != "1", c("sha256"))
+            .alias("stored_sha256"),
         )
         .distinct()
     )

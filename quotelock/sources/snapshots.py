@@ -93,19 +93,24 @@ def content_dedupe(incoming: DataFrame, stored: DataFrame | None = None) -> Data
 
     ``incoming`` has ``(snapshot_ref, sha256)``; ``stored`` has ``(sha256,
     stored_sha256)`` where ``stored_sha256`` is the digest of the bytes found under
-    that key. Contents stay out of the shuffle, and copies are counted before it.
+    that key. A key that is stored without a readable digest is a mismatch, never written
+    over, and content without a digest cannot be stored. Contents stay out of the shuffle,
+    and copies are counted before it.
     """
     distinct = incoming.groupBy("sha256").agg(
         F.min("snapshot_ref").alias("snapshot_ref"), F.count("*").alias("copies")
     )
     if stored is None:
-        return distinct.withColumn("outcome", F.lit("store"))
-    return distinct.join(stored, "sha256", "left").select(
+        return distinct.withColumn("outcome", F.when(F.col("sha256").isNull(), "SNAPSHOT_HASH_MISMATCH").otherwise("store"))
+    found = stored.groupBy("sha256").agg(
+        F.bool_and(F.coalesce(F.col("stored_sha256") == F.col("sha256"), F.lit(False))).alias("_intact")
+    )
+    return distinct.join(found, "sha256", "left").select(
         "sha256",
         "snapshot_ref",
         "copies",
-        F.when(F.col("stored_sha256").isNull(), "store")
-        .when(F.col("stored_sha256") == F.col("sha256"), "present")
+        F.when(F.col("sha256").isNotNull() & F.col("_intact").isNull(), "store")
+        .when(F.col("_intact"), "present")
         .otherwise("SNAPSHOT_HASH_MISMATCH")
         .alias("outcome"),
     )
