@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quotelock.functions.ladder import at_most, holds
+from quotelock.functions.ladder import at_most, bind, holds
 
 # Fixed value: the whitespace class used for query normalisation. It has the
 # ASCII blanks, every Unicode separator and U+FEFF.
@@ -18,13 +18,65 @@ MAX_MATCHES = 20
 ELLIPSIS = "…"
 
 
-def exact_occurrences(text: Column, query: Column, limit: int = MAX_MATCHES) -> Column:
+def escaped(query: Column) -> Column:
+    """``query`` as a regular expression that matches it alone."""
+    return F.regexp_replace(query, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+
+
+def running_totals(values: Column) -> Column:
+    """Running sums of an array of integers.
+
+    Appending to an array copies it, so sums are taken in blocks of about the square root
+    of the length, then over the blocks' totals.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def sums(part: Column) -> Column:
+        return F.aggregate(
+            part, none, lambda found, x: F.array_append(found, F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(0)) + x)
+        )
+
+    def of_blocks(blocks: Column) -> Column:
+        totals = bind(sums(F.transform(blocks, lambda block: F.element_at(block, -1))), lambda found: found)
+        before = F.concat(F.array(F.lit(0).cast("bigint")), totals)
+        return bind(
+            before,
+            lambda start: F.flatten(
+                F.transform(blocks, lambda block, i: F.transform(block, lambda x: x + F.get(start, i)))
+            ),
+        )
+
+    def of_values(found: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(found))).cast("int")
+        cuts = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / size).cast("int"))
+        return bind(F.transform(cuts, lambda i: sums(F.slice(found, i * size + 1, size))), of_blocks)
+
+    numbers = F.transform(values, lambda x: x.cast("bigint"))
+    return F.when(F.size(values) == 0, none).otherwise(bind(numbers, of_values))
+
+
+def _all_occurrences(text: Column, query: Column) -> Column:
+    """Offsets of all matches: the text is cut before each, and a piece starts where the ones before it end."""
+    pieces = F.split(text, F.concat(F.lit("(?="), escaped(query), F.lit(")")), -1)
+
+    def starts(sizes: Column) -> Column:
+        ends = running_totals(F.slice(sizes, 1, F.size(sizes) - 1))
+        later = F.transform(ends, lambda end: (end + 1).cast("int"))
+        return F.when(F.startswith(text, query), F.concat(F.array(F.lit(1)), later)).otherwise(later)
+
+    return bind(F.transform(pieces, F.char_length), starts)
+
+
+def exact_occurrences(text: Column, query: Column, limit: int | None = None) -> Column:
     """1-based offsets of ``query`` in ``text``, overlaps included.
 
-    At most ``limit + 1`` offsets are returned: the extra one only says that there
-    are more (see :func:`bounded_matches`).
+    Without a ``limit`` all are returned. With one, at most ``limit + 1``: the extra one only
+    says that there are more (see :func:`bounded_matches`).
     """
     none = F.array().cast("array<int>")
+    usable = holds(F.char_length(query) > 0) & text.isNotNull()
+    if limit is None:
+        return F.when(usable & F.contains(text, query), _all_occurrences(text, query)).otherwise(none)
 
     def step(found: Column, _: Column) -> Column:
         after = F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(0))
@@ -33,9 +85,7 @@ def exact_occurrences(text: Column, query: Column, limit: int = MAX_MATCHES) ->
         return F.when(finished, found).otherwise(F.array_append(found, offset))
 
     steps = F.sequence(F.lit(1), F.lit(limit + 1))
-    return F.when(
-        holds(F.char_length(query) > 0) & text.isNotNull(), F.aggregate(steps, none, step)
-    ).otherwise(none)
+    return F.when(usable, F.aggregate(steps, none, step)).otherwise(none)
 
 
 def trim_whitespace(value: Column) -> Column:
@@ -44,24 +94,25 @@ def trim_whitespace(value: Column) -> Column:
 
 def whitespace_pattern(query: Column) -> Column:
     """Regular expression for the words of ``query`` with any blanks between them."""
-    escaped = F.regexp_replace(trim_whitespace(query), r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    return F.regexp_replace(escaped, f"{WHITESPACE}+", WHITESPACE.replace("\\", "\\\\") + "+")
+    return F.regexp_replace(escaped(trim_whitespace(query)), f"{WHITESPACE}+", WHITESPACE.replace("\\", "\\\\") + "+")
 
 
 def collapse_whitespace(value: Column) -> Column:
     return F.regexp_replace(value, f"{WHITESPACE}+", " ")
 
 
-def ws_occurrences(text: Column, query: Column, limit: int = MAX_MATCHES) -> Column:
+def ws_occurrences(text: Column, query: Column, limit: int | None = None) -> Column:
     """Source-exact texts that match ``query`` up to whitespace, overlaps included.
 
-    The expression runs only on texts that hold the blank-collapsed query.
+    All of them, or with a ``limit`` at most ``limit + 1``. The expression runs only on texts
+    that hold the blank-collapsed query.
     """
     lookahead = F.concat(F.lit("(?=("), whitespace_pattern(query), F.lit("))"))
     likely = F.contains(collapse_whitespace(text), collapse_whitespace(trim_whitespace(query)))
+    found = F.regexp_extract_all(text, lookahead, F.lit(1))
     return F.when(
         holds(likely & (F.char_length(trim_whitespace(query)) > 0)),
-        F.slice(F.regexp_extract_all(text, lookahead, F.lit(1)), 1, limit + 1),
+        found if limit is None else F.slice(found, 1, limit + 1),
     ).otherwise(F.array().cast("array<string>"))
 
 

@@ -112,15 +112,15 @@ def _quote() -> Column:
     return F.when(F.char_length("text") < 80, c("text")).otherwise(F.substring("text", 10, 60))
 
 
-def _with_hits(spark: SparkSession, folder: str) -> DataFrame:
+def _with_hits(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
     return _documents(spark, folder).select(
-        "doc_id", text.exact_occurrences(c("text"), F.substring(_quote(), 1, 2)).alias("hits")
+        "doc_id", text.exact_occurrences(c("text"), F.substring(_quote(), 1, 2), limit).alias("hits")
     )
 
 
 @query(
     f"""WITH {_OCCURRENCES_SQL}
-    SELECT doc_id, CAST(least(len(hits), 21) AS BIGINT) AS found, array_to_string(hits[1:21], ',') AS offsets
+    SELECT doc_id, CAST(len(hits) AS BIGINT) AS found, array_to_string(hits, ',') AS offsets
     FROM found"""
 )
 def exact_occurrences(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,7 +137,7 @@ def exact_occurrences(spark: SparkSession, folder: str) -> DataFrame:
 )
 def bounded_matches(spark: SparkSession, folder: str) -> DataFrame:
     kept, truncated = text.bounded_matches(c("hits"))
-    return _with_hits(spark, folder).select(
+    return _with_hits(spark, folder, text.MAX_MATCHES).select(
         "doc_id", F.array_join(kept, ",").alias("offsets"), truncated.alias("truncated")
     )
 
@@ -154,8 +154,8 @@ def bounded_matches(spark: SparkSession, folder: str) -> DataFrame:
       SELECT doc_id, text, flat, flat_query, pattern, list_filter(range(1, len(chars) + 1),
         lambda i: starts_with(chars[i] || coalesce(chars[i + 1], ''), substr(flat_query, 1, 2))) AS likely
       FROM (SELECT *, string_split(flat, '') AS chars FROM queries))
-    SELECT doc_id, CAST(least(21, len(list_filter(likely,
-        lambda i: substr(flat, i, length(flat_query)) = flat_query))) AS BIGINT) AS found,
+    SELECT doc_id, CAST(len(list_filter(likely,
+        lambda i: substr(flat, i, length(flat_query)) = flat_query)) AS BIGINT) AS found,
       nullif(regexp_extract(text, pattern), '') AS first_match FROM starts"""
 )
 def ws_occurrences(spark: SparkSession, folder: str) -> DataFrame:

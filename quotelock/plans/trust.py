@@ -104,9 +104,11 @@ def active_policy_asof(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _signatures(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items sign their order; the supplier is the signer."""
+    """Line items sign their order; the supplier is the signer. In every eleventh order a line is there twice."""
     report = F.sha2(F.concat(F.lit("report:"), c("l_orderkey").cast("string")), 256)
-    return table(spark, folder, "lineitem").select(
+    twice = (F.pmod("l_orderkey", F.lit(11)) == 3) & (c("l_linenumber") == 2)
+    lines = table(spark, folder, "lineitem").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(twice, 2).otherwise(1))))
+    return lines.select(
         c("l_orderkey").alias("report_id"),
         c("l_suppkey").alias("key_id"),
         F.when(F.pmod("l_partkey", F.lit(13)) == 5, F.sha2(report, 256)).otherwise(report).alias("report_sha256"),
@@ -135,11 +137,12 @@ def _filtered(spark: SparkSession, folder: str) -> DataFrame:
 _SIGNATURES_SQL = """signatures AS (
   SELECT l_orderkey AS report_id, l_suppkey AS key_id, l_partkey % 13 = 5 AS foreign_report, l_linenumber > 1 AS valid,
     l_linenumber, l_partkey, l_suppkey % 4 <> 0 AS trusted, l_suppkey % 25 = 7 AS revoked,
-    row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_quantity,
-      l_shipdate, l_discount, l_tax) AS nth,
+    rank() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_quantity,
+      l_shipdate, l_discount, l_tax) + count(*) OVER (PARTITION BY l_orderkey, l_suppkey, l_linenumber, l_partkey,
+      l_extendedprice, l_quantity, l_shipdate, l_discount, l_tax) - 1 AS nth,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_quantity,
       l_shipdate, l_discount, l_tax) AS place
-  FROM lineitem), filtered AS (
+  FROM lineitem, unnest(range(CASE WHEN l_orderkey % 11 = 3 AND l_linenumber = 2 THEN 2 ELSE 1 END))), filtered AS (
   SELECT *, CASE WHEN foreign_report OR report_id NOT IN (SELECT o_orderkey FROM orders) THEN 'SIGNATURE_REPORT_MISMATCH'
       WHEN revoked THEN 'SIGNATURE_KEY_REVOKED' WHEN trusted AND nth > 1 THEN 'SIGNATURE_SIGNER_DUPLICATE'
       WHEN NOT valid THEN 'SIGNATURE_INVALID' END AS failure_code FROM signatures)"""
