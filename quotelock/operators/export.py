@@ -21,6 +21,8 @@ from quotelock.functions.records import (
     object_path,
 )
 from quotelock.operators.gate import CANDIDATE_KIND, EVIDENCE_KIND, SELECTOR_TYPE
+from quotelock.operators.heads import collection_heads
+from quotelock.plans.blocks import join_with_nulls
 
 SOURCE_NAME = "source.bin"
 PROMOTION_POLICY = "verified-local-citation@1"
@@ -123,46 +125,38 @@ def packet_export(
     ).drop("_length", "_sha256")
 
 
-def index_digest(entries: Column, namespace: str) -> Column:
-    return canonical_digest(
-        {
-            "version": F.lit(1),
-            "kind": F.lit(f"{namespace}EvidencePacketIndex"),
-            "entries": entries,
-            "assurance": {"timestamp": F.lit("not-attested")},
-        }
-    )
-
-
 def bundle_export(
     entries: DataFrame,
     collection: Sequence[str],
     max_packets: int | None = None,
     namespace: str = "Quotelock",
 ) -> DataFrame:
-    """Nest the ordered entries of each collection and give it its head.
+    """Nest the ordered entries and packets of each collection and give it its heads.
 
-    A bundle is one record by definition. Collections with a repeated packet, or with
-    more than ``max_packets`` entries where that is given, come back with a code and no
-    entries; they are counted out before anything is gathered.
+    A bundle is one record by definition, but its heads are streamed
+    (:mod:`quotelock.operators.heads`). A collection with a missing, repeated or damaged
+    entry or a repeated packet, or with more than ``max_packets`` entries where that is
+    given, comes back with a code and without entries or heads; it is counted out before
+    anything is gathered.
     """
     keys = list(collection)
-    counts = (
-        entries.groupBy(*keys, "packet_sha256")
-        .agg(F.count("*").alias("_copies"))
-        .groupBy(*keys)
-        .agg(F.sum("_copies").alias("packet_count"), F.max("_copies").alias("_copies"))
-        .withColumn(
-            "failure_code",
-            first_failure(
-                [
-                    (at_most(F.col("packet_count"), max_packets), "PACKET_COLLECTION_COUNT_INVALID"),
-                    (F.col("_copies") == 1, "PACKET_COLLECTION_BUNDLE_INVALID"),
-                ]
-            ),
-        )
-        .drop("_copies")
+    copies = entries.groupBy(*keys, "packet_sha256").agg(F.count("*").alias("_copies"))
+    most = copies.groupBy(*keys).agg(F.max("_copies").alias("_copies"))
+    heads = join_with_nulls(collection_heads(entries, keys, namespace), most, keys)
+    counts = heads.select(
+        *keys,
+        F.col("entry_count").alias("packet_count"),
+        first_failure(
+            [
+                (at_most(F.col("entry_count"), max_packets), "PACKET_COLLECTION_COUNT_INVALID"),
+                (F.col("failure_code").isNull() & (F.col("_copies") == 1), "PACKET_COLLECTION_BUNDLE_INVALID"),
+            ]
+        ).alias("failure_code"),
+        *[F.col(name) for name in ("index_sha256", "audit_sha256", "packets_sha256", "bundle_sha256")],
     )
+    good = F.col("failure_code").isNull()
+    for name in ("index_sha256", "audit_sha256", "packets_sha256", "bundle_sha256"):
+        counts = counts.withColumn(name, F.when(good, F.col(name)))
     entry = F.struct(
         F.col("candidate_id").alias("candidateId"),
         F.col("entry_sha256").alias("entrySha256"),
@@ -173,41 +167,11 @@ def bundle_export(
         F.col("source_byte_length").alias("sourceByteLength"),
         F.col("source_sha256").alias("sourceSha256"),
     )
-    fitting = entries.join(counts.where(F.col("failure_code").isNull()).select(*keys), keys, "left_semi")
-    nested = fitting.groupBy(*keys).agg(
-        F.array_sort(
-            F.collect_list(entry), lambda a, b: (a["sequence"] - b["sequence"]).cast("int")
-        ).alias("entries")
-    )
-    names = F.transform(
-        "entries", lambda item: F.concat(F.lit("packets/"), item["packetSha256"], F.lit(".json"))
-    )
-    return (
-        counts.join(nested, keys, "left")
-        .withColumns(
-            {
-                "index_sha256": F.when(
-                    F.col("entries").isNotNull(), index_digest(F.col("entries"), namespace)
-                ),
-                "packet_names": names,
-            }
-        )
-        .withColumn(
-            "bundle_sha256",
-            F.when(
-                F.col("entries").isNotNull(),
-                canonical_digest(
-                    {
-                        "version": F.lit(1),
-                        "kind": F.lit(f"{namespace}EvidencePacketCollectionBundle"),
-                        "indexSha256": F.col("index_sha256"),
-                        "packets": F.col("packet_names"),
-                        "assurance": {"timestamp": F.lit("not-attested")},
-                    }
-                ),
-            ),
-        )
-    )
+    fitting = entries.join(counts.where(good).select(*keys), keys, "left_semi")
+    placed = F.sort_array(F.collect_list(F.struct(F.col("sequence").alias("at"), entry.alias("entry"))))
+    nested = fitting.groupBy(*keys).agg(F.transform(placed, lambda item: item["entry"]).alias("entries"))
+    names = F.transform("entries", lambda item: F.concat(F.lit("packets/"), item["packetSha256"], F.lit(".json")))
+    return counts.join(nested, keys, "left").withColumn("packet_names", names)
 
 
 def provenance_export(

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from quotelock.functions.digests import canonical_digest
 from quotelock.functions.ladder import first_failure, holds
-from quotelock.operators.audits import any_failure, endpoint_match, history_audit, latest_entry
-from quotelock.operators.chains import chain_build, chain_verify, history_continuity
+from quotelock.operators.audits import any_failure, collection_audit, history_audit, latest_entry
+from quotelock.operators.chains import chain_build, history_continuity
+from quotelock.operators.heads import CONTINUITY, collection_heads, history_heads, lineage_head, prefix_heads
+from quotelock.plans.blocks import join_with_nulls
+from quotelock.plans.checkpoints import cut_lineage
 
 PACKET_PAYLOAD_COLUMNS = {
     "sequence": "sequence",
@@ -175,121 +178,202 @@ def append_packets(
 
 
 def append_transitions(current: DataFrame, receipts: DataFrame, chain: Sequence[str]) -> DataFrame:
-    """Extend each history by one verified transition receipt per chain."""
-    heads = current.groupBy(*chain).agg(
-        F.max_by("entry_sha256", "sequence").alias("head_sha256"),
-        F.max("sequence").cast("bigint").alias("_base"),
+    """Extend each history by verified transition receipts, in order, as one operation.
+
+    ``receipts`` has the chain columns, ``append_order`` from 1 and the receipt's columns. A
+    receipt must start where its predecessor ended: the last entry of the history, or the
+    receipt before it. Histories whose orders are not 1 to n each once, or that break
+    anywhere, get none of their new rows: all come back with the first code.
+    """
+    chain = list(chain)
+    columns = list(TRANSITION_PAYLOAD_COLUMNS.values())
+    heads = latest_entry(current.select(*chain, *columns, "entry_sha256"), chain)
+    orders = (
+        receipts.groupBy(*chain, "append_order")
+        .agg(F.count("*").alias("_rows"))
+        .groupBy(*chain)
+        .agg(
+            F.sum("_rows").alias("_added"), F.count("append_order").alias("_orders"),
+            F.min("append_order").alias("_low"), F.max("append_order").alias("_high"),
+        )
+    )
+    base = heads.select(*chain, F.col("sequence").cast("bigint").alias("_base"), F.col("entry_sha256").alias("head_sha256"))
+    placed = (
+        join_with_nulls(join_with_nulls(receipts, orders, chain), base, chain)
+        .withColumn("_base", F.coalesce("_base", F.lit(0)))
+        .withColumn("sequence", F.col("_base") + F.col("append_order"))
+    )
+    known = heads.select(*chain, *columns).withColumn("_new", F.lit(False))
+    staged = known.unionByName(placed.withColumn("_new", F.lit(True)), allowMissingColumns=True)
+    # The last entry stands for the whole history before it.
+    first = staged.withColumn("_own", F.col("sequence")).withColumn(
+        "sequence", F.when(F.col("_new"), F.col("_own") - F.col("_base") + F.when(F.col("_base") > 0, 1).otherwise(0)).otherwise(F.lit(1))
     )
-    staged = (
-        receipts.join(heads.select(*chain, "_base"), list(chain), "left")
-        .withColumn("sequence", F.coalesce("_base", F.lit(0)) + 1)
-        .drop("_base")
+    checked = history_continuity(first, chain, dict(CONTINUITY)).withColumn("sequence", F.col("_own")).where("_new")
+    named = F.lit(True)
+    for name in chain:
+        named = named & F.col(name).isNotNull()
+    ordered = (F.col("_low") == 1) & (F.col("_high") == F.col("_added")) & (F.col("_orders") == F.col("_added"))
+    coded = checked.withColumn(
+        "failure_code",
+        F.coalesce(first_failure([(named, "HISTORY_INVALID"), (ordered, "HISTORY_GAP")]), F.col("failure_code")),
     )
-    return chain_build(
-        staged, chain, transition_payload(), heads=heads.select(*chain, "head_sha256")
+    worst = coded.groupBy(*chain).agg(
+        F.coalesce(F.min_by("failure_code", F.when(F.col("failure_code").isNotNull(), F.col("append_order"))), F.min("failure_code")).alias("_worst")
     )
+    decided = join_with_nulls(coded.drop("failure_code"), worst, chain)
+    out = [*chain, *columns]
+    accepted = decided.where(F.col("_worst").isNull()).select(*out)
+    missing = F.lit(None).cast("string")
+    linked = chain_build(accepted, chain, transition_payload(), heads=base.select(*chain, "head_sha256"))
+    rejected = decided.where(F.col("_worst").isNotNull()).select(
+        *out, missing.alias("previous_entry_sha256"), missing.alias("entry_sha256"), F.col("_worst").alias("failure_code")
+    )
+    return linked.withColumn("failure_code", missing).unionByName(rejected)
+
+
+def _receipt_columns() -> list[Column]:
+    """A transition receipt from ``previous_`` and own heads and the appended range."""
+    c = F.col
+    return [
+        c("previous_bundle_sha256"), c("bundle_sha256").alias("next_bundle_sha256"),
+        c("previous_index_sha256"), c("index_sha256").alias("next_index_sha256"),
+        c("previous_packet_count"), c("packet_count").alias("next_packet_count"),
+        (c("packet_count") - c("previous_packet_count")).alias("appended_packet_count"),
+        (c("previous_packet_count") + 1).alias("first_sequence"), c("packet_count").alias("last_sequence"),
+        c("_first").alias("first_packet_sha256"), c("_last").alias("last_packet_sha256"),
+    ]
 
 
 def transitions_of(entries: DataFrame, chain: Sequence[str], namespace: str = "Quotelock") -> DataFrame:
-    """One transition receipt per appended entry: collection n to n + 1.
+    """One transition receipt per appended entry: collection n to n + 1, with the heads of both.
 
-    The entry digest of the last entry commits to the whole collection and stands for
-    its index head; the bundle head is derived from it.
+    Entries from a fault on give none.
     """
-    from quotelock.plans.blocks import with_previous
-
-    paired = with_previous(
-        entries, chain, "sequence", {"entry_sha256": F.col("entry_sha256")}
-    ).where(F.col("sequence") > 1)
-    number = F.col("sequence").cast("bigint")
-    receipts = paired.select(
-        *chain,
-        (number - 1).alias("sequence"),
-        bundle_head(F.col("previous")["entry_sha256"]).alias("previous_bundle_sha256"),
-        bundle_head(F.col("entry_sha256")).alias("next_bundle_sha256"),
-        F.col("previous")["entry_sha256"].alias("previous_index_sha256"),
-        F.col("entry_sha256").alias("next_index_sha256"),
-        (number - 1).alias("previous_packet_count"),
-        number.alias("next_packet_count"),
-        F.lit(1).cast("bigint").alias("appended_packet_count"),
-        number.alias("first_sequence"),
-        number.alias("last_sequence"),
-        F.col("packet_sha256").alias("first_packet_sha256"),
-        F.col("packet_sha256").alias("last_packet_sha256"),
+    heads = prefix_heads(entries, chain, namespace).where((F.col("packet_count") > 1) & F.col("failure_code").isNull())
+    receipts = heads.withColumns({"_first": F.col("packet_sha256"), "_last": F.col("packet_sha256")}).select(
+        *chain, F.col("previous_packet_count").alias("sequence"), *_receipt_columns()
     )
     return receipts.withColumn("transition_audit_sha256", transition_digest(namespace))
 
 
-def bundle_head(index_head: Column) -> Column:
-    """Head of the collection bundle made from an index head."""
-    return F.sha2(F.concat(F.lit("bundle:"), index_head), 256)
+def append_lineage(
+    current: DataFrame,
+    history: DataFrame,
+    packets: DataFrame,
+    chain: Sequence[str],
+    namespace: str = "Quotelock",
+    **limits: int | None,
+) -> dict[str, DataFrame]:
+    """Append packets to collections and the transition to their histories, in one operation.
+
+    Returns ``entries`` (the new packet entries, rejected ones with a code), ``receipts`` (one
+    per collection that grew: from its old bundle head to its new one) and ``history`` (the
+    new history entries, or why there are none).
+    """
+    chain = list(chain)
+    # Each is read several times below; without a cut every reader would append again.
+    added = cut_lineage(append_packets(current, packets, chain, **limits))
+    columns = [*chain, *PACKET_PAYLOAD_COLUMNS.values(), "previous_entry_sha256", "entry_sha256"]
+    grown = added.where(F.col("failure_code").isNull()).select(*columns)
+    both = current.select(*columns).join(grown.select(*chain).distinct(), chain, "left_semi").unionByName(grown)
+    marks = grown.groupBy(*chain).agg(F.min("sequence").alias("_from"))
+    heads = prefix_heads(both, chain, namespace).join(marks, chain).where(F.col("failure_code").isNull())
+    old, new = F.col("sequence") < F.col("_from"), F.col("sequence") >= F.col("_from")
+    names = ("bundle_sha256", "index_sha256", "packet_count")
+    ends = heads.groupBy(*chain).agg(
+        *[F.max_by(name, F.when(old, F.col("sequence"))).alias(f"previous_{name}") for name in names],
+        *[F.max_by(name, F.when(new, F.col("sequence"))).alias(name) for name in names],
+        F.min_by("packet_sha256", F.when(new, F.col("sequence"))).alias("_first"),
+        F.max_by("packet_sha256", F.when(new, F.col("sequence"))).alias("_last"),
+    )
+    receipts = (
+        ends.where("previous_packet_count is not null")
+        .select(*chain, *_receipt_columns())
+        .withColumn("transition_audit_sha256", transition_digest(namespace))
+    )
+    receipts = cut_lineage(receipts)
+    extended = append_transitions(history, receipts.withColumn("append_order", F.lit(1).cast("bigint")), chain)
+    return {"entries": added, "receipts": receipts, "history": extended}
 
 
 def lineage_verify(
-    entries: DataFrame, history: DataFrame, receipts: DataFrame, chain: Sequence[str]
+    entries: DataFrame,
+    history: DataFrame,
+    receipts: DataFrame,
+    chain: Sequence[str],
+    supplied: DataFrame | None = None,
+    expected: DataFrame | None = None,
+    namespace: str = "Quotelock",
 ) -> DataFrame:
-    """Verify every lineage: both chains, history continuity, receipts and endpoint.
+    """Verify every lineage: both chains, their heads, continuity, receipts and endpoint.
 
     One row per lineage with the first failing code. ``entries`` is the packet chain,
-    ``history`` the transition chain and ``receipts`` the retained transition receipts
-    with their ``position``.
+    ``history`` the transition chain and ``receipts`` the retained transition receipts with
+    their ``position``. ``supplied`` packets (with ``position``) are audited against the
+    entries, and ``expected`` (chain, ``expected_sha256``) holds the retained lineage heads:
+    both are checked only where given, the heads before everything else. A lineage of
+    ``expected`` that is not there gives a row too.
     """
     chain = list(chain)
-    packets = chain_verify(entries, chain, packet_payload()).select(
+    packets = collection_heads(entries, chain, namespace).select(
         *chain,
-        F.col("entries").alias("packet_count"),
-        F.col("head_sha256").alias("index_head"),
+        F.col("entry_count").alias("packet_count"),
+        F.col("index_sha256").alias("index_head"),
+        "bundle_sha256",
         F.col("failure_code").alias("_packets"),
     )
-    transitions = chain_verify(history, chain, transition_payload()).select(
-        *chain,
-        F.col("entries").alias("transition_count"),
-        F.col("failure_code").alias("_history"),
-    )
-    continuity = any_failure(
-        history_continuity(
-            history,
-            chain,
-            {
-                "previous_bundle_sha256": "next_bundle_sha256",
-                "previous_index_sha256": "next_index_sha256",
-                "previous_packet_count": "next_packet_count",
-            },
-        ),
-        chain,
-        F.col("sequence"),
-    ).withColumnRenamed("failure_code", "_continuity")
-    audited = (
-        history_audit(history, receipts, chain)
-        .withColumn("failure_code", F.when(F.col("verdict") != "VERIFIED", F.col("verdict")))
+    transitions = history_heads(history, chain, namespace)
+    again = (
+        history.groupBy(*chain, "next_bundle_sha256")
+        .agg(F.count("*").alias("_copies"))
+        .where("_copies > 1")
+        .select(*chain, F.lit("HISTORY_DUPLICATE").alias("_again"))
+        .distinct()
     )
-    audited = any_failure(audited, chain, F.col("position")).withColumnRenamed("failure_code", "_audit")
-    last = latest_entry(history, chain)
-    endpoints = packets.withColumn("bundle_sha256", bundle_head(F.col("index_head")))
-    matched = endpoint_match(
-        endpoints,
-        last,
-        chain,
-        ("bundle_sha256", "next_bundle_sha256"),
-        [("packet_count", "next_packet_count")],
-    ).withColumnRenamed("failure_code", "_endpoint")
-    joined = (
-        matched.join(transitions, chain, "left").join(continuity, chain, "left").join(audited, chain, "left")
+    joined = packets.join(transitions, chain, "left").join(again, chain, "left")
+    audited = history_audit(history, receipts, chain).where(F.col("verdict") != "VERIFIED")
+    findings = any_failure(audited.withColumn("failure_code", F.col("verdict")), chain, F.col("position"))
+    joined = joined.join(findings.withColumnRenamed("failure_code", "_audit"), chain, "left")
+    rules = []
+    if supplied is not None:
+        found = collection_audit(entries, supplied, chain).where(F.col("verdict") != "VERIFIED")
+        found = any_failure(found.withColumn("failure_code", F.col("verdict")), chain, F.col("position"))
+        joined = joined.join(found.withColumnRenamed("failure_code", "_supplied"), chain, "left")
+        rules.append(F.col("_supplied"))
+    joined = joined.withColumn("lineage_sha256", F.when(F.col("bundle_sha256").isNotNull(), lineage_head(namespace)))
+    head = F.lit(None).cast("string")
+    if expected is not None:
+        retained = expected.select(*chain, "expected_sha256", F.lit(True).alias("_retained"))
+        joined = joined.withColumn("_there", F.lit(True)).join(retained, chain, "full")
+        head = first_failure(
+            [
+                (F.col("_there") & F.col("_retained"), "PACKET_LINEAGE_ANCHORS_INVALID"),
+                (F.col("lineage_sha256") == F.col("expected_sha256"), "PACKET_LINEAGE_HEAD_MISMATCH"),
+            ]
+        )
+    endpoint = first_failure(
+        [
+            (F.col("bundle_sha256") == F.col("next_bundle_sha256"), "PACKET_LINEAGE_ENDPOINT_HEAD_MISMATCH"),
+            (F.col("packet_count") == F.col("next_packet_count"), "PACKET_LINEAGE_ENDPOINT_COUNT_MISMATCH"),
+        ]
     )
     code = F.coalesce(
         F.col("_packets"),
-        F.when(holds(F.col("transition_count") >= 1), F.col("_history")).otherwise(
-            F.lit("PACKET_LINEAGE_INVALID")
-        ),
-        F.col("_continuity"),
+        F.when(holds(F.col("transition_count") >= 1), F.col("history_code")).otherwise(F.lit("PACKET_LINEAGE_INVALID")),
+        F.col("_again"),
+        F.col("continuity_code"),
         F.col("_audit"),
-        F.col("_endpoint"),
+        *rules,
+        endpoint,
+        head,
     )
     return joined.select(
         *chain,
-        "packet_count",
+        F.coalesce("packet_count", F.lit(0)).alias("packet_count"),
         F.coalesce("transition_count", F.lit(0)).alias("transition_count"),
         "index_head",
         "bundle_sha256",
+        F.when(code.isNull(), F.col("lineage_sha256")).alias("lineage_sha256"),
         code.alias("failure_code"),
     )

@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 from quotelock.functions.digests import canonical_digest
 from quotelock.operators import audits, lineage, receipts
 from quotelock.operators.chains import chain_build, collection_totals, history_coverage
-from quotelock.plans.chains import COLLECTION, TRANSITIONS_SQL, transitions
+from quotelock.operators.heads import collection_heads
+from quotelock.plans.chains import COLLECTION, HEADS_SQL, HISTORY_SQL, TRANSITIONS_SQL, history_entry_sql, receipt_sql, transitions
+from quotelock.plans.checkpoints import cut_lineage
 from quotelock.plans.registry import query, table
 from quotelock.plans.views import (
     ENTRIES_SQL,
@@ -218,31 +220,30 @@ def coverage_adjacency(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {ENTRIES_SQL}, heads AS (
-      SELECT collection_id, max(sequence) AS packet_count, arg_max(entry_sha256, sequence) AS head_sha256
-      FROM entries GROUP BY 1)
+    f"""WITH RECURSIVE {HEADS_SQL}, heads AS (
+      SELECT collection_id, sequence AS packet_count, bundle_sha256 AS head_sha256
+      FROM bundled QUALIFY sequence = max(sequence) OVER (PARTITION BY collection_id))
     SELECT collection_id, head_sha256, packet_count + CASE WHEN collection_id % 5 = 2 THEN 1 ELSE 0 END AS packet_count,
       CASE WHEN packet_count = 1 OR collection_id % 5 = 1 THEN 'PACKET_LINEAGE_ENDPOINT_HEAD_MISMATCH'
         WHEN collection_id % 5 = 2 THEN 'PACKET_LINEAGE_ENDPOINT_COUNT_MISMATCH' END AS failure_code FROM heads"""
 )
 def endpoint_match(spark: SparkSession, folder: str) -> DataFrame:
-    """By ``collection_id % 5``: 1 the last transition is cut off, 2 another count."""
+    """By ``collection_id % 5``: 1 the last transition ends elsewhere, 2 another count."""
     form = F.pmod("collection_id", F.lit(5))
-    heads = (
-        entries(spark, folder)
-        .groupBy("collection_id")
-        .agg(F.max("sequence").alias("packet_count"), F.max_by("entry_sha256", "sequence").alias("head_sha256"))
-        .withColumn("packet_count", F.when(form == 2, c("packet_count") + 1).otherwise(c("packet_count")))
+    heads = collection_heads(entries(spark, folder), COLLECTION).select(
+        "collection_id",
+        c("bundle_sha256").alias("head_sha256"),
+        F.when(form == 2, c("packet_count") + 1).otherwise(c("packet_count")).alias("packet_count"),
     )
     last = audits.latest_entry(
-        transitions(spark, folder).select("collection_id", "sequence", "next_index_sha256", "next_packet_count"),
+        transitions(spark, folder).select("collection_id", "sequence", "next_bundle_sha256", "next_packet_count"),
         COLLECTION,
     ).withColumn(
-        "next_index_sha256",
-        F.when(form == 1, F.sha2("next_index_sha256", 256)).otherwise(c("next_index_sha256")),
+        "next_bundle_sha256",
+        F.when(form == 1, F.sha2("next_bundle_sha256", 256)).otherwise(c("next_bundle_sha256")),
     )
     return audits.endpoint_match(
-        heads, last, COLLECTION, ("head_sha256", "next_index_sha256"), [("packet_count", "next_packet_count")]
+        heads, last, COLLECTION, ("head_sha256", "next_bundle_sha256"), [("packet_count", "next_packet_count")]
     ).select("collection_id", "head_sha256", "packet_count", "failure_code")
 
 
@@ -275,19 +276,35 @@ def expected_head_check(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {ENTRIES_SQL}, counts AS (
-      SELECT collection_id, max(sequence) AS n FROM entries GROUP BY 1)
-    SELECT e.collection_id, e.sequence,
+    f"""WITH RECURSIVE {HISTORY_SQL}, counts AS (SELECT collection_id, max(sequence) AS n FROM entries GROUP BY 1),
+    grown AS (
+      SELECT b.collection_id, 2 AS sequence, o.bundle_sha256 AS previous_bundle_sha256, b.bundle_sha256 AS next_bundle_sha256,
+        o.index_sha256 AS previous_index_sha256, b.index_sha256 AS next_index_sha256, 2 AS previous_packet_count,
+        n AS next_packet_count, f.packet_sha256 AS first_packet, b.packet_sha256 AS last_packet
+      FROM bundled b JOIN counts k ON k.collection_id = b.collection_id AND b.sequence = n AND n > 2
+        JOIN bundled o ON o.collection_id = b.collection_id AND o.sequence = 2
+        JOIN entries f ON f.collection_id = b.collection_id AND f.sequence = 3
+      WHERE b.collection_id % 4 <> 1),
+    receipted AS (SELECT *, {receipt_sql('first_packet', 'last_packet')} AS transition_audit_sha256 FROM grown)
+    SELECT 'entry' AS kind, e.collection_id, e.sequence,
       CASE WHEN e.collection_id % 4 <> 1 THEN e.previous_entry_sha256 END AS previous_entry_sha256,
       CASE WHEN e.collection_id % 4 <> 1 THEN e.entry_sha256 END AS entry_sha256,
-      CASE WHEN e.collection_id % 4 = 1 THEN 'PACKET_INDEX_DUPLICATE' END
-        AS failure_code
-    FROM entries e JOIN counts k ON k.collection_id = e.collection_id WHERE e.sequence > 2"""
+      CASE WHEN e.collection_id % 4 = 1 THEN 'PACKET_INDEX_DUPLICATE' END AS failure_code
+    FROM entries e JOIN counts k ON k.collection_id = e.collection_id WHERE e.sequence > 2
+    UNION ALL
+    SELECT 'history', r.collection_id, r.sequence, CASE WHEN r.collection_id % 8 <> 2 THEN h.entry END,
+      CASE WHEN r.collection_id % 8 <> 2 THEN {history_entry_sql('h.entry')} END,
+      CASE WHEN r.collection_id % 8 = 2 THEN 'HISTORY_CONTINUITY_MISMATCH' END
+    FROM receipted r JOIN history h ON h.collection_id = r.collection_id AND h.sequence = 1"""
 )
 def lineage_append(spark: SparkSession, folder: str) -> DataFrame:
-    """From two packets to all; in every fourth collection one is repeated."""
+    """From two packets to all, and the transition onto the history.
+
+    In every fourth collection a packet is repeated, and of every eighth (2) the history
+    ends elsewhere.
+    """
     rows = packets(spark, folder)
-    current = chain_build(rows.where(c("sequence") <= 2), COLLECTION, lineage.packet_payload())
+    current = cut_lineage(chain_build(rows.where(c("sequence") <= 2), COLLECTION, lineage.packet_payload()))
     repeat = (F.pmod("collection_id", F.lit(4)) == 1) & (c("sequence") == 3)
     added = (
         rows.where(c("sequence") > 2)
@@ -298,51 +315,78 @@ def lineage_append(spark: SparkSession, folder: str) -> DataFrame:
         )
         .drop("sequence")
     )
-    return lineage.append_packets(current, added, COLLECTION).select(
-        "collection_id", "sequence", "previous_entry_sha256", "entry_sha256", "failure_code"
+    history = cut_lineage(_history(lineage.transitions_of(current, COLLECTION)))
+    elsewhere = history.withColumn(
+        "next_bundle_sha256",
+        F.when(F.pmod("collection_id", F.lit(8)) == 2, F.sha2("next_bundle_sha256", 256)).otherwise(c("next_bundle_sha256")),
     )
+    done = lineage.append_lineage(current, elsewhere, added, COLLECTION)
+    columns = ["collection_id", "sequence", "previous_entry_sha256", "entry_sha256", "failure_code"]
+    return (
+        done["entries"].select(F.lit("entry").alias("kind"), *columns)
+        .unionByName(done["history"].select(F.lit("history").alias("kind"), *columns))
+    )
+
+
+def _history(moves: DataFrame) -> DataFrame:
+    """The history chain of one-step receipts."""
+    kept = moves.drop("first_sequence", "last_sequence", "first_packet_sha256", "last_packet_sha256")
+    return chain_build(kept, COLLECTION, lineage.transition_payload())
 
 
 @query(
-    f"""WITH RECURSIVE {ENTRIES_SQL}, heads AS (
-      SELECT collection_id, max(sequence) AS n, arg_max(entry_sha256, sequence) AS head FROM entries GROUP BY 1)
-    SELECT collection_id, n - CASE WHEN collection_id % 5 = 1 AND n > 2 THEN 1 ELSE 0 END AS packet_count,
-      n - 1 AS transition_count,
-      CASE WHEN n = 1 THEN 'PACKET_LINEAGE_INVALID'
-        WHEN collection_id % 5 = 2 AND n > 1 THEN 'HASH_MISMATCH'
-        WHEN collection_id % 5 = 3 AND n > 1 THEN 'PACKET_TRANSITION_HISTORY_AUDIT_MISSING'
-        WHEN collection_id % 5 = 1 AND n > 2 THEN 'PACKET_LINEAGE_ENDPOINT_HEAD_MISMATCH' END AS failure_code
-    FROM heads"""
+    f"""WITH RECURSIVE {HISTORY_SQL}, ends AS (
+      SELECT collection_id, count(*) AS transition_count, string_agg('{{"appendedPacketCount":1,"entrySha256":"' || entry ||
+        '","nextBundleSha256":"' || next_bundle_sha256 || '","nextIndexSha256":"' || next_index_sha256 || '","nextPacketCount":' ||
+        next_packet_count || ',"previousBundleSha256":"' || previous_bundle_sha256 || '","previousEntrySha256":' ||
+        coalesce('"' || link || '"', 'null') || ',"previousIndexSha256":"' || previous_index_sha256 || '","previousPacketCount":' ||
+        previous_packet_count || ',"sequence":' || sequence || ',"transitionAuditSha256":"' || transition_audit_sha256 || '"}}', ','
+        ORDER BY sequence) AS moves_text FROM history GROUP BY 1),
+    heads AS (
+      SELECT b.collection_id, b.sequence AS n, b.bundle_sha256, e.transition_count,
+        sha256('{{"assurance":{{"timestamp":"not-attested"}},"entries":[' || moves_text ||
+          '],"kind":"QuotelockEvidencePacketTransitionHistoryIndex","version":1}}') AS history_sha256
+      FROM bundled b LEFT JOIN ends e ON e.collection_id = b.collection_id
+      QUALIFY b.sequence = max(b.sequence) OVER (PARTITION BY b.collection_id)),
+    checked AS (
+      SELECT *, sha256('{{"assurance":{{"timestamp":"not-attested"}},"history":{{"indexSha256":"' || history_sha256 ||
+        '","transitionCount":' || transition_count ||
+        '}},"kind":"QuotelockEvidencePacketTransitionHistoryAuditReceipt","outcome":"verified","version":1}}') AS audit,
+        CASE WHEN n = 1 THEN 'PACKET_LINEAGE_INVALID'
+          WHEN collection_id % 7 = 2 THEN 'HASH_MISMATCH'
+          WHEN collection_id % 7 = 3 THEN 'PACKET_TRANSITION_HISTORY_AUDIT_MISSING'
+          WHEN collection_id % 7 = 4 THEN 'PACKET_COLLECTION_MISSING'
+          WHEN collection_id % 7 = 1 AND n > 2 THEN 'PACKET_LINEAGE_ENDPOINT_HEAD_MISMATCH' END AS failure_code FROM heads)
+    SELECT collection_id, n - CASE WHEN collection_id % 7 = 1 AND n > 2 THEN 1 ELSE 0 END AS packet_count,
+      coalesce(transition_count, 0) AS transition_count, failure_code,
+      CASE WHEN failure_code IS NULL THEN sha256('{{"assurance":{{"timestamp":"not-attested"}},"bundleSha256":"' || bundle_sha256 ||
+        '","historyAuditSha256":"' || audit || '","historySha256":"' || history_sha256 ||
+        '","kind":"QuotelockEvidencePacketCollectionLineageBundle","version":1}}') END AS lineage_sha256 FROM checked"""
 )
 def lineage_verify(spark: SparkSession, folder: str) -> DataFrame:
-    """By ``collection_id % 5``: 1 the packet tail is cut off, 2 a history entry is changed, 3 a
-    receipt is gone."""
-    form, at = F.pmod("collection_id", F.lit(5)), c("sequence")
-    chain = entries(spark, folder)
-    counts = packets(spark, folder).groupBy("collection_id").agg(F.max("sequence").alias("_n"))
-    moves = transitions(spark, folder)
-    history = chain_build(
-        moves.drop("first_sequence", "last_sequence", "first_packet_sha256", "last_packet_sha256"),
-        COLLECTION,
-        lineage.transition_payload(),
-    )
+    """By ``collection_id % 7``: 1 the packet tail is cut off, 2 a history entry is changed, 3 a
+    receipt is gone, 4 the last packet was not supplied."""
+    form, at = F.pmod("collection_id", F.lit(7)), c("sequence")
+    whole = packets(spark, folder)
+    chain = cut_lineage(chain_build(whole, COLLECTION, lineage.packet_payload()))
+    moves = cut_lineage(lineage.transitions_of(chain, COLLECTION))
+    counts = whole.groupBy("collection_id").agg(F.max("sequence").alias("_n"))
+    history = _history(moves)
     changed = history.withColumn(
         "entry_sha256",
         F.when((form == 2) & (at == 1) & c("entry_sha256").isNotNull(), F.sha2("entry_sha256", 256)).otherwise(
             c("entry_sha256")
         ),
     )
-    cut = (
-        chain.join(counts, "collection_id")
-        .where(~((form == 1) & (c("_n") > 2) & (at == c("_n"))))
-        .drop("_n")
-    )
+    cut = chain.join(counts, "collection_id").where(~((form == 1) & (c("_n") > 2) & (at == c("_n"))))
+    given = cut.where(~((form == 4) & (c("_n") > 1) & (at == c("_n")))).withColumn("position", at)
     retained = moves.where(~((form == 3) & (at == 1))).withColumn("position", at)
-    return lineage.lineage_verify(cut, changed, retained, COLLECTION).select(
+    return lineage.lineage_verify(cut.drop("_n"), changed, retained, COLLECTION, supplied=given.drop("_n")).select(
         "collection_id",
         c("packet_count").cast("bigint").alias("packet_count"),
         c("transition_count").cast("bigint").alias("transition_count"),
         "failure_code",
+        "lineage_sha256",
     )
 
 

@@ -127,19 +127,66 @@ def strictly_increasing(spark: SparkSession, folder: str) -> DataFrame:
 
 # -- transition histories -------------------------------------------------------------
 
-TRANSITIONS_SQL = f"""{ENTRIES_SQL}, transitions AS (
-  SELECT e.collection_id, e.sequence - 1 AS sequence, sha256('bundle:' || p.entry_sha256) AS previous_bundle_sha256,
-    sha256('bundle:' || e.entry_sha256) AS next_bundle_sha256, p.entry_sha256 AS previous_index_sha256,
-    e.entry_sha256 AS next_index_sha256, e.sequence - 1 AS previous_packet_count, e.sequence AS next_packet_count,
+_PLAIN = '"assurance":{"timestamp":"not-attested"}'
+
+HEADS_SQL = f"""{ENTRIES_SQL}, items AS (
+  SELECT *, '{{"candidateId":"' || candidate_id || '","entrySha256":"' || entry_sha256 || '","evidenceId":"' || evidence_id ||
+      '","packetSha256":"' || packet_sha256 || '","previousEntrySha256":' || coalesce('"' || previous_entry_sha256 || '"', 'null') ||
+      ',"sequence":' || sequence || ',"sourceByteLength":' || source_byte_length || ',"sourceSha256":"' || source_sha256 || '"}}' AS item,
+    '{{"name":"packets/' || packet_sha256 || '.json","packetSha256":"' || packet_sha256 || '","sourceByteLength":' ||
+      source_byte_length || ',"sourceSha256":"' || source_sha256 || '"}}' AS packet FROM entries), prefixes AS (
+  SELECT *, string_agg(item, ',') OVER w AS items, string_agg(packet, ',') OVER w AS packets_text,
+    sum(source_byte_length) OVER w AS total, first_value(packet_sha256) OVER w AS first_packet
+  FROM items WINDOW w AS (PARTITION BY collection_id ORDER BY sequence)), headed AS (
+  SELECT *, sha256('{{{_PLAIN},"entries":[' || items || '],"kind":"QuotelockEvidencePacketIndex","version":1}}') AS index_sha256,
+    sha256('[' || packets_text || ']') AS packets_sha256 FROM prefixes), audited AS (
+  SELECT *, sha256('{{{_PLAIN},"coverage":{{"firstPacketSha256":"' || first_packet || '","lastPacketSha256":"' || packet_sha256 ||
+      '","totalSourceBytes":' || total || '}},"index":{{"indexSha256":"' || index_sha256 || '","packetCount":' || sequence ||
+      '}},"kind":"QuotelockEvidencePacketCollectionAuditReceipt","outcome":"verified","version":1}}') AS audit_sha256
+  FROM headed), bundled AS (
+  SELECT *, sha256('{{{_PLAIN},"auditSha256":"' || audit_sha256 || '","indexSha256":"' || index_sha256 ||
+      '","kind":"QuotelockEvidencePacketCollectionBundle","packetsSha256":"' || packets_sha256 || '","version":1}}') AS bundle_sha256
+  FROM audited)"""
+
+
+def receipt_sql(first_packet: str, last_packet: str) -> str:
+    """Digest in SQL of the receipt of a row with heads and counts of both sides."""
+    return (
+        f"sha256('{{{{\"append\":{{{{\"firstPacketSha256\":\"' || {first_packet} || '\",\"firstSequence\":' || (previous_packet_count + 1) ||"
+        f" ',\"lastPacketSha256\":\"' || {last_packet} || '\",\"lastSequence\":' || next_packet_count || ',\"packetCount\":' ||"
+        " (next_packet_count - previous_packet_count) || '}},\"assurance\":{{\"timestamp\":\"not-attested\"}},\"kind\":\"QuotelockEvidencePacketCollectionTransitionAuditReceipt\","
+        "\"next\":{{\"bundleSha256\":\"' || next_bundle_sha256 || '\",\"indexSha256\":\"' || next_index_sha256 || '\",\"packetCount\":' || next_packet_count ||"
+        " '}},\"outcome\":\"verified\",\"previous\":{{\"bundleSha256\":\"' || previous_bundle_sha256 || '\",\"indexSha256\":\"' ||"
+        " previous_index_sha256 || '\",\"packetCount\":' || previous_packet_count || '}},\"version\":1}}')"
+    ).replace("{{", "{").replace("}}", "}")
+
+
+def history_entry_sql(previous: str, row: str = "r") -> str:
+    """Digest in SQL of a history entry over its link expression."""
+    text = lambda name: f"\"' || {row}.{name} || '\""
+    return (
+        f"sha256('{{\"appendedPacketCount\":' || ({row}.next_packet_count - {row}.previous_packet_count) || ',\"nextBundleSha256\":{text('next_bundle_sha256')},"
+        f"\"nextIndexSha256\":{text('next_index_sha256')},\"nextPacketCount\":' || {row}.next_packet_count || ',\"previousBundleSha256\":"
+        f"{text('previous_bundle_sha256')},\"previousEntrySha256\":' || coalesce('\"' || {previous} || '\"', 'null') || ',\"previousIndexSha256\":"
+        f"{text('previous_index_sha256')},\"previousPacketCount\":' || {row}.previous_packet_count || ',\"sequence\":' || {row}.sequence ||"
+        f" ',\"transitionAuditSha256\":{text('transition_audit_sha256')}}}')"
+    )
+
+
+TRANSITIONS_SQL = f"""{HEADS_SQL}, transitions AS (
+  SELECT e.collection_id, e.sequence - 1 AS sequence, p.bundle_sha256 AS previous_bundle_sha256,
+    e.bundle_sha256 AS next_bundle_sha256, p.index_sha256 AS previous_index_sha256,
+    e.index_sha256 AS next_index_sha256, e.sequence - 1 AS previous_packet_count, e.sequence AS next_packet_count,
     e.packet_sha256
-  FROM entries e JOIN entries p ON p.collection_id = e.collection_id AND p.sequence = e.sequence - 1), receipts AS (
-  SELECT *, sha256('{{"append":{{"firstPacketSha256":"' || packet_sha256 || '","firstSequence":' || next_packet_count ||
-      ',"lastPacketSha256":"' || packet_sha256 || '","lastSequence":' || next_packet_count ||
-      ',"packetCount":1}},"assurance":{{"timestamp":"not-attested"}},"kind":"QuotelockEvidencePacketCollectionTransitionAuditReceipt","next":{{"bundleSha256":"'
-      || next_bundle_sha256 || '","indexSha256":"' || next_index_sha256 || '","packetCount":' || next_packet_count ||
-      '}},"outcome":"verified","previous":{{"bundleSha256":"' || previous_bundle_sha256 || '","indexSha256":"' ||
-      previous_index_sha256 || '","packetCount":' || previous_packet_count || '}},"version":1}}')
-      AS transition_audit_sha256 FROM transitions)"""
+  FROM bundled e JOIN bundled p ON p.collection_id = e.collection_id AND p.sequence = e.sequence - 1), receipts AS (
+  SELECT *, {receipt_sql('packet_sha256', 'packet_sha256')} AS transition_audit_sha256 FROM transitions)"""
+
+HISTORY_SQL = f"""{TRANSITIONS_SQL}, history AS (
+  SELECT r.*, CAST(NULL AS VARCHAR) AS link, {history_entry_sql('CAST(NULL AS VARCHAR)')} AS entry
+  FROM receipts r WHERE sequence = 1
+  UNION ALL
+  SELECT r.*, h.entry, {history_entry_sql('h.entry')}
+  FROM receipts r JOIN history h ON r.collection_id = h.collection_id AND r.sequence = h.sequence + 1)"""
 
 
 def transitions(spark: SparkSession, folder: str) -> DataFrame:
@@ -247,25 +294,31 @@ def exact_append(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {ENTRIES_SQL}, nested AS (
-      SELECT collection_id, count(*) AS packet_count, string_agg('{{"candidateId":"' || candidate_id ||
-          '","entrySha256":"' || entry_sha256 || '","evidenceId":"' || evidence_id || '","packetSha256":"' ||
-          packet_sha256 || '","previousEntrySha256":' || coalesce('"' || previous_entry_sha256 || '"', 'null') ||
-          ',"sequence":' || sequence || ',"sourceByteLength":' || source_byte_length || ',"sourceSha256":"' ||
-          source_sha256 || '"}}', ',' ORDER BY sequence) AS body,
-        string_agg('"packets/' || packet_sha256 || '.json"', ',' ORDER BY sequence) AS names
-      FROM entries GROUP BY 1), headed AS (
-      SELECT *, sha256('{{"assurance":{{"timestamp":"not-attested"}},"entries":[' || body ||
-        '],"kind":"QuotelockEvidencePacketIndex","version":1}}') AS head FROM nested)
-    SELECT collection_id, packet_count, CAST(NULL AS VARCHAR) AS failure_code, head AS index_sha256,
-      sha256('{{"assurance":{{"timestamp":"not-attested"}},"indexSha256":"' || head ||
-        '","kind":"QuotelockEvidencePacketCollectionBundle","packets":[' || names || '],"version":1}}') AS bundle_sha256 FROM headed"""
+    f"""WITH RECURSIVE {HEADS_SQL}, counts AS (SELECT collection_id, max(sequence) AS n FROM entries GROUP BY 1),
+    faults AS (SELECT b.*, n, collection_id % 7 IN (1, 2, 3) AND n > 1 AS bad
+      FROM bundled b JOIN counts USING (collection_id) WHERE sequence = n)
+    SELECT collection_id, CAST(n - CASE WHEN collection_id % 7 = 1 AND n > 1 THEN 1 ELSE 0 END
+        + CASE WHEN collection_id % 7 = 3 AND n > 1 THEN 1 ELSE 0 END AS BIGINT) AS packet_count,
+      CASE WHEN bad THEN 'PACKET_COLLECTION_BUNDLE_INVALID' END AS failure_code,
+      CASE WHEN NOT bad THEN index_sha256 END AS index_sha256, CASE WHEN NOT bad THEN audit_sha256 END AS audit_sha256,
+      CASE WHEN NOT bad THEN packets_sha256 END AS packets_sha256, CASE WHEN NOT bad THEN bundle_sha256 END AS bundle_sha256,
+      CASE WHEN NOT bad THEN string_split(items, '"entrySha256":"')[2][1:64] END AS first_entry
+    FROM faults"""
 )
 def bundle_export(spark: SparkSession, folder: str) -> DataFrame:
-    return export.bundle_export(entries(spark, folder), COLLECTION).select(
-        "collection_id",
-        c("packet_count").cast("bigint").alias("packet_count"),
-        "failure_code",
-        "index_sha256",
-        "bundle_sha256",
+    """By ``collection_id % 7`` an entry is 1 missing (the first), 2 without its place, 3 there twice (the second)."""
+    form, second = F.pmod("collection_id", F.lit(7)), c("sequence") == 2
+    first = (form == 1) & (c("sequence") == 1)
+    sizes = packets(spark, folder).groupBy("collection_id").agg(F.max("sequence").alias("_n"))
+    rows = (
+        entries(spark, folder)
+        .join(sizes, "collection_id")
+        .where(~(first & (c("_n") > 1)))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when((form == 3) & second, 2).otherwise(1))))
+        .withColumn("sequence", F.when(~((form == 2) & second), c("sequence")))
+        .drop("_n", "_copy")
     )
+    return export.bundle_export(rows, COLLECTION).select(
+        "collection_id", "packet_count", "failure_code", "index_sha256", "audit_sha256", "packets_sha256", "bundle_sha256",
+        F.get("entries", F.lit(0))["entrySha256"].alias("first_entry"),
+    )
