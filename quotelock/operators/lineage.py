@@ -198,7 +198,7 @@ def append_transitions(current: DataFrame, receipts: DataFrame, chain: Sequence[
         )
     )
     base = heads.select(*chain, F.col("sequence").cast("bigint").alias("_base"), F.col("entry_sha256").alias("head_sha256"))
-    placed = (
+    placed = cut_lineage(
         join_with_nulls(join_with_nulls(receipts, orders, chain), base, chain)
         .withColumn("_base", F.coalesce("_base", F.lit(0)))
         .withColumn("sequence", F.col("_base") + F.col("append_order"))
@@ -214,9 +214,12 @@ def append_transitions(current: DataFrame, receipts: DataFrame, chain: Sequence[
     for name in chain:
         named = named & F.col(name).isNotNull()
     ordered = (F.col("_low") == 1) & (F.col("_high") == F.col("_added")) & (F.col("_orders") == F.col("_added"))
-    coded = checked.withColumn(
-        "failure_code",
-        F.coalesce(first_failure([(named, "HISTORY_INVALID"), (ordered, "HISTORY_GAP")]), F.col("failure_code")),
+    # Read three times below.
+    coded = cut_lineage(
+        checked.withColumn(
+            "failure_code",
+            F.coalesce(first_failure([(named, "HISTORY_INVALID"), (ordered, "HISTORY_GAP")]), F.col("failure_code")),
+        )
     )
     worst = coded.groupBy(*chain).agg(
         F.coalesce(F.min_by("failure_code", F.when(F.col("failure_code").isNotNull(), F.col("append_order"))), F.min("failure_code")).alias("_worst")

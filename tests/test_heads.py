@@ -161,6 +161,7 @@ def test_append_extends_history_and_verifies(spark, whole):
     added = [(*packet(chain, number)[:1], order, *packet(chain, number)[2:]) for chain, number, order in (("a", 6, 1), ("a", 7, 2), ("d", 4, 1))]
     packets = spark.createDataFrame(added, PACKET.replace("sequence", "append_order"))
     done = lineage.append_lineage(entries, history, packets, ["c"])
+    done = {name: spark.createDataFrame(rows.collect(), rows.schema) for name, rows in done.items()}
     moves = {row["c"]: row for row in done["receipts"].collect()}
     assert (moves["a"]["previous_packet_count"], moves["a"]["next_packet_count"], moves["a"]["appended_packet_count"]) == (5, 7, 2)
     assert moves["a"]["next_bundle_sha256"] == plain_bundle(plain_entries("a", 7))
@@ -185,11 +186,20 @@ def test_transitions_that_do_not_follow(spark, whole):
         "previous_index_sha256": F.col("next_index_sha256"), "next_index_sha256": F.sha2("next_index_sha256", 256),
         "previous_packet_count": F.col("next_packet_count"), "next_packet_count": F.col("next_packet_count") + 1,
     })
-    codes = lambda rows: sorted((row["sequence"], str(row["failure_code"])) for row in lineage.append_transitions(history, rows, ["c"]).collect())
-    assert codes(follow) == [(5, "None")]
+    follow = spark.createDataFrame(follow.collect(), follow.schema)
     again = follow.withColumn("append_order", F.lit(2).cast("bigint"))
-    assert {code for _, code in codes(follow.unionByName(again))} == {"HISTORY_DUPLICATE"}
-    assert {code for _, code in codes(follow.unionByName(follow))} == {"HISTORY_GAP"}
-    assert {code for _, code in codes(again)} == {"HISTORY_GAP"}
-    assert {code for _, code in codes(follow.withColumn("previous_packet_count", F.lit(1).cast("bigint")))} == {"HISTORY_CONTINUITY_MISMATCH"}
-    assert {code for _, code in codes(follow.withColumn("c", F.lit(None).cast("string")))} == {"HISTORY_INVALID"}
+    cases = {
+        "follow": follow, "twice reached": follow.unionByName(again), "repeated": follow.unionByName(follow), "late": again,
+        "elsewhere": follow.withColumn("previous_packet_count", F.lit(1).cast("bigint")),
+    }
+    receipts, known = follow.withColumn("c", F.lit(None).cast("string")), history.where("false")
+    for name, rows in cases.items():
+        receipts = receipts.unionByName(rows.withColumn("c", F.lit(name)))
+        known = known.unionByName(history.where("c = 'a'").withColumn("c", F.lit(name)))
+    rows = lineage.append_transitions(known, receipts, ["c"]).collect()
+    codes = {(row["c"], row["sequence"] if row["c"] == "follow" else None, row["failure_code"]) for row in rows}
+    assert codes == {
+        ("follow", 5, None), ("twice reached", None, "HISTORY_DUPLICATE"), ("repeated", None, "HISTORY_GAP"),
+        ("late", None, "HISTORY_GAP"), ("elsewhere", None, "HISTORY_CONTINUITY_MISMATCH"), (None, None, "HISTORY_INVALID"),
+    }
+    assert len(rows) == 8
