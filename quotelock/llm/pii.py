@@ -1,8 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 Every proposal starts at its pattern's score. A checksum that must hold (Luhn for cards,
-mod-97 for bank accounts, the check digits of health numbers) drops the span when it fails.
-Words of the kind's list close before the span raise the score. Spans at or over the
+mod-97 for bank accounts) drops the span when it fails. Words of the kind's list close before
+the span, or after it in the same clause, raise the score. Spans at or over the
 threshold are reported; the kinds of :data:`BASE` have no threshold beyond their own check.
 """
 
@@ -29,6 +29,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
+_CLAUSE_END = re.compile(r"[0-9,;.\n]")
 
 Span = tuple[int, int]
 
@@ -102,7 +103,8 @@ class Recognizer:
             score = self.score
             if self.context is not None:
                 before = text[max(0, found.start() - CONTEXT_CHARS) : found.start()]
-                score += CONTEXT_GAIN * bool(self.context.search(before))
+                after = _CLAUSE_END.split(text[found.end() : found.end() + CONTEXT_CHARS], maxsplit=1)[0]
+                score += CONTEXT_GAIN * any(map(self.context.search, (before, after)))
             yield found.start(), found.end(), score
 
 

@@ -41,6 +41,8 @@ def test_checks_and_context():
     assert kinds("GB82 WEST 1234 5698 7654 32") == ["iban"]
     assert kinds("GB83 WEST 1234 5698 7654 32") == []
     assert kinds("ssn 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
+    assert kinds("123-45-6789 (SSN)") == ["ssn"] and kinds("part 123-45-6789" + " x" * 20 + " ssn") == []
+    assert [span[:3] for span in find_spans("part 123-45-6789, ssn 321-54-9876")] == [(22, 33, "ssn")]
     assert kinds("4111 1111 1111 1111") == ["card"] and kinds("4111 1111 1111 1112") == []
     assert redact("é a@b.co.", find_spans("é a@b.co.")) == "é <EMAIL>."
 
