@@ -24,22 +24,35 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the text rules and whose host does."""
+    """Documents that pass the text rules and whose host does.
+
+    NULL and empty texts fail; a NULL source is one host; repeated rows are judged alike.
+    """
     return keep_good(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of equal and near texts, that with the least id."""
+    """One document of each class of equal and near texts, that with the least id.
+
+    Whole texts are compared, whatever their length; repeated rows are copies like others, and
+    texts without a word stay, one for each id.
+    """
     return one_per_class(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is covered."""
+    """Documents in which no benchmark item is covered.
+
+    NULL and empty texts cover nothing and stay; repeated rows are judged alike.
+    """
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with spans of personal data replaced by their kind."""
+    """Every document, with spans of personal data replaced by their kind.
+
+    NULL stays NULL; repeated rows stay, and texts of any length are read whole.
+    """
     clean = redact_texts(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -48,9 +61,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its token ids, and as text what these decode to."""
+    """Every document with its token ids, and as text what these decode to.
+
+    NULL counts as empty; repeated rows stay, texts of any length are encoded whole, and
+    columns named ``ids`` and ``n_tokens`` are replaced.
+    """
     vocabulary = Vocabulary.load(public_tokenizers.path("byte_bpe_50k.json"))
-    encoded = encode(docs.withColumnRenamed("text", "_source_text"), vocabulary, "_source_text", "ids", "text")
+    encoded = encode(docs, vocabulary, "text", "ids", "text")
     others = [name for name in docs.columns if name not in ("text", "ids", "n_tokens")]
     return encoded.select(*others, "text", "ids", F.size("ids").cast("bigint").alias("n_tokens"))
 

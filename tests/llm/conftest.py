@@ -21,7 +21,10 @@ def odd_docs(spark):
         (7, "1234 ... 😀", "de", None),
     ]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
-    for name in ("row", "key", "text_hash", "node", "spans", "ids", "score", "kept", "host", "n_words", "label"):
+    for name in (
+        "row", "key", "text_hash", "node", "spans", "ids", "score", "kept", "host", "n_words", "label", "digest",
+        "_source_text", "_host", "lang_pred", "class_id", "licenses", "sentences", "formatted",
+    ):
         docs = docs.withColumn(name, F.lit("clash"))
     return docs
 

@@ -78,3 +78,16 @@ def test_odd_rows(spark, folder, odd_docs, no_docs):
         for frame in (odd_docs, no_docs):
             result = stage(spark, frame.withColumn("n_chars", F.char_length("text").cast("bigint")), folder)
             assert result.count() <= frame.count(), name
+
+
+def test_odd_rows_keep_what_is_stated(spark, folder, odd_docs):
+    frame = odd_docs.withColumn("n_chars", F.char_length("text").cast("bigint"))
+    kept = {row["doc_id"] for row in corpus_pipeline.quality_rules(spark, frame, folder).collect()}
+    assert kept.isdisjoint({1, 5, 6, 7})
+    clean = corpus_pipeline.personal_data(spark, frame, folder)
+    assert clean.columns == frame.columns and clean.count() == 10
+    encoded = corpus_pipeline.tokens(spark, frame, folder)
+    assert "_source_text" in encoded.columns and encoded.count() == 10
+    texts = {(row["doc_id"], row["text"]) for row in frame.collect()}
+    assert {(row["doc_id"], row["text"]) for row in encoded.collect()} == {(key, text or "") for key, text in texts}
+    assert all(len(row["ids"]) == row["n_tokens"] for row in encoded.collect())
