@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotelock.functions.digests import Optional, canonical_digest, is_digest
@@ -141,38 +141,47 @@ def signature_filter(
     ``reports``: ``(report_id, expected_sha256)``; ``trusted`` and ``revoked``: ``(key_id)``.
     A valid signature of an untrusted key is no error, it only does not count. Of a trusted
     signer only the first signature passes; when two share that place, none does.
+
+    The rows are wide, so they move once, by report: the places of a signer are told apart
+    and the report is joined in that order. Signatures without a report stay where they are.
     """
-    pair = ["report_id", "key_id"]
-    first = (
-        signatures.groupBy(*pair, order)
-        .agg(F.count("*").alias("_copies"))
-        .groupBy(*pair)
-        .agg(F.min(F.struct(F.col(order).alias("place"), "_copies")).alias("_first"))
+    flags = (
+        trusted.select("key_id", F.lit(True).alias("_trusted"))
+        .unionByName(revoked.select("key_id", F.lit(False).alias("_trusted")))
+        .groupBy("key_id")
+        .agg(F.bool_or("_trusted").alias("_trusted"), F.bool_or(~F.col("_trusted")).alias("_revoked"))
     )
-    marked_trusted = trusted.select("key_id").distinct().withColumn("_trusted", F.lit(True))
-    marked_revoked = revoked.select("key_id").distinct().withColumn("_revoked", F.lit(True))
+    places = Window.partitionBy("report_id", "key_id").orderBy(order)
     joined = (
-        signatures.join(reports, "report_id", "left")
-        .join(first, pair, "left")
-        .join(marked_trusted, "key_id", "left")
-        .join(marked_revoked, "key_id", "left")
+        signatures.where(F.col("report_id").isNotNull())
+        .join(flags, "key_id", "left")
+        .repartition("report_id")
+        .withColumns(
+            {
+                "_place": F.rank().over(places),
+                "_copies": F.count("*").over(places.rangeBetween(Window.currentRow, Window.currentRow)),
+            }
+        )
+        .join(reports, "report_id", "left")
     )
     is_trusted = holds(F.col("_trusted"))
+    alone = F.col(order).isNotNull() & (F.col("_place") == 1) & (F.col("_copies") == 1)
     code = first_failure(
         [
             (F.col("report_sha256") == F.col("expected_sha256"), "SIGNATURE_REPORT_MISMATCH"),
-            (F.col("_revoked").isNull(), "SIGNATURE_KEY_REVOKED"),
-            (
-                ~is_trusted | ((F.col(order) == F.col("_first.place")) & (F.col("_first._copies") == 1)),
-                "SIGNATURE_SIGNER_DUPLICATE",
-            ),
+            (~holds(F.col("_revoked")), "SIGNATURE_KEY_REVOKED"),
+            (~is_trusted | alone, "SIGNATURE_SIGNER_DUPLICATE"),
             (F.col("signature_valid"), "SIGNATURE_INVALID"),
         ]
     )
+    unplaced = signatures.where(F.col("report_id").isNull()).withColumns(
+        {"failure_code": F.lit("SIGNATURE_REPORT_MISMATCH"), "counted": F.lit(False)}
+    )
     return (
         joined.withColumn("failure_code", code)
         .withColumn("counted", F.col("failure_code").isNull() & is_trusted)
-        .drop("_first", "_trusted", "_revoked", "expected_sha256")
+        .drop("_place", "_copies", "_trusted", "_revoked", "expected_sha256")
+        .unionByName(unplaced, allowMissingColumns=True)
     )
 
 
