@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The control characters whose JSON escape carries a hex letter.
@@ -40,6 +40,26 @@ def is_commit(value: Column) -> Column:
     return F.coalesce(value.rlike(COMMIT_PATTERN), F.lit(False))
 
 
+def packed(text: Column) -> Column:
+    """Text as bytes, lowercase hex (such as a digest) in half its length; equal only for equal texts."""
+    content = F.unhex(text)
+    return F.when(F.lower(F.hex(content)) == text, F.concat(F.lit(b"\x01"), content)).otherwise(
+        F.concat(F.lit(b"\x00"), text.cast("binary"))
+    )
+
+
+def unpacked(content: Column) -> Column:
+    """The text that :func:`packed` was given."""
+    rest = F.substring(content, F.lit(2), F.octet_length(content))
+    return F.when(F.substring(content, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
+def is_text(rows: DataFrame, *names: str) -> bool:
+    """Whether the columns hold texts, so that :func:`packed` takes them."""
+    types = dict(rows.dtypes)
+    return all(types[name] == "string" for name in names)
+
+
 def _lower_escapes(text: Column) -> Column:
     fixed = text
     for code in LETTERED_CONTROLS:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotelock.functions.digests import canonical_digest, is_commit, is_digest
+from quotelock.functions.digests import canonical_digest, is_commit, is_digest, is_text, packed
 from quotelock.functions.ladder import first_failure, holds
 from quotelock.functions.semver import bump_rank, is_semver, semver_bump, semver_key
 
@@ -127,21 +127,36 @@ def upgrade_binding_check(bindings: DataFrame, releases: DataFrame, evidence: Da
 
     bindings: ``binding_id, previous_release, current_release, evidence_id``; releases:
     ``release_id, version, manifest_sha256``; evidence: ``evidence_id, previous_version,
-    current_version, previous_manifest_sha256, current_manifest_sha256``.
+    current_version, previous_manifest_sha256, current_manifest_sha256``. Ids and manifests
+    are compared in half their length, as all of them move with every join.
     """
     c = F.col
+    sides = ("previous", "current")
+    manifests = [f"{side}_manifest_sha256" for side in sides]
+    texts = (
+        is_text(bindings, "previous_release", "current_release", "evidence_id")
+        and is_text(releases, "release_id", "manifest_sha256")
+        and is_text(evidence, "evidence_id", *manifests)
+    )
+
+    def lean(name: str) -> Column:
+        return packed(c(name)) if texts else c(name)
+
+    index = releases.select(lean("release_id").alias("_release"), "version", lean("manifest_sha256").alias("_manifest"))
 
     def release(side: str) -> DataFrame:
-        return releases.select(
-            c("release_id").alias(f"{side}_release"),
+        return index.select(
+            c("_release").alias(f"_{side}_release"),
             c("version").alias(f"_{side}_version"),
-            c("manifest_sha256").alias(f"_{side}_manifest"),
+            c("_manifest").alias(f"_{side}_manifest"),
         )
 
+    keyed = bindings.withColumns({f"_{name}": lean(name) for name in ("previous_release", "current_release", "evidence_id")})
+    claims = evidence.withColumns({f"_{name}": lean(name) for name in ("evidence_id", *manifests)}).drop("evidence_id")
     joined = (
-        bindings.join(release("previous"), "previous_release", "left")
-        .join(release("current"), "current_release", "left")
-        .join(evidence, "evidence_id", "left")
+        keyed.join(release("previous"), "_previous_release", "left")
+        .join(release("current"), "_current_release", "left")
+        .join(claims, "_evidence_id", "left")
     )
     versions = holds(c("_previous_version") == c("previous_version")) & holds(
         c("_current_version") == c("current_version")
@@ -155,14 +170,14 @@ def upgrade_binding_check(bindings: DataFrame, releases: DataFrame, evidence: Da
                 "UPGRADE_BINDING_VERSION_ORDER",
             ),
             (
-                (c("_previous_manifest") == c("previous_manifest_sha256"))
-                & (c("_current_manifest") == c("current_manifest_sha256")),
+                (c("_previous_manifest") == c("_previous_manifest_sha256"))
+                & (c("_current_manifest") == c("_current_manifest_sha256")),
                 "UPGRADE_BINDING_MANIFEST_MISMATCH",
             ),
         ]
     )
     return joined.withColumn("failure_code", code).drop(
-        *[f"_{side}_{part}" for side in ("previous", "current") for part in ("version", "manifest")]
+        "_evidence_id", *[f"_{side}_{part}" for side in sides for part in ("release", "version", "manifest", "manifest_sha256")]
     )
 
 

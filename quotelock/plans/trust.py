@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotelock.functions.digests import canonical_digest
+from quotelock.functions.digests import canonical_digest, packed, unpacked
 from quotelock.operators import audits, releases, trust
 from quotelock.plans.registry import query, table
 from quotelock.plans.views import (
@@ -359,17 +359,21 @@ def upgrade_binding_check(spark: SparkSession, folder: str) -> DataFrame:
     index = release_view(spark, folder).select(
         c("pack_sha256").alias("release_id"), c("release_version").alias("version"), "manifest_sha256"
     )
-    old = index.select(c("release_id").alias("previous_pack_sha256"), c("manifest_sha256").alias("previous_manifest_sha256"))
-    new = index.select(c("release_id").alias("current_pack_sha256"), c("manifest_sha256").alias("current_manifest_sha256"))
+    heads = ["previous_pack_sha256", "current_pack_sha256", "upgrade_evidence_sha256"]
+    packs = index.select(packed(c("release_id")).alias("pack"), packed(c("manifest_sha256")).alias("manifest"))
+    old = packs.select(c("pack").alias("previous_pack_sha256"), c("manifest").alias("previous_manifest"))
+    new = packs.select(c("pack").alias("current_pack_sha256"), c("manifest").alias("current_manifest"))
     evidence = (
         moves.where(form != 1)
+        .withColumns({name: packed(c(name)) for name in heads})
         .join(old, "previous_pack_sha256")
         .join(new, "current_pack_sha256")
+        .withColumn("current_manifest_sha256", unpacked(c("current_manifest")))
         .select(
-            c("upgrade_evidence_sha256").alias("evidence_id"),
+            unpacked(c("upgrade_evidence_sha256")).alias("evidence_id"),
             F.when(form == 2, F.lit("0.0.1")).otherwise(c("previous_package_version")).alias("previous_version"),
             c("current_package_version").alias("current_version"),
-            "previous_manifest_sha256",
+            unpacked(c("previous_manifest")).alias("previous_manifest_sha256"),
             F.when(form == 3, F.sha2("current_manifest_sha256", 256))
             .otherwise(c("current_manifest_sha256"))
             .alias("current_manifest_sha256"),

@@ -381,8 +381,8 @@ def version_sql(key: str) -> str:
     )
 
 
-def releases(spark: SparkSession, folder: str) -> DataFrame:
-    """Each customer's orders, in key order, are the releases of one product.
+def release_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Each customer's orders, in key order, are the releases of one product: their keys and numbers.
 
     Releases are numbered by counting keys per customer and year in two steps, so no
     customer is sorted in one task.
@@ -390,16 +390,25 @@ def releases(spark: SparkSession, folder: str) -> DataFrame:
     from quotelock.plans.blocks import running_sum
 
     orders = table(spark, folder, "orders").select(
-        F.col("o_custkey").alias("product_id"), F.col("o_orderkey").alias("release_key"), "o_totalprice"
+        F.col("o_custkey").alias("product_id"), F.col("o_orderkey").alias("release_key")
     )
     numbered = running_sum(orders, ["product_id"], "release_key", F.lit(1), "sequence")
+    return numbered.select("product_id", F.col("sequence").cast("bigint").alias("sequence"), "release_key")
+
+
+def head_of(kind: str, key: Column) -> Column:
+    return F.sha2(F.concat(F.lit(f"{kind}:"), key.cast("string")), 256)
+
+
+def releases(spark: SparkSession, folder: str) -> DataFrame:
+    """The releases of :func:`release_numbers` with the heads of their artifacts."""
 
     def head(kind: str) -> Column:
-        return F.sha2(F.concat(F.lit(f"{kind}:"), F.col("release_key").cast("string")), 256)
+        return head_of(kind, F.col("release_key"))
 
-    return numbered.select(
+    return release_numbers(spark, folder).select(
         "product_id",
-        F.col("sequence").cast("bigint").alias("sequence"),
+        "sequence",
         "release_key",
         version_of(F.col("release_key")).alias("release_version"),
         head("pack").alias("pack_sha256"),
@@ -429,26 +438,26 @@ RELEASES_SQL = f"""releases AS (
 
 
 def upgrades(spark: SparkSession, folder: str) -> DataFrame:
-    """One upgrade per adjacent pair of a product's releases."""
+    """One upgrade per adjacent pair of a product's releases.
+
+    The neighbour is found on narrow rows; versions and heads of both are made behind the join.
+    """
     from quotelock.plans.blocks import with_previous
 
     paired = with_previous(
-        releases(spark, folder),
-        ["product_id"],
-        "sequence",
-        {"version": F.col("release_version"), "pack": F.col("pack_sha256")},
+        release_numbers(spark, folder), ["product_id"], "sequence", {"key": F.col("release_key")}
     ).where(F.col("sequence") > 1)
+    key, known = F.col("release_key"), F.col("previous").isNotNull()
+    before = F.col("previous")["key"]
     return paired.select(
         "product_id",
         (F.col("sequence") - 1).alias("sequence"),
-        F.col("previous")["version"].alias("previous_package_version"),
-        F.col("release_version").alias("current_package_version"),
-        F.col("previous")["pack"].alias("previous_pack_sha256"),
-        F.col("pack_sha256").alias("current_pack_sha256"),
-        F.sha2(F.concat(F.lit("upgrade:"), F.col("release_key").cast("string")), 256).alias(
-            "upgrade_evidence_sha256"
-        ),
-        F.sha2(F.concat(F.lit("binding:"), F.col("release_key").cast("string")), 256).alias("binding_sha256"),
+        F.when(known, version_of(before)).alias("previous_package_version"),
+        version_of(key).alias("current_package_version"),
+        F.when(known, head_of("pack", before)).alias("previous_pack_sha256"),
+        head_of("pack", key).alias("current_pack_sha256"),
+        head_of("upgrade", key).alias("upgrade_evidence_sha256"),
+        head_of("binding", key).alias("binding_sha256"),
         "release_key",
     )
 

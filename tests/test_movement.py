@@ -5,6 +5,8 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
+from quotelock.functions.digests import packed, unpacked
+from quotelock.operators.releases import upgrade_binding_check
 from quotelock.operators.trust import signature_filter, signer_quorum
 
 
@@ -80,3 +82,46 @@ def test_odd_signatures(spark, threshold):
         quorum = signer_quorum(found, policies, F.lit("2026-03-01T00:00:00.000Z"), strict=False)
         assert sorted((row["report_id"], row["verified_signers"], row["failure_code"]) for row in quorum.collect()) == [
             (1, 1, None), (3, 0, "SIGNATURE_THRESHOLD_NOT_MET")]
+
+
+TEXTS = ["", "a", "ab", "AB", "0ab", "g1", "ab" * 32, "é", "\x01\xab", "00", " ab", "ab ", None]
+
+
+def test_packed_texts_stay_apart_and_come_back(spark):
+    rows = spark.createDataFrame([(text,) for text in TEXTS], "text string")
+    got = rows.select("text", packed(F.col("text")).alias("packed")).select("*", unpacked(F.col("packed")).alias("back")).collect()
+    assert [row["back"] for row in got] == TEXTS
+    assert len({bytes(row["packed"]) for row in got if row["packed"] is not None}) == len(TEXTS) - 1
+    assert {row["text"]: len(row["packed"]) for row in got if row["text"]}["ab" * 32] == 33
+
+
+def bound(spark, bindings, releases, evidence):
+    claim = "evidence_id string, previous_version string, current_version string, previous_manifest_sha256 string, current_manifest_sha256 string"
+    return upgrade_binding_check(
+        spark.createDataFrame(bindings, "binding_id int, previous_release string, current_release string, evidence_id string"),
+        spark.createDataFrame(releases, "release_id string, version string, manifest_sha256 string"),
+        spark.createDataFrame(evidence, claim),
+    )
+
+
+def test_bindings_move_without_their_long_ids(spark):
+    with settings(spark):
+        found = bound(spark, [(1, "p", "q", "e")], [("p", "1.0.0", "m")], [("e", "1.0.0", "1.0.1", "m", "n")])
+        found = found.select("binding_id", "failure_code")
+        for name in ("previous_release", "current_release", "evidence_id", "release_id", "manifest_sha256", "previous_manifest_sha256"):
+            assert exchanged(found, name) == 0
+        assert exchanged(found, "_previous_release") == 2
+
+
+def test_odd_bindings(spark):
+    long = "ab" * 32
+    releases = [(long, "1.0.0", "m"), ("q", "1.0.1", long), ("q", "1.0.1", long), (long.upper(), "1.0.0", "x"), (None, "1.0.0", "m")]
+    evidence = [("e", "1.0.0", "1.0.1", "m", long), ("f", "1.0.0", "1.0.1", "m", long.upper()), (None, "1.0.0", "1.0.1", "m", long)]
+    bindings = [(1, long, "q", "e"), (2, long, "q", "f"), (3, long.upper(), "q", "e"), (4, None, "q", "e"), (5, long, "q", None)]
+    got = bound(spark, bindings, releases, evidence).collect()
+    wrong = "UPGRADE_BINDING_MANIFEST_MISMATCH"
+    assert sorted((row["binding_id"], row["failure_code"]) for row in got if row["binding_id"] != 4) == [
+        (1, None), (1, None), (2, wrong), (2, wrong), (3, wrong), (3, wrong),
+        (5, "UPGRADE_BINDING_EVIDENCE_MISSING"), (5, "UPGRADE_BINDING_EVIDENCE_MISSING")]
+    assert {row["failure_code"] for row in got if row["binding_id"] == 4} == {"UPGRADE_BINDING_VERSION_MISMATCH"}
+    assert {(row["previous_release"], row["evidence_id"], row["current_manifest_sha256"]) for row in got if row["binding_id"] == 1} == {(long, "e", long)}
