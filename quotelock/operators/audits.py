@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotelock.functions.digests import is_digest
+from quotelock.functions.digests import is_digest, is_text, packed, unpacked
 from quotelock.functions.ladder import first_failure, holds
 from quotelock.plans.blocks import running_sum
 
@@ -34,19 +34,33 @@ def audit(
     by ``compare`` (index column -> supplied column). With ``position`` the order counts:
     a head found at another place is REORDERED. ``size`` and ``max_bytes`` bound the
     running total per group. A row without a place is ORDER_INVALID, and of a head supplied
-    twice at one place neither copy is verified.
+    twice at one place neither copy is verified. Texts move in packed form.
     """
     keys = [*group, head]
-    indexed = index.groupBy(*keys).agg(
-        F.min("sequence").alias("_sequence"),
-        F.min_by(F.struct(*[F.col(name) for name in compare]), "sequence").alias("_indexed"),
-    )
     rows = supplied
     if size is not None and position is not None and max_bytes is not None:
         rows = running_sum(rows, group, position, F.col(size), "_total", tiebreak=[head])
     order = position or "supply_order"
     if order not in rows.columns:
         raise ValueError(f"supplied rows need {order}")
+    texts = {name for name in keys if is_text(index, name) and is_text(supplied, name)}
+    lean_keys = [packed(F.col(name)).alias(name) if name in texts else F.col(name) for name in keys]
+
+    def lean(rows: DataFrame, name: str, both: bool) -> Column:
+        return packed(rows[name]) if both else rows[name]
+
+    stored_values, given_values = [], []
+    for number, (stored, given) in enumerate(compare.items()):
+        both = is_text(index, stored) and is_text(supplied, given)
+        stored_values.append(lean(index, stored, both).alias(f"_{number}"))
+        given_values.append(lean(rows, given, both).alias(f"_{number}"))
+    places = index.select(*lean_keys, "sequence", F.struct(*stored_values).alias("_values"))
+    indexed = places.groupBy(*keys).agg(
+        F.min("sequence").alias("_sequence"), F.min_by("_values", "sequence").alias("_indexed")
+    )
+    rows = rows.select(
+        *lean_keys, order, F.struct(*given_values).alias("_given"), *[name for name in rows.columns if name == "_total"]
+    )
     first = (
         rows.groupBy(*keys, order)
         .agg(F.count("*").alias("_copies"))
@@ -55,8 +69,8 @@ def audit(
     )
     joined = rows.join(first, keys, "left").join(indexed, keys, "left")
     equal = F.lit(True)
-    for stored, given in compare.items():
-        equal = equal & F.col("_indexed")[stored].eqNullSafe(F.col(given))
+    for number in range(len(compare)):
+        equal = equal & F.col("_indexed")[f"_{number}"].eqNullSafe(F.col("_given")[f"_{number}"])
     rules: list = [
         (F.col(order).isNotNull(), f"{prefix}_ORDER_INVALID"),
         (F.col("_first").isNull() | ((F.col(order) == F.col("_first")) & (F.col("_copies") == 1)), f"{prefix}_DUPLICATE"),
@@ -72,12 +86,15 @@ def audit(
         F.col(order).cast("bigint").alias("position"),
         first_failure(rules, passed=F.lit("VERIFIED")).alias("verdict"),
     )
-    absent = missing_items(index, supplied, keys).select(
+    absent = missing_items(places, rows, keys).select(
         *keys,
         F.col("sequence").cast("bigint").alias("position"),
         F.lit(f"{prefix}_MISSING").alias("verdict"),
     )
-    return verdicts.unionByName(absent)
+    found = verdicts.unionByName(absent)
+    return found.select(
+        *[unpacked(F.col(name)).alias(name) if name in texts else F.col(name) for name in keys], "position", "verdict"
+    )
 
 
 def missing_items(index: DataFrame, supplied: DataFrame, keys: Sequence[str]) -> DataFrame:

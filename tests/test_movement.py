@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quotelock.functions.digests import packed, unpacked
+from quotelock.operators import audits
 from quotelock.operators.releases import upgrade_binding_check
 from quotelock.operators.trust import signature_filter, signer_quorum
 
@@ -39,6 +40,19 @@ def exchanged(rows, column):
     return len(found)
 
 
+def types(rows, column):
+    """Types of the column in the rows of all exchanges."""
+    plan = rows._jdf.queryExecution().executedPlan()
+    nodes, found = [plan], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Exchange":
+            output = [node.output().apply(i) for i in range(node.output().size())]
+            found += [field.dataType().simpleString() for field in output if field.name() == column]
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
 SIGNATURES = "report_id int, key_id string, report_sha256 string, signature_valid boolean, signature_order int, n int"
 
 
@@ -125,3 +139,33 @@ def test_odd_bindings(spark):
         (5, "UPGRADE_BINDING_EVIDENCE_MISSING"), (5, "UPGRADE_BINDING_EVIDENCE_MISSING")]
     assert {row["failure_code"] for row in got if row["binding_id"] == 4} == {"UPGRADE_BINDING_VERSION_MISMATCH"}
     assert {(row["previous_release"], row["evidence_id"], row["current_manifest_sha256"]) for row in got if row["binding_id"] == 1} == {(long, "e", long)}
+
+
+INDEX = "g int, sequence int, pack_sha256 string, kind string, size int"
+
+
+def audited(spark, index, given):
+    return audits.audit(
+        spark.createDataFrame(index, INDEX),
+        spark.createDataFrame(given, "g int, supply_order int, pack_sha256 string, kind string, size bigint"),
+        ["g"], "pack_sha256", {"kind": "kind", "size": "size"}, "P",
+    )
+
+
+def test_audited_texts_move_packed(spark):
+    with settings(spark):
+        found = audited(spark, [(1, 1, "a", "k", 1)], [(1, 1, "a", "k", 1)])
+        assert exchanged(found, "kind") == 0
+        assert set(types(found, "pack_sha256")) == {"binary"}
+
+
+def test_odd_audits(spark):
+    long = "ab" * 32
+    index = [(1, 1, long, long, 1), (1, 2, "b", None, None), (1, 3, "c", "k", 1), (1, 4, None, "k", 1), (1, 5, "d", long, 1), (1, 6, "e", "k", 1), (1, 6, "e", "k", 1)]
+    given = [(1, 1, long, long, 1), (1, 2, "b", None, None), (1, 3, long.upper(), "k", 1), (1, 4, None, "k", 1),
+             (1, 5, "d", long.upper(), 1), (1, 6, "c", "k", 1), (1, 6, "c", "k", 1)]
+    got = audited(spark, index, given)
+    assert got.dtypes == [("g", "int"), ("pack_sha256", "string"), ("position", "bigint"), ("verdict", "string")]
+    assert sorted((str(row["pack_sha256"]), row["position"], row["verdict"]) for row in got.collect()) == sorted([
+        (long, 1, "VERIFIED"), ("b", 2, "VERIFIED"), (long.upper(), 3, "P_UNEXPECTED"), ("None", 4, "P_UNEXPECTED"), ("None", 4, "P_MISSING"),
+        ("d", 5, "P_METADATA_MISMATCH"), ("c", 6, "P_DUPLICATE"), ("c", 6, "P_DUPLICATE"), ("e", 6, "P_MISSING"), ("e", 6, "P_MISSING")])
