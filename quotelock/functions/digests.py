@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotelock.functions.ladder import bind
+
 # The control characters whose JSON escape carries a hex letter.
 # Spark writes the letter in upper case, the canonical form in lower case.
 LETTERED_CONTROLS = ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F")
@@ -42,16 +44,24 @@ def is_commit(value: Column) -> Column:
 
 def packed(text: Column) -> Column:
     """Text as bytes, lowercase hex (such as a digest) in half its length; equal only for equal texts."""
-    content = F.unhex(text)
-    return F.when(F.lower(F.hex(content)) == text, F.concat(F.lit(b"\x01"), content)).otherwise(
-        F.concat(F.lit(b"\x00"), text.cast("binary"))
-    )
+
+    def body(text: Column) -> Column:
+        content = F.unhex(text)
+        return F.when(F.lower(F.hex(content)) == text, F.concat(F.lit(b"\x01"), content)).otherwise(
+            F.concat(F.lit(b"\x00"), text.cast("binary"))
+        )
+
+    return bind(text, body)
 
 
 def unpacked(content: Column) -> Column:
     """The text that :func:`packed` was given."""
-    rest = F.substring(content, F.lit(2), F.octet_length(content))
-    return F.when(F.substring(content, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+    def body(content: Column) -> Column:
+        rest = F.substring(content, F.lit(2), F.octet_length(content))
+        return F.when(F.substring(content, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+    return bind(content, body)
 
 
 def is_text(rows: DataFrame, *names: str) -> bool:
